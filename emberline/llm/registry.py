@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import host_quality
+from emberline.llm import decontaminate, host_quality
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
 }
 SQL = {
     "op1_host_quality": host_quality.SQL,
+    "op2_decontaminate": decontaminate.SQL,
 }
