@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import decontaminate, host_quality
+from emberline.llm import decontaminate, host_quality, pack
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op10_pack": pack.op10_pack,
 }
 SQL = {
     "op1_host_quality": host_quality.SQL,
