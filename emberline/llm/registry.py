@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import decontaminate, host_quality, pack
+from emberline.llm import decontaminate, host_quality, near_dedup, pack
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op10_pack": pack.op10_pack,
 }
 SQL = {
