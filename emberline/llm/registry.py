@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import decontaminate, host_quality, near_dedup, pack
+from emberline.llm import decontaminate, host_quality, near_dedup, pack, weak_quality
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op7_weak_quality": weak_quality.op7_weak_quality,
     "op10_pack": pack.op10_pack,
 }
 SQL = {
