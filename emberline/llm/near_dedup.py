@@ -6,8 +6,9 @@ coordinates keeps the earliest dart that falls on it. Two texts agree on a coord
 weighted Jaccard similarity. Work is for the darts needed, not for coordinates times elements.
 
 Copies of a text count once. Texts that share a band of coordinates meet in a bucket; each is held against the bucket's
-first text, and texts of a bucket that are still in different components against each other, where the sizes and the
-distances to the first text allow a link at all. Each link is verified by the exact similarity.
+first text, the one that meets most others. Texts of a bucket that are still in different components are compared block
+by block, by sketches, and only pairs that these don't rule out leave a task. Each link is verified by the exact
+similarity.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
 #: Width of the first layer of ranks, in darts for a weight of 1; each layer after the second is twice as wide.
 FIRST_WIDTH = 2.0**-6
+#: Texts of a bucket that are compared with others at one time.
+BLOCK = 1024
 #: Bytes of text whose darts are thrown together.
 DART_BYTES = 3 << 20
 
@@ -170,6 +173,64 @@ def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return _similarities(pairs.join(left, "u").join(right, "v"))
 
 
+def _buckets(banded: DataFrame) -> DataFrame:
+    """rid and bucket of banded where a bucket has n > 1 texts, and first, the bucket's text that meets most others."""
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(banded.join(sizes, "bucket"), "met")
+    meets = members.groupBy("rid").agg(F.sum("n").alias("meets"))
+    members = members.join(meets, "rid")
+    firsts = members.groupBy("bucket").agg(F.max(F.struct("meets", -F.col("rid"))).alias("most")).select("bucket", (-F.col("most.col2")).alias("first"))
+    return members.join(firsts, "bucket").select("bucket", "rid", "n", "first")
+
+
+def _sketches(units: DataFrame, bands: int, rows: int) -> DataFrame:
+    """rid, weight, the lowest byte of each coordinate and the hashes of the bands, of texts given by their units."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "units", 8 * DART_BYTES):
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("units")]
+            weight = np.array([len(x) for x in sets])
+            kept = signatures(row_numbers(weight), np.concatenate(sets), len(sets), bands * rows)
+            low, hashes = kept.astype(np.uint8), _band_hashes(kept, bands)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(weight), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in hashes], pa.binary())], ["rid", "weight", "low", "hashes"])
+
+    return units.select("rid", "units").mapInArrow(run, "rid bigint, weight bigint, low binary, hashes binary")
+
+
+def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Pairs u, v of one bucket in different components whose sketches don't rule a link out.
+
+    A bucket is dealt out to blocks of about BLOCK texts, and each two blocks are compared by one task, which returns
+    only what passes: sizes that allow the similarity, and at most six standard deviations fewer equal coordinates than
+    it gives. Texts that share more buckets are compared in the first one.
+    """
+    least = size * similarity - 6 * (size * similarity * (1 - similarity)) ** 0.5
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("rid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("bucket", "rid", "component", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(sketches, "rid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        col = {c: table[c].to_numpy() for c in ("bucket", "rid", "component", "block", "b1", "b2", "weight")}
+        low = np.stack([np.frombuffer(x, np.uint8) for x in table["low"].to_pylist()])
+        hashes = np.stack([np.frombuffer(x, np.int64) for x in table["hashes"].to_pylist()])
+        one, two = (np.flatnonzero(col["block"] == col[b][0]) for b in ("b1", "b2"))
+        out = [np.zeros((0, 2), np.int64)]
+        for start in range(0, len(one), 32):
+            x = one[start : start + 32]
+            fits = (col["component"][x][:, None] != col["component"][two]) & (np.minimum(col["weight"][x][:, None], col["weight"][two]) >= similarity * np.maximum(col["weight"][x][:, None], col["weight"][two]))
+            fits &= (low[x][:, None, :] == low[two][None, :, :]).sum(axis=2) >= least
+            i, j = np.nonzero(fits)
+            i, j = x[i], two[j]
+            shared = hashes[i] == hashes[j]
+            here = hashes[i, shared.argmax(axis=1)] == col["bucket"][0]
+            pair = np.sort(np.stack([col["rid"][i], col["rid"][j]], axis=1)[here], axis=1)
+            out.append(pair)
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
+
+    return dealt.groupBy("bucket", "b1", "b2").applyInArrow(compare, "u bigint, v bigint").distinct()
+
+
 def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Each row of docs with rid, its number in this run, and class, the smallest rid of its class.
 
@@ -183,25 +244,17 @@ def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
     rowset = materialise(_featured(inner, kept, bands, rows, shingle), "rows")
     nodes = materialise(rowset.groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
-    banded = nodes.select("rid", F.explode("bands").alias("bucket"))
-    firsts = banded.groupBy("bucket").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
-    members = materialise(banded.join(firsts, "bucket"), "members")
+    members = materialise(_buckets(nodes.select("rid", F.explode("bands").alias("bucket"))), "members")
     pairs = members.where("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v")).distinct()
     met = members.select("rid").distinct()
     units = materialise(_unit_sets(rowset.select("rid", "body").join(met, "rid", "left_semi"), shingle), "units")
-    to_first = materialise(_verified(pairs, units), "to_first")
-    links = to_first.where(F.col("sim") >= similarity).select("u", "v")
+    links = _verified(pairs, units).where(F.col("sim") >= similarity).select("u", "v")
     component = materialise(connected_components(links), "components")
     # What is left: texts of one bucket in different components.
-    labelled = members.join(component.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "first", F.coalesce("component", "rid").alias("component"))
+    labelled = members.join(component.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "n", F.coalesce("component", "rid").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(nodes.select("rid", "weight"), "rid")
-    open_ = open_.join(to_first.select(F.col("u").alias("rid"), F.col("v").alias("first"), "sim"), ["rid", "first"], "left").where("rid <> first")
-    open_ = materialise(open_.select("bucket", "rid", "component", "weight", "sim"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    most = 1 - similarity + 1e-9
-    reach = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & (F.least("a.weight", "b.weight") >= F.lit(similarity) * F.greatest("a.weight", "b.weight")) & (F.abs(F.col("a.sim") - F.col("b.sim")) <= most)
-    more = a.join(b, reach).select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v")).distinct()
+    open_ = materialise(labelled.join(mixed, "bucket"), "open")
+    more = _close_pairs(open_, _sketches(units.join(open_.select("rid").distinct(), "rid", "left_semi"), bands, rows), similarity, bands * rows)
     late = materialise(_verified(more, units).where(F.col("sim") >= similarity).select("u", "v"), "late")
     if late.limit(1).count():
         component = materialise(connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(late)), "components")
