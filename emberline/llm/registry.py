@@ -1,15 +1,19 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import decontaminate, host_quality, near_dedup, pack, weak_quality
+from emberline.llm import decontaminate, host_quality, near_dedup, pack, url_filter, warc, weak_quality
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_warc": warc.op3_warc,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op7_weak_quality": weak_quality.op7_weak_quality,
     "op10_pack": pack.op10_pack,
 }
 SQL = {
     "op1_host_quality": host_quality.SQL,
     "op2_decontaminate": decontaminate.SQL,
+    "op3_warc": warc.SQL,
+    "op5_url_filter": url_filter.SQL,
 }
