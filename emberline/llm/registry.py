@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import decontaminate, host_quality, near_dedup, pack, url_filter, warc, weak_quality
+from emberline.llm import chat_format, decontaminate, host_quality, licenses, near_dedup, pack, toxicity, url_filter, warc, weak_quality
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
@@ -8,7 +8,10 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_weak_quality": weak_quality.op7_weak_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_pack": pack.op10_pack,
 }
 SQL = {
@@ -16,4 +19,7 @@ SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op3_warc": warc.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op6_license_scan": licenses.SQL,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_chat_format": chat_format.SQL,
 }
