@@ -7,7 +7,7 @@ weighted Jaccard similarity. Work is for the darts needed, not for coordinates t
 
 Copies of a text count once. Texts that share a band of coordinates meet in a bucket; each is held against the bucket's
 first text, the one that meets most others. Texts of a bucket that are still in different components are compared block
-by block, by sketches, and only pairs that these don't rule out leave a task. Each link is verified by the exact
+by block, by sketches, and only pairs that these don't rule out leave their task. Each link is verified by the exact
 similarity.
 """
 
@@ -32,7 +32,8 @@ BANDS, ROWS = 40, 7
 #: Width of the first layer of ranks, in darts for a weight of 1; each layer after the second is twice as wide.
 FIRST_WIDTH = 2.0**-6
 #: Texts of a bucket that are compared with others at one time.
-BLOCK = 1024
+BLOCK = 512
+SLACK = 0.01
 #: Bytes of text whose darts are thrown together.
 DART_BYTES = 3 << 20
 
@@ -184,7 +185,9 @@ def _buckets(banded: DataFrame) -> DataFrame:
 
 
 def _sketches(units: DataFrame, bands: int, rows: int) -> DataFrame:
-    """rid, weight, the lowest byte of each coordinate and the hashes of the bands, of texts given by their units."""
+    """Of texts given by their units: rid, weight, the lowest byte of each coordinate, the hashes of the bands, and the
+    units' lowest 32 bits, sorted.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "units", 8 * DART_BYTES):
@@ -192,17 +195,19 @@ def _sketches(units: DataFrame, bands: int, rows: int) -> DataFrame:
             weight = np.array([len(x) for x in sets])
             kept = signatures(row_numbers(weight), np.concatenate(sets), len(sets), bands * rows)
             low, hashes = kept.astype(np.uint8), _band_hashes(kept, bands)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(weight), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in hashes], pa.binary())], ["rid", "weight", "low", "hashes"])
+            short = [np.unique(x.astype(np.uint32)) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(weight), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (low, hashes, short))], ["rid", "weight", "low", "hashes", "short"])
 
-    return units.select("rid", "units").mapInArrow(run, "rid bigint, weight bigint, low binary, hashes binary")
+    return units.select("rid", "units").mapInArrow(run, "rid bigint, weight bigint, low binary, hashes binary, short binary")
 
 
 def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
     """Pairs u, v of one bucket in different components whose sketches don't rule a link out.
 
     A bucket is dealt out to blocks of about BLOCK texts, and each two blocks are compared by one task, which returns
-    only what passes: sizes that allow the similarity, and at most six standard deviations fewer equal coordinates than
-    it gives. Texts that share more buckets are compared in the first one.
+    only what passes: sizes that allow the similarity, at most six standard deviations fewer equal coordinates than it
+    gives, and a similarity of the units' lowest bits that is as high but for SLACK, more than equal bits of different
+    units add up to. Texts that share more buckets are compared in the first one.
     """
     least = size * similarity - 6 * (size * similarity * (1 - similarity)) ** 0.5
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
@@ -213,6 +218,7 @@ def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size:
         col = {c: table[c].to_numpy() for c in ("bucket", "rid", "component", "block", "b1", "b2", "weight")}
         low = np.stack([np.frombuffer(x, np.uint8) for x in table["low"].to_pylist()])
         hashes = np.stack([np.frombuffer(x, np.int64) for x in table["hashes"].to_pylist()])
+        short = [np.frombuffer(x, np.uint32) for x in table["short"].to_pylist()]
         one, two = (np.flatnonzero(col["block"] == col[b][0]) for b in ("b1", "b2"))
         out = [np.zeros((0, 2), np.int64)]
         for start in range(0, len(one), 32):
@@ -223,8 +229,10 @@ def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size:
             i, j = x[i], two[j]
             shared = hashes[i] == hashes[j]
             here = hashes[i, shared.argmax(axis=1)] == col["bucket"][0]
-            pair = np.sort(np.stack([col["rid"][i], col["rid"][j]], axis=1)[here], axis=1)
-            out.append(pair)
+            i, j = i[here], j[here]
+            shared = np.array([len(np.intersect1d(short[a], short[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
+            near = shared >= (similarity - SLACK) * (col["weight"][i] + col["weight"][j] - shared)
+            out.append(np.sort(np.stack([col["rid"][i], col["rid"][j]], axis=1)[near], axis=1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
 
@@ -246,7 +254,8 @@ def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     nodes = materialise(rowset.groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
     members = materialise(_buckets(nodes.select("rid", F.explode("bands").alias("bucket"))), "members")
     pairs = members.where("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v")).distinct()
-    met = members.select("rid").distinct()
+    # Texts are dealt out by number at any size: whether what met could be broadcast depends on the copies.
+    met = members.select("rid").distinct().hint("merge")
     units = materialise(_unit_sets(rowset.select("rid", "body").join(met, "rid", "left_semi"), shingle), "units")
     links = _verified(pairs, units).where(F.col("sim") >= similarity).select("u", "v")
     component = materialise(connected_components(links), "components")
