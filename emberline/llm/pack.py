@@ -25,7 +25,7 @@ from emberline.llm.common import bounded, plain_text, read_table, row_numbers
 
 CAPACITY = 1024
 #: Longest piece of a document's rest, in ids.
-PIECE = 128
+PIECE = 256
 #: Pieces that are divided among windows together.
 GROUP = 1024
 END_ID = 0
@@ -128,7 +128,7 @@ def karmarkar_karp(sizes: list[int], windows: int) -> list[list[int]]:
 
     Each partial partition is a list of windows with their sums, emptiest first. The two with the largest spread are
     merged, the fullest window of one with the emptiest of the other, until one is left. Windows that are empty in one
-    of them cost nothing: only filled ones are stored, and at the end of each list stands the fullest.
+    of them aren't stored; at the end of each list stands the fullest.
     """
     heap = [(-size, k, [(size, [k])]) for k, size in enumerate(sizes)]
     heapq.heapify(heap)
@@ -138,10 +138,9 @@ def karmarkar_karp(sizes: list[int], windows: int) -> list[list[int]]:
         _, _, b = heapq.heappop(heap)
         over = len(a) + len(b) - windows
         if over > 0:
-            # The fullest `over` windows of b meet the emptiest of a, in opposite order.
-            b, met = b[: len(b) - over], b[len(b) - over :]
-            low, a = a[:over], a[over:]
-            a = a + [(x + y, i + j) for (x, i), (y, j) in zip(low, reversed(met), strict=True)]
+            # Opposite order: what both have filled are the emptiest `over` windows of each.
+            a, b, met = a[over:], b[over:], [(x + y, i + j) for (x, i), (y, j) in zip(a[:over], reversed(b[:over]), strict=True)]
+            a = a + met
         merged = sorted(a + b, key=lambda w: w[0])
         spread = merged[-1][0] - (merged[0][0] if len(merged) == windows else 0)
         heapq.heappush(heap, (-spread, serial, merged))
