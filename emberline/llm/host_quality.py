@@ -20,6 +20,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_HOST_RATE = 0.5
+#: Hosts whose verdicts are broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 200_000
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -132,17 +134,20 @@ def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     judged = with_measures(docs.select(*own, F.col(f"`{host}`").alias("host_key"), F.col(f"`{text}`").alias("host_text")), "host_text", [*(f"c{i}" for i in range(len(keep))), "host_key"])
     judged = materialise(judged.withColumn("base_failed", base_rule()), "measures")
-    hosts = judged.where(F.col("host_key").isNotNull()).groupBy("host_key").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = materialise(judged.where(F.col("host_key").isNotNull()).groupBy("host_key").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     alpha, beta = beta_prior(hosts)
     verdicts = hosts.select("host_key", ((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
+    # The hosts' number is known here: up to BROADCAST_HOSTS take 20 MB, and beyond that both sides are shuffled.
+    verdicts = F.broadcast(verdicts) if hosts.count() <= BROADCAST_HOSTS else verdicts
     out = judged.join(verdicts, "host_key", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= F.lit(max_rate)))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "base_failed", "host_rate", "kept")
 
 
-def keep_good_hosts(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns."""
-    judged = host_quality(docs)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good_hosts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, with docs' own columns, whatever their names."""
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    judged = host_quality(docs.toDF(*names), names[docs.columns.index(host)], names[docs.columns.index(text)])
+    return judged.where("kept").select(*names).toDF(*docs.columns)
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
