@@ -136,36 +136,43 @@ def _bound(symbols: np.ndarray, suffixes: np.ndarray, lo: np.ndarray, hi: np.nda
         hi[open_[~less]] = mid[~less]
 
 
-def search(index: TestIndex, symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
+def search(index: TestIndex, symbols: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
     """Binary search of every test suffix in the suffix array of symbols, which end with a zero.
 
-    Returns the longest match of each test suffix in words; the windows that occur and where; and the longest matches
-    of at least a window, in words, and where they are.
+    Returns the windows that occur and where; and lengths, in words, with the places where a test suffix matches so far
+    and no further, for matches of at least a window.
     """
     most = int(index.lengths.max()) - index.seed + 1
     suffixes = suffix_array(symbols, most)
     padded = np.concatenate([symbols, np.zeros(most + 1, np.int64)])
     n = len(index.starts)
-    lo, hi, longest = np.zeros(n, np.int64), np.full(n, len(suffixes), np.int64), np.zeros(n, np.int64)
+    lo, hi = np.zeros(n, np.int64), np.full(n, len(suffixes), np.int64)
     active = np.arange(n)
-    windows = []
+    windows, ended = [], set()
     need = np.where(index.window >= 0, index.window_words[index.window] - index.seed + 1, -1)
     tested = np.concatenate([index.symbols, np.zeros(most + 1, np.int64)])
+
+    def end(length: int, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        told = (a < b) & (length >= index.widths[j])
+        ended.update((length, x, y) for x, y in zip(a[told].tolist(), b[told].tolist(), strict=True))
+
     for depth in range(most):
-        wanted = tested[index.starts[active] + depth]
+        wanted, length = tested[index.starts[active] + depth], depth + index.seed - 1 if depth else 0
+        over = active[wanted == 0]
+        end(length, over, lo[over], hi[over])
         active, wanted = active[wanted > 0], wanted[wanted > 0]
         if not len(active):
             break
         low = _bound(padded, suffixes, lo[active], hi[active], depth, wanted)
         high = _bound(padded, suffixes, low, hi[active], depth, wanted + 1)
+        end(length, active, lo[active], low)
+        end(length, active, high, hi[active])
         found = low < high
         active = active[found]
         lo[active], hi[active] = low[found], high[found]
-        longest[active] = depth + index.seed
         windows += [(int(index.window[j]), suffixes[lo[j] : hi[j]]) for j in active[need[active] == depth + 1]]
-    whole = np.flatnonzero(longest >= index.widths)
-    matches = [(length, suffixes[a:b]) for length, a, b in {(int(longest[j]), int(lo[j]), int(hi[j])) for j in whole}]
-    return longest, windows, matches
+    end(most + index.seed - 1, active, lo[active], hi[active])
+    return windows, [(length, suffixes[a:b]) for length, a, b in ended]
 
 
 def _find(index: TestIndex, texts: pa.Array, prior: list[pa.Array]) -> list[pa.Array]:
@@ -183,7 +190,7 @@ def _find(index: TestIndex, texts: pa.Array, prior: list[pa.Array]) -> list[pa.A
         gap = np.concatenate([[0], np.cumsum((np.diff(places) > 1) | (np.diff(rows[places]) > 0))])
         symbols, place = np.zeros(len(places) + gap[-1] + 1, np.int64), np.zeros(len(places) + gap[-1] + 1, np.int64)
         symbols[np.arange(len(places)) + gap], place[np.arange(len(places)) + gap] = seeds[places], places
-        _, windows, matches = search(index, symbols)
+        windows, matches = search(index, symbols)
         for w, at in windows:
             np.add.at(hit, place[at], 1)
             np.add.at(hit, place[at] + index.window_words[w], -1)
@@ -259,9 +266,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *(x.split()[0] for x in FOUND), n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), (F.size("hit_lengths") > 0).alias("contaminated"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs."""
-    return find_leaks(docs, benchmark).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, with docs' own columns, whatever their names."""
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    found = find_leaks(docs.toDF(*names), benchmark, names[docs.columns.index(text)])
+    return found.where(~F.col("contaminated")).select(*names).toDF(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,8 @@ def _fitted(train: DataFrame, lexicon: dict[str, float], rounds: int = 300) -> G
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in kinds], pa.binary()), pa.array(many.astype(np.int64))], ["kind", "n"])
 
     counted = train.select("body", "toxic").mapInArrow(run, "kind binary, n bigint").groupBy("kind").agg(F.sum("n").alias("n")).sort("kind").collect()
+    if not counted:
+        return Grammar(lexicon, START)
     kinds = np.stack([np.frombuffer(r["kind"]) for r in counted])
     n = np.array([r["n"] for r in counted], np.float64)
     x, y = np.column_stack([np.ones(len(kinds)), kinds[:, 1:]]), kinds[:, 0]
