@@ -25,7 +25,7 @@ def association(point_km: Column, any_km: Column, any_layer: Column) -> Column:
     """Band of the nearest infrastructure within 10 km: of a point feature by distance, else of a line."""
     return (
         F.when(point_km.isNull() & any_km.isNull(), F.lit("none within 10 km"))
-        .when(point_km.isNull(), F.lit("linear only"))
+        .when(point_km.isNull(), F.lit("linear-only"))
         .when(point_km <= 1, F.lit("high"))
         .when(point_km <= 3, F.lit("medium"))
         .otherwise(F.lit("low"))
@@ -36,7 +36,7 @@ def watch_status(detections: Column, overpasses: Column) -> Column:
     """In this order: emitting, unknown, blind spot, watched, under-observed."""
     return (
         F.when(detections > 0, F.lit("emitting"))
-        .when(overpasses.isNull(), F.lit("observability unknown"))
+        .when(overpasses.isNull(), F.lit("unknown"))
         .when(overpasses == 0, F.lit("blind spot"))
         .when(overpasses >= 10, F.lit("watched, no plume"))
         .otherwise(F.lit("under-observed"))
@@ -74,7 +74,7 @@ def compass(degrees: Column) -> Column:
 def circle_radius(rate: Column, near: bool) -> Column:
     """Radius of a detection's circle, at zoom 9 if near, else at zoom 3."""
     top, base, step, none = (22, 7, 150, 9) if near else (9, 3, 400, 4)
-    return F.when(rate > 0, F.least(F.lit(float(top)), base + rate / step)).otherwise(F.lit(float(none)))
+    return F.when(rate.isNotNull(), F.least(F.lit(float(top)), base + rate / step)).otherwise(F.lit(float(none)))
 
 
 def html_escape(text: Column) -> Column:

@@ -37,11 +37,11 @@ def plant_units(plants: DataFrame, prefix: str = "gas") -> DataFrame:
     plants: units, an array of fuel, capacity and status.
     """
     held = plants.withColumn("own", F.filter("units", lambda u: u["fuel"].startswith(prefix))).where(F.size("own") > 0)
-    statuses = F.array_sort(F.array_distinct(F.filter(F.transform("own", lambda u: u["status"]), lambda x: x.isNotNull())))
+    statuses = F.array_sort(F.array_distinct(F.transform("own", lambda u: F.lower(F.coalesce(u["status"], F.lit(""))))))
     fuels = F.array_sort(F.array_distinct(F.transform("own", lambda u: u["fuel"])))
     held = held.withColumn("capacity_mw", F.aggregate("own", F.lit(0.0), lambda a, u: a + F.coalesce(u["capacity"], F.lit(0.0)))).withColumn("fuels", fuels)
     status = F.when(F.array_contains(statuses, "operating"), "operating").otherwise(F.coalesce(F.try_element_at(statuses, F.lit(1)), F.lit("unknown")))
-    subtype = F.when(F.col("fuels") == F.array(F.lit("gas_wcmg")), "waste coal mine gas").otherwise("gas")
+    subtype = F.when(F.col("fuels") == F.array(F.lit("gas_wcmg")), "waste coal mine gas").otherwise("gas power station")
     return held.withColumn("status", status).withColumn("subtype", subtype).drop("own")
 
 

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of names that say nothing of which one it is.
-NOISE = ("coal", "mine", "mines", "mining", "power", "station", "gas", "plant", "project", "operations", "operation", "facility", "pty", "ltd", "limited", "the", "and", "of", "no", "open", "cut", "underground", "complex")
+NOISE = (
+    "facility", "operations", "operation", "colliery", "mine", "mines", "mining", "coal", "project", "the", "pty", "ltd",
+    "limited", "no", "joint", "venture", "complex", "site", "plant", "station", "power", "and", "of",
+)
 
 
 def tokens(name: Column) -> Column:
     """Distinct words of a name, without a leading site code, parentheses, noise words and words of up to two letters."""
-    out = F.regexp_replace(name, r"^[A-Z]{2,4}\d{2,3}\b[\s-]*", "")
+    out = F.regexp_replace(F.trim(name), r"^[A-Z]{2,4}\d{2,3}\b[\s-]*", "")
     out = F.regexp_replace(F.regexp_replace(out, r"\([^)]*\)", " "), "[^A-Za-z0-9]+", " ")
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(out)), " +"), lambda t: (F.length(t) > 2) & ~t.isin(*NOISE)))
 
@@ -36,8 +39,9 @@ def pair_score() -> Column:
     industry = F.lower(F.coalesce("industry", F.lit("")))
     coal, gas = industry.contains("coal"), industry.contains("gas") | industry.contains("electricity") | industry.contains("petroleum")
     gate = F.when(F.col("layer") == "coal_mines", coal).when(F.col("layer") == "gas_plants", gas)
-    both = (F.col("a_state") != "") & (F.col("b_state") != "")
-    state = F.when(both & (F.col("a_state") == F.col("b_state")), 0.25).when(both, -0.6).otherwise(0.0)
+    one, two = (F.upper(F.coalesce(c, F.lit(""))) for c in ("a_state", "b_state"))
+    both = (one != "") & (two != "")
+    state = F.when(both & (one == two), 0.25).when(both, -0.6).otherwise(0.0)
     short = F.when((F.col("overlap") == 1) & (F.col("longest") <= 4), 0.3).otherwise(0.0)
     bonus = F.when(gate.isNotNull(), 0.2).otherwise(0.0)
     return F.when(gate.isNotNull() & ~gate, 0.0).otherwise(F.col("overlap") / F.col("size") + state + bonus - short)

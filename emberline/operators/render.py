@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Colours of the sequential and the diverging scale, low to high.
-SEQUENTIAL = ((13, 8, 135), (75, 3, 161), (125, 3, 168), (168, 34, 150), (203, 70, 121), (229, 107, 93), (248, 148, 65), (253, 195, 40), (240, 249, 33))
+SEQUENTIAL = ((0, 0, 4), (28, 16, 68), (79, 18, 123), (129, 37, 129), (181, 54, 122), (229, 80, 100), (251, 135, 97), (254, 194, 135), (252, 253, 191))
 DIVERGING = ((33, 102, 172), (103, 169, 207), (209, 229, 240), (247, 247, 247), (253, 219, 199), (239, 138, 98), (178, 24, 43))
 
 

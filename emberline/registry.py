@@ -1,4 +1,5 @@
 """Every registered query of the core library and its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from emberline.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
