@@ -35,7 +35,7 @@ FIRST_WIDTH = 2.0**-6
 BLOCK = 512
 SLACK = 0.01
 #: Bytes of text whose darts are thrown together.
-DART_BYTES = 3 << 20
+DART_BYTES = 2 << 20
 
 
 @cache
