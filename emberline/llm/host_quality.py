@@ -122,6 +122,26 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
+def host_rates(measured: DataFrame) -> DataFrame:
+    """host_key and host_rate, the shrunk share of failures, of rows with host_key and base_failed; broadcast if few enough."""
+    hosts = materialise(measured.where(F.col("host_key").isNotNull()).groupBy("host_key").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
+    alpha, beta = beta_prior(hosts)
+    rates = hosts.select("host_key", ((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
+    # The hosts' number is known here: up to BROADCAST_HOSTS take 20 MB, and beyond that both sides are shuffled.
+    return F.broadcast(rates) if hosts.count() <= BROADCAST_HOSTS else rates
+
+
+def _judged(measured: DataFrame, rates: DataFrame, max_rate: float) -> DataFrame:
+    return measured.join(rates, "host_key", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= F.lit(max_rate)))
+
+
+def _measured(docs: DataFrame, host: str, text: str, keep: list[str]) -> DataFrame:
+    """The columns of keep as c0, c1 ..., host_key, the MEASURES and base_failed."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    inner = docs.select(*own, F.col(f"`{host}`").alias("host_key"), F.col(f"`{text}`").alias("host_text"))
+    return with_measures(inner, "host_text", [*(f"c{i}" for i in range(len(keep))), "host_key"]).withColumn("base_failed", base_rule())
+
+
 def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE, keep: list[str] | None = None) -> DataFrame:
     """Each row of docs with its MEASURES, base_failed, host_rate (shrunk) and kept.
 
@@ -131,22 +151,20 @@ def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_
     than host and those in keep don't take part, whatever their names.
     """
     keep = docs.columns if keep is None else keep
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    judged = with_measures(docs.select(*own, F.col(f"`{host}`").alias("host_key"), F.col(f"`{text}`").alias("host_text")), "host_text", [*(f"c{i}" for i in range(len(keep))), "host_key"])
-    judged = materialise(judged.withColumn("base_failed", base_rule()), "measures")
-    hosts = materialise(judged.where(F.col("host_key").isNotNull()).groupBy("host_key").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
-    alpha, beta = beta_prior(hosts)
-    verdicts = hosts.select("host_key", ((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
-    # The hosts' number is known here: up to BROADCAST_HOSTS take 20 MB, and beyond that both sides are shuffled.
-    verdicts = F.broadcast(verdicts) if hosts.count() <= BROADCAST_HOSTS else verdicts
-    out = judged.join(verdicts, "host_key", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= F.lit(max_rate)))
+    measured = materialise(_measured(docs, host, text, keep), "measures")
+    out = _judged(measured, host_rates(measured), max_rate)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "base_failed", "host_rate", "kept")
 
 
-def keep_good_hosts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns, whatever their names."""
-    names = [f"d{i}" for i in range(len(docs.columns))]
-    judged = host_quality(docs.toDF(*names), names[docs.columns.index(host)], names[docs.columns.index(text)])
+def keep_good_hosts(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' own columns, whatever their names.
+
+    Texts are measured once for the hosts and once more for the verdicts, which takes less than to write them again.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    measured = lambda keep: _measured(inner, names[docs.columns.index(host)], names[docs.columns.index(text)], keep)
+    judged = _judged(measured(names), host_rates(measured([])), max_rate)
     return judged.where("kept").select(*names).toDF(*docs.columns)
 
 
