@@ -11,6 +11,7 @@ from emberline.operators import greedy, grid, imagestack, matching, render, spat
 from emberline.plans import views
 from emberline.plans.views import GRID_COLS, GRID_ROWS, with_views
 from emberline.sources.shared import materialise, read_table
+from emberline.streaming.weekly import run_weekly
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -571,3 +572,9 @@ def overpass_audit(spark: SparkSession, d: str) -> DataFrame:
     back = imagestack.robust_noise(x, ["granule", "site"], "enh", 10)
     own = x.where(F.col("row").between(2, 5) & F.col("col").between(2, 5))
     return imagestack.overpass_stats(own, back).select("granule", "site", r("valid"), r("enh_median", 6), r("enh_max", 6), r("excess_sigma", 3))
+
+
+@query("", "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def weekly_stream(spark: SparkSession, d: str) -> DataFrame:
+    """T-G: the weeks again, by a stream over the landed files."""
+    return run_weekly(spark, f"{d}/events.parquet").select("week", "event_type", "n", r("total", 2))

@@ -1,0 +1,230 @@
+"""Sources as scans: GeoJSON, provider feeds, registries and reported figures, from files that Spark reads.
+
+Each reader returns a DataFrame with explicit columns; blanks, NaN and absent fields are null from here on.
+"""
+
+from __future__ import annotations
+
+import csv
+import io
+import tarfile
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.functions import geo, labels
+from emberline.sources.shared import materialise
+
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+PLUME = "plume_id string, provider string, instrument string, datetime_utc string, lon double, lat double, emission_kg_hr double, uncertainty_kg_hr double, sector string"
+
+
+def coordinates(geometry: Column) -> Column:
+    """All vertices of a geometry's JSON, at any depth, as an array of lon and lat."""
+    pairs = [F.regexp_extract_all(geometry, F.lit(rf"\[\s*({NUMBER})\s*,\s*({NUMBER})[^\[\]]*\]"), F.lit(k)) for k in (1, 2)]
+    return F.zip_with(*pairs, lambda x, y: F.struct(x.try_cast("double").alias("lon"), y.try_cast("double").alias("lat")))
+
+
+def geometry_type(geometry: Column) -> Column:
+    """The type that a geometry's JSON names, else what the depth of its coordinates tells."""
+    depth = F.length(F.regexp_extract(F.regexp_replace(geometry, r"\s", ""), r'"coordinates":(\[+)', 1))
+    guessed = F.when(depth == 1, "Point").when(depth == 2, "LineString").when(depth == 3, "Polygon").when(depth == 4, "MultiPolygon")
+    return F.coalesce(F.get_json_object(geometry, "$.type"), guessed)
+
+
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """file, ord, properties and geometry (JSON text) of each feature of GeoJSON collections, one a file; those without geometry are left out."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "features array<struct<properties string, geometry string>>").alias("c"))
+    each = files.select("file", F.posexplode("c.features").alias("ord", "f")).select("file", "ord", "f.properties", "f.geometry")
+    return each.where(F.col("geometry").isNotNull() & (F.col("geometry") != "null"))
+
+
+def prop(name: str, column: str = "properties") -> Column:
+    """A property as text, null if blank."""
+    return F.nullif(F.trim(F.get_json_object(column, f"$.{name}")), F.lit(""))
+
+
+def infrastructure(rows: DataFrame, layer: str, name: Column, status: Column, prefix: str, key: Column, **more: Column) -> DataFrame:
+    """Features in the core layout, with vertices and what else is given."""
+    core = rows.select(
+        F.concat(F.lit(prefix), key).alias("id"), F.lit(layer).alias("layer"), F.coalesce(name, F.lit("(unnamed)")).alias("name"), F.coalesce(F.lower(status), F.lit("unknown")).alias("status"),
+        "ord", geometry_type(F.col("geometry")).alias("geom_type"), coordinates(F.col("geometry")).alias("coords"), *[c.alias(k) for k, c in more.items()],
+    )
+    return core.where(F.size("coords") > 0)
+
+
+def pipelines(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    rows = features(spark, path)
+    return infrastructure(rows, layer, prop("name"), prop("operational_status"), "ga:", prop("objectid"), state=prop("state"), length_km=labels.number(prop("length")))
+
+
+def coal_mines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Mines of layers by their default status; only those of coal."""
+    parts = [features(spark, path).where(F.lower(prop("commodity_group")) == "coal").withColumn("default", F.lit(status)) for status, path in paths.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return infrastructure(rows, "coal_mines", prop("name"), F.coalesce(prop("status"), F.col("default")), "ga:", prop("objectid"), state=prop("state"))
+
+
+def gas_plants(spark: SparkSession, path: str) -> DataFrame:
+    """A registry's plants with their units as an array."""
+    units = F.from_json(F.get_json_object("properties", "$.duid_data"), "array<struct<fuel_tech: string, capacity_registered: double, status: string>>")
+    as_units = F.transform(F.coalesce(units, F.array().cast("array<struct<fuel_tech: string, capacity_registered: double, status: string>>")), lambda u: F.struct(u["fuel_tech"].alias("fuel"), u["capacity_registered"].alias("capacity"), u["status"].alias("status")))
+    return infrastructure(features(spark, path), "gas_plants", prop("name"), F.lit(None), "oe:", F.coalesce(prop("facility_id"), prop("station_code")), state=prop("state"), units=as_units).drop("status")
+
+
+def _members(kind: str, want: str):
+    """Name and text of archive members whose name ends in want, one task an archive."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = io.BytesIO(content.as_py())
+                if kind == "zip":
+                    with zipfile.ZipFile(data) as z:
+                        held = [(n, z.read(n)) for n in z.namelist() if n.lower().endswith(want)]
+                else:
+                    with tarfile.open(fileobj=data) as t:
+                        held = [(m.name, t.extractfile(m).read()) for m in t if m.isfile() and m.name.lower().endswith(want)]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(held), pa.string()), pa.array([n for n, _ in held], pa.string()), pa.array([b.decode("utf-8", "replace") for _, b in held], pa.string())], ["file", "member", "text"])
+
+    return run
+
+
+def archive_members(spark: SparkSession, path: str, kind: str, want: str) -> DataFrame:
+    """file, member and text of the members of zip or tar archives."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_members(kind, want), "file string, member string, text string")
+
+
+def gas_routes(spark: SparkSession, path: str) -> DataFrame:
+    """Routes in tar archives of GeoJSON files; files that aren't JSON are skipped; the id is the name before a hyphen."""
+    parsed = archive_members(spark, path, "tar", ".geojson").withColumn("c", F.from_json("text", "features array<struct<properties string, geometry string>>"))
+    rows = parsed.where(F.col("c.features").isNotNull()).select("member", F.posexplode("c.features").alias("ord", "f")).select("member", "ord", "f.properties", "f.geometry").where(F.col("geometry").isNotNull())
+    out = infrastructure(rows, "pipelines_gas", prop("name"), F.lit(None), "gem:", F.split_part(F.regexp_extract("member", r"([^/]+)\.geojson$", 1), F.lit("-"), F.lit(1)), member=F.col("member"))
+    return out.withColumn("layer", F.when(F.col("member").contains("gas"), "pipelines_gas").otherwise("pipelines_oil"))
+
+
+def _in_region(df: DataFrame) -> DataFrame:
+    return df.where(geo.in_region(F.col("lon"), F.col("lat")))
+
+
+def carbon_mapper(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of items, one JSON document a file."""
+    item = "struct<plume_id: string, id: string, geometry_json: string, instrument: string, scene_timestamp: string, emission_auto: double, emission_uncertainty_auto: double, sector: string>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"items array<{item}>").getField("items")).alias("i")).select("i.*")
+    point = F.element_at(coordinates(F.col("geometry_json")), 1)
+    return _in_region(rows.select(F.concat(F.lit("cm:"), F.coalesce("plume_id", "id")).alias("plume_id"), F.lit("Carbon Mapper").alias("provider"), "instrument", F.col("scene_timestamp").alias("datetime_utc"), point["lon"].alias("lon"), point["lat"].alias("lat"), F.col("emission_auto").alias("emission_kg_hr"), F.col("emission_uncertainty_auto").alias("uncertainty_kg_hr"), "sector"))
+
+
+def emit(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of granules: the mean of the first polygon's vertices, else the first point, else the first rectangle's middle."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "items array<struct<umm: string>>").getField("items")).alias("i")).select(F.col("i.umm").alias("umm"))
+    at = "$.SpatialExtent.HorizontalSpatialDomain.Geometry"
+    ring = F.from_json(F.get_json_object("umm", f"{at}.GPolygons[0].Boundary.Points"), "array<struct<Longitude: double, Latitude: double>>")
+    number = lambda p: F.get_json_object("umm", f"{at}.{p}").try_cast("double")
+    mean = lambda c: F.try_divide(F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[c]), F.size(ring))
+    box = "BoundingRectangles[0]"
+    lon = F.coalesce(mean("Longitude"), number("Points[0].Longitude"), (number(f"{box}.WestBoundingCoordinate") + number(f"{box}.EastBoundingCoordinate")) / 2)
+    lat = F.coalesce(mean("Latitude"), number("Points[0].Latitude"), (number(f"{box}.SouthBoundingCoordinate") + number(f"{box}.NorthBoundingCoordinate")) / 2)
+    when = F.coalesce(F.get_json_object("umm", "$.TemporalExtent.SingleDateTime"), F.get_json_object("umm", "$.TemporalExtent.RangeDateTime.BeginningDateTime"))
+    none = F.lit(None)
+    return _in_region(rows.select(F.concat(F.lit("emit:"), F.get_json_object("umm", "$.GranuleUR")).alias("plume_id"), F.lit("EMIT").alias("provider"), F.lit("EMIT").alias("instrument"), when.alias("datetime_utc"), lon.alias("lon"), lat.alias("lat"), none.cast("double").alias("emission_kg_hr"), none.cast("double").alias("uncertainty_kg_hr"), none.cast("string").alias("sector")))
+
+
+def sron(spark: SparkSession, path: str) -> DataFrame:
+    """Weekly CSV files; names of columns are trimmed and lower-cased, tonnes become kilograms."""
+    raw = spark.read.csv(path, header=True)
+    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
+    clock = F.col("time_utc") if "time_utc" in raw.columns else F.lit(None).cast("string")
+    day = labels.iso_date(F.trim("date"))
+    when = F.when(clock.isNull() | (F.trim(clock) == ""), day).otherwise(F.concat(day, F.lit("T"), F.trim(clock), F.lit("Z")))
+    lon, lat = labels.number(F.col("lon")), labels.number(F.col("lat"))
+    key = F.concat(F.lit("sron:"), F.trim("date"), F.lit("-"), F.format_string("%.3f", lat), F.lit("-"), F.format_string("%.3f", lon))
+    rate = lambda c: labels.tonnes_to_kg_hr(labels.number(F.col(f"`{c}`")))
+    return _in_region(raw.select(key.alias("plume_id"), F.lit("SRON").alias("provider"), F.lit("TROPOMI").alias("instrument"), when.alias("datetime_utc"), lon.alias("lon"), lat.alias("lat"), rate("source_rate_t/h").alias("emission_kg_hr"), rate("uncertainty_t/h").alias("uncertainty_kg_hr"), F.lit(None).cast("string").alias("sector")))
+
+
+def latest_weekly(links: DataFrame) -> DataFrame:
+    """year, week (two digits) and the largest url of each, of links in text."""
+    pattern = r"(https://\S+?_(\d{4})_wk(\d+)_v(\d{8})(?:-\d+)?\.csv)"
+    parts = [F.regexp_extract_all("text", F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
+    each = links.select(F.explode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("url", "year", "week"), strict=True)])).alias("x")).select("x.*")
+    return each.withColumn("week", F.lpad("week", 2, "0")).groupBy("year", "week").agg(F.max("url").alias("url"))
+
+
+def imeo(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files in zip archives, parsed a file by its task and typed here."""
+    names = ["id_plume", "lat", "lon", "satellite", "tile_date", "ch4_fluxrate", "ch4_fluxrate_std", "sector"]
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                rows = list(csv.DictReader(io.StringIO(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) or None for r in rows], pa.string()) for n in names], names)
+
+    raw = archive_members(spark, path, "zip", ".csv").select("text").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
+    value = lambda c: labels.number(F.col(c))
+    return _in_region(raw.select(F.concat(F.lit("imeo:"), "id_plume").alias("plume_id"), F.lit("IMEO").alias("provider"), F.col("satellite").alias("instrument"), F.col("tile_date").alias("datetime_utc"), value("lon").alias("lon"), value("lat").alias("lat"), value("ch4_fluxrate").alias("emission_kg_hr"), value("ch4_fluxrate_std").alias("uncertainty_kg_hr"), F.nullif(F.trim("sector"), F.lit("")).alias("sector")))
+
+
+def reported_figures(spark: SparkSession, path: str) -> DataFrame:
+    """A table of reported figures whose header is the first of the first 25 lines with "facility" and three commas.
+
+    The lines are read as text and numbered in the file; UTF-8 where the bytes are valid, else Windows-1252.
+    """
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                try:
+                    text = content.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = content.decode("cp1252", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "text string")
+    lines = raw.select(F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    lines = materialise(lines, "lines")
+    head = lines.where((F.col("n") < 25) & F.lower("line").contains("facility") & (F.length(F.regexp_replace("line", "[^,]", "")) >= 3)).orderBy("n").first()
+    if head is None:
+        raise ValueError("no header line")
+    names = next(csv.reader([head["line"]]))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = lines.where(F.col("n") > head["n"]).select("n", F.from_csv("line", schema).alias("r")).select("n", "r.*")
+    at = {x.strip().lower(): f"c{i}" for i, x in enumerate(names)}
+    pick = lambda *words: next((F.trim(at[n]) for n in at if all(w in n for w in words)), F.lit(None).cast("string"))
+    out = rows.select(
+        pick("facility", "name").alias("name"), pick("emitter").alias("operator"), pick("state").alias("state"), pick("anzsic").alias("industry"),
+        labels.reported_number(pick("methane")).alias("methane_tco2e"), labels.reported_number(pick("covered")).alias("covered_tco2e"), labels.reported_number(pick("baseline")).alias("baseline"),
+    )
+    return out.where(F.coalesce("name", F.lit("")) != "")
+
+
+#: Readers of detections by provider, in the order of their union.
+PROVIDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"Carbon Mapper": carbon_mapper, "EMIT": emit, "IMEO": imeo, "SRON": sron}
+
+
+def all_plumes(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """The detections of all providers, and a note for each that failed and so gives no rows."""
+    out, notes = spark.createDataFrame([], PLUME), {}
+    for name, read in PROVIDERS.items():
+        if name in paths:
+            try:
+                out = out.unionByName(materialise(read(spark, paths[name]), "provider"))
+            except Exception as fault:  # a provider's fault must not stop the others
+                notes[name] = str(fault).splitlines()[0][:200]
+    return out, notes
+
+
+def catalog_checks(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """Each URL of catalogue entries with its status and whether that is expected; entries whose requirement is unset are skipped.
+
+    entries: id and urls (url, expect, requires). seen: url and status. Without expect, 200 is.
+    """
+    each = entries.select("id", F.explode("urls").alias("u")).select("id", "u.*").where(F.col("requires").isNull())
+    expect = F.when(F.coalesce(F.size("expect"), F.lit(0)) > 0, F.col("expect")).otherwise(F.array(F.lit(200)))
+    return each.join(seen, "url", "left").withColumn("ok", F.coalesce(F.array_contains(expect, F.col("status")), F.lit(False))).select("id", "url", "status", "ok")
