@@ -13,6 +13,8 @@ from emberline.llm.common import read_table
 
 #: Known texts up to this number are broadcast, some 20 MB; more are joined by a shuffle.
 BROADCAST_TEXTS = 200_000
+#: Different first words of known texts by which others are ruled out.
+MAX_FIRST_WORDS = 1000
 
 #: What the canonical form replaces, in this order.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -79,13 +81,34 @@ def canonical(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    """Digest of the canonical form; never null, so that a join needs no second look at it."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """license and digest of known: license and text."""
-    return known.select("license", digest(F.col("text")).alias("digest")).where(F.col("digest").isNotNull()).distinct()
+    """license and digest of known: license and text; texts of which nothing is left aren't known."""
+    return known.where(canonical(F.col("text")) != "").select("license", digest(F.col("text")).alias("digest")).distinct()
+
+
+def _first_word(text: Column) -> Column:
+    return F.lower(F.regexp_extract(text, r"[\p{L}\p{N}]+", 0))
+
+
+def may_be_known(text: Column, known: DataFrame) -> Column:
+    """False only for texts that can't be one of known, by the first word.
+
+    The first word of a canonical form is that of the text, respelled, unless two words are joined or a copyright line
+    stands first; such texts stay. With many different first words all texts do.
+    """
+    firsts = known.select(F.split_part(canonical(F.col("text")), F.lit(" "), F.lit(1)).alias("w")).where("w <> ''").distinct().limit(MAX_FIRST_WORDS + 1).collect()
+    if len(firsts) > MAX_FIRST_WORDS:
+        return F.lit(True)
+    raw = _first_word(text)
+    word = raw
+    for pattern, by in SPELLINGS[1:]:
+        word = F.regexp_replace(word, pattern, by.replace("\\", "$"))
+    word = F.when(raw.rlike("licenc|is|our|whilst|fil"), word).otherwise(raw)  # no other word is respelled
+    return text.contains("©") | word.isin(*(r["w"] for r in firsts), "copyright", "c", "all", "non", "sub", "per")
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -108,6 +131,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", keep: l
     # Equal texts have equal results, so a text's hashes stand for its rows.
     keyed = inner.withColumn("k1", F.xxhash64("body")).withColumn("k2", F.xxhash64(F.lit("second"), "body"))
     units = keyed.where(F.col("body") != "").select("k1", "k2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("body").alias("part"))), F.transform(F.split("body", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))).alias("unit"))
+    units = units.where(may_be_known(F.col("unit.part"), known))
     hits = units.select("k1", "k2", "unit.whole", digest(F.col("unit.part")).alias("digest")).join(table, "digest")
     # Copies of a text add up alike, so their number divides out.
     each = hits.groupBy("k1", "k2", "whole", "license").agg(F.count("*").alias("n"))
