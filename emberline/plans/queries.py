@@ -414,11 +414,11 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def drop_recurring(spark: SparkSession, d: str) -> DataFrame:
     """Detections that don't come back at one place on another date."""
-    x = _crowded(spark, d).select(F.col("provider").alias("site"), F.col("plume_id").alias("ord"), F.col("day").alias("date"), "lon", "lat")
+    x = crowded(spark, d).select(F.col("provider").alias("site"), F.col("plume_id").alias("ord"), F.col("day").alias("date"), "lon", "lat")
     return greedy.drop_recurring(x).select("site", "ord", "date")
 
 
-def _crowded(spark: SparkSession, d: str) -> DataFrame:
+def crowded(spark: SparkSession, d: str) -> DataFrame:
     """Detections drawn in to a few hundred metres around their facility."""
     k = F.col("plume_id")
     return views.plumes(spark, d).withColumn("lon", F.col("lon") - ((k * 17) % 401 - 200) / F.lit(2040.0)).withColumn("lat", F.col("lat") - ((k * 29) % 401 - 200) / F.lit(2040.0))
@@ -426,7 +426,7 @@ def _crowded(spark: SparkSession, d: str) -> DataFrame:
 
 def _deduped(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("purchase", "signup", "view", "click")])
-    p = _crowded(spark, d).withColumn("day", F.concat(F.lit("2024-01-0"), (F.col("plume_id") % 3 + 1).cast("string"))).withColumn("priority", F.coalesce(F.nullif(F.array_position(names, F.col("provider")), F.lit(0)) - 1, F.lit(9)))
+    p = crowded(spark, d).withColumn("day", F.concat(F.lit("2024-01-0"), (F.col("plume_id") % 3 + 1).cast("string"))).withColumn("priority", F.coalesce(F.nullif(F.array_position(names, F.col("provider")), F.lit(0)) - 1, F.lit(9)))
     return greedy.dedupe_events(p.select("plume_id", "provider", "priority", "day", "lon", "lat", "rate", "datetime_utc"))
 
 
@@ -576,5 +576,5 @@ def overpass_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("", "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def weekly_stream(spark: SparkSession, d: str) -> DataFrame:
-    """T-G: the weeks again, by a stream over the landed files."""
-    return run_weekly(spark, f"{d}/events.parquet").select("week", "event_type", "n", r("total", 2))
+    """T-G: the weeks again, by a stream over the landed files; a pattern, as one file is no folder."""
+    return run_weekly(spark, f"{d}/event[s].parquet").select("week", "event_type", "n", r("total", 2))
