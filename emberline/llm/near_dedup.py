@@ -34,6 +34,8 @@ FIRST_WIDTH = 2.0**-6
 #: Texts of a bucket that are compared with others at one time.
 BLOCK = 512
 SLACK = 0.01
+#: Dropped rows whose numbers are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text whose darts are thrown together.
 DART_BYTES = 2 << 20
 
@@ -239,15 +241,8 @@ def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size:
     return dealt.groupBy("bucket", "b1", "b2").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Each row of docs with rid, its number in this run, and class, the smallest rid of its class.
-
-    A class holds texts that a chain of links of at least similarity joins, and all copies. Texts are the same if their
-    words are (ASCII letters lower-cased, digits and characters beyond ASCII). Null texts, and those without words, are
-    classes of one row. Repeated rows are copies. An empty table gives an empty one. Columns other than text pass
-    through unread, whatever their names.
-    """
-    keep = docs.columns if keep is None else keep
+def _classified(docs: DataFrame, text: str, keep: list[str], similarity: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the columns of keep as c0, c1 ..., rid, k1 and k2; and k1, k2 and class of each different text."""
     kept = [f"c{i}" for i in range(len(keep))]
     inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
     rowset = materialise(_featured(inner, kept, bands, rows, shingle), "rows")
@@ -268,14 +263,30 @@ def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     if late.limit(1).count():
         component = materialise(connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(late)), "components")
     classes = nodes.select("k1", "k2", "rid").join(component.withColumnRenamed("node", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("class"))
-    return rowset.join(classes, ["k1", "k2"]).select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "rid", "class")
+    return rowset, classes
+
+
+def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Each row of docs with rid, its number in this run, and class, the smallest rid of its class.
+
+    A class holds texts that a chain of links of at least similarity joins, and all copies. Texts are the same if their
+    words are (ASCII letters lower-cased, digits and characters beyond ASCII). Null texts, and those without words, are
+    classes of one row. Repeated rows are copies. An empty table gives an empty one. Columns other than text pass
+    through unread, whatever their names.
+    """
+    keep = docs.columns if keep is None else keep
+    rowset, classes = _classified(docs, text, keep, similarity, shingle, bands, rows)
+    return rowset.join(classes, ["k1", "k2"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "rid", "class")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The first row of each class, with docs' own columns."""
+def one_of_each(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The first row of each class, with docs' own columns, whatever their names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    found = near_classes(docs.toDF(*names), text=names[docs.columns.index("text")])
-    return found.where(F.col("rid") == F.col("class")).select(*names).toDF(*docs.columns)
+    rowset, classes = _classified(docs.toDF(*names), names[docs.columns.index(text)], names, similarity, shingle, bands, rows)
+    dropped = materialise(rowset.select("rid", "k1", "k2").join(classes, ["k1", "k2"]).where(F.col("rid") != F.col("class")).select("rid"), "dropped")
+    # The number of rows to drop is known here: up to BROADCAST_ROWS take some 50 MB, and more are joined by a shuffle.
+    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    return rowset.join(gone, "rid", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
