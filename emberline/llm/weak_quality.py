@@ -6,6 +6,7 @@ patterns estimates each labeller's accuracy on either class, and so the chance t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from emberline.llm.common import bounded, mix, plain_text, read_table, row_numbers, space_words, word_ids
 from emberline.llm.host_quality import measure
 
-#: Documents whose posteriors train the scorer, at most about; EM's counts are of all documents.
+#: Documents with words whose posteriors train the scorer, at most; EM's counts are of all documents.
 SAMPLE = 4000
+#: Copies of texts that a task draws keys for at one time.
+COPIES = 1 << 20
 BUCKETS = 1 << 15
 ROUNDS = 150
 #: Function words of the languages expected, for one of the labellers.
@@ -150,12 +153,17 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row, col, value, votes(s)
 
 
-def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of a logistic scorer, by gradient steps with a rate of its own for each weight; the last is the intercept."""
+def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic scorer, by gradient steps with a rate of its own for each weight; the last is the intercept.
+
+    times: how many documents each row stands for, one if not given.
+    """
     weights, squares = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-8)
+    times = np.ones(len(target)) if times is None else times
+    share = times / times.sum()
     for _ in range(rounds):
         score = np.bincount(row, weights=value * weights[col], minlength=len(target)) + weights[-1]
-        wrong = (1 / (1 + np.exp(-score)) - target) / len(target)
+        wrong = (1 / (1 + np.exp(-score)) - target) * share
         gradient = np.append(np.bincount(col, weights=value * wrong[row], minlength=SIZE), wrong.sum()) + 1e-6 * weights
         squares += gradient * gradient
         weights -= 0.3 * gradient / np.sqrt(squares)
@@ -188,10 +196,35 @@ class Scorer:
         return np.where(there, 1 / (1 + np.exp(-total)), 0.0), np.where(there, posterior, 0.0)
 
 
+def drawn(inner: DataFrame, total: int, sample: int) -> dict[int, int]:
+    """Hashes of the bodies in an even sample of the rows with words, total in all, and how many of its rows each has.
+
+    Each row has a key, from its text's hash and its number among the text's copies; the sample is the rows of the
+    lowest keys. It depends on the texts alone, not on how they are dealt. Copies are counted before keys are drawn,
+    and only keys below a limit, about as many as the sample, reach the driver.
+    """
+    limit = np.uint64(int(min(1.0, (sample + 8 * sample**0.5) / total) * (1 << 63)))
+    copies = inner.where(F.col("body").rlike(r"[^ \t-\r]")).groupBy(F.xxhash64("body").alias("hash")).agg(F.count("*").alias("n"))
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, many = (batch.column(k).to_numpy() for k in ("hash", "n"))
+            ends = np.cumsum(many)
+            for at in range(0, int(many.sum()), COPIES):
+                place = np.arange(at, min(at + COPIES, int(ends[-1])))
+                of = np.searchsorted(ends, place, side="right")
+                key = mix(hashes[of].view(np.uint64) ^ mix(place - (ends - many)[of], 31), 32) >> np.uint64(1)
+                low = key < limit
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[of][low]), pa.array(key[low].view(np.int64))], ["hash", "key"])
+
+    return Counter(x["hash"] for x in copies.mapInArrow(keys, "hash bigint, key bigint").orderBy("key", "hash").limit(sample).collect())
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scorer | None:
-    """EM over all of docs, then the scorer from a sample by the texts' hashes; None where no text has words.
+    """EM over all of docs, then the scorer from an even sample of those with words; None where no text has words.
 
-    The driver gets a row for each vote pattern (3 to the number of labellers, at most) and the sample's features.
+    A text stands in the sample once, with the number of its rows drawn as its weight. The driver gets a row for each
+    vote pattern (3 to the number of labellers, at most) and the sample's features.
     """
     inner = docs.select(F.col(f"`{text}`").cast("string").alias("body"))
 
@@ -208,26 +241,35 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scorer |
     patterns = number[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     posterior, chances, share = estimate(patterns, np.array([x["n"] for x in counted]))
     posteriors = dict(zip(number.tolist(), posterior.tolist(), strict=True))
-    part = min(1.0, sample / sum(x["n"] for x in counted))
-    picked = inner.where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1)
+    times = drawn(inner, sum(x["n"] for x in counted), sample)
+    hashes = docs.sparkSession.createDataFrame(pa.table({"hash": pa.array(sorted(times), pa.int64())}))
+    picked = inner.withColumn("hash", F.xxhash64("body")).join(F.broadcast(hashes), "hash").select("hash", "body")
+
+    def unseen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            first = [k for k, x in enumerate(batch.column("hash").to_pylist()) if x not in seen and not seen.add(x)]
+            yield batch.take(pa.array(first, pa.int64()))
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "body"):
+        for batch in bounded(unseen(batches), "body"):
             row, col, value, v = _features(plain_text(batch.column("body")))
             order = np.argsort(row, kind="stable")
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(t))) for x, t in ((col, np.int32), (value, np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array(_pattern(v)), *lists], ["pattern", "cols", "vals"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(_pattern(v)), *lists], ["hash", "pattern", "cols", "vals"])
 
-    rows = picked.mapInArrow(featured, "pattern bigint, cols array<int>, vals array<float>").toArrow()
+    rows = picked.mapInArrow(featured, "hash bigint, pattern bigint, cols array<int>, vals array<float>").dropDuplicates(["hash"]).toArrow()
     rows = rows.filter(pc.is_in(rows["pattern"], value_set=pa.array(number)))
     if not rows.num_rows:
         return Scorer(np.zeros(SIZE + 1), chances, share, posteriors)
-    target = np.array([posteriors[p] for p in rows["pattern"].to_pylist()])
     # The order in which tasks answer must not matter for the weights' last digits.
+    rows = rows.take(pc.sort_indices(rows["hash"]))
+    target = np.array([posteriors[p] for p in rows["pattern"].to_pylist()])
     cols, vals = rows["cols"].combine_chunks(), rows["vals"].combine_chunks()
     row = row_numbers(pc.list_value_length(cols).to_numpy().astype(np.int64))
-    return Scorer(fit(row, cols.flatten().to_numpy(), vals.flatten().to_numpy().astype(np.float64), target), chances, share, posteriors)
+    many = np.array([times[x] for x in rows["hash"].to_pylist()], np.float64)
+    return Scorer(fit(row, cols.flatten().to_numpy(), vals.flatten().to_numpy().astype(np.float64), target, times=many), chances, share, posteriors)
 
 
 def weak_quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:

@@ -157,6 +157,22 @@ def test_weak_quality_edges(spark):
     assert weak_quality.keep_good(docs).count() == 0 and weak_quality.keep_good(docs.limit(0)).columns == docs.columns
 
 
+def test_weak_quality_sample_is_even_and_bounded(spark, monkeypatch):
+    rng, fitted = random.Random(9), []
+    fit = weak_quality.fit
+    monkeypatch.setattr(weak_quality, "fit", lambda row, col, value, target, **more: fitted.append((len(target), more.get("times"))) or fit(row, col, value, target, rounds=5, **more))
+    abstaining = "considerable unambiguous arrangement"
+    texts = [f"{abstaining} {i}" if i % 9 else "the house of the man is on the hill and the road to it is long " * 2 + str(i) for i in range(2000)]
+    copied, empty = [texts[5]] * 2000, [None] * 1500 + [" \t\n"] * 500
+    found = []
+    for rows in (texts + copied, texts + copied + empty, texts + copied + empty):
+        rng.shuffle(rows)
+        found.append(weak_quality.train(frame(spark, rows), sample=400).weights)
+        many, times = fitted[-1]
+        assert many <= 400 and times.sum() == 400 and 140 < times.max() < 260 and many == len(times)
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+
+
 def test_grammar_scores_clauses():
     plain = toxicity.Grammar({"gloop*": 0.9}, toxicity.START)
     score = dict(zip(texts := ["", "you are an idiot", "an idiot", "you are not an idiot", "she said you are an idiot", "not so. you idiot", "kill", "GLOOPY", "gloop", "the house"], plain.score(pa.array(texts)), strict=True))
