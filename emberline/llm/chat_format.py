@@ -7,6 +7,7 @@ read back turn by turn.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +19,12 @@ from emberline.llm.common import read_table
 #: The control strings. Each begins with a character that the escape follows by a backslash.
 TURN, TEXT, END = "[INST]", "[/INST]", "</s>"
 TURNS_TYPE = "array<struct<role: string, text: string>>"
+#: Bytes of a record up to which it fits a variant, whose strings have 20,000,000 characters at most; from_json reads longer ones.
+VARIANT_BYTES = 20_000_000
+#: Bytes of a long record's outline up to which it fits a variant (128 MiB, at most thrice the JSON).
+OUTLINE_BYTES = 40_000_000
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "_bad"}
+_STRING = r'(?:[^"\\]++|\\.)*+'
 
 
 @dataclass(frozen=True)
@@ -48,36 +55,66 @@ MAPPINGS = (
 )
 
 
+def _long(record: Column) -> Column:
+    return F.octet_length(record) > VARIANT_BYTES
+
+
+def _outline(record: Column) -> Column:
+    """record with empty strings for its values and equal flat objects in a row as one, so that its field paths are the same."""
+    emptied = F.regexp_replace(record, f'(?s)("{_STRING}"\\s*+:)|("){_STRING}(")', "$1$2$3")
+    return F.regexp_replace(emptied, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
+def _variant(record: Column) -> Column:
+    """The record, or a long one's outline, as a variant; null if it isn't JSON. An outline too long for a variant is an error."""
+    valid = F.from_json(record, "`_bad` string", _ANY_LENGTH)["_bad"].isNull()
+    outline = _outline(record)
+    fits = F.when(F.octet_length(outline) > OUTLINE_BYTES, F.raise_error(F.lit("a record has too many fields for its layout to be found")).cast("string")).otherwise(outline)
+    return F.try_parse_json(F.when(~_long(record), record).when(valid, fits))
+
+
 def field_paths(record: Column) -> Column:
     """The nested field paths of a JSON record as text, without the types of values; null if it isn't JSON."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r": (?!OBJECT|ARRAY)[A-Z_0-9(),]+|<(?!OBJECT|ARRAY)[A-Z_0-9(),]+(?=>)", "")
+    return F.regexp_replace(F.schema_of_variant(_variant(record)), r": (?!OBJECT|ARRAY)[A-Z_0-9(),]+|<(?!OBJECT|ARRAY)[A-Z_0-9(),]+(?=>)", "")
 
 
 def fingerprint(record: Column) -> Column:
     return F.sha2(field_paths(record), 256)
 
 
-def _turns(mapping: Mapping, variant: Column) -> Column:
+def _get_long(record: Column, path: str, kind: str) -> Column:
+    """What try_variant_get gives, of a record of any length."""
+    names = path.split(".")[1:]
+    value = F.from_json(record, reduce(lambda inner, name: f"struct<`{name}`: {inner}>", reversed(names), kind), _ANY_LENGTH)
+    return reduce(lambda v, name: v[name], names, value)
+
+
+def _turns(mapping: Mapping, value: Callable[[str, str], Column]) -> Column:
+    """The turns of a record of which value gives a path as a type."""
     if mapping.items:
-        raw = F.try_variant_get(variant, mapping.items, f"array<struct<`{mapping.role}`: string, `{mapping.text}`: string>>")
+        raw = value(mapping.items, f"array<struct<`{mapping.role}`: string, `{mapping.text}`: string>>")
         named = lambda role: F.coalesce(*[F.when(role == a, F.lit(b)) for a, b in mapping.roles], role)
         return F.transform(raw, lambda t: F.struct(named(F.coalesce(t[mapping.role], F.lit(""))).alias("role"), F.coalesce(t[mapping.text], F.lit("")).alias("text")))
-    get = lambda path: F.coalesce(F.try_variant_get(variant, path, "string"), F.lit(""))
+    get = lambda path: F.coalesce(value(path, "string"), F.lit(""))
     return F.array(*[F.struct(F.lit(role).alias("role"), get(path).alias("text")) for role, path in mapping.fields])
 
 
 def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records with layout, the mapping's name, and turns.
 
-    A null record, one that isn't JSON and one of an unknown layout have null in both. Null texts are empty.
+    A null record, one that isn't JSON and one of an unknown layout have null in both. Null texts are empty. Texts may
+    have any length that a row's string can have; only numbers of over 1,000 digits, names of over 50,000 characters
+    and nesting deeper than 1,000 count as no JSON.
     """
     spark = records.sparkSession
     # One row, of the mappings' examples.
     prints = spark.range(1).select(*[fingerprint(F.lit(m.example)).alias(f"m{i}") for i, m in enumerate(mappings)]).first()
-    found = records.withColumn("found", fingerprint(F.col(record))).withColumn("variant", F.try_parse_json(F.col(record)))
+    found = records.withColumn("found", fingerprint(F.col(record))).withColumn("variant", _variant(F.col(record)))
     cases = list(enumerate(mappings))
     layout = reduce(lambda c, m: F.when(F.col("found") == prints[f"m{m[0]}"], F.lit(m[1].name)).otherwise(c), cases, F.lit(None).cast("string"))
-    turns = reduce(lambda c, m: F.when(F.col("found") == prints[f"m{m[0]}"], _turns(m[1], F.col("variant"))).otherwise(c), cases, F.lit(None).cast(TURNS_TYPE))
+    short, long = (lambda path, kind: F.try_variant_get("variant", path, kind)), (lambda path, kind: _get_long(F.col(record), path, kind))
+    either = lambda m: F.when(_long(F.col(record)), _turns(m, long)).otherwise(_turns(m, short))
+    turns = reduce(lambda c, m: F.when(F.col("found") == prints[f"m{m[0]}"], either(m[1])).otherwise(c), cases, F.lit(None).cast(TURNS_TYPE))
     return found.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS_TYPE)).drop("found", "variant")
 
 

@@ -141,6 +141,34 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(chat_format.as_records(data.limit(0))).count() == 0
 
 
+def test_long_turns_are_whole(spark):
+    size = 20_000_100
+    long = F.concat(F.lit('q"\\u00e9\\\\ [INST] '), F.repeat(F.lit("x"), size))
+    rows = spark.range(3).select(F.lit(2).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 1, "assistant").otherwise("user").alias("role"), F.when(F.col("id") == 1, long).otherwise(F.lit("a: \"b\"")).alias("text"))
+    rows = rows.unionByName(rows.where("turn < 2").withColumn("conv_id", F.lit(3)))
+    out = chat_format.format_chats(chat_format.as_records(rows))
+    loss = chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))
+    sizes = F.transform(chat_format.read_turns(F.col("formatted")), lambda t: F.length(t["text"]))
+    want = rows.where("turn = 1 AND conv_id = 2").select(F.length("text"), F.sha2("text", 256)).first()
+    found = out.select("conv_id", "layout", sizes.alias("sizes"), F.length(loss), F.sha2(loss, 256), F.element_at("turns", 1)["role"]).sort("conv_id").collect()
+    assert [tuple(r) for r in found] == [(2, "messages", [6, want[0], 6], *want, "user"), (3, "prompt", [6, want[0]], *want, "user")]
+
+
+def test_long_records_are_judged_as_short_ones(spark, monkeypatch):
+    records = [
+        '{"messages": [{"role": "user", "content": "a: \\"b\\" {}"}, null, {"content": null, "role": "x"}, {"role": "user", "content": 4}]}', '{"conversations" : [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}, {"from": "gpt", "value": ""}]}',
+        '{"prompt": "p", "response": "\\q"}', '{"completion": "c\\\\", "prompt": "p"}', '{"data": {"dialog": [{"speaker": "bot", "utterance": "b"}]}}', '{"other": 1}', "no json", None, '{"messages": []}', '{"instruction": "i", "system": null, "output": "o"}',
+        '{"prompt": "p", "response": "r", "prompt": "q"}', '{"prompt": "p", "response": "r"', '{"prompt": "p", "response": "r"} x', '{"prompt": "p\n", "response": "r"}', "{'prompt': 'p', 'response': 'r'}", '"prompt"', '{"prompt": true, "response": 1.5}', "",
+    ]
+    data = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    short = chat_format.format_chats(data).sort("id").collect()
+    monkeypatch.setattr(chat_format, "VARIANT_BYTES", -1)
+    assert chat_format.format_chats(data).sort("id").collect() == short
+    monkeypatch.setattr(chat_format, "OUTLINE_BYTES", 8)
+    with pytest.raises(Exception, match="too many fields"):
+        chat_format.format_chats(data).collect()
+
+
 def checked(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = [e.ids + [0] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
