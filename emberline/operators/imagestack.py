@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.labels import array_median
-
 #: Scene classes that hide the ground.
 MASKED = (0, 1, 3, 6, 8, 9, 10, 11)
 MAD = 1.4826
@@ -27,12 +25,25 @@ def usable_scenes(pixels: DataFrame, least: float = 0.35) -> DataFrame:
 def leave_one_out(pixels: DataFrame, least: int = 3) -> DataFrame:
     """pixels (site, row, col, scene, ratio) with the median of the pixel's other scenes, their number, and the change.
 
-    A pixel's scenes are gathered once, as many as a site has scenes, instead of being joined with each other.
+    Usable ratios are ranked in a pixel's sorted window, which spills; without a scene's own ratios the median stands
+    near the middle ranks, and only those are joined back. No row carries its pixel's scenes, and none are gathered.
     """
-    held = pixels.groupBy("site", "row", "col").agg(F.collect_list(F.struct("scene", "ratio")).alias("all"))
-    each = held.withColumn("own", F.explode("all"))
-    others = F.transform(F.filter("all", lambda x: (x["scene"] != F.col("own.scene")) & x["ratio"].isNotNull()), lambda x: x["ratio"])
-    each = each.withColumn("others", others).select("site", "row", "col", F.col("own.scene").alias("scene"), F.col("own.ratio").alias("ratio"), F.size("others").alias("n_ref"), array_median(F.col("others")).alias("reference"))
+    pixel, usable = ["site", "row", "col"], F.col("ratio").isNotNull() & F.col("scene").isNotNull()
+    order = [F.when(usable, 0).otherwise(1), "ratio"]
+    every, own = Window.partitionBy(*pixel), Window.partitionBy(*pixel, "scene")
+    ranked = pixels.select(*pixel, "scene", "ratio", usable.alias("usable")).withColumns({"rank": F.row_number().over(every.orderBy(*order)), "n": F.count_if("usable").over(every)})
+    ranked = ranked.withColumns({"k": F.row_number().over(own.orderBy("rank")), "n_own": F.count_if("usable").over(own)}).withColumn("most", F.max("n_own").over(every))
+    n_ref = F.when(F.col("scene").isNotNull(), F.col("n") - F.col("n_own")).otherwise(0)
+    # The place of the rest's t-th ratio among all: t and how many of the scene's own come before it.
+    at = lambda t: t + F.count_if(F.col("usable") & (F.col("rank") - F.col("k") < t)).over(own)
+    each = ranked.withColumn("n_ref", n_ref).withColumns({"low": at(F.floor((F.col("n_ref") - 1) / 2) + 1), "high": at(F.floor(F.col("n_ref") / 2) + 1)}).select(*pixel, "scene", "ratio", "n_ref", "low", "high")
+    middle = ranked.where(F.col("usable") & (F.abs(2 * F.col("rank") - F.col("n") - 1) <= F.col("most") + 1))
+    for side in ("low", "high"):
+        there = middle.select(*[F.col(c).alias(f"m_{c}") for c in pixel], F.col("rank").cast("long").alias("m_rank"), F.col("ratio").alias(f"{side}_ratio"))
+        same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in pixel]
+        each = each.join(there, [*same, F.col(side) == F.col("m_rank")], "left").drop(*[f"m_{c}" for c in pixel], "m_rank")
+    reference = F.when(F.col("n_ref") > 0, (F.col("low_ratio") + F.col("high_ratio")) / 2)
+    each = each.select(*pixel, "scene", "ratio", F.col("n_ref").cast("int").alias("n_ref"), reference.alias("reference"))
     return each.withColumn("change", F.when(F.col("n_ref") >= least, F.try_divide(F.col("ratio") - F.col("reference"), F.col("reference"))))
 
 

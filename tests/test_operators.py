@@ -161,6 +161,21 @@ def test_leave_one_out(spark):
         assert (x.change is None) == (len(others) < 3 or x.ratio is None)
 
 
+def test_leave_one_out_gathers_no_scenes(spark, capsys):
+    rng = random.Random(11)
+    rows = [(rng.choice(["s", "t", None]), 0, rng.randrange(3), rng.choice([None, *range(6)]), rng.choice([None, 1.0, rng.random()])) for _ in range(200)]
+    rows += [("hot", 0, 0, k, rng.random()) for k in range(20_001)] + [("one", 0, 0, 1, 2.0), ("two", 0, 0, 1, None), ("two", 0, 0, 2, 3.0)]
+    df = spark.createDataFrame(rows, "site string, row int, col int, scene int, ratio double")
+    out = imagestack.leave_one_out(df)
+    found = out.collect()
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(x)[:5]) for x in found)
+    for x in found[:: len(found) // 300] + [x for x in found if x.site != "hot"]:
+        others = [v for s, _, c, k, v in rows if (s, c) == (x.site, x.col) and None not in (k, x.scene, v) and k != x.scene]
+        assert x.n_ref == len(others) and (x.reference is None if not others else abs(x.reference - np.median(others)) < 1e-12)
+    out.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
 def test_images(spark):
     cells = spark.createDataFrame([("p", 0, 0, -1.0), ("p", 0, 1, 0.25), ("p", 1, 0, 1.0), ("p", 1, 1, None)], "period string, row int, col int, v double")
     colored = {(r.row, r.col): (r.r, r.g, r.b, r.alpha) for r in render.colorize(cells, "v", -1.0, 1.0, True).collect()}
