@@ -20,6 +20,5 @@ SQL = {
     "op3_warc": warc.SQL,
     "op5_url_filter": url_filter.SQL,
     "op6_license_scan": licenses.SQL,
-    "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_format": chat_format.SQL,
 }
