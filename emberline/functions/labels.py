@@ -111,13 +111,33 @@ def config_value(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.trim(text), "^[\"']|[\"']$", "")), F.lit(""))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper middle element of an array, in order; null for none."""
-    return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+def days_ago(stamp: Column, now: Column) -> Column:
+    """Whole days of 86,400 seconds from a timestamp's text to now, a timestamp; null for a bad one."""
+    return F.floor((F.unix_millis(now) - F.unix_millis(stamp.try_cast("timestamp"))) / 86_400_000)
 
 
-def array_median(values: Column) -> Column:
-    """The interpolated median of an array without nulls; null for none."""
-    a, n = F.array_sort(values), F.size(values)
-    low, high = ((F.floor((n - 1) / 2)) + 1).cast("int"), (F.floor(n / 2) + 1).cast("int")
-    return F.when(n > 0, (F.element_at(a, low) + F.element_at(a, high)) / 2)
+def image_corners(bounds: Column) -> Column:
+    """Corners of an image from its west, south, east and north, clockwise from the upper left."""
+    w, s, e, n = (F.element_at(bounds, k) for k in (1, 2, 3, 4))
+    return F.array(F.array(w, n), F.array(e, n), F.array(e, s), F.array(w, s))
+
+
+def composite_id(prefix: str, key: Column) -> Column:
+    return F.concat(F.lit(prefix + ":"), key)
+
+
+def placed_id(prefix: str, day: Column, lat: Column, lon: Column) -> Column:
+    """An id of a date and a place to three decimals."""
+    return F.concat(F.lit(prefix + ":"), day, F.lit("-"), F.format_string("%.3f", lat), F.lit("-"), F.format_string("%.3f", lon))
+
+
+def month_periods(start: Column, end: Column) -> Column:
+    """label, first and last (exclusive) of each month from that of start on to end; the first may begin before start."""
+    firsts = F.sequence(F.trunc(start, "month"), F.date_sub(end, 1), F.expr("interval 1 month"))
+    return F.transform(firsts, lambda d: F.struct(month_label(d).alias("label"), d.alias("first"), F.least(F.add_months(d, 1), end).alias("last")))
+
+
+def week_periods(start: Column, end: Column) -> Column:
+    """The same for weeks from Monday, with ISO labels."""
+    firsts = F.sequence(F.trunc(start, "week"), F.date_sub(end, 1), F.expr("interval 7 days"))
+    return F.transform(firsts, lambda d: F.struct(iso_week_label(d).alias("label"), d.alias("first"), F.least(F.date_add(d, 7), end).alias("last")))

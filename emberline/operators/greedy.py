@@ -1,47 +1,75 @@
-"""Greedy choices in a total order, in rounds over edge tables.
+"""Greedy choices in a total order, in rounds of joins.
 
-Visiting rows in order and keeping each that no kept one excludes gives the same set as deciding, round by round, every
-row whose earlier neighbours are all decided. Rounds are joins, so no group has to fit a task; the longest chain of
-neighbours bounds their number, and it is short where links are local.
+Visiting rows in order and keeping each that no kept one excludes gives the same set as deciding, round by round, the
+first open row of each cell of a grid. Rows of one cell exclude each other, so a cell has one kept row at most, and no
+table of pairs is ever made: a dense spot costs its rows, not their square. No group has to fit a task. The longest
+chain of cells with rising order bounds the number of rounds; it is short where the order isn't that of the places.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.geo import KM_PER_LAT, KM_PER_LON, NORTH, SOUTH, distance_km
 from emberline.operators.spatial import radius_join
 from emberline.sources.shared import materialise
 
 
-def first_independent(edges: DataFrame) -> DataFrame:
-    """id and kept of each later row of edges. edges: before and after, ids of rows of which only one can be kept.
+#: Cells a side of a bin. Bins are what joins meet in: the larger, the fewer bins a kept row is sent to.
+SIDE = 8
 
-    A row without an earlier neighbour is kept, and isn't in the result unless it is an `after` itself.
-    """
-    edges = materialise(edges.distinct(), "edges")
-    decided = materialise(edges.select(F.col("before").alias("id")).distinct().join(edges.select(F.col("after").alias("id")), "id", "left_anti").withColumn("kept", F.lit(True)), "decided")
-    open_ = edges
-    while True:
-        known = open_.join(decided.withColumnRenamed("id", "before"), "before", "left")
-        state = known.groupBy(F.col("after").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("waiting"))
-        new = materialise(state.where("hit or waiting = 0").select("id", (~F.col("hit")).alias("kept")), "decided")
-        if not new.limit(1).count():
-            return decided.join(edges.select(F.col("after").alias("id")).distinct(), "id", "left_semi")
-        decided = decided.unionByName(new)
-        open_ = materialise(open_.join(new.select(F.col("id").alias("after")), "after", "left_anti"), "open")
+
+def _sent(rows: DataFrame, reach: tuple[int, int]) -> DataFrame:
+    """rows once for each bin that cells within reach of their own lie in, with the bin in x and y."""
+    for cell, to, n in (("bx", "x", reach[0]), ("by", "y", reach[1])):
+        rows = rows.withColumn(to, F.explode(F.sequence(F.floor((F.col(cell) - n) / SIDE), F.floor((F.col(cell) + n) / SIDE))))
+    return rows
 
 
-def _absorbed(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with absorbed_by: of rows that aren't kept, the first kept row that excludes them. edges carry rank, the order of before."""
-    edges = materialise(edges, "links")
-    verdict = materialise(first_independent(edges.select("before", "after")), "verdict")
-    dropped = verdict.where(~F.col("kept")).select(F.col("id").alias("after"))
-    lost = edges.join(dropped, "after").join(dropped.select(F.col("after").alias("before")), "before", "left_anti")
-    by = lost.groupBy(F.col("after").alias("id")).agg(F.min_by("before", "rank").alias("absorbed_by"))
-    return rows.join(by, "id", "left")
+def first_kept(rows: DataFrame, cell: tuple[float, float], reach: tuple[int, int], excludes, kept_places: int | None = None) -> DataFrame:
+    """id and absorbed_by, the first kept row that excludes it, of each of rows (id, part, rank, lon, lat) that isn't kept.
+
+    Rows are visited by rank, each part by itself. excludes gives the condition that a kept row (k_lon, k_lat) excludes a
+    row (lon, lat); it holds for none that are more than reach cells apart, and had better hold for any two places of
+    one cell. kept_places: decimals to which kept places are rounded. Rows without a place are kept.
+
+    In each round the first open row of each cell is kept unless a cell within reach has an earlier one, and what it
+    excludes goes. Only first rows are compared with each other, so a bin costs no more than its cells' pairs.
+    """
+    key, bin_ = ["part", "bx", "by"], ["part", "x", "y"]
+    index = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    rows = rows.select("id", F.coalesce("part", F.lit("")).alias("part"), "rank", "lon", "lat", index("lon", cell[0]).alias("bx"), index("lat", cell[1]).alias("by"))
+    placed = materialise(rows.where(F.col("bx").isNotNull() & F.col("by").isNotNull()).withColumn("x", F.floor(F.col("bx") / SIDE)).withColumn("y", F.floor(F.col("by") / SIDE)), "open")
+    place = lambda c: F.bround(c, kept_places) if kept_places is not None else F.col(c)
+    near = (F.abs(F.col("bx") - F.col("k_bx")) <= reach[0]) & (F.abs(F.col("by") - F.col("k_by")) <= reach[1])
+    open_, kept = placed, []
+    while True:
+        first = open_.groupBy(*key, "x", "y").agg(F.min(F.struct("rank", "id", "lon", "lat")).alias("f")).select(*key, "x", "y", "f.*")
+        others = _sent(first.select("part", F.col("bx"), F.col("by"), F.col("rank").alias("k_rank")), reach).withColumnsRenamed({"bx": "k_bx", "by": "k_by"})
+        earlier = [*(first[c] == others[c] for c in bin_), F.col("k_rank") < F.col("rank"), near]
+        new = first.join(others, earlier, "left_anti").select(*key, F.col("id").alias("k_id"), F.col("rank").alias("k_rank"), place("lon").alias("k_lon"), place("lat").alias("k_lat"))
+        kept.append(materialise(new, "kept"))
+        gone = _sent(kept[-1], reach)
+        hit = [open_[c] == gone[c] for c in bin_]
+        open_ = materialise(open_.join(gone, [*hit, (F.col("id") == F.col("k_id")) | excludes()], "left_anti"), "open")
+        if not open_.limit(1).count():
+            break
+    gone = _sent(reduce(DataFrame.unionByName, kept), reach)
+    met = placed.join(gone, [placed[c] == gone[c] for c in bin_]).where((F.col("k_rank") < F.col("rank")) & excludes())
+    return met.groupBy("id").agg(F.min_by("k_id", "k_rank").alias("absorbed_by"))
+
+
+def _cells(radius_km: float) -> tuple[tuple[float, float], tuple[int, int]]:
+    """A grid whose cells are less than radius_km across, and how many cells the radius reaches at the far latitude."""
+    size = radius_km / KM_PER_LON * 0.66
+    far = max(abs(SOUTH), abs(NORTH)) + 1
+    return (size, size), (math.ceil(radius_km / (KM_PER_LON * math.cos(math.radians(far)) * size)), math.ceil(radius_km / (KM_PER_LAT * size)))
 
 
 def dedupe_events(plumes: DataFrame, radius_km: float = 1.0, box_deg: float = 0.02) -> DataFrame:
@@ -50,13 +78,12 @@ def dedupe_events(plumes: DataFrame, radius_km: float = 1.0, box_deg: float = 0.
     The order is priority, then plume_id. A row is absorbed by the first kept one of its day within the radius and the
     box; a null day is a day of its own, and rows without a position are kept. Rows of one provider merge too.
     """
-    rows = plumes.withColumn("id", F.col("plume_id"))
-    left = rows.select(F.col("id").alias("before"), F.coalesce("day", F.lit("")).alias("day"), F.struct("priority", "plume_id").alias("rank"), "lon", "lat")
-    right = rows.select(F.col("id").alias("after"), F.coalesce("day", F.lit("")).alias("r_day"), F.struct("priority", "plume_id").alias("r_rank"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    near = radius_join(left, right, radius_km, 0.05).where((F.col("day") == F.col("r_day")) & (F.col("rank") < F.col("r_rank")) & (F.abs(F.col("lon") - F.col("r_lon")) <= box_deg) & (F.abs(F.col("lat") - F.col("r_lat")) <= box_deg))
-    out = materialise(_absorbed(rows, near.select("before", "after", "rank")), "deduped")
-    notes = out.where(F.col("absorbed_by").isNotNull()).groupBy(F.col("absorbed_by").alias("id")).agg(F.array_sort(F.collect_list(F.struct("priority", "plume_id", "provider"))).alias("n"))
-    return out.join(notes, "id", "left").withColumn("also_reported_by", F.array_join(F.transform("n", lambda x: x["provider"]), "; ")).drop("id", "n")
+    near = lambda: (distance_km(F.col("lon"), F.col("lat"), F.col("k_lon"), F.col("k_lat")) <= radius_km) & (F.abs(F.col("lon") - F.col("k_lon")) <= box_deg) & (F.abs(F.col("lat") - F.col("k_lat")) <= box_deg)
+    rows = plumes.select(F.col("plume_id").alias("id"), F.col("day").alias("part"), F.struct("priority", "plume_id").alias("rank"), "lon", "lat")
+    by = materialise(first_kept(rows, *_cells(min(radius_km, box_deg * KM_PER_LAT)), near), "absorbed").withColumnRenamed("id", "plume_id")
+    out = plumes.join(by, "plume_id", "left")
+    notes = plumes.join(by, "plume_id").groupBy(F.col("absorbed_by").alias("plume_id")).agg(F.array_sort(F.collect_list(F.struct("priority", "plume_id", "provider"))).alias("n"))
+    return out.join(notes, "plume_id", "left").withColumn("also_reported_by", F.array_join(F.transform("n", lambda x: x["provider"]), "; ")).drop("n")
 
 
 def cluster_hotspots(cells: DataFrame, radius_deg: float = 0.35) -> DataFrame:
@@ -65,15 +92,10 @@ def cluster_hotspots(cells: DataFrame, radius_deg: float = 0.35) -> DataFrame:
     The box is open, and kept cells count with their position rounded to 3 decimals. Equal anomalies go in row-major order.
     """
     rank = F.struct((-F.col("mean_anomaly")).alias("m"), "row", "col")
-    rows = cells.withColumn("id", F.struct("row", "col")).withColumn("rank", rank)
-    size = radius_deg
-    a = rows.select(F.col("id").alias("before"), "rank", F.bround("lon", 3).alias("lon"), F.bround("lat", 3).alias("lat"))
-    b = rows.select(F.col("id").alias("after"), F.col("rank").alias("r_rank"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    bin_ = lambda x: F.floor(x / size).cast("int")
-    a = a.withColumn("bx", F.explode(F.sequence(bin_(F.col("lon")) - 1, bin_(F.col("lon")) + 1))).withColumn("by", F.explode(F.sequence(bin_(F.col("lat")) - 1, bin_(F.col("lat")) + 1)))
-    b = b.withColumn("bx", bin_(F.col("r_lon"))).withColumn("by", bin_(F.col("r_lat")))
-    near = a.join(b, ["bx", "by"]).where((F.col("rank") < F.col("r_rank")) & (F.abs(F.col("lon") - F.col("r_lon")) < size) & (F.abs(F.col("lat") - F.col("r_lat")) < size))
-    return _absorbed(rows, near.select("before", "after", "rank")).where(F.col("absorbed_by").isNull()).drop("id", "rank", "absorbed_by")
+    rows = cells.select(F.struct("row", "col").alias("id"), F.lit("").alias("part"), rank.alias("rank"), "lon", "lat")
+    near = lambda: (F.abs(F.col("lon") - F.col("k_lon")) < radius_deg) & (F.abs(F.col("lat") - F.col("k_lat")) < radius_deg)
+    by = first_kept(rows, (radius_deg * 0.98, radius_deg * 0.98), (2, 2), near, 3)
+    return cells.join(by.select("id.row", "id.col"), ["row", "col"], "left_anti")
 
 
 def drop_recurring(detections: DataFrame, radius_km: float = 0.25) -> DataFrame:
@@ -82,14 +104,12 @@ def drop_recurring(detections: DataFrame, radius_km: float = 0.25) -> DataFrame:
     In the order of ord, a detection joins the first group whose anchor, its first member, is nearer than the radius,
     with the cosine of the detection's own latitude; else it starts a group.
     """
-    rows = detections.withColumn("id", F.struct("site", "ord"))
-    a = rows.select(F.col("id").alias("before"), F.col("site").alias("a_site"), F.col("ord").alias("rank"), "lon", "lat")
-    b = rows.select(F.col("id").alias("after"), "site", "ord", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    own = F.sqrt(F.pow((F.col("lon") - F.col("r_lon")) * 111.32 * F.cos(F.radians("r_lat")), 2) + F.pow((F.col("lat") - F.col("r_lat")) * 110.57, 2))
-    near = radius_join(a, b, radius_km * 1.05, 0.02).where((F.col("a_site") == F.col("site")) & (F.col("rank") < F.col("ord")) & (own < radius_km))
-    out = materialise(_absorbed(rows, near.select("before", "after", "rank")), "grouped").withColumn("anchor", F.coalesce("absorbed_by", "id"))
+    own = lambda: F.sqrt(F.pow((F.col("lon") - F.col("k_lon")) * KM_PER_LON * F.cos(F.radians("lat")), 2) + F.pow((F.col("lat") - F.col("k_lat")) * KM_PER_LAT, 2)) < radius_km
+    rows = detections.select(F.struct("site", "ord").alias("id"), F.col("site").cast("string").alias("part"), F.col("ord").alias("rank"), "lon", "lat")
+    by = materialise(first_kept(rows, *_cells(radius_km), own), "grouped")
+    out = detections.withColumn("id", F.struct("site", "ord")).join(by, "id", "left").withColumn("anchor", F.coalesce("absorbed_by", "id"))
     single = out.groupBy("anchor").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).where(F.col("lo").eqNullSafe(F.col("hi")))
-    return out.join(single.select("anchor"), "anchor", "left_semi").drop("id", "absorbed_by", "anchor")
+    return out.join(single.select("anchor"), "anchor", "left_semi").select(*detections.columns)
 
 
 def match_one_to_one(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import cell_col, cell_row, in_grid
+from emberline.sources.shared import materialise
 
 QA_MIN, MIN_OBS, ELEVATED, MIN_MONTHS, PERSISTENT = 0.5, 3, 18.0, 8, 0.5
 HALF_ROWS, MIN_BACKGROUND = 20, 50
@@ -38,15 +39,16 @@ def means(bins: DataFrame) -> DataFrame:
 def latitude_background(cells: DataFrame, rows: int) -> DataFrame:
     """background of each period's row: the median of all cells within HALF_ROWS rows, if there are MIN_BACKGROUND, else of the period.
 
-    Every row from 0 to rows - 1 has one, also those without a cell. Each cell is sent to the rows that it counts for,
-    so the work is spread by period and row, not done by one window a period.
+    Every row from 0 to rows - 1 has one, also those without a cell: each has a cell without a mean. A period is a
+    window by row, whose cells the grid bounds; no cell is copied.
     """
-    near = F.explode(F.sequence(F.greatest(F.col("row") - HALF_ROWS, F.lit(0)), F.least(F.col("row") + HALF_ROWS, F.lit(rows - 1))))
-    local = cells.select("period", near.alias("row"), "mean").groupBy("period", "row").agg(F.count("mean").alias("n"), F.expr("percentile(mean, 0.5)").alias("local"))
-    whole = cells.groupBy("period").agg(F.expr("percentile(mean, 0.5)").alias("whole"))
-    every = whole.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
-    out = every.join(local, ["period", "row"], "left")
-    return out.select("period", "row", F.when(F.col("n") >= MIN_BACKGROUND, F.col("local")).otherwise(F.col("whole")).alias("background"))
+    every = cells.select("period").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
+    held = cells.select("period", "row", "mean").unionByName(every.withColumn("mean", F.lit(None).cast("double")))
+    near = Window.partitionBy("period").orderBy("row").rangeBetween(-HALF_ROWS, HALF_ROWS)
+    middle = lambda over: F.expr("percentile(mean, 0.5)").over(over)
+    local = held.select("period", "row", "mean", F.count("mean").over(near).alias("n"), middle(near).alias("local"), middle(Window.partitionBy("period")).alias("whole"))
+    rows_ = local.where(F.col("row").between(0, rows - 1)).groupBy("period", "row").agg(F.first("n").alias("n"), F.first("local").alias("local"), F.first("whole").alias("whole"))
+    return rows_.select("period", "row", F.when(F.col("n") >= MIN_BACKGROUND, F.col("local")).otherwise(F.col("whole")).alias("background"))
 
 
 def with_anomaly(cells: DataFrame, background: DataFrame) -> DataFrame:
@@ -109,3 +111,22 @@ def every_nth(cells: DataFrame, n: int = 37) -> DataFrame:
     """Each period's 1st, (n+1)th ... cell in row-major order."""
     order = Window.partitionBy("period").orderBy("row", "col")
     return cells.withColumn("k", F.row_number().over(order)).where((F.col("k") - 1) % n == 0).drop("k")
+
+
+def climatology(stacked: DataFrame, rows: int, cols: int, min_months: int = 12, buffer: int = 4) -> DataFrame:
+    """The cells of a stack that lie inside and have enough months."""
+    seen = materialise(stacked.where("observed > 0"), "stacked")
+    return seen.where(F.col("observed") >= min_months).join(interior(seen, rows, cols, buffer), ["row", "col"], "left_semi")
+
+
+def persistent(stacked: DataFrame) -> DataFrame:
+    """The cells of a stack that were elevated often enough, of those observed often enough."""
+    return stacked.where((F.col("observed") >= MIN_MONTHS) & (F.col("persistence") >= PERSISTENT))
+
+
+def preferred(granules: DataFrame, names: list[str]) -> DataFrame:
+    """granules with value, the first of the named variables that the table has."""
+    held = [n for n in names if n in granules.columns]
+    if not held:
+        raise ValueError("none of the variables is there")
+    return granules.withColumn("value", F.col(held[0]))

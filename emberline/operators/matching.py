@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.labels import METHANE_GWP, reported_kg_hr
+
 #: Words of names that say nothing of which one it is.
 NOISE = (
     "facility", "operations", "operation", "colliery", "mine", "mines", "mining", "coal", "project", "the", "pty", "ltd",
     "limited", "no", "joint", "venture", "complex", "site", "plant", "station", "power", "and", "of",
 )
 
+ACCEPT, REVIEW = 0.95, 0.6
+
 
 def tokens(name: Column) -> Column:
     """Distinct words of a name, without a leading site code, parentheses, noise words and words of up to two letters."""
@@ -19,19 +23,20 @@ def tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(out)), " +"), lambda t: (F.length(t) > 2) & ~t.isin(*NOISE)))
 
 
-def score_pairs(facilities: DataFrame, reported: DataFrame) -> DataFrame:
-    """a, b, a_ord, b_ord and score of each pair that shares a word.
+def score_pairs(facilities: DataFrame, reported: DataFrame, least: float = REVIEW) -> DataFrame:
+    """a, b, a_ord, b_ord and score of each pair with a score of at least least, which is over 0.
 
-    facilities: a, a_ord, a_tokens, a_state, layer. reported: b, b_ord, b_tokens, b_state, industry. Pairs meet by an
-    equi-join on words; those that share none would score 0. The score is the overlap by the smaller name, with a bonus
-    or a fine for the state where both have one, nothing if the industry can't be the layer's, a bonus if it can, and a
-    fine for a single short word.
+    facilities: a, a_ord, a_tokens, a_state, layer. reported: b, b_ord, b_tokens, b_state, industry. Pairs that share no
+    word score 0, so pairs meet by an equi-join on words, and count at the first word that they share; nothing is
+    grouped. The score is the overlap by the smaller name, with a bonus or a fine for the state where both have one,
+    nothing if the industry can't be the layer's, a bonus if it can, and a fine for a single short word.
     """
     left = facilities.withColumn("word", F.explode("a_tokens"))
     right = reported.withColumn("word", F.explode("b_tokens"))
-    keys = ["a", "a_ord", "a_state", "layer", "b", "b_ord", "b_state", "industry"]
-    shared = left.join(right, "word").groupBy(*keys).agg(F.count("*").alias("overlap"), F.max(F.length("word")).alias("longest"), F.first(F.least(F.size("a_tokens"), F.size("b_tokens"))).alias("size"))
-    return shared.select("a", "b", "a_ord", "b_ord", pair_score().alias("score"))
+    shared = F.array_intersect("a_tokens", "b_tokens")
+    met = left.join(right, "word").withColumn("shared", shared).where(F.element_at("shared", 1) == F.col("word"))
+    met = met.withColumns({"overlap": F.size("shared"), "longest": F.array_max(F.transform("shared", F.length)), "size": F.least(F.size("a_tokens"), F.size("b_tokens"))})
+    return met.select("a", "b", "a_ord", "b_ord", pair_score().alias("score")).where(F.col("score") >= least)
 
 
 def pair_score() -> Column:
@@ -57,3 +62,16 @@ def in_period(plumes: DataFrame, low: str = "2024-07-01", high: str = "2025-06-3
 def silent_reporters(facilities: DataFrame, least: float = 500.0) -> DataFrame:
     """Facilities that report at least so many kilograms an hour, are watched, and showed nothing in the period."""
     return facilities.where((F.col("reported_kg_hr") >= least) & (F.coalesce("detections_in_period", F.lit(0)) == 0) & (F.col("watch_status") == "watched, no plume"))
+
+
+def apply_matches(facilities: DataFrame, accepted: DataFrame, reported: DataFrame) -> DataFrame:
+    """facilities (layer, name, operator) with the reported figures of their accepted match.
+
+    accepted: layer, name, cer_name, score. reported: cer_name, operator, methane_tco2e, covered_tco2e, baseline. The
+    reported operator replaces the facility's if it isn't blank; methane counts if it is over 0.
+    """
+    figures = reported.select("cer_name", F.col("operator").alias("r_operator"), "methane_tco2e", F.col("covered_tco2e").alias("covered_emissions_tco2e"), F.col("baseline").alias("baseline_tco2e"))
+    held = accepted.select("layer", "name", "cer_name", F.bround("score", 2).alias("cer_match_score")).join(figures, "cer_name")
+    t = F.when(F.col("methane_tco2e") > 0, F.col("methane_tco2e"))
+    out = facilities.join(held, ["layer", "name"], "left").withColumn("operator", F.coalesce(F.nullif("r_operator", F.lit("")), "operator"))
+    return out.withColumns({"reported_methane_tco2e": F.bround(t, 0), "reported_ch4_tonnes_yr": F.bround(t / METHANE_GWP, 0), "reported_avg_kg_hr": reported_kg_hr(t)}).drop("r_operator", "methane_tco2e")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.geo import EAST, NORTH, SOUTH, WEST
+
 #: Colours of the sequential and the diverging scale, low to high.
 SEQUENTIAL = ((0, 0, 4), (28, 16, 68), (79, 18, 123), (129, 37, 129), (181, 54, 122), (229, 80, 100), (251, 135, 97), (254, 194, 135), (252, 253, 191))
 DIVERGING = ((33, 102, 172), (103, 169, 207), (209, 229, 240), (247, 247, 247), (253, 219, 199), (239, 138, 98), (178, 24, 43))
@@ -64,3 +66,10 @@ def images(colored: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = ("p
         return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "image": pa.array([png(out)], pa.binary())})
 
     return colored.select(*keys, "row", "col", "r", "g", "b", "alpha").groupBy(*keys).applyInArrow(paint, f"{fields}, image binary")
+
+
+def manifest(cells: DataFrame, limit: float, grid_cells: int) -> DataFrame:
+    """A row for each period's image of anomalies: its url, the bounds, the scale's end, coverage and the largest anomaly."""
+    held = cells.groupBy("period").agg((100 * F.count("*") / F.lit(grid_cells)).alias("coverage_pct"), F.max("anomaly").alias("max_anomaly"))
+    bounds = [F.lit(x).alias(n) for x, n in ((WEST, "west"), (SOUTH, "south"), (EAST, "east"), (NORTH, "north"))]
+    return held.select(F.concat(F.lit("anomaly/"), "period", F.lit(".png")).alias("url"), "period", *bounds, F.bround(F.lit(limit), 1).alias("top"), "coverage_pct", "max_anomaly")

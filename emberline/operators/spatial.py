@@ -2,7 +2,7 @@
 
 A radius join sends each left row to its own bin and each right row to the bins its circle touches, so both sides are
 shuffled by bin and a bin's size, not the tables', bounds the comparisons. Small right sides are broadcast by Spark
-itself, from their statistics.
+itself, from their statistics; a crowded bin's left rows are split over tasks by Spark's skew join.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import KM_PER_LAT, KM_PER_LON, NORTH, SOUTH, distance_km
+from emberline.sources.shared import materialise
 
 BIN_DEG = 0.2
 
@@ -59,21 +60,22 @@ def nearest_features(points: DataFrame, vertices: DataFrame, k: int = 3, first_k
     """The k nearest features of each point, at any distance, with rank: ever wider radius joins.
 
     points: point_id, lon, lat. A point is done once k features lie within the radius; the others, and a table without
-    as many features, go on to four times the radius, up to one that spans the region. So no point meets all vertices
-    unless it has to.
+    as many features, go on to four times the radius, up to one that spans the region. What is left after each radius
+    is written and counted, so the search ends with the last point, and no point meets all vertices unless it has to.
     """
     order = Window.partitionBy("point_id").orderBy("km", "layer_ord", "feature_ord")
     todo, done, radius = points.select("point_id", "lon", "lat"), None, first_km
     while True:
         pairs = radius_join(todo, vertices, radius, max(BIN_DEG, radius / 50))
         feature = pairs.groupBy("point_id", "layer", "name", "layer_ord", "feature_ord").agg(F.min("km").alias("km"))
-        ranked = feature.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if radius >= last_km:
-            return ranked if done is None else done.unionByName(ranked)
+        ranked = materialise(feature.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ranked")
         full = ranked.where(F.col("rank") == k).select("point_id")
+        todo = todo if radius >= last_km else materialise(todo.join(full, "point_id", "left_anti"), "todo")
+        if radius >= last_km or not todo.limit(1).count():
+            return ranked if done is None else done.unionByName(ranked)
         found = ranked.join(full, "point_id", "left_semi")
         done = found if done is None else done.unionByName(found)
-        todo, radius = todo.join(full, "point_id", "left_anti"), min(last_km, radius * 4)
+        radius = min(last_km, radius * 4)
 
 
 def nearby_elsewhere(facilities: DataFrame, plumes: DataFrame, radius_km: float = 10.0) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from emberline.functions import geo, labels
 from emberline.operators import greedy, imagestack, render, spatial
 from emberline.plans import views
-from emberline.plans.queries import KM, crowded, query, r
+from emberline.plans.queries import CROWD, KM, crowded, query, r
+from emberline.plans.views import binned, spread
 from emberline.sources import readers
 from emberline.sources.shared import read_table
 
@@ -42,7 +43,7 @@ BANDS = ("B11", "B12", "SCL")
 @query("", """SELECT l_orderkey AS product, max(l_partkey) FILTER (l_linenumber = 1) AS "B11", max(l_partkey) FILTER (l_linenumber = 2) AS "B12", max(l_partkey) FILTER (l_linenumber = 3) AS "SCL" FROM lineitem GROUP BY 1
     HAVING count(*) FILTER (l_linenumber = 1) > 0 AND count(*) FILTER (l_linenumber = 2) > 0 AND count(*) FILTER (l_linenumber = 3) > 0""")
 def band_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Products that have all three bands, a column each."""
+    """Products that have all three bands, a column each."""
     band = F.element_at(F.array(*[F.lit(b) for b in BANDS]), F.col("l_linenumber"))
     t = read_table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("product"), band.alias("band"), "l_partkey")
     return t.groupBy("product").pivot("band", list(BANDS)).agg(F.max("l_partkey")).where(" AND ".join(f"{b} IS NOT NULL" for b in BANDS))
@@ -59,7 +60,7 @@ def overpass_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("", "SELECT l_orderkey AS id, round_even(avg(l_partkey % 360), 4) AS lon, round_even(avg(l_suppkey % 90), 4) AS lat FROM lineitem GROUP BY 1")
 def vertex_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """the mean of each geometry's vertices."""
+    """the mean of each geometry's vertices."""
     point = F.struct((F.col("l_partkey") % 360).cast("double").alias("lon"), (F.col("l_suppkey") % 90).cast("double").alias("lat"))
     g = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(point).alias("coords"))
     return g.select("id", F.bround(geo.vertex_mean(F.col("coords"), "lon"), 4).alias("lon"), F.bround(geo.vertex_mean(F.col("coords"), "lat"), 4).alias("lat"))
@@ -108,7 +109,7 @@ def recency_rank(spark: SparkSession, d: str) -> DataFrame:
 @query("ratios", """+ o AS (SELECT scene, site, avg((ratio IS NOT NULL)::INT) AS valid, quantile_cont(ratio, 0.5) AS mid FROM ratios GROUP BY ALL)
     SELECT site, count(*) AS containing, count(*) FILTER (valid >= 0.4) AS usable, round_even(count(*) FILTER (valid >= 0.4) / count(*), 4) AS observability, round_even(max(mid) FILTER (valid >= 0.4), 6) AS strongest FROM o GROUP BY site""")
 def site_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """How often each site could be seen, and its strongest pass."""
+    """How often each site could be seen, and its strongest pass."""
     o = imagestack.masked_ratio(views.scenes(spark, d)).groupBy("scene", "site").agg(F.avg(F.when(F.col("ratio").isNotNull(), 1).otherwise(0)).alias("valid"), F.expr("percentile(ratio, 0.5)").alias("mid"))
     ok = F.col("valid") >= 0.4
     out = o.groupBy("site").agg(F.count("*").alias("containing"), F.count_if(ok).alias("usable"), (F.count_if(ok) / F.count("*")).alias("observability"), F.max(F.when(ok, F.col("mid"))).alias("strongest"))
@@ -122,7 +123,19 @@ def black_key(spark: SparkSession, d: str) -> DataFrame:
     return x.select("site", "scene", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), render.black_key_alpha(F.col("b12") * 20, F.col("b11") * 5, F.col("scl")).alias("alpha"))
 
 
-@query()
+#: Clusters of two pixels or more, of scenes with four at most: cs (site, scene, row, col, cluster).
+CLEAN = """+ px AS (SELECT site, scene, row, col, row * 1048576 + col AS me FROM ratios WHERE ratio > 1),
+    lb AS (SELECT site, scene, me, row, col, me AS name, 0 AS k, TRUE AS changed FROM px UNION ALL
+           SELECT site, scene, me, row, col, least(name, low), k + 1, bool_or(low < name) OVER () FROM
+           (SELECT x.site, x.scene, x.me, x.row, x.col, x.name, any_value(x.k) AS k, min(y.name) AS low FROM lb x JOIN lb y ON x.site = y.site AND x.scene = y.scene AND y.row BETWEEN x.row - 1 AND x.row + 1 AND y.col BETWEEN x.col - 1 AND x.col + 1
+            WHERE x.changed GROUP BY x.site, x.scene, x.me, x.row, x.col, x.name)),
+    cl AS (SELECT site, scene, row, col, name AS cluster, count(*) OVER (PARTITION BY site, scene, name) AS size FROM lb WHERE k = (SELECT max(k) FROM lb)),
+    cs AS (SELECT * FROM cl WHERE size >= 2 AND (site, scene) NOT IN (SELECT (site, scene) FROM cl WHERE size >= 2 GROUP BY site, scene HAVING count(DISTINCT cluster) > 4))
+    """
+
+
+@query("ratios", CLEAN + """, c AS (SELECT site, scene, cluster, count(*) AS n, var_samp(row) AS a, covar_samp(row, col) AS b, var_samp(col) AS c FROM cs GROUP BY ALL)
+    SELECT site, scene, cluster, n, round_even(CASE WHEN n < 3 THEN 1 ELSE sqrt(greatest((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b), 1e-9) / greatest((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), 1e-9)) END, 3) AS elongation FROM c""")
 def scene_contamination(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of scenes that aren't crowded with them, with their size and elongation."""
     x = imagestack.masked_ratio(views.scenes(spark, d)).where("ratio > 1")
@@ -130,8 +143,8 @@ def scene_contamination(spark: SparkSession, d: str) -> DataFrame:
     return imagestack.elongation(clean, ["site", "scene", "cluster"]).select("site", "scene", "cluster", "n", r("elongation", 3))
 
 
-@query("pl", f"""+ c AS (SELECT plume_id, plume_id % 3 AS day, lon - ((plume_id * 17) % 401 - 200) / 2040.0::DOUBLE AS lon, lat - ((plume_id * 29) % 401 - 200) / 2040.0::DOUBLE AS lat FROM pl)
-    SELECT a.plume_id, b.plume_id AS other, round_even({KM.format(a='a', b='b')}, 3) AS km FROM c a JOIN c b ON a.day = b.day AND a.plume_id < b.plume_id AND abs(a.lat - b.lat) < 0.1 AND {KM.format(a='a', b='b')} <= 1""")
+@query("pl", f"""+ {CROWD}, c AS (SELECT plume_id, plume_id % 3 AS day, lon, lat FROM crowd)
+    SELECT a.plume_id, b.plume_id AS other, round_even({KM.format(a='a', b='b')}, 3) AS km FROM {binned('c', 0.02)} a JOIN {spread('c', 0.02)} b ON a.bx = b.bx AND a.by = b.by AND a.day = b.day AND a.plume_id < b.plume_id AND {KM.format(a='a', b='b')} <= 1""")
 def same_day_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of detections of one day within a kilometre."""
     return greedy.same_day_links(crowded(spark, d).withColumn("day", F.col("plume_id") % 3)).select("plume_id", "other", r("km", 3))

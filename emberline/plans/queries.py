@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, labels
 from emberline.operators import facilities as fac_ops
-from emberline.operators import greedy, grid, imagestack, matching, render, spatial
+from emberline.operators import greedy, grid, imagestack, matching, quantiles, render, spatial
 from emberline.plans import views
-from emberline.plans.views import GRID_COLS, GRID_ROWS, with_views
+from emberline.plans.views import GRID_COLS, GRID_ROWS, VERDICTS, binned, spread, with_views
 from emberline.sources.shared import materialise, read_table
 from emberline.streaming.weekly import run_weekly
 
@@ -33,10 +33,6 @@ def r(column: str, digits: int = 4):
     return F.bround(column, digits).alias(column)
 
 
-def vertices(fac: DataFrame) -> DataFrame:
-    return fac.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "name", "layer", "layer_ord", F.col("fac_id").alias("feature_ord"), F.lit(0).alias("vertex_ord"))
-
-
 KM = "sqrt(pow(({a}.lon - {b}.lon) * 111.32 * cos(radians(({a}.lat + {b}.lat) / 2)), 2) + pow(({a}.lat - {b}.lat) * 110.57, 2))"
 
 
@@ -62,17 +58,17 @@ def any_vertex_bbox(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("", """SELECT l_orderkey AS plant, count(*) AS n_gas, sum(l_quantity) AS capacity_mw, string_agg(DISTINCT fuel, ',' ORDER BY fuel) AS fuels,
-    CASE WHEN bool_or(l_linestatus = 'O') THEN 'o' ELSE 'f' END AS status
+    CASE WHEN bool_or(l_linestatus = 'O') THEN 'operating' ELSE 'f' END AS status, CASE WHEN min(fuel) = 'gas_wcmg' THEN 'waste coal mine gas' ELSE 'gas power station' END AS subtype
     FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 'gas_ocgt' WHEN l_linenumber % 3 = 1 THEN 'coal_black' ELSE 'gas_wcmg' END AS fuel FROM lineitem) WHERE fuel LIKE 'gas%' GROUP BY l_orderkey""")
 def plant_units(spark: SparkSession, d: str) -> DataFrame:
-    """Plants by their gas units; an order's lines are a plant's units."""
+    """Plants by their gas units; an order's lines are a plant's units."""
     k = F.col("l_linenumber") % 3
     fuel = F.when(k == 0, "gas_ocgt").when(k == 1, "coal_black").otherwise("gas_wcmg")
     status = F.when(F.col("l_linestatus") == "O", "operating").otherwise("f")
     plants = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plant")).agg(F.collect_list(F.struct(fuel.alias("fuel"), F.col("l_quantity").alias("capacity"), status.alias("status"))).alias("units"))
     out = fac_ops.plant_units(plants)
     own = F.filter("units", lambda u: u["fuel"].startswith("gas"))
-    return out.select("plant", F.size(own).cast("long").alias("n_gas"), "capacity_mw", F.array_join("fuels", ",").alias("fuels"), F.when(F.col("status") == "operating", "o").otherwise("f").alias("status"))
+    return out.select("plant", F.size(own).cast("long").alias("n_gas"), "capacity_mw", F.array_join("fuels", ",").alias("fuels"), "status", "subtype")
 
 
 @query("cells", "SELECT period, row, col, n_obs, round_even(mean, 4) AS mean FROM cells")
@@ -87,9 +83,9 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cells", "SELECT period, row, col, n_obs, round_even(total, 2) AS total FROM cells")
 def partial_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Grids of seven batches merged into the period's."""
+    """Grids of batches merged into the period's."""
     s = grid.usable(views.soundings(spark, d))
-    parts = [grid.bin_soundings(s.where(F.col("surface") == k)) for k in range(0, 8, 2)]
+    parts = [grid.bin_soundings(s.where(F.col("surface") % 8 == k)) for k in range(0, 8, 2)]
     return grid.merge_bins(*parts).select("period", "row", "col", "n_obs", r("total", 2))
 
 
@@ -110,7 +106,7 @@ def gated_anomaly(spark: SparkSession, d: str) -> DataFrame:
     return _anomalies(spark, d).select("period", "row", "col", r("anomaly"))
 
 
-@query("anom", """+ s AS (SELECT period, 100 * count(*) / 2400.0::DOUBLE AS coverage_pct, 100 * count(anomaly) / 2400.0::DOUBLE AS anomaly_coverage_pct, avg(mean) AS mean_value, max(mean) AS max_value,
+@query("anom", """+ s AS (SELECT period, 100 * count(*) / 600.0::DOUBLE AS coverage_pct, 100 * count(anomaly) / 600.0::DOUBLE AS anomaly_coverage_pct, avg(mean) AS mean_value, max(mean) AS max_value,
     max(anomaly) AS max_anomaly, quantile_cont(n_obs, 0.5)::DOUBLE AS median_obs, sum(n_obs)::BIGINT AS obs_total FROM anom GROUP BY period)
     SELECT s.period, round_even(coverage_pct, 4) AS coverage_pct, round_even(anomaly_coverage_pct, 4) AS anomaly_coverage_pct, round_even(mean_value, 4) AS mean_value, round_even(max_value, 4) AS max_value,
     round_even(max_anomaly, 4) AS max_anomaly, median_obs, obs_total, round_even(b.background, 4) AS background
@@ -124,77 +120,110 @@ def period_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stack", """SELECT row, col, observed, elevated, round_even(mean_anomaly, 4) AS mean_anomaly, round_even(max_anomaly, 4) AS max_anomaly, round_even(mean_obs, 4) AS mean_obs,
-    round_even(CASE WHEN observed >= 3 THEN elevated / greatest(observed, 1) ELSE 0 END, 4) AS persistence FROM stack""")
+    round_even(CASE WHEN observed >= 8 THEN elevated / greatest(observed, 1) ELSE 0 END, 4) AS persistence FROM stack""")
 def stack_persistence(spark: SparkSession, d: str) -> DataFrame:
-    """How often each cell was elevated; of seven periods, three have to be observed."""
-    out = grid.stack(_anomalies(spark, d), min_months=3)
+    """How often each cell was elevated."""
+    out = grid.stack(_anomalies(spark, d))
     return out.select("row", "col", "observed", "elevated", r("mean_anomaly"), r("max_anomaly"), r("mean_obs"), r("persistence"))
 
 
-@query("stack", "SELECT row, col, observed, round_even(mean_anomaly, 4) AS mean_anomaly, round_even(sd, 4) AS sd, round_even(sd / sqrt(greatest(observed, 1)), 4) AS stderr FROM stack WHERE observed >= 4")
+#: Cells farther than some cells from any that was never observed, as all() of the stack.
+INSIDE = "grid AS (SELECT * FROM (SELECT unnest(range(0, 20)) AS row), (SELECT unnest(range(0, 30)) AS col)), gone AS (SELECT grid.* FROM grid ANTI JOIN (SELECT * FROM stack WHERE observed > 0) s ON s.row = grid.row AND s.col = grid.col)"
+
+
+def _inside(cells: str, squared: int) -> str:
+    return f"SELECT * FROM {cells} h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE (g.row - h.row) * (g.row - h.row) + (g.col - h.col) * (g.col - h.col) <= {squared})"
+
+
+CLIMATE = "+ " + INSIDE + ", clim AS (SELECT *, sd / sqrt(greatest(observed, 1)) AS stderr FROM (" + _inside("stack", 16) + ") WHERE observed >= 12)\n"
+
+
+@query("stack", CLIMATE + "SELECT row, col, observed, round_even(mean_anomaly, 4) AS mean_anomaly, round_even(sd, 4) AS sd, round_even(stderr, 4) AS stderr FROM clim")
 def climatology(spark: SparkSession, d: str) -> DataFrame:
-    """Mean, deviation and standard error of cells with enough periods."""
-    return grid.stack(_anomalies(spark, d)).where("observed >= 4").select("row", "col", "observed", r("mean_anomaly"), r("sd"), r("stderr"))
+    """Mean, deviation and standard error of inner cells with twelve periods."""
+    return _climatology(spark, d).select("row", "col", "observed", r("mean_anomaly"), r("sd"), r("stderr"))
 
 
-@query("anom", "SELECT period, count(anomaly) AS n, round_even(stddev_pop(anomaly), 4) AS sd, round_even(quantile_cont(anomaly, 0.95), 4) AS p95, round_even(quantile_cont(anomaly, 0.99), 4) AS p99, round_even(quantile_cont(abs(anomaly), 0.98), 4) AS limit_98 FROM anom GROUP BY period")
-def pooled_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Deviation and percentiles of the anomalies of each period."""
-    p = lambda x, q: F.expr(f"percentile({x}, {q})")
-    out = _anomalies(spark, d).groupBy("period").agg(F.count("anomaly").alias("n"), F.stddev_pop("anomaly").alias("sd"), p("anomaly", 0.95).alias("p95"), p("anomaly", 0.99).alias("p99"), p("abs(anomaly)", 0.98).alias("limit_98"))
-    return out.select("period", "n", r("sd"), r("p95"), r("p99"), r("limit_98"))
+def _climatology(spark: SparkSession, d: str) -> DataFrame:
+    return grid.climatology(grid.stack(_anomalies(spark, d)), GRID_ROWS, GRID_COLS)
 
 
-SEEN = "+ held AS (SELECT row, col FROM seen WHERE (row * 7 + col * 13) % 97 > 1), grid AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS row), (SELECT unnest(range(0, 60)) AS col)), gone AS (SELECT * FROM grid ANTI JOIN held USING (row, col))"
+def _one_row(spark: SparkSession, values: dict) -> DataFrame:
+    return spark.range(1).select(*[F.bround(F.lit(v).cast("double"), 4).alias(k) for k, v in values.items()])
 
 
-def _held(spark: SparkSession, d: str) -> DataFrame:
-    """Observed cells, with holes."""
-    return _cells(spark, d).select("row", "col").distinct().where((F.col("row") * 7 + F.col("col") * 13) % 97 > 1)
+@query("stack", CLIMATE + """SELECT round_even(avg(mean_anomaly), 4) AS mean, round_even(stddev_pop(mean_anomaly), 4) AS sd, round_even(quantile_cont(mean_anomaly, 0.99), 4) AS p99,
+    round_even(quantile_cont(stderr, 0.5), 4) AS median_stderr, round_even(quantile_cont(abs(mean_anomaly), 0.99), 4) AS limit_99 FROM clim""")
+def climatology_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The average over all its cells, the typical error, and the limit of its colours."""
+    c = materialise(_climatology(spark, d), "climatology")
+    row = c.agg(F.avg("mean_anomaly").alias("mean"), F.stddev_pop("mean_anomaly").alias("sd")).first()
+    limit = quantiles.quantiles(c.withColumn("size", F.abs("mean_anomaly")), "size", [0.99])[0]
+    return _one_row(spark, {"mean": row["mean"], "sd": row["sd"], "p99": quantiles.quantiles(c, "mean_anomaly", [0.99])[0], "median_stderr": quantiles.quantiles(c, "stderr", [0.5])[0], "limit_99": limit})
+
+
+@query("anom", "SELECT count(anomaly)::DOUBLE AS n, round_even(stddev_pop(anomaly), 4) AS sd, round_even(quantile_cont(anomaly, 0.95), 4) AS p95, round_even(quantile_cont(anomaly, 0.99), 4) AS p99 FROM anom")
+def pooled_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Number, deviation and percentiles of the anomalies of all periods."""
+    a = materialise(_anomalies(spark, d).select("anomaly"), "anomalies")
+    row = a.agg(F.count("anomaly").alias("n"), F.stddev_pop("anomaly").alias("sd")).first()
+    return _one_row(spark, {"n": row["n"], "sd": row["sd"]} | dict(zip(("p95", "p99"), quantiles.quantiles(a, "anomaly", [0.95, 0.99]), strict=True)))
 
 
-@query("seen", SEEN + "SELECT row, col FROM held h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE (g.row - h.row) * (g.row - h.row) + (g.col - h.col) * (g.col - h.col) <= 9)")
+@query("stack", "+ " + INSIDE + " SELECT row, col FROM (" + _inside("stack", 9) + ") WHERE observed > 0")
 def interior_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Observed cells farther than three from any that never was."""
-    return grid.interior(materialise(_held(spark, d), "held"), GRID_ROWS, GRID_COLS)
+    """Observed cells farther than three from any that never was."""
+    return grid.interior(_observed(spark, d), GRID_ROWS, GRID_COLS)
 
 
-@query("seen", SEEN + """SELECT h.row, h.col, round_even(1 - avg(CASE WHEN o.row IS NULL THEN 0 ELSE 1 END), 4) AS coastal FROM held h
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with an anomaly in some period; others have too few observations, or a lake."""
+    return materialise(_anomalies(spark, d).where("anomaly IS NOT NULL").select("row", "col").distinct(), "observed")
+
+
+@query("stack", "+ " + INSIDE + """, held AS (SELECT row, col FROM stack WHERE observed > 0) SELECT h.row, h.col, round_even(1 - avg(CASE WHEN o.row IS NULL THEN 0 ELSE 1 END), 4) AS coastal FROM held h
     JOIN grid g ON g.row BETWEEN h.row - 4 AND h.row + 4 AND g.col BETWEEN h.col - 4 AND h.col + 4 LEFT JOIN held o ON o.row = g.row AND o.col = g.col GROUP BY h.row, h.col""")
 def coastal_fraction(spark: SparkSession, d: str) -> DataFrame:
     """Share of never-observed cells around each observed one."""
-    held = materialise(_held(spark, d), "held")
+    held = _observed(spark, d)
     return grid.coastal_fraction(held, held, GRID_ROWS, GRID_COLS).select("row", "col", r("coastal"))
 
 
-@query("pl", f"""+ pairs AS (SELECT pl.plume_id, fac.name, fac.layer, fac.layer_ord, fac.fac_id, {KM.format(a="pl", b="fac")} AS km FROM pl JOIN fac ON abs(pl.lat - fac.lat) < 0.1 AND {KM.format(a="pl", b="fac")} <= 10),
-    a AS (SELECT *, row_number() OVER (PARTITION BY plume_id ORDER BY km, layer_ord, fac_id) AS k FROM pairs),
-    p AS (SELECT *, row_number() OVER (PARTITION BY plume_id ORDER BY km, layer_ord, fac_id) AS k FROM pairs WHERE layer IN ('coal_mines', 'gas_plants'))
+def _associated_sql(rows: str) -> str:
+    """pairs of rows with vertices within 10 km, and their nearest ones: a of any layer, p of point layers."""
+    return f"""pairs AS (SELECT q.plume_id, v.name, v.layer, v.layer_ord, v.feature_ord, v.vertex_ord, {KM.format(a="q", b="v")} AS km FROM {binned(rows, 0.2)} q JOIN {spread("vtx", 0.2)} v ON q.bx = v.bx AND q.by = v.by AND {KM.format(a="q", b="v")} <= 10),
+    a AS (SELECT *, row_number() OVER (PARTITION BY plume_id ORDER BY km, layer_ord, feature_ord, vertex_ord) AS k FROM pairs),
+    p AS (SELECT *, row_number() OVER (PARTITION BY plume_id ORDER BY km, layer_ord, feature_ord, vertex_ord) AS k FROM pairs WHERE layer IN ('coal_mines', 'gas_plants'))"""
+
+
+BAND = "CASE WHEN a.km IS NULL THEN 'none within 10 km' WHEN p.km IS NULL THEN 'linear-only' WHEN p.km <= 1 THEN 'high' WHEN p.km <= 3 THEN 'medium' ELSE 'low' END"
+
+
+@query("pl vtx", "+ " + _associated_sql("pl") + f"""
     SELECT pl.plume_id, coalesce(p.name, a.name) AS nearest_name, coalesce(p.layer, a.layer) AS nearest_layer, round_even(coalesce(p.km, a.km), 2) AS nearest_km, p.name AS facility_name, round_even(p.km, 2) AS facility_km,
-    CASE WHEN a.km IS NULL THEN 'none within 10 km' WHEN p.km IS NULL THEN 'linear-only' WHEN p.km <= 1 THEN 'high' WHEN p.km <= 3 THEN 'medium' ELSE 'low' END AS association
-    FROM pl LEFT JOIN a ON a.plume_id = pl.plume_id AND a.k = 1 LEFT JOIN p ON p.plume_id = pl.plume_id AND p.k = 1""")
+    {BAND} AS association FROM pl LEFT JOIN a ON a.plume_id = pl.plume_id AND a.k = 1 LEFT JOIN p ON p.plume_id = pl.plume_id AND p.k = 1""")
 def nearest_point_and_any(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest infrastructure of each detection, a point before a line, and its band."""
-    return _associated(views.plumes(spark, d).select("plume_id", "lon", "lat"), views.facilities(spark, d)).select("plume_id", "nearest_name", "nearest_layer", r("nearest_km", 2), "facility_name", r("facility_km", 2), "association")
+    """The nearest infrastructure of each detection, a point before a line, and its band."""
+    return _associated(views.plumes(spark, d).select("plume_id", "lon", "lat"), views.vertices(spark, d)).select("plume_id", "nearest_name", "nearest_layer", r("nearest_km", 2), "facility_name", r("facility_km", 2), "association")
 
 
-def _associated(plumes: DataFrame, fac: DataFrame) -> DataFrame:
-    out = spatial.nearest_two(plumes, vertices(fac))
+def _associated(plumes: DataFrame, vertices: DataFrame) -> DataFrame:
+    out = spatial.nearest_two(plumes, vertices)
     band = labels.association(F.col("facility_km"), F.col("nearest_km"), F.col("nearest_layer"))
     first = lambda a, b: F.coalesce(a, b)
     return out.withColumn("association", band).withColumns({f"nearest_{k}": first(f"facility_{k}", f"nearest_{k}") for k in ("name", "layer", "km")})
 
 
-@query("pl", f"""+ q AS (SELECT * FROM pl WHERE plume_id % 100 = 0), f AS (SELECT q.plume_id AS point_id, fac.name, fac.layer, fac.layer_ord, fac.fac_id, {KM.format(a="q", b="fac")} AS km FROM q, fac)
-    SELECT point_id, name, layer, rank, round_even(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, layer_ord, fac_id) AS rank FROM f) WHERE rank <= 3""")
+@query("pl vtx", f"""+ q AS (SELECT plume_id, lon, lat FROM pl WHERE plume_id % 20 = 0), f AS (SELECT q.plume_id AS point_id, v.name, v.layer, v.layer_ord, v.feature_ord, min({KM.format(a="q", b="v")}) AS km FROM q, vtx v GROUP BY ALL)
+    SELECT point_id, name, layer, rank, round_even(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, layer_ord, feature_ord) AS rank FROM f) WHERE rank <= 3""")
 def knn3(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest features of points, at any distance; the stated points are every hundredth detection."""
-    points = views.plumes(spark, d).where("plume_id % 100 = 0").select(F.col("plume_id").alias("point_id"), "lon", "lat")
-    return spatial.nearest_features(points, vertices(views.facilities(spark, d))).select("point_id", "name", "layer", F.col("rank").cast("long").alias("rank"), r("km", 3))
+    """The three nearest features of points, at any distance; the queries are the detections whose id 20 divides."""
+    points = views.plumes(spark, d).where("plume_id % 20 = 0").select(F.col("plume_id").alias("point_id"), "lon", "lat")
+    return spatial.nearest_features(points, views.vertices(spark, d)).select("point_id", "name", "layer", F.col("rank").cast("long").alias("rank"), r("km", 3))
 
 
-@query("pl", f"""SELECT fac.fac_id, count(pl.plume_id) AS nearby_other_facility FROM fac LEFT JOIN pl ON abs(pl.lat - fac.lat) < 0.1 AND {KM.format(a="fac", b="pl")} <= 10
-    AND NOT (pl.facility_name IS NOT DISTINCT FROM fac.name AND pl.facility_layer IS NOT DISTINCT FROM fac.layer) GROUP BY fac.fac_id""")
+@query("pl", f"""+ n AS (SELECT f.fac_id, count(*) AS c FROM {binned("fac", 0.2)} f JOIN {spread("pl", 0.2)} p ON f.bx = p.bx AND f.by = p.by AND {KM.format(a="f", b="p")} <= 10
+    AND NOT (p.facility_name IS NOT DISTINCT FROM f.name AND p.facility_layer IS NOT DISTINCT FROM f.layer) GROUP BY f.fac_id) SELECT fac.fac_id, coalesce(c, 0) AS nearby_other_facility FROM fac LEFT JOIN n USING (fac_id)""")
 def nearby_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     """Detections near each facility that are attributed elsewhere or to nothing."""
     p = views.plumes(spark, d).select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "facility_name", "facility_layer")
@@ -239,8 +268,6 @@ def status_tally(spark: SparkSession, d: str) -> DataFrame:
 def top_facilities(spark: SparkSession, d: str) -> DataFrame:
     """A report of the fifteen facilities with most detections, then overpasses."""
     top = _records(spark, d).orderBy(F.desc("detections"), F.desc(F.coalesce("emit_overpasses", F.lit(0))), "fac_id").limit(15)
-    from pyspark.sql import Window
-
     k = F.row_number().over(Window.orderBy(F.desc("detections"), F.desc(F.coalesce("emit_overpasses", F.lit(0))), "fac_id"))
     return top.select("fac_id", "detections", "emit_overpasses", k.cast("long").alias("k"))
 
@@ -260,7 +287,7 @@ def new_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pl", "SELECT provider, count(*) AS n FROM pl WHERE provider IN ('view', 'click') GROUP BY provider")
 def provider_regression(spark: SparkSession, d: str) -> DataFrame:
-    """Providers that fell silent."""
+    """Providers that fell silent."""
     p = views.plumes(spark, d)
     count = lambda x: x.groupBy("provider").agg(F.count("*").alias("n"))
     return fac_ops.regressions(count(p), count(p.where(~F.col("provider").isin("view", "click"))))
@@ -308,42 +335,79 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(matching.tokens(name)), " ").alias("words"))
 
 
-CER = f"""+ ft AS (SELECT fac_id AS a, layer, state AS a_state, {sql_tokens("name || ' ' || (fac_id % 50)::VARCHAR || 'x'")} AS ftok FROM fac WHERE fac_id % 4 < 2),
-    ct AS (SELECT s_suppkey AS b, {sql_tokens("p_name || ' Pty Ltd ' || (s_suppkey % 50)::VARCHAR || 'x'")} AS ctok, CASE s_suppkey % 3 WHEN 0 THEN 'qld' WHEN 1 THEN 'VIC' ELSE '' END AS b_state,
-           CASE s_suppkey % 2 WHEN 0 THEN 'Coal mining' ELSE 'Gas supply' END AS industry FROM supplier JOIN part ON p_partkey = s_suppkey),
-    sc AS (SELECT a, b, layer, a_state, b_state, industry, len(list_intersect(ftok, ctok)) AS overlap, list_max(list_transform(list_intersect(ftok, ctok), lambda t: length(t))) AS longest, least(len(ftok), len(ctok)) AS size FROM ft, ct WHERE len(list_intersect(ftok, ctok)) > 0),
-    pairs AS (SELECT a, b, CASE WHEN layer = 'coal_mines' AND NOT contains(lower(industry), 'coal') THEN 0 WHEN layer = 'gas_plants' AND NOT contains(lower(industry), 'gas') THEN 0
-           ELSE overlap / size + CASE WHEN a_state = '' OR b_state = '' THEN 0 WHEN upper(a_state) = upper(b_state) THEN 0.25 ELSE -0.6 END + 0.2 - CASE WHEN overlap = 1 AND longest <= 4 THEN 0.3 ELSE 0 END END AS score FROM sc)
+CER = f"""+ ft AS (SELECT DISTINCT layer || '::' || name AS a, layer, a_state, {sql_tokens("name")} AS ftok FROM (SELECT layer, state AS a_state, name || ' ' || (fac_id % 30)::VARCHAR || 'x' AS name FROM fac)),
+    ct AS (SELECT cer_name AS b, any_value(b_ord) AS b_ord, any_value(b_state) AS b_state, any_value(industry) AS industry, any_value({sql_tokens("cer_name")}) AS ctok, any_value(operator) AS operator, any_value(methane) AS methane
+           FROM (SELECT p_name || ' Pty Ltd ' || (s_suppkey % 50)::VARCHAR || 'x' AS cer_name, min(s_suppkey) OVER (PARTITION BY p_name, s_suppkey % 50) AS first, s_suppkey, s_suppkey AS b_ord, CASE s_suppkey % 3 WHEN 0 THEN 'qld' WHEN 1 THEN 'VIC' ELSE '' END AS b_state,
+                 CASE s_suppkey % 2 WHEN 0 THEN 'Coal mining' ELSE 'Gas supply' END AS industry, CASE WHEN s_suppkey % 4 <> 0 THEN s_name ELSE '' END AS operator, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal * 1e3 END AS methane
+                 FROM supplier JOIN part ON p_partkey = s_suppkey) WHERE s_suppkey = first GROUP BY 1),
+    fo AS (SELECT a, min(fac_id) AS a_ord FROM (SELECT layer || '::' || name || ' ' || (fac_id % 30)::VARCHAR || 'x' AS a, fac_id FROM fac) GROUP BY a),
+    fk AS (SELECT f.* FROM ft f JOIN fo ON fo.a = f.a JOIN fac ON fac.fac_id = fo.a_ord AND fac.state = f.a_state),
+    fw AS (SELECT *, unnest(ftok) AS w FROM fk), cw AS (SELECT *, unnest(ctok) AS w FROM ct),
+    sc AS (SELECT fw.a, cw.b, a_ord, b_ord, layer, a_state, b_state, industry, count(*) AS overlap, max(length(w)) AS longest, any_value(least(len(ftok), len(ctok))) AS size FROM fw JOIN cw USING (w) JOIN fo ON fo.a = fw.a GROUP BY ALL),
+    scored AS (SELECT a, b, a_ord, b_ord, CASE WHEN layer = 'coal_mines' AND NOT contains(lower(industry), 'coal') THEN 0 WHEN layer = 'gas_plants' AND NOT contains(lower(industry), 'gas') THEN 0
+           ELSE overlap / size + CASE WHEN a_state = '' OR b_state = '' THEN 0 WHEN upper(a_state) = upper(b_state) THEN 0.25 ELSE -0.6 END + CASE WHEN layer IN ('coal_mines', 'gas_plants') THEN 0.2 ELSE 0 END - CASE WHEN overlap = 1 AND longest <= 4 THEN 0.3 ELSE 0 END END::DOUBLE AS score FROM sc),
+    pairs AS (SELECT * FROM scored WHERE score >= 0.6),
+    -- The best pair of both its sides is accepted, and what shares a side with it goes; st: 0 open, 1 accepted, 2 gone.
+    mw AS (SELECT a, b, row_number() OVER (ORDER BY score DESC, a_ord, b_ord) AS rk, 0 AS st, 0 AS k FROM pairs WHERE score >= 0.95 UNION ALL
+           SELECT a, b, rk, CASE WHEN st <> 0 THEN st WHEN ta OR tb THEN 2 WHEN rk = ra AND rk = rb THEN 1 ELSE 0 END, k + 1 FROM
+           (SELECT *, min(rk) FILTER (st = 0) OVER (PARTITION BY a) AS ra, min(rk) FILTER (st = 0) OVER (PARTITION BY b) AS rb, bool_or(st = 1) OVER (PARTITION BY a) AS ta, bool_or(st = 1) OVER (PARTITION BY b) AS tb, count(*) FILTER (st = 0) OVER () AS left_ FROM mw) WHERE left_ > 0),
+    accepted AS (SELECT a, b FROM mw WHERE st = 1 AND k = (SELECT max(k) FROM mw))
     """
 
 
-def _score_pairs(spark: SparkSession, d: str) -> DataFrame:
-    f = views.facilities(spark, d).where("fac_id % 4 < 2")
-    fac = f.select(F.col("fac_id").alias("a"), F.col("fac_id").alias("a_ord"), F.col("state").alias("a_state"), "layer", matching.tokens(F.concat("name", F.lit(" "), (F.col("fac_id") % 50).cast("string"), F.lit("x"))).alias("a_tokens"))
+def _facility_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Facilities by layer and name, the first of each, with their words."""
+    name = F.concat("name", F.lit(" "), (F.col("fac_id") % 30).cast("string"), F.lit("x"))
+    named = views.facilities(spark, d).withColumn("name", name)
+    first = named.groupBy("layer", "name").agg(F.min_by(F.struct("fac_id", "state"), "fac_id").alias("f"))
+    return first.select("layer", "name", F.concat("layer", F.lit("::"), "name").alias("a"), F.col("f.fac_id").alias("a_ord"), F.col("f.state").alias("a_state"), matching.tokens(F.col("name")).alias("a_tokens"))
+
+
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    """Reported rows by name, the first of each."""
     s = read_table(spark, d, "supplier").join(read_table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"))
-    state = F.element_at(F.array(F.lit("qld"), F.lit("VIC"), F.lit("")), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    words = matching.tokens(F.concat("p_name", F.lit(" Pty Ltd "), (F.col("s_suppkey") % 50).cast("string"), F.lit("x")))
-    cer = s.select(F.col("s_suppkey").alias("b"), F.col("s_suppkey").alias("b_ord"), state.alias("b_state"), F.when(F.col("s_suppkey") % 2 == 0, "Coal mining").otherwise("Gas supply").alias("industry"), words.alias("b_tokens"))
-    return matching.score_pairs(fac, cer)
+    k = F.col("s_suppkey")
+    state = F.element_at(F.array(F.lit("qld"), F.lit("VIC"), F.lit("")), (k % 3 + 1).cast("int"))
+    name = F.concat("p_name", F.lit(" Pty Ltd "), (k % 50).cast("string"), F.lit("x"))
+    row = F.struct(k.alias("b_ord"), state.alias("b_state"), F.when(k % 2 == 0, "Coal mining").otherwise("Gas supply").alias("industry"), F.when(k % 4 != 0, F.col("s_name")).otherwise("").alias("operator"), F.when(k % 5 != 0, F.col("s_acctbal") * F.lit(1e3)).alias("methane_tco2e"))
+    first = s.groupBy(name.alias("b")).agg(F.min_by(row, k).alias("f"))
+    return first.select("b", "f.*", matching.tokens(F.col("b")).alias("b_tokens"))
+
+
+def _score_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(matching.score_pairs(_facility_keys(spark, d), _reported(spark, d)), "pairs")
 
 
 @query("fac", CER + "SELECT a, b, round_even(score, 4) AS score FROM pairs")
 def match_score(spark: SparkSession, d: str) -> DataFrame:
-    """Score of each facility and reported row that share a word."""
+    """The pairs of a facility and a reported name that score enough for a review."""
     return _score_pairs(spark, d).select("a", "b", r("score"))
 
 
-@query()
+@query("fac", CER + "SELECT a, b, round_even(score, 4) AS score FROM pairs JOIN accepted USING (a, b)")
 def match_accepted(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matches, best score first."""
-    return greedy.match_one_to_one(_score_pairs(spark, d).where("score >= 0.95")).select("a", "b", r("score"))
+    return greedy.match_one_to_one(_score_pairs(spark, d).where(F.col("score") >= matching.ACCEPT)).select("a", "b", r("score"))
 
 
-@query()
+@query("fac", CER + "SELECT a, b, round_even(score, 4) AS score FROM pairs WHERE score < 0.95 AND a NOT IN (SELECT a FROM accepted) AND b NOT IN (SELECT b FROM accepted) ORDER BY score DESC, a, b")
 def review_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs for review, of sides that weren't accepted."""
-    pairs = materialise(_score_pairs(spark, d), "pairs")
-    return greedy.review_pairs(pairs, greedy.match_one_to_one(pairs.where("score >= 0.95"))).select("a", "b", r("score"))
+    """Pairs for review, of sides that weren't accepted, best first."""
+    pairs = _score_pairs(spark, d)
+    return greedy.review_pairs(pairs, greedy.match_one_to_one(pairs.where(F.col("score") >= matching.ACCEPT))).select("a", "b", r("score")).orderBy(F.desc("score"), "a", "b")
+
+
+@query("fac", CER + """SELECT f.a, m.b AS cer_name, round_even(m.score, 2) AS cer_match_score, coalesce(nullif(ct.operator, ''), 'own') AS operator, round_even(CASE WHEN methane > 0 THEN methane END, 0) AS reported_methane_tco2e,
+    round_even(CASE WHEN methane > 0 THEN methane END / 28, 0) AS reported_ch4_tonnes_yr, round_even(CASE WHEN methane > 0 THEN methane END / 28 * 1000 / 8760, 0) AS reported_avg_kg_hr
+    FROM fk f LEFT JOIN (SELECT a, b, score FROM pairs JOIN accepted USING (a, b)) m USING (a) LEFT JOIN ct ON ct.b = m.b""")
+def reported_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Facilities with the figures of their accepted match."""
+    accepted = greedy.match_one_to_one(_score_pairs(spark, d).where(F.col("score") >= matching.ACCEPT))
+    fac = _facility_keys(spark, d).withColumn("operator", F.lit("own"))
+    held = accepted.join(fac.select("a", "layer", "name"), "a").withColumnRenamed("b", "cer_name")
+    reported = _reported(spark, d).withColumn("covered_tco2e", F.lit(None).cast("double")).withColumn("baseline", F.lit(None).cast("double")).withColumnRenamed("b", "cer_name")
+    out = matching.apply_matches(fac, held, reported)
+    return out.select("a", "cer_name", "cer_match_score", "operator", "reported_methane_tco2e", "reported_ch4_tonnes_yr", "reported_avg_kg_hr")
 
 
 @query("", "SELECT o_orderkey AS id, round_even(o_totalprice / 28 * 1000 / 8760, 0) AS avg_kg_hr, round_even(o_totalprice / 7 * 1000, 1) AS kg_hr, round_even(o_totalprice / 7.3::DOUBLE / 3.6, 1) AS ms FROM orders")
@@ -404,14 +468,30 @@ def elongation(spark: SparkSession, d: str) -> DataFrame:
     return imagestack.elongation(x, ["site", "scene"]).select("site", "scene", "n", r("elongation", 3))
 
 
-@query()
+CROWD = "crowd AS (SELECT * REPLACE (lon - ((plume_id * 17) % 401 - 200) / 2040.0::DOUBLE AS lon, lat - ((plume_id * 29) % 401 - 200) / 2040.0::DOUBLE AS lat) FROM pl)"
+OWN_KM = "sqrt(pow((b.lon - a.lon) * 111.32 * cos(radians(b.lat)), 2) + pow((b.lat - a.lat) * 110.57, 2))"
+
+
+@query("ratios", """+ px AS (SELECT site, scene, row, col, row * 1048576 + col AS me FROM ratios WHERE ratio > 1),
+    lb AS (SELECT site, scene, me, row, col, me AS name, 0 AS k, TRUE AS changed FROM px UNION ALL
+           SELECT site, scene, me, row, col, least(name, low), k + 1, bool_or(low < name) OVER () FROM
+           (SELECT x.site, x.scene, x.me, x.row, x.col, x.name, any_value(x.k) AS k, min(y.name) AS low FROM lb x JOIN lb y ON x.site = y.site AND x.scene = y.scene AND y.row BETWEEN x.row - 1 AND x.row + 1 AND y.col BETWEEN x.col - 1 AND x.col + 1
+            WHERE x.changed GROUP BY x.site, x.scene, x.me, x.row, x.col, x.name)),
+    cl AS (SELECT site, scene, row, col, name AS cluster, count(*) OVER (PARTITION BY site, scene, name) AS size FROM lb WHERE k = (SELECT max(k) FROM lb))
+    SELECT site, scene, cluster, count(*) AS n, avg(row) + 0.5 AS row, avg(col) + 0.5 AS col FROM cl WHERE size >= 3 GROUP BY site, scene, cluster""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of bright pixels of each scene, with their size and centre."""
+    """Clusters of bright pixels of each scene, with their size and centre."""
     x = imagestack.masked_ratio(views.scenes(spark, d)).where("ratio > 1")
     return greedy.label_clusters(x, 3).groupBy("site", "scene", "cluster").agg(F.count("*").alias("n"), (F.avg("row") + 0.5).alias("row"), (F.avg("col") + 0.5).alias("col"))
 
 
-@query()
+def _crowd_edges(condition: str, cell: float, same: str) -> str:
+    return f"ed AS MATERIALIZED (SELECT a.id AS before, b.id AS after, a.rk FROM {binned('nd', cell)} a JOIN {spread('nd', cell)} b ON a.bx = b.bx AND a.by = b.by AND {same} AND a.rk < b.rk AND {condition})"
+
+
+@query("pl", "+ " + CROWD + ", nd AS (SELECT provider AS site, plume_id AS id, plume_id AS rk, day, lon, lat FROM crowd), " + _crowd_edges(f"{OWN_KM} < 0.25", 0.01, "a.site = b.site") + ", " + VERDICTS + """,
+    an AS (SELECT nd.*, coalesce(x.first, nd.id) AS anchor FROM nd LEFT JOIN (SELECT after, arg_min(before, rk) AS first FROM ed JOIN vd p ON p.id = before AND p.kept JOIN vd q ON q.id = after AND NOT q.kept GROUP BY after) x ON x.after = nd.id)
+    SELECT site, id AS ord, day AS date FROM an JOIN (SELECT anchor FROM an GROUP BY anchor HAVING min(day) = max(day)) USING (anchor)""")
 def drop_recurring(spark: SparkSession, d: str) -> DataFrame:
     """Detections that don't come back at one place on another date."""
     x = crowded(spark, d).select(F.col("provider").alias("site"), F.col("plume_id").alias("ord"), F.col("day").alias("date"), "lon", "lat")
@@ -430,28 +510,49 @@ def _deduped(spark: SparkSession, d: str) -> DataFrame:
     return greedy.dedupe_events(p.select("plume_id", "provider", "priority", "day", "lon", "lat", "rate", "datetime_utc"))
 
 
-@query()
+DEDUPED = "+ " + CROWD + """, nd AS (SELECT * REPLACE ('2024-01-0' || (plume_id % 3 + 1)::VARCHAR AS day), plume_id AS id, row_number() OVER (ORDER BY coalesce(list_position(['purchase', 'signup', 'view', 'click'], provider) - 1, 9), plume_id) AS rk FROM crowd),
+    """ + _crowd_edges(f"{KM.format(a='a', b='b')} <= 1 AND abs(a.lon - b.lon) <= 0.02 AND abs(a.lat - b.lat) <= 0.02", 0.02, "a.day = b.day") + ", " + VERDICTS + """,
+    ab AS (SELECT after AS plume_id, arg_min(before, rk) AS absorbed_by FROM ed JOIN vd p ON p.id = before AND p.kept JOIN vd q ON q.id = after AND NOT q.kept GROUP BY after),
+    notes AS (SELECT absorbed_by AS plume_id, string_agg(provider, '; ' ORDER BY rk) AS also_reported_by FROM ab JOIN nd USING (plume_id) GROUP BY 1),
+    dd AS (SELECT nd.*, absorbed_by, also_reported_by FROM nd LEFT JOIN ab USING (plume_id) LEFT JOIN notes USING (plume_id))"""
+
+
+@query("pl", DEDUPED + " SELECT plume_id, provider, absorbed_by, also_reported_by FROM dd")
 def dedupe_events(spark: SparkSession, d: str) -> DataFrame:
     """What each detection was absorbed by, and who else reported the kept ones."""
     return _deduped(spark, d).select("plume_id", "provider", "absorbed_by", "also_reported_by")
 
 
-@query()
+@query("pl vtx", DEDUPED + ", kp AS (SELECT * FROM dd WHERE absorbed_by IS NULL), " + _associated_sql("kp") + f"""
+    SELECT kp.plume_id, provider, datetime_utc, rate, coalesce(p.name, a.name) AS nearest_name, coalesce(p.layer, a.layer) AS nearest_layer, round_even(coalesce(p.km, a.km), 2) AS nearest_km, p.name AS facility_name, round_even(p.km, 2) AS facility_km,
+    {BAND} AS association, also_reported_by FROM kp LEFT JOIN a ON a.plume_id = kp.plume_id AND a.k = 1 LEFT JOIN p ON p.plume_id = kp.plume_id AND p.k = 1""")
 def plume_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Detections of all providers without duplicates, with their nearest infrastructure."""
+    """Q4: detections of all providers without duplicates, with their nearest infrastructure."""
+    return fused(spark, d).select("plume_id", "provider", "datetime_utc", "rate", "nearest_name", "nearest_layer", r("nearest_km", 2), "facility_name", r("facility_km", 2), "association", "also_reported_by")
+
+
+def fused(spark: SparkSession, d: str) -> DataFrame:
     kept = materialise(_deduped(spark, d).where("absorbed_by IS NULL").drop("absorbed_by", "priority"), "kept")
-    out = _associated(kept, views.facilities(spark, d))
-    return out.select("plume_id", "provider", "datetime_utc", "rate", "nearest_name", "nearest_layer", r("nearest_km", 2), "facility_name", r("facility_km", 2), "association", "also_reported_by")
+    return _associated(kept, views.vertices(spark, d))
 
 
-@query()
+HOTSPOTS = "+ " + INSIDE + ", spot AS (SELECT *, 108 + (col + 0.5) * 5e-2 AS lon, 1 - (row + 0.5) * 5e-2 AS lat, elevated / greatest(observed, 1) AS persistence FROM (" + _inside("stack", 9) + """) WHERE observed >= 8 AND elevated / greatest(observed, 1) >= 0.5),
+    nd AS (SELECT *, row_number() OVER (ORDER BY mean_anomaly DESC, row, col) AS id FROM spot),
+    ed AS MATERIALIZED (SELECT a.id AS before, b.id AS after FROM nd a JOIN nd b ON a.id < b.id AND abs(round_even(a.lon, 3) - b.lon) < 0.35 AND abs(round_even(a.lat, 3) - b.lat) < 0.35), """ + VERDICTS + ", hot AS (SELECT * FROM nd JOIN vd USING (id) WHERE kept)"
+
+
+def _hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """The persistent inner cells, the strongest of each neighbourhood."""
+    stack = materialise(grid.stack(_anomalies(spark, d)), "stack")
+    inside = grid.interior(stack.where("observed > 0").select("row", "col"), GRID_ROWS, GRID_COLS)
+    spots = grid.persistent(stack).join(inside, ["row", "col"], "left_semi")
+    return greedy.cluster_hotspots(materialise(spots.withColumn("lon", geo.cell_lon(F.col("col"))).withColumn("lat", geo.cell_lat(F.col("row"))), "spots"))
+
+
+@query("stack", HOTSPOTS + " SELECT row, col, round_even(lon, 3) AS lon, round_even(lat, 3) AS lat, round_even(mean_anomaly, 4) AS mean_anomaly, round_even(persistence, 4) AS persistence FROM hot")
 def cluster_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    """Persistent interior cells, the strongest of each neighbourhood."""
-    cells = materialise(_anomalies(spark, d), "anomalies")
-    stack = grid.stack(cells, min_months=3).where("mean_anomaly > 0")
-    inside = grid.interior(materialise(cells.select("row", "col").distinct(), "seen"), GRID_ROWS, GRID_COLS, 1)
-    spots = stack.join(inside, ["row", "col"], "left_semi").select("row", "col", geo.cell_lon(F.col("col")).alias("lon"), geo.cell_lat(F.col("row")).alias("lat"), "mean_anomaly", "persistence")
-    return greedy.cluster_hotspots(materialise(spots, "spots")).select("row", "col", r("lon", 3), r("lat", 3), r("mean_anomaly"), r("persistence"))
+    """Persistent interior cells, the strongest of each neighbourhood."""
+    return _hotspots(spark, d).select("row", "col", r("lon", 3), r("lat", 3), r("mean_anomaly"), r("persistence"))
 
 
 @query("pl", "+ w AS (SELECT user_id % 5 AS place, date_trunc('hour', ts) AS hour, avg(value) * 3 AS wind_from FROM events GROUP BY ALL) SELECT event_id, round_even((wind_from + 180) % 360, 0) AS toward FROM events JOIN w ON place = user_id % 5 AND hour = date_trunc('hour', ts)")
@@ -478,35 +579,39 @@ def _ramp_sql(share: str, anchors) -> str:
     return ", ".join(f"trunc(({v})[{low} + 1] + (({v})[{low} + 2] - ({v})[{low} + 1]) * ({at} - {low}))::INT AS {c}" for c, v in ((c, f"{[float(a[k]) for a in anchors]}::DOUBLE[]") for k, c in enumerate("rgb")))
 
 
-@query("anom", f"SELECT period, row, col, {_ramp_sql('(mean - 100) / (14000 - 100)', render.SEQUENTIAL)}, 235 AS alpha FROM anom")
+@query("anom", f"SELECT period, row, col, {_ramp_sql('(mean - 1800) / (1870 - 1800)', render.SEQUENTIAL)}, 235 AS alpha FROM anom")
 def colorize_mean(spark: SparkSession, d: str) -> DataFrame:
     """cells' colours on the sequential scale."""
-    return render.colorize(_anomalies(spark, d), "mean", 100.0, 14000.0).select("period", "row", "col", "r", "g", "b", "alpha")
+    return render.colorize(_anomalies(spark, d), "mean", 1800.0, 1870.0).select("period", "row", "col", "r", "g", "b", "alpha")
 
 
-@query("anom", f"SELECT period, row, col, {_ramp_sql('(anomaly / 4000 + 1) / 2', render.DIVERGING)}, trunc(245 * pow(least(abs(anomaly) / 4000, 1), 1.6))::INT AS alpha FROM anom WHERE anomaly IS NOT NULL UNION ALL SELECT period, row, col, 0, 0, 0, 0 FROM anom WHERE anomaly IS NULL")
+@query("anom", f"SELECT period, row, col, {_ramp_sql('(anomaly / 40 + 1) / 2', render.DIVERGING)}, trunc(245 * pow(least(abs(anomaly) / 40, 1), 1.6))::INT AS alpha FROM anom WHERE anomaly IS NOT NULL UNION ALL SELECT period, row, col, 0, 0, 0, 0 FROM anom WHERE anomaly IS NULL")
 def colorize_anomaly(spark: SparkSession, d: str) -> DataFrame:
     """cells' colours on the diverging scale, which fades towards the background."""
-    return render.colorize(_anomalies(spark, d), "anomaly", -4000.0, 4000.0, True).select("period", "row", "col", "r", "g", "b", "alpha")
+    return render.colorize(_anomalies(spark, d), "anomaly", -40.0, 40.0, True).select("period", "row", "col", "r", "g", "b", "alpha")
 
 
-@query("anom", "+ s AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY row, col) AS k FROM cells) SELECT period, count(*) AS n, round_even(quantile_cont(mean, 0.02), 4) AS low, round_even(quantile_cont(mean, 0.98), 4) AS high FROM s WHERE (k - 1) % 37 = 0 GROUP BY period")
+@query("anom", """+ s AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY row, col) AS k FROM cells), t AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY row, col) AS k FROM anom WHERE anomaly IS NOT NULL)
+    SELECT (SELECT round_even(quantile_cont(mean, 0.02), 4) FROM s WHERE (k - 1) % 37 = 0) AS low, (SELECT round_even(quantile_cont(mean, 0.98), 4) FROM s WHERE (k - 1) % 37 = 0) AS high,
+    (SELECT round_even(quantile_cont(abs(anomaly), 0.98), 4) FROM t WHERE (k - 1) % 37 = 0) AS anomaly_limit""")
 def subsample_scale(spark: SparkSession, d: str) -> DataFrame:
-    """The scale of each period from every 37th cell."""
-    s = grid.every_nth(_cells(spark, d))
-    return s.groupBy("period").agg(F.count("*").alias("n"), F.expr("percentile(mean, 0.02)").alias("low"), F.expr("percentile(mean, 0.98)").alias("high")).select("period", "n", r("low"), r("high"))
+    """The scales of all periods' colours, from every 37th cell of each period that has a value."""
+    cells = materialise(_anomalies(spark, d), "anomalies")
+    low, high = quantiles.quantiles(grid.every_nth(cells), "mean", [0.02, 0.98])
+    limit = quantiles.quantiles(grid.every_nth(cells.where("anomaly IS NOT NULL")).withColumn("size", F.abs("anomaly")), "size", [0.98])[0]
+    return _one_row(spark, {"low": low, "high": high, "anomaly_limit": limit})
 
 
 @query()
 def render_images(spark: SparkSession, d: str) -> DataFrame:
-    """An image of each period, with its size."""
-    colored = render.colorize(_anomalies(spark, d), "anomaly", -4000.0, 4000.0, True)
+    """An image of each period, with its size."""
+    colored = render.colorize(_anomalies(spark, d), "anomaly", -40.0, 40.0, True)
     return render.images(colored, GRID_ROWS, GRID_COLS).select("period", F.octet_length("image").alias("bytes"), F.sha2("image", 256).alias("sha256"))
 
 
 @query("pl", "SELECT days, count(*) FILTER (day >= strftime(DATE '2024-01-30' - days::INT, '%Y-%m-%d')) AS shown, count(*) FILTER (date_diff('day', day::DATE, DATE '2024-01-30') <= days) AS counted FROM pl, (SELECT unnest([3, 7, 14, 30]) AS days) GROUP BY days")
 def recency_view(spark: SparkSession, d: str) -> DataFrame:
-    """Detections by recency, once by text and once by age."""
+    """Detections by recency, once by text and once by age."""
     p = views.plumes(spark, d).withColumn("days", F.explode(F.array(*[F.lit(x) for x in (3, 7, 14, 30)])))
     shown = F.col("day") >= F.date_sub(F.lit("2024-01-30").cast("date"), F.col("days")).cast("string")
     return p.groupBy("days").agg(F.count_if(shown).alias("shown"), F.count_if(labels.age_days(F.col("day"), "2024-01-30") <= F.col("days")).alias("counted"))
@@ -514,7 +619,7 @@ def recency_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pl", "SELECT plume_id, CASE WHEN rate IS NOT NULL THEN least(9, 3 + rate / 400) ELSE 4 END AS far, CASE WHEN rate IS NOT NULL THEN least(22, 7 + rate / 150) ELSE 9 END AS near, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[floor(((plume_id * 7) % 360 + 22.5) % 360 / 45)::INT + 1] AS octant FROM pl")
 def radius_and_compass(spark: SparkSession, d: str) -> DataFrame:
-    """circles' radii and the octants of directions."""
+    """circles' radii and the octants of directions."""
     rate = F.col("rate")
     return views.plumes(spark, d).select("plume_id", labels.circle_radius(rate, False).alias("far"), labels.circle_radius(rate, True).alias("near"), labels.compass((F.col("plume_id") * 7) % 360).alias("octant"))
 

@@ -1,6 +1,6 @@
 """Every registered query of the core library and its SQL."""
 
-from emberline.plans import feeds
+from emberline.plans import feeds, imagery, records
 from emberline.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "feeds"]
+__all__ = ["QUERIES", "SQL", "feeds", "imagery", "records"]

@@ -10,12 +10,14 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, labels
+from emberline.operators.layers import northern
 from emberline.sources.shared import materialise
 
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
@@ -102,11 +104,24 @@ def archive_members(spark: SparkSession, path: str, kind: str, want: str) -> Dat
 
 
 def gas_routes(spark: SparkSession, path: str) -> DataFrame:
-    """Routes in tar archives of GeoJSON files; files that aren't JSON are skipped; the id is the name before a hyphen."""
+    """Routes of the north in tar archives of GeoJSON files, of the folders of gas and of liquid pipelines alone.
+
+    Files that aren't JSON are skipped. The id is the file's name before a hyphen and the feature's own, or its place.
+    """
     parsed = archive_members(spark, path, "tar", ".geojson").withColumn("c", F.from_json("text", "features array<struct<properties string, geometry string>>"))
-    rows = parsed.where(F.col("c.features").isNotNull()).select("member", F.posexplode("c.features").alias("ord", "f")).select("member", "ord", "f.properties", "f.geometry").where(F.col("geometry").isNotNull())
-    out = infrastructure(rows, "pipelines_gas", prop("name"), F.lit(None), "gem:", F.split_part(F.regexp_extract("member", r"([^/]+)\.geojson$", 1), F.lit("-"), F.lit(1)), member=F.col("member"))
-    return out.withColumn("layer", F.when(F.col("member").contains("gas"), "pipelines_gas").otherwise("pipelines_oil"))
+    return routes(parsed.where(F.col("c.features").isNotNull()).select("member", F.posexplode("c.features").alias("ord", "f")).select("member", "ord", "f.properties", "f.geometry"))
+
+
+def routes(members: DataFrame) -> DataFrame:
+    """The routes of the north among features (member, ord, properties, geometry) of files."""
+    kind = F.when(F.col("member").contains("/data/individual-routes/gas-pipelines/"), "gas").when(F.col("member").contains("/data/individual-routes/liquid-pipelines/"), "liquid")
+    rows = members.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("geometry").isNotNull())
+    project = F.split_part(F.regexp_extract("member", r"([^/]+)\.geojson$", 1), F.lit("-"), F.lit(1))
+    key = F.concat(project, F.lit(":"), F.coalesce(prop("OBJECTID"), F.col("ord").cast("string")))
+    name = F.coalesce(prop("name"), F.concat(F.lit("GEM pipeline "), project))
+    subtype = F.lower(F.concat(F.coalesce(prop("Product"), "kind"), F.lit(" pipeline")))
+    out = infrastructure(rows, "pipelines_gas", name, F.lit(None).cast("string"), "gem:", key, kind=F.col("kind"), subtype=subtype, state=prop("State"), length_km=labels.number(prop("Length")))
+    return out.withColumn("layer", F.when(F.col("kind") == "gas", "pipelines_gas").otherwise("pipelines_oil")).where(northern(F.col("coords"))).drop("kind")
 
 
 def _in_region(df: DataFrame) -> DataFrame:
@@ -121,16 +136,22 @@ def carbon_mapper(spark: SparkSession, path: str) -> DataFrame:
     return _in_region(rows.select(F.concat(F.lit("cm:"), F.coalesce("plume_id", "id")).alias("plume_id"), F.lit("Carbon Mapper").alias("provider"), "instrument", F.col("scene_timestamp").alias("datetime_utc"), point["lon"].alias("lon"), point["lat"].alias("lat"), F.col("emission_auto").alias("emission_kg_hr"), F.col("emission_uncertainty_auto").alias("uncertainty_kg_hr"), "sector"))
 
 
-def emit(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of granules: the mean of the first polygon's vertices, else the first point, else the first rectangle's middle."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "items array<struct<umm: string>>").getField("items")).alias("i")).select(F.col("i.umm").alias("umm"))
+def emit_location(umm: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a granule's metadata: the mean of the first polygon's vertices, else the first point, else the first rectangle's middle."""
     at = "$.SpatialExtent.HorizontalSpatialDomain.Geometry"
-    ring = F.from_json(F.get_json_object("umm", f"{at}.GPolygons[0].Boundary.Points"), "array<struct<Longitude: double, Latitude: double>>")
-    number = lambda p: F.get_json_object("umm", f"{at}.{p}").try_cast("double")
+    ring = F.from_json(F.get_json_object(umm, f"{at}.GPolygons[0].Boundary.Points"), "array<struct<Longitude: double, Latitude: double>>")
+    number = lambda p: F.get_json_object(umm, f"{at}.{p}").try_cast("double")
     mean = lambda c: F.try_divide(F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[c]), F.size(ring))
     box = "BoundingRectangles[0]"
     lon = F.coalesce(mean("Longitude"), number("Points[0].Longitude"), (number(f"{box}.WestBoundingCoordinate") + number(f"{box}.EastBoundingCoordinate")) / 2)
     lat = F.coalesce(mean("Latitude"), number("Points[0].Latitude"), (number(f"{box}.SouthBoundingCoordinate") + number(f"{box}.NorthBoundingCoordinate")) / 2)
+    return lon, lat
+
+
+def emit(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of granules, located by their metadata."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "items array<struct<umm: string>>").getField("items")).alias("i")).select(F.col("i.umm").alias("umm"))
+    lon, lat = emit_location(F.col("umm"))
     when = F.coalesce(F.get_json_object("umm", "$.TemporalExtent.SingleDateTime"), F.get_json_object("umm", "$.TemporalExtent.RangeDateTime.BeginningDateTime"))
     none = F.lit(None)
     return _in_region(rows.select(F.concat(F.lit("emit:"), F.get_json_object("umm", "$.GranuleUR")).alias("plume_id"), F.lit("EMIT").alias("provider"), F.lit("EMIT").alias("instrument"), when.alias("datetime_utc"), lon.alias("lon"), lat.alias("lat"), none.cast("double").alias("emission_kg_hr"), none.cast("double").alias("uncertainty_kg_hr"), none.cast("string").alias("sector")))
@@ -158,7 +179,7 @@ def latest_weekly(links: DataFrame) -> DataFrame:
 
 
 def imeo(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files in zip archives, parsed a file by its task and typed here."""
+    """CSV files in zip archives, parsed a file by its task and typed here; or a folder of CSV files, where the path ends in a slash."""
     names = ["id_plume", "lat", "lon", "satellite", "tile_date", "ch4_fluxrate", "ch4_fluxrate_std", "sector"]
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,40 +188,49 @@ def imeo(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(csv.DictReader(io.StringIO(text)))
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(n) or None for r in rows], pa.string()) for n in names], names)
 
-    raw = archive_members(spark, path, "zip", ".csv").select("text").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
+    if path.endswith("/"):
+        raw = spark.read.csv(path, header=True, encoding="UTF-8")
+        raw = raw.select(*[F.nullif(n, F.lit("")).alias(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names])
+    else:
+        raw = archive_members(spark, path, "zip", ".csv").select("text").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
     value = lambda c: labels.number(F.col(c))
     return _in_region(raw.select(F.concat(F.lit("imeo:"), "id_plume").alias("plume_id"), F.lit("IMEO").alias("provider"), F.col("satellite").alias("instrument"), F.col("tile_date").alias("datetime_utc"), value("lon").alias("lon"), value("lat").alias("lat"), value("ch4_fluxrate").alias("emission_kg_hr"), value("ch4_fluxrate_std").alias("uncertainty_kg_hr"), F.nullif(F.trim("sector"), F.lit("")).alias("sector")))
 
 
+FIGURES = {"name": ("facility", "name"), "operator": ("emitter",), "state": ("state",), "industry": ("anzsic",), "methane": ("methane",), "covered": ("covered",), "baseline": ("baseline",)}
+
+
 def reported_figures(spark: SparkSession, path: str) -> DataFrame:
-    """A table of reported figures whose header is the first of the first 25 lines with "facility" and three commas.
+    """Tables of reported figures, each with its own header: the first of a file's first 25 lines with "facility" and three commas.
 
-    The lines are read as text and numbered in the file; UTF-8 where the bytes are valid, else Windows-1252.
+    UTF-8 where a file's bytes are valid, else Windows-1252. A column is the first whose name has the words sought; a
+    file without a header gives no rows, and without any header at all there is a ValueError. Rows without a name go.
     """
+    shape = "file string, n int, line string"
+
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     text = content.decode("utf-8-sig")
                 except UnicodeDecodeError:
                     text = content.decode("cp1252", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
-
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "text string")
-    lines = raw.select(F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
-    lines = materialise(lines, "lines")
-    head = lines.where((F.col("n") < 25) & F.lower("line").contains("facility") & (F.length(F.regexp_replace("line", "[^,]", "")) >= 3)).orderBy("n").first()
-    if head is None:
+                held = [(n, x) for n, x in enumerate(text.replace("\r\n", "\n").split("\n")) if x.strip()]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(held), pa.string()), pa.array([n for n, _ in held], pa.int32()), pa.array([x for _, x in held], pa.string())], ["file", "n", "line"])
+
+    lines = materialise(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, shape), "lines")
+    cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda x: F.trim(F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))))
+    is_head = (F.col("n") < 25) & F.lower("line").contains("facility") & (F.length(F.regexp_replace("line", "[^,]", "")) >= 3)
+    heads = lines.where(is_head).groupBy("file").agg(F.min_by(F.struct("n", "line"), "n").alias("h"))
+    names = F.transform(cells(F.col("h.line")), F.lower)
+    at = lambda words: F.array_position(F.transform(names, lambda x: reduce(lambda a, w: a & x.contains(w), words, F.lit(True))), F.lit(True)).cast("int")
+    heads = materialise(heads.select("file", F.col("h.n").alias("head"), *[at(words).alias(k) for k, words in FIGURES.items()]), "heads")
+    if not heads.limit(1).count():
         raise ValueError("no header line")
-    names = next(csv.reader([head["line"]]))
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = lines.where(F.col("n") > head["n"]).select("n", F.from_csv("line", schema).alias("r")).select("n", "r.*")
-    at = {x.strip().lower(): f"c{i}" for i, x in enumerate(names)}
-    pick = lambda *words: next((F.trim(at[n]) for n in at if all(w in n for w in words)), F.lit(None).cast("string"))
-    out = rows.select(
-        pick("facility", "name").alias("name"), pick("emitter").alias("operator"), pick("state").alias("state"), pick("anzsic").alias("industry"),
-        labels.reported_number(pick("methane")).alias("methane_tco2e"), labels.reported_number(pick("covered")).alias("covered_tco2e"), labels.reported_number(pick("baseline")).alias("baseline"),
-    )
+    rows = lines.join(heads, "file").where(F.col("n") > F.col("head")).withColumn("cells", cells(F.col("line")))
+    value = {k: F.when(F.col(k) > 0, F.try_element_at("cells", F.col(k))) for k in FIGURES}
+    number = labels.reported_number
+    out = rows.select(*[value[k].alias(k) for k in ("name", "operator", "state", "industry")], number(value["methane"]).alias("methane_tco2e"), number(value["covered"]).alias("covered_tco2e"), number(value["baseline"]).alias("baseline"))
     return out.where(F.coalesce("name", F.lit("")) != "")
 
 
@@ -228,3 +258,52 @@ def catalog_checks(entries: DataFrame, seen: DataFrame) -> DataFrame:
     each = entries.select("id", F.explode("urls").alias("u")).select("id", "u.*").where(F.col("requires").isNull())
     expect = F.when(F.coalesce(F.size("expect"), F.lit(0)) > 0, F.col("expect")).otherwise(F.array(F.lit(200)))
     return each.join(seen, "url", "left").withColumn("ok", F.coalesce(F.array_contains(expect, F.col("status")), F.lit(False))).select("id", "url", "status", "ok")
+
+
+def read_granules(granules: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The soundings of granules (id, content: JSON lists of records), and each granule's status: ok, empty or failed.
+
+    A granule that can't be read fails by itself. null content is a failure too.
+    """
+    parsed = granules.select("id", F.from_json("content", f"array<struct<{schema}>>").alias("s"), F.try_parse_json("content").isNotNull().alias("json"))
+    ok = F.col("s").isNotNull() & F.col("json")
+    status = F.when(~F.coalesce(ok, F.lit(False)), "failed").when(F.size("s") == 0, "empty").otherwise("ok")
+    return parsed.where(ok).select("id", F.inline("s")), parsed.select("id", status.alias("status"))
+
+
+def hourly(records: DataFrame) -> DataFrame:
+    """place, hour, speed and direction of records (place, time, wind_speed_10m, wind_direction_10m: arrays of one length)."""
+    each = records.select("place", F.explode(F.arrays_zip("time", "wind_speed_10m", "wind_direction_10m")).alias("h"))
+    return each.select("place", F.col("h.time").alias("hour"), F.col("h.wind_speed_10m").alias("speed"), F.col("h.wind_direction_10m").alias("direction"))
+
+
+def wind_at(plumes: DataFrame, wind: DataFrame, as_of: str) -> DataFrame:
+    """plumes (place, datetime_utc) with the wind of their place and hour, and where it is asked for: the archive after ten days.
+
+    Without an hour, a speed or a direction there is no wind.
+    """
+    stamp = F.regexp_replace("datetime_utc", "Z$", "").try_cast("timestamp_ntz")
+    hour = F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH"), F.lit(":00"))
+    age = F.datediff(F.lit(as_of).cast("date"), stamp.cast("date"))
+    held = wind.where("speed IS NOT NULL AND direction IS NOT NULL")
+    out = plumes.withColumn("hour", hour).withColumn("source", F.when(age > 10, "archive").when(age.isNotNull(), "forecast")).join(held, ["place", "hour"], "left")
+    return out.withColumns({"wind_from_deg": F.bround("direction", 0), "plume_toward_deg": labels.wind_toward(F.col("direction")), "wind_speed_ms": F.bround(F.col("speed") / 3.6, 1)}).drop("speed", "direction", "hour")
+
+
+def asset_queue(items: DataFrame, existing: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest items (key, datetime_utc, bounds) with bounds of four numbers, without those that are there already."""
+    newest = items.where(F.size("bounds") == 4).orderBy(F.desc("datetime_utc"), "key").limit(limit)
+    return newest.join(existing.select("key"), "key", "left_anti")
+
+
+def is_png(content: Column) -> Column:
+    return F.substring(content, 1, 4) == F.lit(b"\x89PNG")
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A state table, or an empty one where there is none or it can't be read."""
+    try:
+        held = spark.read.schema(schema).parquet(path)
+        return held if held.limit(1).count() else spark.createDataFrame([], schema)
+    except Exception:  # whatever is wrong with the state, a run starts afresh
+        return spark.createDataFrame([], schema)

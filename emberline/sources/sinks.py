@@ -41,3 +41,26 @@ def write_layers(df: DataFrame, path: str) -> DataFrame:
 
 def write_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def write_composites(cells: DataFrame, path: str) -> DataFrame:
+    """Composites (kind, period, row, col, mean, anomaly, n_obs) by kind and period, of which only those given are replaced; returns the index."""
+    cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "period").parquet(path)
+    return cells.groupBy("kind", "period").agg(F.count("*").alias("cells"), F.count("anomaly").alias("graded"))
+
+
+def load_stack(spark, path: str, kind: str) -> DataFrame:
+    """The composites of a kind."""
+    types = "mean double, anomaly double, n_obs bigint, row bigint, col bigint, kind string, period string"
+    return spark.read.schema(types).parquet(path).where(F.col("kind") == kind)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Records as JSON lines without null fields, in the order given."""
+    df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def keyed_by(df: DataFrame, key: str, order: str) -> DataFrame:
+    """key and items, the other columns of its rows as an array in order: a document by key, of keys that a row can hold."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("items"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import labels
-from emberline.operators import facilities, greedy, grid, imagestack, matching, render, spatial
+from emberline.operators import facilities, greedy, grid, imagestack, layers, matching, quantiles, render, spatial
 
 
 def km(a, b):
@@ -127,7 +127,7 @@ def test_scores_and_words(spark):
     assert words("APN01 Moranbah North (stage 2) Coal Mine", "No 3 Mine", None) == [["moranbah", "north"], [], None]
     f = spark.createDataFrame([("a", 1, ["moranbah"], "qld", "gas_plants"), ("b", 2, ["moranbah"], "QLD", "coal_mines"), ("c", 3, ["moranbah"], None, "pipelines_gas")], "a string, a_ord int, a_tokens array<string>, a_state string, layer string")
     c = spark.createDataFrame([("x", 1, ["moranbah", "mill"], "Qld", "Coal Mining"), ("y", 2, ["other"], "QLD", None)], "b string, b_ord int, b_tokens array<string>, b_state string, industry string")
-    assert {(r.a, r.b): round(r.score, 2) for r in matching.score_pairs(f, c).collect()} == {("a", "x"): 0.0, ("b", "x"): 1.45, ("c", "x"): 1.0}
+    assert {(r.a, r.b): round(r.score, 2) for r in matching.score_pairs(f, c).collect()} == {("b", "x"): 1.45, ("c", "x"): 1.0}
 
 
 def test_first_run_is_silent_and_regressions(spark):
@@ -144,11 +144,17 @@ def test_labels(spark):
     assert one(labels.compass(F.lit(350.0))) == "N" and one(labels.html_escape(F.lit('<a & "b">'))) == "&lt;a &amp; &quot;b&quot;&gt;"
     assert [one(labels.reported_number(F.lit(x))) for x in ("1,234", "-", "–", "$5", "x", " N/A ")] == [1234.0, None, None, 5.0, None, None]
     assert one(labels.token_expiry(F.lit("x.eyJleHAiOiAxNzAwMDAwMDAwfQ.y"))) == 1700000000 and one(labels.token_expiry(F.lit("bad"))) is None
-    assert one(labels.iso_date(F.lit("20260102"))) == "2026-01-02" and one(labels.config_value(F.lit(' " " '))) in (None, " ")
+    assert one(labels.iso_date(F.lit("20260102"))) == "2026-01-02" and one(labels.config_value(F.lit(' " " '))) is None and one(labels.config_value(F.lit(" 'a b' "))) == "a b"
     for n, o, want in ((1, None, "emitting"), (0, None, "unknown"), (0, 0, "blind spot"), (0, 10, "watched, no plume"), (0, 9, "under-observed")):
         assert one(labels.watch_status(F.lit(n), F.lit(o).cast("int"))) == want
-    values = F.array(*[F.lit(float(x)) for x in (3, 1, 2, 9)])
-    assert one(labels.upper_median(values)) == 3 and one(labels.array_median(values)) == 2.5 and one(labels.upper_median(F.array().cast("array<double>"))) is None
+    assert [one(labels.expiry_note(F.lit(e), F.lit(1000))) for e in (999, 1000 + 86400 * 7, 1000 + 86400 * 8)] == ["expired", "expires in 7 d", "valid 8 d"]
+    now = F.lit("2024-02-01 12:00:00").cast("timestamp")
+    assert [one(labels.days_ago(F.lit(t), now)) for t in ("2024-01-31T12:00:01Z", "2024-01-31T12:00:00Z", "x")] == [0, 1, None]
+    assert one(labels.image_corners(F.array(*map(F.lit, (1, 2, 3, 4))))) == [[1, 4], [3, 4], [3, 2], [1, 2]]
+    day = lambda x: F.lit(x).cast("date")
+    assert [tuple(map(str, p)) for p in one(labels.month_periods(day("2024-01-15"), day("2024-03-02")))] == [("2024-01", "2024-01-01", "2024-02-01"), ("2024-02", "2024-02-01", "2024-03-01"), ("2024-03", "2024-03-01", "2024-03-02")]
+    assert [tuple(map(str, p)) for p in one(labels.week_periods(day("2026-12-30"), day("2027-01-05")))] == [("2026-W53", "2026-12-28", "2027-01-04"), ("2027-W01", "2027-01-04", "2027-01-05")]
+    assert one(imagestack.tile_code(F.lit("S2A_T5AB_T55HBU_TX1ABC"))) == "T55HBU" and one(imagestack.tile_code(F.lit("a_b"))) is None
 
 
 def test_leave_one_out(spark):
@@ -176,6 +182,72 @@ def test_leave_one_out_gathers_no_scenes(spark, capsys):
     assert "collect_list" not in capsys.readouterr().out
 
 
+def test_history_takes_the_upper_median(spark):
+    rng = random.Random(13)
+    rows = [("p", str(i), rng.choice("ab"), "l", rng.choice([None, 0.0, 1.0, 2.0, 3.5, 7.0]), None, "t") for i in range(60)]
+    plumes = spark.createDataFrame(rows, "plume_id string, k string, facility_name string, facility_layer string, rate double, facility_km double, datetime_utc string").withColumn("provider", F.lit("x"))
+    fac = spark.createDataFrame([(x, "l") for x in "abc"], "name string, layer string")
+    for x in facilities.history(fac, plumes).collect():
+        rates = sorted(r[4] for r in rows if r[2] == x.name and r[4])
+        assert x.median_rate == (rates[len(rates) // 2] if rates else None) and x.detections == sum(r[2] == x.name for r in rows)
+
+
+def test_latitude_background(spark):
+    rng = random.Random(14)
+    cells = [("p", r, c, rng.random()) for r in range(60) for c in range(4) if rng.random() < 0.5 and r not in (7, 8)] + [("q", 3, 0, 1.0), ("q", 50, 0, 2.0)]
+    rows = {(x.period, x.row): x.background for x in grid.latitude_background(spark.createDataFrame(cells, "period string, row long, col long, mean double"), 60).collect()}
+    for p, r in [(p, r) for p in "pq" for r in range(60)]:
+        near = [v for q, y, _, v in cells if q == p and abs(y - r) <= 20]
+        assert abs(rows[p, r] - np.median(near if len(near) >= 50 else [v for q, *_, v in cells if q == p])) < 1e-12
+
+
+@pytest.mark.parametrize("limit", [5, 10_000])
+def test_quantiles(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "VALUES", limit)
+    rng = random.Random(15)
+    values = [rng.gauss(0, 1) for _ in range(3000)] + [1e9, -1e9] + [0.25] * 2000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.02, 0.5, 0.98, 0.99, 1.0]
+    assert np.allclose(quantiles.quantiles(df, "v", shares), np.quantile(values, shares), atol=1e-12)
+    assert quantiles.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_a_dense_spot_makes_no_pairs(spark):
+    rng = random.Random(16)
+    rows = [(i, "p", 0, "d", 110 + rng.random() / 1000, -20 + rng.random() / 1000) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "plume_id long, provider string, priority int, day string, lon double, lat double")
+    assert greedy.dedupe_events(df).where("absorbed_by = 0").count() == 19_999
+
+
+def test_sites_in_images(spark):
+    pixels = spark.createDataFrame([("g", r, c, float(r * 10 + c)) for r in range(10) for c in range(10)], "granule string, row int, col int, enh double")
+    sites = spark.createDataFrame([("g", "in", 5, 5, 10, 10), ("g", "edge", 0, 9, 10, 10), ("g", "out", 10, 5, 10, 10)], "granule string, site string, row int, col int, height int, width int")
+    n = {r.site: r["count"] for r in imagestack.sample(pixels, sites, ["granule"], "enh", 2, 55.0).groupBy("site").count().collect()}
+    assert n == {"in": 16} and imagestack.sample(pixels, sites, ["granule"], "enh", 2, 55.0).where("enh IS NULL").count() == 1
+    wide = {r.site: (r.valid, r.observed, r.excess_sigma is None) for r in imagestack.overpasses(pixels, sites, 4, 101).collect()}
+    assert wide == {"in": (1.0, True, True), "edge": (1.0, True, True)}
+    scenes = spark.createDataFrame([("A_T55HBU_x", "/eodata/k", "2024-01-01T00:00:00.000Z", [("cloudCover", "5"), ("cloudCover", "7.5")]), ("A", None, None, None)], "Name string, S3Path string, Start string, Attributes array<struct<Name string, Value string>>")
+    assert [tuple(r) for r in imagestack.scene_metadata(scenes).collect()] == [("A_T55HBU_x", "k", "2024-01-01T00:00:00", 7.5, "T55HBU"), ("A", "", "", None, None)]
+
+
+def test_routes_and_run_guard(spark):
+    line = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in p])
+    north = lambda *p: spark.range(1).select(layers.northern(line(*p))).first()[0]
+    assert north((141, -5)) and not north((140, -5)) and not north((141, -11)) and not north((170, -5)) and north((110, -40), (141, -5))
+    n = lambda rows: spark.createDataFrame(rows, "provider string, n int")
+    facilities.guard_regressions(n([("a", 1)]), n([("a", 2)]))
+    with pytest.raises(ValueError, match="a"):
+        facilities.guard_regressions(n([("a", 1)]), n([]))
+
+
+def test_colours_at_the_ends(spark):
+    cells = spark.createDataFrame([("p", 0, 0, 1850.0), ("p", 0, 1, 1900.0), ("p", 1, 0, float("nan")), ("p", 1, 1, 5000.0)], "period string, row int, col int, v double")
+    seen = {(r.row, r.col): (r.r, r.g, r.b, r.alpha) for r in render.colorize(cells, "v", 1850.0, 1900.0).collect()}
+    assert seen == {(0, 0): (0, 0, 4, 235), (0, 1): (252, 253, 191, 235), (1, 0): (0, 0, 0, 0), (1, 1): (252, 253, 191, 235)}
+    zero = render.colorize(cells.withColumn("v", F.lit(0.0)), "v", -20.0, 20.0, True).first()
+    assert (zero.r, zero.g, zero.b, zero.alpha) == (247, 247, 247, 0)
+
+
 def test_images(spark):
     cells = spark.createDataFrame([("p", 0, 0, -1.0), ("p", 0, 1, 0.25), ("p", 1, 0, 1.0), ("p", 1, 1, None)], "period string, row int, col int, v double")
     colored = {(r.row, r.col): (r.r, r.g, r.b, r.alpha) for r in render.colorize(cells, "v", -1.0, 1.0, True).collect()}

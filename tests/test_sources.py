@@ -26,13 +26,16 @@ def test_geojson(spark, tmp_path):
 
 def test_archives(spark, tmp_path):
     with tarfile.open(tmp_path / "r.tar.gz", "w:gz") as t:
-        for name, text in (("x/gas/P12-a.geojson", collection(({"name": "R"}, {"type": "LineString", "coordinates": [[141, -5], [142, -6]]}))), ("x/bad.geojson", "no"), ("x/y.txt", "z")):
+        for name, text in (
+            ("x/data/individual-routes/gas-pipelines/P12-a.geojson", collection(({"name": "R", "OBJECTID": 7}, {"type": "LineString", "coordinates": [[141, -5], [142, -6]]}), ({}, {"type": "LineString", "coordinates": [[141, -5], [142, -6]]}), ({}, {"type": "Point", "coordinates": [120, -20]}))),
+            ("x/data/individual-routes/liquid-pipelines/bad.geojson", "no"), ("x/data/other/P1-a.geojson", collection(({}, {"type": "Point", "coordinates": [141, -5]}))), ("x/y.txt", "z"),
+        ):
             data = text.encode()
             info = tarfile.TarInfo(name)
             info.size = len(data)
             t.addfile(info, io.BytesIO(data))
     rows = readers.gas_routes(spark, str(tmp_path / "r.tar.gz")).collect()
-    assert [(r.id, r.layer, len(r.coords)) for r in rows] == [("gem:P12", "pipelines_gas", 2)]
+    assert [(r.id, r.layer, r.name, r.subtype, len(r.coords)) for r in rows] == [("gem:P12:7", "pipelines_gas", "R", "gas pipeline", 2), ("gem:P12:1", "pipelines_gas", "GEM pipeline P12", "gas pipeline", 2)]
     with zipfile.ZipFile(tmp_path / "i.zip", "w") as z:
         z.writestr("d.csv", "id_plume,lat,lon,satellite,tile_date,ch4_fluxrate,ch4_fluxrate_std,sector\n1,-20,120,S,2024-01-01,5,,\n2,-20,bad,S,d,1,1,x\n3,50,120,S,d,1,1,x\n")
     rows = readers.imeo(spark, str(tmp_path / "i.zip")).collect()
@@ -62,6 +65,9 @@ def test_reported_and_catalogue(spark, tmp_path):
     (tmp_path / "r.csv").write_bytes(text.encode("cp1252"))
     rows = readers.reported_figures(spark, str(tmp_path / "r.csv")).collect()
     assert [(r.name, r.operator, r.methane_tco2e, r.covered_tco2e, r.baseline) for r in rows] == [("A, B", "Café", 1234.0, None, None)]
+    (tmp_path / "q.csv").write_text("x\nState,GHG methane,Covered,Facility NAME\nQLD,5,7,Mine two\n")
+    both = {r.name: (r.state, r.methane_tco2e, r.covered_tco2e, r.baseline) for r in readers.reported_figures(spark, str(tmp_path / "[qr].csv")).collect()}
+    assert both == {"A, B": ("QLD", 1234.0, None, None), "Mine two": ("QLD", 5.0, 7.0, None)}
     entries = spark.createDataFrame([("e", [("u1", None, None), ("u2", [200, 403], None), ("u3", None, "KEY")])], "id string, urls array<struct<url string, expect array<int>, requires string>>")
     seen = spark.createDataFrame([("u1", 404), ("u2", 403)], "url string, status int")
     assert {r.url: r.ok for r in readers.catalog_checks(entries, seen).collect()} == {"u1": False, "u2": True}
@@ -83,3 +89,24 @@ def test_stream_goes_on(spark, tmp_path):
     land("07", 2)
     land("08", 3)
     assert sorted((str(r.week), r.n) for r in run_weekly(spark, str(tmp_path / "in"), table).collect()) == [("2024-01-01", 2), ("2024-01-08", 1)]
+
+
+def test_states_and_composites(spark, tmp_path):
+    assert readers.read_state(spark, str(tmp_path / "none"), "plume_id string").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no")
+    assert readers.read_state(spark, str(tmp_path / "bad"), "plume_id string").count() == 0
+    cells = spark.createDataFrame([(1, 2, 3.0, None, 4, "k", "p"), (1, 2, 3.0, 1.0, 4, "k", "q")], "row long, col long, mean double, anomaly double, n_obs long, kind string, period string")
+    assert {(r.period, r.cells, r.graded) for r in sinks.write_composites(cells, str(tmp_path / "c")).collect()} == {("p", 1, 0), ("q", 1, 1)}
+    sinks.write_composites(cells.where("period = 'q'").withColumn("mean", cells.mean + 1), str(tmp_path / "c"))
+    assert {(r.period, r.mean) for r in sinks.load_stack(spark, str(tmp_path / "c"), "k").collect()} == {("p", 3.0), ("q", 4.0)}
+    granules = spark.createDataFrame([("a", "[]"), ("b", "["), ("c", '[{"v": 1}]'), ("d", None)], "id string, content string")
+    rows, status = readers.read_granules(granules, "v: double")
+    assert {r.id: r.status for r in status.collect()} == {"a": "empty", "b": "failed", "c": "ok", "d": "failed"} and [tuple(r) for r in rows.collect()] == [("c", 1.0)]
+
+
+def test_tables_of_a_run_can_be_dropped(spark):
+    from emberline.sources import shared
+
+    held = shared.materialise(spark.range(3), "t")
+    assert held.count() == 3 and shared.drop_tables(spark) >= 1
