@@ -20,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests), a new temporary one."""
+    """The folder named in spark.checkpoint.dir; only where it is unset and Spark is local (tests), a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -31,11 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/emberline-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/emberline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_columns(docs: DataFrame, keep: list[str] | None, results: list[str]) -> list[str]:
+    """The columns that pass through: those in keep, or all; a result takes the place of a column of its name in any case."""
+    low = {r.lower() for r in results}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in low]
+
+
 def plain_text(column: pa.Array) -> pa.Array:
     """A text column as 32-bit strings from offset 0, null as empty."""
     if isinstance(column, pa.ChunkedArray):

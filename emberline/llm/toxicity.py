@@ -1,10 +1,11 @@
 """Operator 8: toxicity by a weighted finite-state pattern grammar.
 
-Words are insults, threats, targets, negations, marks of reported speech or others. One transducer for each of target,
-negation and reported speech rewrites the insults and threats of a clause by what stands around them; their composition
-reads each clause once, and the matches it emits are weighed. Insults are fixed words and what labelled documents teach:
-words and stems of words that toxic documents have and others don't. The weights of matches are fitted to the same
-labels, starting from fixed ones.
+Words are insults, verbs of harm, targets, marks of intent, negations, marks of reported speech or others. Four
+transducers read a clause: one tells aimed insults from lone ones, one makes threats of a verb of harm and the target
+after it, and two mark what stands in a negation or in reported speech. Their composition reads each clause once, and
+the matches it emits are weighed, so that a lone word, a denial or a quotation alone doesn't make a text toxic. Insults
+are fixed words and what labelled documents teach: words and stems of words that toxic documents have and others don't.
+The weights of matches are fitted to the same labels within bounds that keep that order.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, folded_words, materialise, plain_text, read_table, row_numbers
+from emberline.llm.common import bounded, folded_words, kept_columns, materialise, plain_text, read_table, row_numbers
 
 #: Labelled documents that are learned from, at most about.
 SAMPLE = 30_000
-#: Candidates of the lexicon that reach the driver, at most, those in most toxic documents first.
-CANDIDATES = 20_000
 #: Toxic texts that a learned word or stem must be in, and that it must add to those of the ones before it.
 SUPPORT, ADDED = 5, 3
 STEMS = (4, 5, 6, 7)
@@ -33,11 +32,18 @@ STEMS = (4, 5, 6, 7)
 INSULTS = "idiot moron stupid loser pathetic worthless scum trash clown disgusting imbecile dumb jerk"
 THREATS = "kill hurt destroy beat shoot stab burn strangle töten umbringen tuer frapper matar golpear"
 TARGETS = "you your yours yourself he she they them him her du dich dir euch ihr tu te toi vous tú usted ustedes vosotros"
-NEGATIONS = "not no never neither nor isn aren don doesn nicht kein keine keinen niemals pas jamais ni nunca tampoco"
+INTENTS = "will gonna going shall werde werden vais allons voy vamos"
+NEGATIONS = "not no never neither nor isn aren don doesn won nicht kein keine keinen niemals pas jamais ni nunca tampoco"
 REPORTS = "said says say wrote claimed called quoted quote reported told sagte schrieb nannte dit écrit traité dijo escribió llamó"
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE = range(7)
-#: Words that a target or a negation reaches.
+OTHER, INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT, CLAUSE = range(8)
+#: Words that a target, a verb of harm or a negation reaches.
 REACH = 4
+#: Matches: a lone insult, an aimed one, harm to a target, and harm that is announced to one.
+LONE, AIMED, HARM, VOWED = range(4)
+NEGATED, REPORTED = 1, 2
+#: Symbols from here on are matches: FIRST, four times the kind, and the bits.
+FIRST = 8
+MATCHES = 16
 
 
 @dataclass(frozen=True)
@@ -51,24 +57,41 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, symbol))
 
 
-#: Output symbols of matches: their class times 8, and a bit for each transducer that rewrote them.
-TARGETED, NEGATED, REPORTED = 1, 2, 4
+def _alphabet() -> range:
+    return range(FIRST + MATCHES)
 
 
-def _alphabet() -> list[int]:
-    return [*range(7), *(c * 8 + bits for c in (INSULT, THREAT) for bits in range(8))]
+def _aiming() -> Transducer:
+    """Insults become matches: aimed within REACH words after a target. State k: k words are left."""
+    arcs = {}
+    for state in range(REACH + 1):
+        for symbol in _alphabet():
+            out = FIRST + 4 * (AIMED if state else LONE) if symbol == INSULT else symbol
+            arcs[state, symbol] = (REACH if symbol == TARGET else 0 if symbol == CLAUSE else max(0, state - 1), out)
+    return Transducer(arcs)
+
+
+def _threatening() -> Transducer:
+    """A target within REACH words after a verb of harm becomes a match, a vow if a mark of intent stood before it."""
+    arcs = {}
+    for intent in (0, 1):
+        for left in range(REACH + 1):
+            for symbol in _alphabet():
+                met = symbol == TARGET and left > 0
+                out = FIRST + 4 * (VOWED if intent else HARM) if met else OTHER if symbol in (THREAT, INTENT) else symbol
+                after = REACH if symbol == THREAT else 0 if met else max(0, left - 1)
+                arcs[intent * (REACH + 1) + left, symbol] = (0 if symbol == CLAUSE else (intent or int(symbol == INTENT)) * (REACH + 1) + after, out)
+    return Transducer(arcs)
 
 
 def _marking(trigger: int, bit: int, reach: int | None) -> Transducer:
-    """Sets bit on matches after the trigger, within reach words or to the clause's end; state k: k words are left."""
+    """Sets bit on matches after the trigger, within reach words or to the clause's end. State k: k words are left."""
     arcs = {}
     last = reach or 1
     for state in range(last + 1):
         for symbol in _alphabet():
-            is_match = symbol >= 8 or symbol in (INSULT, THREAT)
-            out = (symbol if symbol >= 8 else symbol * 8) | (bit if state else 0) if is_match else symbol
             after = last if symbol == trigger else 0 if symbol == CLAUSE else max(0, state - 1) if reach else state
-            arcs[state, symbol] = (after, out)
+            arcs[state, symbol] = (after, FIRST + (symbol - FIRST | bit) if symbol >= FIRST and state else symbol)
     return Transducer(arcs)
 
 
@@ -87,10 +110,20 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(arcs)
 
 
-GRAMMAR = reduce(compose, [_marking(TARGET, TARGETED, REACH), _marking(NEGATION, NEGATED, REACH), _marking(REPORT, REPORTED, None)])
-MATCHES = 16
-#: Fixed values, where the fit starts: intercept, then each class of match with each set of bits.
-START = np.array([-3.0, *((6.0 if c == INSULT else 4.5) + 1.0 * bool(b & TARGETED) - 1.5 * bool(b & NEGATED) - 1.0 * bool(b & REPORTED) for c in (INSULT, THREAT) for b in range(8))])
+GRAMMAR = reduce(compose, [_aiming(), _threatening(), _marking(NEGATION, NEGATED, REACH), _marking(REPORT, REPORTED, None)])
+#: Fixed values, where the fit starts: the intercept, then of each kind of match the plain, negated, reported and both.
+START = np.array([-3.0, 3.0, 1.0, 1.5, 0.5, 6.0, 2.5, 3.0, 1.5, 3.2, 1.0, 1.5, 0.5, 6.5, 2.0, 3.5, 1.5])
+#: Which matches make a text toxic by themselves.
+STRONG = np.isin(np.arange(MATCHES), (4 * AIMED, 4 * VOWED))
+
+
+def bounded_weights(weights: np.ndarray) -> np.ndarray:
+    """weights moved to where one strong match scores over a half, and one of any other kind below it."""
+    out = weights.copy()
+    out[0] = np.clip(out[0], -6.0, -2.0)
+    edge = -out[0] / np.log(2)
+    out[1:] = np.where(STRONG, np.maximum(out[1:], edge + 0.3), np.clip(out[1:], 0.0, edge - 0.3))
+    return out
 
 
 @dataclass
@@ -103,7 +136,7 @@ class Grammar:
     def classes(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Class and weight of each word; an insult's is that of the word or its longest stem."""
         kind, weight = np.zeros(len(dictionary), np.int64), np.ones(len(dictionary))
-        for c, listed in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
+        for c, listed in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (INTENT, INTENTS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
             kind[pc.is_in(dictionary, value_set=pa.array(listed.split())).to_numpy(zero_copy_only=False)] = c
         for size in (*STEMS, 0):
             known = [x for x in self.lexicon if (x.endswith("*") and len(x) == size + 1 if size else not x.endswith("*"))]
@@ -134,8 +167,8 @@ class Grammar:
                 for _ in range(min(i - place_before - 1, REACH)):
                     state, _ = GRAMMAR.step(state, OTHER)
             state, put = GRAMMAR.step(state, symbol)
-            if put >= 8:
-                out[row, put - 8] += weight[ids[i]]
+            if put >= FIRST:
+                out[row, put - FIRST] += weight[ids[i]]
             row_before, clause_before, place_before = row, clause, i
         return np.log1p(out)
 
@@ -165,6 +198,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _parts(word: Column) -> Column:
+    """A word and its stems, each stem with a *."""
+    stems = [F.when(F.length(word) > k, F.array(F.concat(F.substring(word, 1, k), F.lit("*")))).otherwise(F.array().cast("array<string>")) for k in STEMS]
+    return F.concat(F.array(word), *stems)
+
+
 def _counted(train: DataFrame) -> DataFrame:
     """part (a word, or a stem with *), toxic and n: how many texts have it, of toxic ones and of all."""
 
@@ -179,8 +218,7 @@ def _counted(train: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(bad), pa.array(n)], ["word", "toxic", "n"])
 
     words = train.select("body", "toxic").mapInArrow(run, "word string, toxic bigint, n bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    parts = F.concat(F.array("word"), *[F.when(F.length("word") > k, F.array(F.concat(F.substring("word", 1, k), F.lit("*")))).otherwise(F.array().cast("array<string>")) for k in STEMS])
-    return words.where(F.length("word") > 2).select(F.explode(parts).alias("part"), "toxic", "n").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    return words.where(F.length("word") > 2).select(F.explode(_parts(F.col("word"))).alias("part"), "toxic", "n").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
 def _lower_bound(hits: Column, n: Column) -> Column:
@@ -202,48 +240,43 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     told = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(min(1.0, sample / n) * (1 << 30)))
     train = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("body")).where(F.col("body").isNotNull()).join(told, "id")
     train = materialise(train.groupBy(F.xxhash64("body").alias("k1"), F.xxhash64(F.lit("second"), "body").alias("k2")).agg(F.first("body").alias("body"), F.max("toxic").alias("toxic")).drop("k1", "k2"), "labelled")
-    picked = _counted(train).where((F.col("toxic") >= SUPPORT) & (_lower_bound(F.col("toxic"), F.col("n")) >= 0.4)).orderBy(F.desc("toxic"), "part").limit(CANDIDATES).collect()
-    return _fitted(train, _covering(train, {r["part"]: (r["toxic"], r["n"]) for r in picked}))
+    return _fitted(train, _covering(train, _counted(train)))
 
 
-def _covering(train: DataFrame, candidates: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """The candidates that explain the toxic texts: again and again the one that most of those left have."""
-    if not candidates:
-        return {}
-    parts = list(candidates)
-    known = train.sparkSession.sparkContext.broadcast({x: k for k, x in enumerate(parts)})
+def _covering(train: DataFrame, counted: DataFrame) -> dict[str, float]:
+    """Parts that explain the toxic texts, with their share of toxic texts.
+
+    Candidates are in SUPPORT toxic texts and surely in few others. In each round every toxic text without one picks
+    the candidate that most such texts have, and those that ADDED texts pick are taken; of equal ones a whole word, then
+    the longest stem. Texts and candidates stay on the cluster; a part for every ADDED texts, at most, reaches the driver.
+    """
+    good = counted.where((F.col("toxic") >= SUPPORT) & (_lower_bound(F.col("toxic"), F.col("n")) >= 0.4)).select("part", (F.col("toxic") / F.col("n")).alias("share"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "body"):
             words, counts = folded_words(pc.utf8_lower(plain_text(batch.column("body"))))
-            ends = np.cumsum(counts)
-            found = []
-            for a, b in zip(ends - counts, ends, strict=True):
-                held = set(words[int(a) : int(b)].to_pylist())
-                held |= {x[:k] + "*" for x in held for k in STEMS if len(x) > k}
-                found.append(sorted(known.value[x] for x in held if x in known.value))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["parts"])
-
-    rows = [r["parts"] for r in train.where("toxic = 1").select("body").mapInArrow(run, "parts array<int>").collect()]
-    having: dict[int, set[int]] = {}
-    for i, row in enumerate(rows):
-        for k in row:
-            having.setdefault(k, set()).add(i)
-    lexicon: dict[str, float] = {}
-    while having:
-        # Of equal ones a whole word, then the longest stem.
-        best = max(having, key=lambda k: (len(having[k]), not parts[k].endswith("*"), len(parts[k]), parts[k]))
-        if len(having[best]) < ADDED:
-            break
-        toxic, n = candidates[parts[best]]
-        lexicon[parts[best]] = toxic / n
-        gone = having.pop(best)
-        having = {k: left for k, v in having.items() if (left := v - gone)}
-    return lexicon
+            coded = pc.dictionary_encode(words)
+            size = max(1, len(coded.dictionary))
+            pair = np.unique(row_numbers(counts) * size + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pair // size)), coded.dictionary.take(pa.array(pair % size))], ["id", "word"])
+
+    texts = train.where("toxic = 1").withColumn("id", F.xxhash64("body")).select("id", "body")
+    held = texts.mapInArrow(run, "id bigint, word string").where(F.length("word") > 2).select("id", F.explode(_parts(F.col("word"))).alias("part")).distinct()
+    left, lexicon = materialise(held.join(good, "part"), "candidates"), {}
+    order = F.struct("many", ~F.col("part").endswith("*"), F.length("part"), "part")
+    while True:
+        many = left.groupBy("part").agg(F.count("*").alias("many"))
+        picks = left.join(many, "part").groupBy("id").agg(F.max(order).getField("part").alias("part"), F.max_by("share", order).alias("share"))
+        taken = picks.groupBy("part").agg(F.count("*").alias("n"), F.first("share").alias("share")).where(F.col("n") >= ADDED).select("part", "share").collect()
+        if not taken:
+            return lexicon
+        lexicon |= {r["part"]: r["share"] for r in taken}
+        gone = left.sparkSession.createDataFrame([(r["part"],) for r in taken], "part string")
+        left = materialise(left.join(left.join(gone, "part", "left_semi").select("id").distinct(), "id", "left_anti"), "candidates")
 
 
 def _fitted(train: DataFrame, lexicon: dict[str, float], rounds: int = 300) -> Grammar:
-    """The weights of matches, by gradient steps on the labelled texts from START, to which they are held."""
+    """The weights of matches, by gradient steps on the labelled texts from START, to which they are held, within bounds."""
     shared = train.sparkSession.sparkContext.broadcast(Grammar(lexicon, START))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,17 +295,18 @@ def _fitted(train: DataFrame, lexicon: dict[str, float], rounds: int = 300) -> G
     for _ in range(rounds):
         gradient = x.T @ (n * (1 / (1 + np.exp(-(x @ weights))) - y)) / n.sum() + (weights - START) / n.sum()
         squares += gradient * gradient
-        weights = weights - 0.2 * gradient / np.sqrt(squares)
+        weights = bounded_weights(weights - 0.2 * gradient / np.sqrt(squares))
     return Grammar(lexicon, weights)
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Each row of docs with score, from 0 to 1, and predicted, 1 if the score is at least 0.5.
 
-    Null and empty texts have no match and score what the intercept gives. Repeated rows each get the same result; an
-    empty table gives an empty one. Only the text is looked at; other columns pass through, whatever their names.
+    Null and empty texts have no match and score what the intercept gives. Texts of any length are read whole. Repeated
+    rows each get the same result; an empty table gives an empty one. Only the text is looked at; other columns pass
+    through, but for those named like a result, which the result replaces.
     """
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, ["score", "predicted"])
     kept = [f"c{i}" for i in range(len(keep))]
     inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(grammar)

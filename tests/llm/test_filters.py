@@ -173,26 +173,69 @@ def test_weak_quality_sample_is_even_and_bounded(spark, monkeypatch):
     assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
 
 
+SENTENCES = {
+    "you are an idiot": 1, "you idiot": 1, "I will find you and hurt your dog": 1, "we are going to kill them": 1, "She is stupid, he is a pathetic loser": 1,
+    "you are not an idiot": 0, "the word idiot is rude": 0, "she said he is an idiot": 0, "kill the process": 0, "burn calories": 0, "dumb luck": 0, "I will not hurt you": 0, "he told me that you are stupid": 0,
+}
+
+
 def test_grammar_scores_clauses():
     plain = toxicity.Grammar({"gloop*": 0.9}, toxicity.START)
-    score = dict(zip(texts := ["", "you are an idiot", "an idiot", "you are not an idiot", "she said you are an idiot", "not so. you idiot", "kill", "GLOOPY", "gloop", "the house"], plain.score(pa.array(texts)), strict=True))
-    assert score["you are an idiot"] > score["an idiot"] > score[""] and score["you are not an idiot"] < score["you are an idiot"]
-    assert score["she said you are an idiot"] < score["you are an idiot"] and score["not so. you idiot"] == score["you are an idiot"]
-    assert score["kill"] > 0.5 < score["GLOOPY"] and score["gloop"] == score[""] == score["the house"]
+    score = dict(zip(texts := ["", "an idiot", "not so. you idiot", "kill", "you GLOOPY", "gloop", "the house", *SENTENCES], plain.score(pa.array(texts)), strict=True))
+    assert score["you are an idiot"] > score["an idiot"] > score[""] and score["you are not an idiot"] < score["an idiot"]
+    assert score["not so. you idiot"] == score["you are an idiot"] and score["you GLOOPY"] > 0.5
+    assert score["kill"] == score["gloop"] == score[""] == score["the house"]
+    assert {t: int(score[t] >= 0.5) for t in SENTENCES} == SENTENCES
+
+
+def test_learned_grammar_keeps_the_order(spark):
+    d = "/root/testdata/sf0.01"
+    grammar = toxicity.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    score = grammar.score(pa.array(list(SENTENCES)))
+    assert dict(zip(SENTENCES, (score >= 0.5).astype(int).tolist(), strict=True)) == SENTENCES
+    assert (toxicity.bounded_weights(np.random.default_rng(1).normal(size=17) * 9)[0]) <= -2
 
 
 def test_composition_is_the_chain():
     rng = random.Random(2)
-    parts = [toxicity._marking(toxicity.TARGET, 1, 4), toxicity._marking(toxicity.NEGATION, 2, 4), toxicity._marking(toxicity.REPORT, 4, None)]
-    states, state = [0, 0, 0], toxicity.GRAMMAR.start
+    parts = [toxicity._aiming(), toxicity._threatening(), toxicity._marking(toxicity.NEGATION, 1, 4), toxicity._marking(toxicity.REPORT, 2, None)]
+    states, state = [0, 0, 0, 0], toxicity.GRAMMAR.start
     for _ in range(5000):
-        symbol = out = rng.randrange(7)
+        symbol = out = rng.randrange(8)
         for k, part in enumerate(parts):
             states[k], out = part.step(states[k], out)
         state, put = toxicity.GRAMMAR.step(state, symbol)
         assert put == out
 
 
+def brute_matches(text):
+    """Kinds of matches by positions in clauses, without automata."""
+    found = []
+    classes = {w: c for c, words in (("r", toxicity.REPORTS), ("n", toxicity.NEGATIONS), ("w", toxicity.INTENTS), ("t", toxicity.TARGETS), ("h", toxicity.THREATS), ("i", toxicity.INSULTS)) for w in words.split()}
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        kinds = [classes.get(w, "o") for w in re.findall(r"[^\W_]+", clause)]
+        used = -1
+        for k, c in enumerate(kinds):
+            near = lambda x, low=0, k=k: any(kinds[j] == x for j in range(max(low, k - 4), k))  # noqa: B023, E731
+            kind = None
+            if c == "i":
+                kind = toxicity.AIMED if near("t") else toxicity.LONE
+            elif c == "t" and near("h", used + 1):
+                kind, used = toxicity.VOWED if "w" in kinds[:k] else toxicity.HARM, k
+            if kind is not None:
+                found.append(4 * kind + near("n") + 2 * ("r" in kinds[:k]))
+    return found
+
+
+def test_matches_against_brute_force():
+    rng = random.Random(12)
+    words = ["idiot", "stupid", "kill", "hurt", "you", "they", "will", "not", "said", "a", "b", "c", ".", ";"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(500)]
+    found = np.expm1(toxicity.Grammar({}, toxicity.START).matches(pa.array(texts)))
+    for text, row in zip(texts, found, strict=True):
+        assert np.bincount(brute_matches(text), minlength=16).tolist() == np.rint(row).astype(int).tolist()
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     rows = toxicity.op8_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -208,3 +251,5 @@ def test_toxicity_edges(spark):
         rows = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, grammar, keep=["doc_id"]).collect()}
         assert rows == {0: 0, 1: 0, 2: 0, 3: 1}
     assert toxicity.score_toxicity(docs.limit(0), grammar).count() == 0
+    out = toxicity.score_toxicity(docs, grammar)
+    assert out.columns == ["doc_id", "text", "source", "n_words", "score", "predicted"] and out.schema["score"].dataType.simpleString() == "double"
