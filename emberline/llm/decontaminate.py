@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, folded_words, plain_text, read_table, row_numbers, word_ids
+from emberline.llm.common import bounded, folded_words, kept_columns, materialise, plain_text, read_table, row_numbers, word_ids
 
 WINDOW = 10
 MAX_SEED = 4
-#: Bytes of test text that are searched for at one time; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of test text that are searched for at one time, about seven times as many as an index; a larger benchmark takes more passes.
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass
@@ -62,8 +63,18 @@ def _seeds(words: np.ndarray, rows: np.ndarray, tables: list[np.ndarray], size:
     return symbols
 
 
+def _run_codes(ids: np.ndarray, width: int) -> np.ndarray:
+    """A code of the width words from each place on, equal for equal runs; the last width - 1 places have none."""
+    code, length = ids, 1
+    while length < width:
+        step = min(length, width - length)
+        pair = code[: len(code) - step] * np.int64(len(ids) + 2) + code[step:]
+        code, length = np.unique(pair, return_inverse=True)[1].astype(np.int64), length + step
+    return code
+
+
 def test_index(items: list[tuple[str | None, str]], window: int = WINDOW) -> TestIndex | None:
-    """items: id and text of each test item. None if there is no word in them."""
+    """items: id and text of each test item. None if there is no word in them. All steps are over arrays."""
     words, counts = folded_words(plain_text(pa.array([text for _, text in items], pa.string())))
     if not len(words):
         return None
@@ -81,31 +92,36 @@ def test_index(items: list[tuple[str | None, str]], window: int = WINDOW) -> Tes
     ends = np.cumsum(counts)[rows]
     at = np.arange(len(ids))
     starts = np.flatnonzero(symbols)
-    # A window has `window` words, or all of a shorter item; equal windows are one.
+    # A window has `window` words, or all of a shorter item; equal windows are one, numbered by width and code.
     wide = np.minimum(counts, window)[rows]
-    numbers: dict[bytes, int] = {}
-    held: list[dict[str, None]] = []
-    first, window_words = np.full(len(ids), -1), []
-    for i in np.flatnonzero(at + wide <= ends):
-        key = ids[i : i + wide[i]].tobytes()
-        if key not in numbers:
-            numbers[key] = first[i] = len(held)
-            held.append({})
-            window_words.append(wide[i])
-        name = items[rows[i]][0]
-        if name is not None:
-            held[numbers[key]][name] = None
-    names = list(dict.fromkeys(x for h in held for x in h))
-    number = {x: k for k, x in enumerate(names)}
+    begins = np.flatnonzero(at + wide <= ends)
+    first, numbers, window_words = np.full(len(ids), -1, np.int32), np.zeros(len(begins), np.int64), []
+    for width in np.unique(wide[begins]):
+        own = np.flatnonzero(wide[begins] == width)
+        _, place, inverse = np.unique(_run_codes(ids, int(width))[begins[own]], return_index=True, return_inverse=True)
+        numbers[own] = inverse + len(window_words)
+        first[begins[own[place]]] = np.arange(len(place)) + len(window_words)
+        window_words += [int(width)] * len(place)
+    named = pc.dictionary_encode(pa.array([name for name, _ in items], pa.string()))
+    item = pc.fill_null(named.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[rows[begins]]
+    listed = np.unique(numbers[item >= 0] * np.int64(len(items) + 1) + item[item >= 0])
+    held = np.bincount(listed // (len(items) + 1), minlength=len(window_words))
     # Suffixes of different texts are kept apart by a zero.
-    shifted = np.zeros(len(ids) + int(rows[-1]) + 2, np.int64)
+    shifted = np.zeros(len(ids) + int(rows[-1]) + 2, np.int32)
     shifted[at + rows] = symbols
     return TestIndex(
-        vocabulary, tables, shifted, starts + rows[starts], ends[starts] - starts, wide[starts], first[starts], np.array(window_words, np.int64),
-        np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64), names, np.array([number[x] for h in held for x in h], np.int64),
+        vocabulary, tables, shifted, starts + rows[starts], (ends[starts] - starts).astype(np.int32), wide[starts].astype(np.int32), first[starts], np.array(window_words, np.int64),
+        np.concatenate([[0], np.cumsum(held)]).astype(np.int64), named.dictionary.to_pylist(), listed % (len(items) + 1),
     )
 
 
+def no_index(window: int = WINDOW) -> TestIndex:
+    """An index of which nothing occurs in any text: its only word has a character that separates words."""
+    out = test_index([("", "0")], window)
+    out.vocabulary = pa.array(["-"])
+    return out
+
+
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes of symbols that don't start with 0, sorted by their first depth symbols (prefix doubling)."""
     rank, n, length = symbols, len(symbols), 1
@@ -175,8 +191,19 @@ def search(index: TestIndex, symbols: np.ndarray) -> tuple[list[tuple[int, np.nd
     return windows, [(length, suffixes[a:b]) for length, a, b in ended]
 
 
-def _find(index: TestIndex, texts: pa.Array, prior: list[pa.Array]) -> list[pa.Array]:
-    """n_words, longest_match, hit_starts, hit_lengths and items of each text, with what earlier passes found."""
+@dataclass
+class Found:
+    """What one index finds in a batch of texts: longest match and spans of words by row, and items by row."""
+
+    counts: np.ndarray
+    longest: np.ndarray
+    per_row: np.ndarray  # offsets of each row in starts and lengths
+    starts: np.ndarray
+    lengths: np.ndarray
+    items: list[list[str]]
+
+
+def _find(index: TestIndex, texts: pa.Array) -> Found:
     words, counts = folded_words(texts)
     ids, dictionary = word_ids(words)
     known = pc.fill_null(pc.index_in(dictionary, value_set=index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
@@ -184,7 +211,7 @@ def _find(index: TestIndex, texts: pa.Array, prior: list[pa.Array]) -> list[pa.A
     seeds = _seeds(known[ids] if len(known) else ids, rows, index.tables, len(index.vocabulary))
     places = np.flatnonzero(seeds)
     hit = np.zeros(len(ids) + 1, np.int64)
-    longest = prior[0].to_numpy().copy()
+    longest = np.zeros(n, np.int64)
     pairs = [np.zeros((0, 2), np.int64)]
     if len(places):
         gap = np.concatenate([[0], np.cumsum((np.diff(places) > 1) | (np.diff(rows[places]) > 0))])
@@ -197,73 +224,101 @@ def _find(index: TestIndex, texts: pa.Array, prior: list[pa.Array]) -> list[pa.A
             pairs.append(np.stack([np.unique(rows[place[at]]), np.full(len(np.unique(rows[place[at]])), w)], axis=1))
         for length, at in matches:
             np.maximum.at(longest, rows[place[at]], length)
-    for row in np.flatnonzero(pc.list_value_length(prior[1]).to_numpy(zero_copy_only=False)):
-        for start, length in zip(prior[1][int(row)].as_py(), prior[2][int(row)].as_py(), strict=True):
-            hit[firsts[row] + start] += 1
-            hit[firsts[row] + start + length] -= 1
     flags = np.cumsum(hit[:-1]) > 0
     begins = flags & np.concatenate([[True], ~flags[:-1] | (rows[1:] != rows[:-1])]) if len(flags) else flags
     starts = np.flatnonzero(begins)
     stops = np.concatenate([starts[1:], [len(flags)]])
     before = np.concatenate([[0], np.cumsum(flags)])
-    per_row = np.searchsorted(rows[starts], np.arange(n + 1))
     pair = np.concatenate(pairs)
     item_rows = np.repeat(pair[:, 0], (index.item_offsets[1:] - index.item_offsets[:-1])[pair[:, 1]])
     items = np.concatenate([np.zeros(0, np.int64), *(index.window_items[index.item_offsets[w] : index.item_offsets[w + 1]] for w in pair[:, 1])])
-    found: dict[int, set[str]] = {}
+    names: list[list[str]] = [[] for _ in range(n)]
     for row, item in np.unique(np.stack([item_rows, items], axis=1), axis=0) if len(items) else []:
-        found.setdefault(int(row), set()).add(index.items[item])
-    names = prior[3].to_pylist()
-    for row, more in found.items():
-        names[row] = sorted(more | set(names[row]))
-    offsets = pa.array(per_row.astype(np.int32))
-    return [
-        pa.array(counts), pa.array(longest), pa.ListArray.from_arrays(offsets, pa.array(starts - firsts[rows[starts]])),
-        pa.ListArray.from_arrays(offsets, pa.array((before[stops] - before[starts]).astype(np.int64))), pa.array(names, pa.list_(pa.string())),
-    ]
+        names[row].append(index.items[item])
+    return Found(counts, longest, np.searchsorted(rows[starts], np.arange(n + 1)), starts - firsts[rows[starts]], (before[stops] - before[starts]).astype(np.int64), [sorted(set(x)) for x in names])
 
 
 FOUND = ["n_words bigint", "longest_match bigint", "hit_starts array<bigint>", "hit_lengths array<bigint>", "items array<string>"]
+NAMES = [x.split()[0] for x in FOUND]
+RESULTS = [*NAMES, "n_hit", "n_items", "contaminated"]
 
 
-def _pass(inner: DataFrame, index, kept: list[str]) -> DataFrame:
-    names = [x.split()[0] for x in FOUND]
-    schema = ", ".join([*(f"{c} {inner.schema[c].dataType.simpleString()}" for c in [*kept, "searched"]), *FOUND])
+def _columns(found: Found) -> list[pa.Array]:
+    offsets = pa.array(found.per_row.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (found.starts, found.lengths)]
+    return [pa.array(found.counts), pa.array(found.longest), *lists, pa.array(found.items, pa.list_(pa.string()))]
+
+
+def _pass(inner: DataFrame, index, kept: list[str], hits_only: bool = False) -> DataFrame:
+    """The columns of kept and FOUND for each row of inner, or for those alone in which something is found."""
+    schema = ", ".join([*(f"{c} {inner.schema[c].dataType.simpleString()}" for c in kept), *FOUND])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "searched"):
-            prior = [pa.concat_arrays([batch.column(c)]) for c in names[1:]]
-            found = _find(index.value, plain_text(batch.column("searched")), prior)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "searched"]), *found], [*kept, "searched", *names])
+            found = _find(index.value, plain_text(batch.column("searched")))
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_columns(found)], [*kept, *NAMES])
+            yield out.filter(pa.array(np.diff(found.per_row) > 0)) if hits_only else out
 
     return inner.mapInArrow(run, schema)
 
 
+def _joined(passes: DataFrame) -> DataFrame:
+    """rid and FOUND of the rows of several passes (parts, an array of FOUND): longest match, joined spans and items."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for rid, parts in zip(batch.column("rid").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                spans: list[list[int]] = []
+                for start, length in sorted(x for p in parts for x in zip(p["hit_starts"], p["hit_lengths"], strict=True)):
+                    if spans and start <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], start + length)
+                    else:
+                        spans.append([start, start + length])
+                rows.append((rid, parts[0]["n_words"], max(p["longest_match"] for p in parts), [a for a, _ in spans], [b - a for a, b in spans], sorted({x for p in parts for x in p["items"]})))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["rid", *NAMES])
+
+    return passes.groupBy("rid").agg(F.collect_list(F.struct(*NAMES)).alias("parts")).mapInArrow(run, ", ".join(["rid bigint", *FOUND]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row of docs with n_words, longest_match (words), hit_starts and hit_lengths (spans of words), items, n_hit, n_items and contaminated.
 
     longest_match is the length of the longest verbatim match of at least one window, 0 without any. items are the
     names of the items with a window here, sorted as strings. A null or empty text has no words, so nothing is found;
     an item without words or an empty benchmark finds nothing, and an item with a null id counts for hits but isn't
-    listed. Repeated rows, of documents or items, each get their own result or count once. Only columns named here are
-    read. The benchmark's bytes are measured first: up to block_bytes are broadcast at a time, and more take more
-    passes over the same partitions, without a shuffle.
+    listed. Texts of any length are searched whole. Repeated rows, of documents or items, each get their own result or
+    count once. Columns that aren't named here pass through, but for those named like a result, which the result
+    replaces.
+
+    The bytes of the benchmark's different items are measured first: up to block_bytes are broadcast at a time. A larger
+    benchmark takes more passes over the documents, which are numbered and written once; each pass writes what it finds
+    before the next one's index is built, so that one index is held at a time.
     """
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, RESULTS)
     kept = [f"k{i}" for i in range(len(keep))]
-    tests = benchmark.select(F.col(f"`{item}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("body")).where(F.col("body").isNotNull())
-    size = tests.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    tests = benchmark.select(F.col(f"`{item}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("body")).where(F.col("body").isNotNull()).distinct()
+    size = tests.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("searched"))
-    empty = [F.lit(0).cast("bigint").alias("longest_match"), *(F.array().cast(t).alias(c) for c, t in (x.split() for x in FOUND[2:]))]
-    out = out.select(*kept, "searched", *empty)
-    for b in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b) if blocks > 1 else tests
-        index = test_index([(x["id"], x["body"]) for x in block.sort("id", "body").collect()], window) or test_index([("", "0")], window)
-        out = _pass(out, spark.sparkContext.broadcast(index), kept)
+    inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("searched"))
+    index_of = lambda block: test_index([(x["id"], x["body"]) for x in block.sort("id", "body").collect()], window) or no_index(window)
+    if blocks == 1:
+        out = _pass(inner, spark.sparkContext.broadcast(index_of(tests)), kept)
+    else:
+        rowset = materialise(inner.withColumn("rid", F.monotonically_increasing_id()), "searched")
+        tests, parts = materialise(tests, "tests"), []
+        for b in range(blocks):
+            index = spark.sparkContext.broadcast(index_of(tests.where(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == b)))
+            parts.append(materialise(_pass(rowset, index, ["rid"], True), "hits"))
+            index.destroy()
+        counted = _pass(rowset, spark.sparkContext.broadcast(no_index(window)), ["rid", *kept]).select("rid", *kept, "n_words")
+        empty = [F.lit(0).cast("bigint"), *(F.array().cast(x.split()[1]) for x in FOUND[2:])]
+        hits = _joined(reduce(DataFrame.unionByName, parts)).drop("n_words")
+        out = counted.join(hits, "rid", "left").select(*kept, "n_words", *[F.coalesce(n, e).alias(n) for n, e in zip(NAMES[1:], empty, strict=True)])
     n_hit = F.aggregate("hit_lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *(x.split()[0] for x in FOUND), n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), (F.size("hit_lengths") > 0).alias("contaminated"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *NAMES, n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), (F.size("hit_lengths") > 0).alias("contaminated"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
