@@ -72,34 +72,56 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
 
 
 def _page(name: str) -> int | None:
-    digits = name.removeprefix(f"<{NAME}").removesuffix(">")
-    return int(digits) if digits.lstrip("-").isdigit() else None
+    return _whole(name.removeprefix(f"<{NAME}").removesuffix(">"))
+
+
+def _whole(text: str) -> int | None:
+    """A whole number of ASCII digits that fits 64 bits; null for anything else."""
+    digits = text.removeprefix("-")
+    return int(text) if digits.isascii() and digits.isdigit() and len(digits) < 19 else None
+
+
+def _digest(text: str, data: bytes | None = None) -> tuple[str | None, bool]:
+    """A labelled SHA-1 digest as hex, in base 32 or hex, or null; and whether it contradicts data. Other algorithms can't."""
+    kind, _, value = text.partition(":")
+    found = None
+    if kind.lower() == "sha1":
+        try:
+            found = (bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())).hex()
+        except ValueError:
+            return None, data is not None
+    own = None if data is None else hashlib.sha1(data).hexdigest()
+    return found or own, own is not None and found is not None and found != own
 
 
 def parse(data: bytes) -> dict:
-    """The fields of one record; fault names what is wrong with it."""
+    """The fields of one record; fault names what is wrong with it.
+
+    Digests of SHA-1 are checked, in base 32 or hex; those of other algorithms aren't. The HTTP length isn't held against
+    the payload, as it may be that of an encoded body.
+    """
     out: dict = dict.fromkeys(FIELDS)
     head, mark, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
     warc = _headers(lines)
-    if not mark or not first.startswith(b"WARC/") or not warc.get("content-length", "").isdigit():
+    length = _whole(warc.get("content-length", ""))
+    if not mark or not first.startswith(b"WARC/") or length is None or length < 0:
         return out | {"fault": "no WARC header"}
-    length = int(warc["content-length"])
     block = rest[:length]
     out |= {"record_type": warc.get("warc-type"), "page_id": _page(warc.get("warc-record-id", "")), "refers_to": _page(warc.get("warc-refers-to", "")), "url": warc.get("warc-target-uri")}
     if len(block) < length or rest[length:] != b"\r\n\r\n":
         return out | {"fault": "length"}
-    if warc.get("warc-block-digest", _sha1(block)) != _sha1(block):
+    if "warc-block-digest" in warc and _digest(warc["warc-block-digest"], block)[1]:
         return out | {"fault": "block digest"}
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = _headers(http.split(b"\r\n")[1:]).get("content-length", "")
+    size = _whole(_headers(http.split(b"\r\n")[1:]).get("content-length", ""))
     digest = warc.get("warc-payload-digest", "")
     if out["record_type"] == "response":
         out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
-        if digest and digest != _sha1(payload) or size and int(size) != len(payload):
+        if digest and _digest(digest, payload)[1]:
             return out | {"fault": "payload digest"}
-    elif digest.startswith("sha1:"):
-        out |= {"payload_bytes": int(size) if size.isdigit() else None, "payload_digest": base64.b32decode(digest[5:]).hex()}
+    elif digest:
+        out |= {"payload_bytes": size, "payload_digest": _digest(digest)[0]}
     return out
 
 
@@ -148,18 +170,20 @@ def read_records(archives: DataFrame, payload: bool = False) -> DataFrame:
     """A row for each record of the archives (columns archive and content), with its offset, FIELDS and fault.
 
     payload leaves the payloads in. An archive cut short or damaged gives the records before the damage and a row with
-    the fault; null or empty content gives none.
+    the fault; a record with odd headers or digests gives a row with a fault or nulls, never an error. null or empty
+    content gives none. A record of any length is one row; offset is the place of its member in the whole file.
     """
+    archives = archives if "start" in archives.columns else archives.withColumn("start", F.lit(0).cast("long"))
     fields = {"archive": pa.string(), "offset": pa.int64()} | {k: t for k, t in FIELDS.items() if payload or k != "payload"}
     schema = ", ".join(f"{k} { {pa.int64(): 'bigint', pa.string(): 'string', pa.binary(): 'binary'}[t] }" for k, t in fields.items())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("archive"), batch.column("content"), strict=True):
+            for name, content, start in zip(batch.column("archive"), batch.column("content"), batch.column("start").to_pylist(), strict=True):
                 rows, size = [], 0
                 for offset, data, fault in members(content.as_py() or b""):
                     found = dict.fromkeys(FIELDS) | {"fault": fault} if fault else parse(data)
-                    rows.append({"archive": name.as_py(), "offset": offset} | found)
+                    rows.append({"archive": name.as_py(), "offset": start + offset} | found)
                     size += len(data)
                     if size >= ARCHIVE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in fields.items()], list(fields))
@@ -167,7 +191,7 @@ def read_records(archives: DataFrame, payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in fields.items()], list(fields))
 
-    return archives.select("archive", "content").mapInArrow(run, schema)
+    return archives.select("archive", "content", "start").mapInArrow(run, schema)
 
 
 def export_files(archives: DataFrame, folder: str) -> DataFrame:
@@ -191,10 +215,50 @@ def export_files(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Archives from .warc.gz files in any store that Spark reads."""
+    """Archives from .warc.gz files in any store that Spark reads, each whole in a row: for files under 1 GB."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
 
+def read_large_files(spark: SparkSession, folder: str, pieces: int = ARCHIVE_BYTES) -> DataFrame:
+    """Archives of any size in a folder that all executors mount, as rows of whole members of about so many bytes.
+
+    A task goes through a file in steps, as the reader does, and cuts it where a member ends. start is a row's place in
+    its file. What follows damage is the file's last row, in which read_records finds the fault.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path: str, held: bytearray, start: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([bytes(held)], pa.binary()), pa.array([start], pa.int64())], ["archive", "content", "start"])
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with open(path, "rb") as source:
+                    held, start, unpacker, sound = bytearray(), 0, zlib.decompressobj(31), True
+                    while step := source.read(STEP):
+                        while step and sound:
+                            try:
+                                unpacker.decompress(step)
+                            except zlib.error:
+                                sound = False
+                                break
+                            used = len(step) - len(unpacker.unused_data)
+                            held += step[:used]
+                            step = step[used:]
+                            if unpacker.eof:
+                                unpacker = zlib.decompressobj(31)
+                                if len(held) >= pieces:
+                                    yield row(path, held, start)
+                                    start, held = start + len(held), bytearray()
+                        if not sound:
+                            held += step
+                            break
+                    if held:
+                        yield row(path, held, start)
+
+    return files.mapInArrow(cut, "archive string, content binary, start bigint")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialise(write_archives(read_table(spark, sf_dir, "pages")), "archives")
     return read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("fault").isNull().alias("verified"))
