@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, folded_words, materialise, mix, plain_text, read_table, row_numbers, word_ids
+from emberline.llm.common import bounded, folded_words, kept_columns, materialise, mix, plain_text, read_table, row_numbers, word_ids
 from emberline.llm.components import connected_components
 
 SHINGLE = 5
@@ -34,6 +34,10 @@ FIRST_WIDTH = 2.0**-6
 #: Texts of a bucket that are compared with others at one time.
 BLOCK = 512
 SLACK = 0.01
+#: Units of weight of a bucket's texts that are compared with others at one time, 8 bytes each.
+BLOCK_UNITS = 1 << 20
+#: Tasks over which the rows of one key are dealt in a join, and pairs of one hub that a task gets.
+SALTS, HUB_PAIRS = 16, 512
 #: Dropped rows whose numbers are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text whose darts are thrown together.
@@ -158,7 +162,7 @@ def _similarities(pairs: DataFrame) -> DataFrame:
     """u, v and the exact weighted Jaccard similarity of the units a and b."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(bounded(batches, "a", 4 * DART_BYTES), "b", 4 * DART_BYTES):
             out = []
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
                 a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -170,20 +174,28 @@ def _similarities(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """pairs u, v with their similarity."""
+    """pairs u, v with their similarity. n: how many pairs v has, about; a hub's are dealt over tasks, its units repeated."""
+    parts = F.ceil(F.col("n") / HUB_PAIRS)
     left = units.select(F.col("rid").alias("u"), F.col("units").alias("a"))
-    right = units.select(F.col("rid").alias("v"), F.col("units").alias("b"))
-    return _similarities(pairs.join(left, "u").join(right, "v"))
+    hubs = pairs.groupBy("v").agg(F.max(parts).alias("parts"))
+    right = units.select(F.col("rid").alias("v"), F.col("units").alias("b")).join(hubs, "v").select("v", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return _similarities(pairs.withColumn("part", F.pmod(F.xxhash64("u"), parts)).join(left, "u").join(right, ["v", "part"]))
+
+
+def _dealt(rows: DataFrame, own: DataFrame, keys: list[str], by: str, how: str = "left") -> DataFrame:
+    """rows joined with own, which has a row a key at most: a key's rows are dealt over SALTS tasks, own's repeated in each."""
+    salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
 
 
 def _buckets(banded: DataFrame) -> DataFrame:
-    """rid and bucket of banded where a bucket has n > 1 texts, and first, the bucket's text that meets most others."""
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(banded.join(sizes, "bucket"), "met")
+    """rid, bucket and weight of banded where a bucket has n > 1 texts, of a weight of heft, and first, the text that meets most others."""
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("heft")).where("n > 1")
+    members = materialise(_dealt(banded, sizes, ["bucket"], "rid", "inner"), "met")
     meets = members.groupBy("rid").agg(F.sum("n").alias("meets"))
     members = members.join(meets, "rid")
     firsts = members.groupBy("bucket").agg(F.max(F.struct("meets", -F.col("rid"))).alias("most")).select("bucket", (-F.col("most.col2")).alias("first"))
-    return members.join(firsts, "bucket").select("bucket", "rid", "n", "first")
+    return _dealt(members, firsts, ["bucket"], "rid", "inner").select("bucket", "rid", "n", "heft", "first")
 
 
 def _sketches(units: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -206,13 +218,13 @@ def _sketches(units: DataFrame, bands: int, rows: int) -> DataFrame:
 def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
     """Pairs u, v of one bucket in different components whose sketches don't rule a link out.
 
-    A bucket is dealt out to blocks of about BLOCK texts, and each two blocks are compared by one task, which returns
+    A bucket is dealt out to blocks of about BLOCK texts, or BLOCK_UNITS of weight, and each two blocks are compared by one task, which returns
     only what passes: sizes that allow the similarity, at most six standard deviations fewer equal coordinates than it
     gives, and a similarity of the units' lowest bits that is as high but for SLACK, more than equal bits of different
     units add up to. Texts that share more buckets are compared in the first one.
     """
     least = size * similarity - 6 * (size * similarity * (1 - similarity)) ** 0.5
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("heft") / F.lit(BLOCK_UNITS))).cast("long")
     dealt = open_.withColumn("block", F.pmod(F.xxhash64("rid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("bucket", "rid", "component", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(sketches, "rid")
 
@@ -242,48 +254,55 @@ def _close_pairs(open_: DataFrame, sketches: DataFrame, similarity: float, size:
 
 
 def _classified(docs: DataFrame, text: str, keep: list[str], similarity: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with the columns of keep as c0, c1 ..., rid, k1 and k2; and k1, k2 and class of each different text."""
+    """The rows with the columns of keep as c0, c1 ..., rid, k1 and k2; and k1, k2 and class of each different text with copies or links."""
     kept = [f"c{i}" for i in range(len(keep))]
     inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
     rowset = materialise(_featured(inner, kept, bands, rows, shingle), "rows")
-    nodes = materialise(rowset.groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
-    members = materialise(_buckets(nodes.select("rid", F.explode("bands").alias("bucket"))), "members")
-    pairs = members.where("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v")).distinct()
+    nodes = materialise(rowset.groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
+    members = materialise(_buckets(nodes.select("rid", "weight", F.explode("bands").alias("bucket"))), "members")
+    pairs = members.where("rid <> first").groupBy(F.col("rid").alias("u"), F.col("first").alias("v")).agg(F.max("n").alias("n"))
     # Texts are dealt out by number at any size: whether what met could be broadcast depends on the copies.
     met = members.select("rid").distinct().hint("merge")
     units = materialise(_unit_sets(rowset.select("rid", "body").join(met, "rid", "left_semi"), shingle), "units")
     links = _verified(pairs, units).where(F.col("sim") >= similarity).select("u", "v")
     component = materialise(connected_components(links), "components")
     # What is left: texts of one bucket in different components.
-    labelled = members.join(component.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "n", F.coalesce("component", "rid").alias("component"))
+    labelled = members.join(component.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "n", "heft", F.coalesce("component", "rid").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = materialise(labelled.join(mixed, "bucket"), "open")
+    open_ = materialise(_dealt(labelled, mixed, ["bucket"], "rid", "inner"), "open")
     more = _close_pairs(open_, _sketches(units.join(open_.select("rid").distinct(), "rid", "left_semi"), bands, rows), similarity, bands * rows)
-    late = materialise(_verified(more, units).where(F.col("sim") >= similarity).select("u", "v"), "late")
+    late = materialise(_verified(more.join(more.groupBy("v").agg(F.count("*").alias("n")), "v"), units).where(F.col("sim") >= similarity).select("u", "v"), "late")
     if late.limit(1).count():
         component = materialise(connected_components(component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(late)), "components")
-    classes = nodes.select("k1", "k2", "rid").join(component.withColumnRenamed("node", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("class"))
+    # Texts that have neither copies nor links are classes by themselves and need no look.
+    named = nodes.select("k1", "k2", "rid", "copies").join(component.withColumnRenamed("node", "rid"), "rid", "left")
+    classes = named.where("copies > 1 OR component IS NOT NULL").select("k1", "k2", F.coalesce("component", "rid").alias("class"))
     return rowset, classes
 
 
+def _with_class(rowset: DataFrame, classes: DataFrame) -> DataFrame:
+    return _dealt(rowset, classes, ["k1", "k2"], "rid").withColumn("class", F.coalesce("class", "rid"))
+
+
 def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = None, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Each row of docs with rid, its number in this run, and class, the smallest rid of its class.
 
     A class holds texts that a chain of links of at least similarity joins, and all copies. Texts are the same if their
     words are (ASCII letters lower-cased, digits and characters beyond ASCII). Null texts, and those without words, are
-    classes of one row. Repeated rows are copies. An empty table gives an empty one. Columns other than text pass
-    through unread, whatever their names.
+    classes of one row. Repeated rows are copies. Texts of any length are shingled whole, alone in their batch if they are
+    long. An empty table gives an empty one. Columns other than text pass through unread, but for those named like a
+    result, which the result replaces.
     """
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, ["rid", "class"])
     rowset, classes = _classified(docs, text, keep, similarity, shingle, bands, rows)
-    return rowset.join(classes, ["k1", "k2"]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "rid", "class")
+    return _with_class(rowset, classes).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "rid", "class")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The first row of each class, with docs' own columns, whatever their names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     rowset, classes = _classified(docs.toDF(*names), names[docs.columns.index(text)], names, similarity, shingle, bands, rows)
-    dropped = materialise(rowset.select("rid", "k1", "k2").join(classes, ["k1", "k2"]).where(F.col("rid") != F.col("class")).select("rid"), "dropped")
+    dropped = materialise(_with_class(rowset.select("rid", "k1", "k2"), classes).where(F.col("rid") != F.col("class")).select("rid"), "dropped")
     # The number of rows to drop is known here: up to BROADCAST_ROWS take some 50 MB, and more are joined by a shuffle.
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
     return rowset.join(gone, "rid", "left_anti").select(*names).toDF(*docs.columns)
@@ -293,5 +312,6 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), class_size and kept (the class's first row)."""
     rows = near_classes(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     rows = materialise(rows, "classes")
-    named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(named, "class").select("doc_id", "class_id", "class_size", (F.col("rid") == F.col("class")).alias("kept"))
+    named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    size = F.coalesce("class_size", F.lit(1).cast("long"))
+    return _dealt(rows, named, ["class"], "rid").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), size.alias("class_size"), (F.col("rid") == F.col("class")).alias("kept"))
