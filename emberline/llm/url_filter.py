@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import materialise, mix, read_table
+from emberline.llm.common import kept_columns, materialise, mix, read_table
 
 #: Bits of a filter at most, 32 MB; more keys are dealt out to several cascades that are asked one after the other.
 FILTER_BITS = 1 << 28
@@ -96,8 +96,9 @@ def cascade(keys: DataFrame) -> list[Bloom]:
     n, m = encoded.count(), other.count()
     levels: list[Bloom] = []
     while n:
-        # The first filter lets through about as many others as there are listed keys; each later one half.
-        rate = 0.5 if levels else min(0.5, max(1e-4, n / max(1, m) / 2**0.5))
+        # The first filter lets through about as many others as there are listed keys; each later one a sixteenth: a few
+        # more bits than at a half, and a quarter of the levels, which follow each other.
+        rate = 1 / 16 if levels else min(0.5, max(1e-4, n / max(1, m) / 2**0.5))
         levels.append(_bloom(encoded, n, rate, len(levels)))
         encoded, other = _let_through(other, levels[-1]), encoded
         n = encoded.count()
@@ -111,11 +112,12 @@ def hashed(key: Column) -> list[Column]:
 def mark_listed(rows: DataFrame, keys: DataFrame, key: str, filter_bits: int = FILTER_BITS) -> DataFrame:
     """rows with listed: whether keys, which has every key of rows once, lists the row's key. A null key isn't listed.
 
-    keys: key and listed. A filter has about 20 bits for a listed key at most, so their number bounds what is
-    broadcast: beyond filter_bits the keys are dealt out by hash, and the rows pass the cascades one after the other.
+    keys: key and listed. A cascade has about 25 bits for a listed key at most, so their number bounds what is
+    broadcast: beyond filter_bits the keys are dealt out by hash, and the rows pass the cascades one after the other,
+    each written before the next cascade is built, so that one is held at a time.
     """
     keys = materialise(keys.where(F.col(key).isNotNull()).select(*hashed(F.col(key)), F.col("listed")), "keys")
-    shards = max(1, -(-20 * keys.where("listed").count() // filter_bits))
+    shards = max(1, -(-25 * keys.where("listed").count() // filter_bits))
     out = rows.withColumns(dict(zip(["h1", "h2"], hashed(F.col(key)), strict=True))).withColumn("listed", F.lit(False))
     for shard in range(shards):
         levels = cascade(keys.where(F.pmod("h1", F.lit(shards)) == shard) if shards > 1 else keys)
@@ -129,6 +131,9 @@ def mark_listed(rows: DataFrame, keys: DataFrame, key: str, filter_bits: int = F
                 yield batch.set_column(batch.schema.get_field_index("listed"), "listed", pa.array(found))
 
         out = out.mapInArrow(run, schema)
+        if shards > 1:
+            out = materialise(out, "asked")
+            shared.destroy()
     return out.drop("h1", "h2")
 
 
@@ -152,9 +157,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RUL
     listed: key (host and path together) and listed, with every key of pages once. The longest rule that fits decides
     (of equally long ones, one that blocks); without one, listed keys are blocked and others allowed. A null url, or one
     without ://, has an empty host and path, fits no rule, isn't listed and is allowed. Repeated rows each get their
-    result; an empty table gives an empty one. Columns other than url and those in keep aren't read.
+    result; an empty table gives an empty one. Urls may have any length. Other columns pass through, but for those named
+    like a result, which the result replaces; columns other than url and those in keep aren't read.
     """
-    keep = pages.columns if keep is None else keep
+    keep = kept_columns(pages, keep, ["host", "path", "rule", "listed", "verdict"])
     kept = [f"c{i}" for i in range(len(keep))]
     host, path = host_and_path(F.col("address"))
     inner = pages.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{url}`").cast("string").alias("address"))
