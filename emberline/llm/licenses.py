@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import read_table
+from emberline.llm.common import kept_columns, read_table
 
 #: Known texts up to this number are broadcast, some 20 MB; more are joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 #: Different first words of known texts by which others are ruled out.
 MAX_FIRST_WORDS = 1000
+SALTS = 16
 
 #: What the canonical form replaces, in this order.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -69,7 +70,56 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
 )
+#: Titles above licences' texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"), "Zlib": ("zlib License", "The zlib License"),
+}
 
 
 def canonical(text: Column) -> Column:
@@ -90,29 +140,35 @@ def known_digests(known: DataFrame) -> DataFrame:
     return known.where(canonical(F.col("text")) != "").select("license", digest(F.col("text")).alias("digest")).distinct()
 
 
-def _first_word(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"[\p{L}\p{N}]+", 0))
-
-
 def may_be_known(text: Column, known: DataFrame) -> Column:
     """False only for texts that can't be one of known, by the first word.
 
-    The first word of a canonical form is that of the text, respelled, unless two words are joined or a copyright line
-    stands first; such texts stay. With many different first words all texts do.
+    The first word of a canonical form is that of the text in lower case, respelled, unless two words are joined or a
+    copyright line stands first; such texts stay. With many different first words all texts do.
     """
     firsts = known.select(F.split_part(canonical(F.col("text")), F.lit(" "), F.lit(1)).alias("w")).where("w <> ''").distinct().limit(MAX_FIRST_WORDS + 1).collect()
     if len(firsts) > MAX_FIRST_WORDS:
         return F.lit(True)
-    raw = _first_word(text)
+    raw = F.regexp_extract(F.lower(text), r"[\p{L}\p{N}]+", 0)
     word = raw
     for pattern, by in SPELLINGS[1:]:
         word = F.regexp_replace(word, pattern, by.replace("\\", "$"))
     word = F.when(raw.rlike("licenc|is|our|whilst|fil"), word).otherwise(raw)  # no other word is respelled
-    return text.contains("©") | word.isin(*(r["w"] for r in firsts), "copyright", "c", "all", "non", "sub", "per")
+    return text.contains("©") | raw.startswith("copyright") | word.isin(*(r["w"] for r in firsts), "c", "all", "non", "sub", "per")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """NOTICES, and each with the titles that stand above its licence's text."""
+    return [*NOTICES, *((name, f"{title}\n\n{text}") for name, titles in TITLES.items() for title in titles for held, text in NOTICES if held == name and "\n" in text)]
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "license string, text string")
+    return spark.createDataFrame(known_texts(), "license string, text string")
+
+
+def license_files(spark: SparkSession, path: str) -> DataFrame:
+    """license and text of whole licence texts in files named by their licence, to be scanned for beside the notices."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.txt)?$", 1).alias("license"), F.col("value").alias("text"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -120,25 +176,28 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", keep: l
 
     A text of one line that is a known text counts as both. Null and empty texts, and texts of punctuation or copyright
     lines alone, have none. A text that two licences share is given as both, and whole_text is the first of them.
-    Repeated rows each get the same result; an empty table gives an empty one. Columns other than text pass through
-    unread, whatever their names.
+    Texts of any length are read whole. Repeated rows each get the same result; an empty table gives an empty one. Columns
+    other than text pass through unread, but for those named like a result, which the result replaces.
     """
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, ["licenses", "n_notices", "whole_text"])
     kept = [f"c{i}" for i in range(len(keep))]
     inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
     table = known_digests(known)
     table = F.broadcast(table) if known.count() <= BROADCAST_TEXTS else table
     # Equal texts have equal results, so a text's hashes stand for its rows.
-    keyed = inner.withColumn("k1", F.xxhash64("body")).withColumn("k2", F.xxhash64(F.lit("second"), "body"))
+    # The rows of a text that is copied often are dealt over SALTS tasks by their place.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    keyed = inner.withColumn("k1", F.xxhash64("body")).withColumn("k2", F.xxhash64(F.lit("second"), "body")).withColumn("salt", salt)
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     units = keyed.where(F.col("body") != "").select("k1", "k2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("body").alias("part"))), F.transform(F.split("body", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))).alias("unit"))
     units = units.where(may_be_known(F.col("unit.part"), known))
     hits = units.select("k1", "k2", "unit.whole", digest(F.col("unit.part")).alias("digest")).join(table, "digest")
     # Copies of a text add up alike, so their number divides out.
     each = hits.groupBy("k1", "k2", "whole", "license").agg(F.count("*").alias("n"))
-    copies = keyed.where(F.col("body") != "").join(each.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    copies = keyed.where(F.col("body") != "").select("k1", "k2", "salt").join(salted(each.select("k1", "k2").distinct()), ["k1", "k2", "salt"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     found = each.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.sum(F.when(~F.col("whole"), F.col("n"))).alias("lines"), F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_text"))
     found = found.join(copies, ["k1", "k2"]).select("k1", "k2", "licenses", (F.coalesce("lines", F.lit(0)) / F.col("copies")).cast("long").alias("n_notices"), "whole_text")
-    out = keyed.join(found, ["k1", "k2"], "left")
+    out = keyed.join(salted(found), ["k1", "k2", "salt"], "left")
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), "whole_text")
 
 
@@ -154,7 +213,7 @@ def _sql() -> str:
             out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
         return f"trim({out})"
 
-    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_texts())
     return f"""
 WITH known AS (SELECT DISTINCT license, {form("text")} AS form FROM (VALUES {values}) AS v(license, text)),
 units AS (SELECT doc_id, TRUE AS whole, text AS part FROM documents WHERE text <> ''
