@@ -109,13 +109,15 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     spark = records.sparkSession
     # One row, of the mappings' examples.
     prints = spark.range(1).select(*[fingerprint(F.lit(m.example)).alias(f"m{i}") for i, m in enumerate(mappings)]).first()
-    found = records.withColumn("found", fingerprint(F.col(record))).withColumn("variant", _variant(F.col(record)))
+    own = {c.lower() for c in records.columns}
+    hash_, variant = (next(n for n in (name + "_" * k for k in range(len(own) + 1)) if n not in own) for name in ("found", "variant"))
+    found = records.withColumn(hash_, fingerprint(F.col(record))).withColumn(variant, _variant(F.col(record)))
     cases = list(enumerate(mappings))
-    layout = reduce(lambda c, m: F.when(F.col("found") == prints[f"m{m[0]}"], F.lit(m[1].name)).otherwise(c), cases, F.lit(None).cast("string"))
-    short, long = (lambda path, kind: F.try_variant_get("variant", path, kind)), (lambda path, kind: _get_long(F.col(record), path, kind))
+    layout = reduce(lambda c, m: F.when(F.col(hash_) == prints[f"m{m[0]}"], F.lit(m[1].name)).otherwise(c), cases, F.lit(None).cast("string"))
+    short, long = (lambda path, kind: F.try_variant_get(variant, path, kind)), (lambda path, kind: _get_long(F.col(record), path, kind))
     either = lambda m: F.when(_long(F.col(record)), _turns(m, long)).otherwise(_turns(m, short))
-    turns = reduce(lambda c, m: F.when(F.col("found") == prints[f"m{m[0]}"], either(m[1])).otherwise(c), cases, F.lit(None).cast(TURNS_TYPE))
-    return found.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS_TYPE)).drop("found", "variant")
+    turns = reduce(lambda c, m: F.when(F.col(hash_) == prints[f"m{m[0]}"], either(m[1])).otherwise(c), cases, F.lit(None).cast(TURNS_TYPE))
+    return found.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS_TYPE)).drop(hash_, variant)
 
 
 def escape(text: Column) -> Column:
@@ -161,8 +163,9 @@ def read_loss(text: Column, spans: Column) -> Column:
 def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
     """records with layout, turns, formatted and loss_spans; all null where the layout is unknown.
 
-    No turns give an empty text. Repeated records each get their own; an empty table gives an empty one. Other columns
-    pass through, but for those of these names.
+    No turns give an empty text. Repeated records each get their own; an empty table gives an empty one. A turn may have
+    any length; a record is one row, under 2 GB. Other columns pass through, but for those named like a result, which
+    the result replaces.
     """
     out = canonical_turns(records, record)
     return out.withColumn("formatted", formatted(F.col("turns"))).withColumn("loss_spans", loss_spans(F.col("turns")))

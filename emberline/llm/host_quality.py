@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, materialise, plain_text, read_table, row_numbers, space_words, word_ids
+from emberline.llm.common import bounded, kept_columns, materialise, plain_text, read_table, row_numbers, space_words, word_ids
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -147,10 +147,11 @@ def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_
 
     kept: base_failed is false and the host's shrunk rate is at most max_rate. A null host has no verdict: its rows
     are kept by the base rule alone and host_rate is null. Null and empty texts have no words, so they fail.
-    Repeated rows count and return as often as they occur; an empty table gives an empty one. Columns of docs other
-    than host and those in keep don't take part, whatever their names.
+    Repeated rows count and return as often as they occur; an empty table gives an empty one. Texts of any length are
+    measured whole, a row at a time where it is long. Columns of docs other than host and text don't take part; they pass
+    through, but for those named like a result, which the result replaces.
     """
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, [*MEASURES, "base_failed", "host_rate", "kept"])
     measured = materialise(_measured(docs, host, text, keep), "measures")
     out = _judged(measured, host_rates(measured), max_rate)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "base_failed", "host_rate", "kept")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, mix, plain_text, read_table, row_numbers, space_words, word_ids
+from emberline.llm.common import bounded, kept_columns, mix, plain_text, read_table, row_numbers, space_words, word_ids
 from emberline.llm.host_quality import measure
 
 #: Documents with words whose posteriors train the scorer, at most; EM's counts are of all documents.
@@ -276,9 +276,10 @@ def weak_quality(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """Each row of docs with score, posterior (from the votes alone) and kept (score of at least threshold).
 
     Null texts and those without words score 0 and aren't kept. Repeated rows count and return as often as they occur;
-    an empty table gives an empty one. Columns other than text pass through unread, whatever their names.
+    an empty table gives an empty one. Texts of any length are read whole. Columns other than text pass through unread,
+    but for those named like a result, which the result replaces.
     """
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, ["score", "posterior", "kept"])
     kept = [f"c{i}" for i in range(len(keep))]
     scorer = train(docs, text, sample) or Scorer(np.zeros(SIZE + 1), np.zeros((2, 3, len(LABELLERS))), 0.5, {})
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

@@ -39,13 +39,32 @@ def test_warc_faults(spark):
     good = warc.record(1, "u", b"a" * 50) + warc.record(2, "u", b"b")
     plain = zlib.decompress(warc.record(3, "u", b"abc"), 31)
     zipped = lambda x: (p := zlib.compressobj(wbits=31)).compress(x) + p.flush()
+    head = lambda *more: "\r\n".join(["WARC/1.1", "WARC-Type: response", *more]).encode() + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: abc\r\n\r\nabc"
+    n = f"Content-Length: {len(http)}"
+    hexed = hashlib.sha1(http).hexdigest()
     cases = [good, good[:-5], good + b"junk", zipped(plain.replace(b"abc", b"abd")), zipped(plain[:-6]), zipped(b"nothing"), b"", None]
+    odd = [("Content-Length: \u00b2",), (n,), (n, "WARC-Payload-Digest: sha1:!!"), (n, "WARC-Block-Digest: md5:1"), (n, f"WARC-Block-Digest: sha1:{hexed}"), (n, f"WARC-Block-Digest: sha1:{hexed[::-1]}"), (n, "WARC-Record-ID: <urn:page:\u00b2>"), ("Content-Length: -4",), ("Content-Length: " + "9" * 30,)]
+    cases += [zipped(head(*x) + http + b"\r\n\r\n") for x in odd] + [zipped(head(n, "WARC-Payload-Digest: sha1:?").replace(b"response", b"revisit") + http + b"\r\n\r\n")]
     rows = warc.read_records(spark.createDataFrame([(str(k), None if c is None else bytearray(c)) for k, c in enumerate(cases)], "archive string, content binary")).collect()
     faults = defaultdict(list)
     for r in rows:
         faults[r.archive].append(r.fault)
     assert faults["0"] == [None, None] and faults["1"][0] is None and "ends inside" in faults["1"][1] and "gzip" in faults["2"][2]
     assert faults["3"] == ["block digest"] and faults["4"] == ["length"] and faults["5"] == ["no WARC header"] and "6" not in faults and "7" not in faults
+    assert [faults[str(k)] for k in range(8, 18)] == [[x] for x in ("no WARC header", None, "payload digest", None, None, "block digest", None, "no WARC header", "no WARC header", None)]
+
+
+def test_warc_large_files(spark, tmp_path):
+    data = b"".join(warc.record(k, "u", bytes([k % 256]) * (k * 700 % 90_000)) for k in range(120))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(data[:-9])
+    (tmp_path / "c.warc.gz").write_bytes(data + b"junk")
+    whole = warc.read_records(warc.read_files(spark, f"{tmp_path}/*.gz")).select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "offset", "page_id", "payload_digest", "fault")
+    pieces = warc.read_large_files(spark, f"{tmp_path}/*.gz", 3000)
+    assert pieces.count() > 6
+    again = warc.read_records(pieces).select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "offset", "page_id", "payload_digest", "fault")
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
 
 
 def sets(texts):
@@ -93,11 +112,33 @@ def test_near_classes_match_brute_force(spark, monkeypatch, block):
     for r in near_dedup.near_classes(docs, keep=["doc_id"]).collect():
         found[r["class"]].add(r.doc_id)
     assert sorted(map(sorted, found.values())) == brute_classes(texts)
+    clash = near_dedup.near_classes(docs)
+    assert clash.columns == ["doc_id", "text", "rid", "class"] and clash.where("rid = 5").count() <= 1
     one = near_dedup.one_of_each(docs)
     assert one.columns == docs.columns and one.count() == len(found)
     assert near_dedup.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_recall_on_every_twentieth_row(spark):
+    """Every text at 0.8 or more of a row whose id 20 divides is in its class, at the production parameters."""
+    d = "/root/testdata/sf0.01"
+    rows = near_dedup.op4_near_dedup(spark, d).collect()
+    cls = {r.doc_id: r.class_id for r in rows}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    known = dict(zip([r.doc_id for r in docs], sets([r.text for r in docs]), strict=True))
+    having = defaultdict(set)
+    for k, x in known.items():
+        for unit in x or ():
+            having[unit].add(k)
+    linked = missed = 0
+    for q in (k for k in known if k % 20 == 0 and known[k]):
+        for k in {k for unit in known[q] for k in having[unit]} - {q}:
+            if sum((known[q] & known[k]).values()) >= 0.8 * sum((known[q] | known[k]).values()):
+                linked += 1
+                missed += cls[q] != cls[k]
+    assert linked > 5 and missed == 0
+
+
 def test_signatures_estimate_similarity():
     a, b = np.arange(100, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)
     units = near_dedup.mix(np.concatenate([a, b, a]))
@@ -139,6 +180,9 @@ def test_chat_round_trip(spark):
         assert [tuple(t) for t in r.turns] == turns and r.loss == "".join(text for role, text in turns if role == "assistant")
         assert r.formatted.count("</s>") == len(turns)
     assert chat_format.format_chats(chat_format.as_records(data.limit(0))).count() == 0
+    clash = spark.sql("""select 1 id, '{"prompt": "p", "response": "r"}' record, 'f' found, 'v' variant, 2 turns, 3 Layout""")
+    out = chat_format.format_chats(clash)
+    assert out.columns == ["id", "record", "found", "variant", "turns", "layout", "formatted", "loss_spans"] and out.first()[2:4] == ("f", "v")
 
 
 def test_long_turns_are_whole(spark):
@@ -228,6 +272,23 @@ def good_labels(spark, d, ids):
     return [r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").collect() if r.doc_id in ids]
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns and empty tables go through all stages."""
+    good = " ".join(f"the word{i} of the house and it is on" for i in range(30))
+    rows = [(1, good, "a", 0), (1, good, "a", 0), (2, None, None, 1), (3, "", "a", 1), (None, good + " more", None, 2), (4, "x " * 50, "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rid long")
+    shape = spark.createDataFrame([], "item_id long, text string")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        shape.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert {r.doc_id for r in out.collect()} <= {1, None} and corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, f"{tmp_path}/some")
+        assert frame.columns == docs.columns
+
+
 def test_pipeline_matches_its_parts(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")

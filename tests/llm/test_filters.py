@@ -56,6 +56,8 @@ def test_host_quality_edges(spark):
     assert host_quality.keep_good_hosts(docs.limit(0)).count() == 0
     twice = host_quality.keep_good_hosts(docs.unionAll(docs))
     assert twice.columns == docs.columns and twice.count() in (0, 4)
+    out = host_quality.host_quality(docs)
+    assert out.columns == ["doc_id", "text", "source", "score", *host_quality.MEASURES, "base_failed", "host_rate", "kept"] and out.first().n_words != 1
 
 
 def brute_leaks(texts, items, window=10):
@@ -90,12 +92,30 @@ def test_leaks_match_brute_force(spark, block_bytes, short):
     assert all(r.contaminated == (r.n_hit > 0) == (r.longest_match > 0) for r in rows)
 
 
+def test_index_numbers_windows_alike():
+    rng = random.Random(21)
+    items = [(rng.choice(["x", "y", None, str(k)]), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 25)))) for k in range(60)]
+    index = decontaminate.test_index(items)
+    windows = {}
+    for name, text in items:
+        words = text.split()
+        n = min(10, len(words))
+        for i in range(len(words) - n + 1):
+            windows.setdefault(tuple(words[i : i + n]), set()).add(name)
+    sizes = np.diff(index.item_offsets)
+    assert len(sizes) == len(windows) == len(index.window_words) and sorted(sizes) == sorted(len(v - {None}) for v in windows.values())
+    assert sorted(index.window[index.window >= 0].tolist()) == list(range(len(windows)))
+    assert sorted(index.window_words) == sorted(map(len, windows))
+
+
 def test_longest_match_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(40)))], "item_id long, text string")
     docs = frame(spark, ["x " + " ".join(f"t{i}" for i in range(5, 30)) + " y", LONG])
     rows = {r.doc_id: r for r in decontaminate.find_leaks(docs, bench, keep=["doc_id"]).collect()}
     assert (rows[0].longest_match, rows[0].hit_starts, rows[0].hit_lengths) == (25, [1], [25]) and rows[1].n_hit == 0
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == 2
+    assert decontaminate.find_leaks(frame(spark, ["0", "a 0 b"]), bench.limit(0)).where("contaminated OR longest_match > 0").count() == 0
+    assert decontaminate.find_leaks(docs, bench).columns == ["doc_id", "text", "source", "score", "n_words", "longest_match", "hit_starts", "hit_lengths", "items", "n_hit", "n_items", "contaminated"]
     assert decontaminate.drop_leaks(docs.limit(0), bench).count() == 0
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
 
@@ -118,6 +138,12 @@ def test_url_rules(spark):
     assert rows[5] == ("example.org", "", None, "block") and rows[6] == rows[7] == ("", "", None, "allow") and rows[8] == ("", "", None, "allow")
     assert rows[9][2] == "org/"
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
+    twice = url_filter.filter_urls(pages.unionAll(pages), listed)
+    assert twice.columns == ["page_id", "url", "html", "host", "path", "rule", "listed", "verdict"] and twice.count() == 20 and twice.where("host = 'own'").count() == 0
+    tied = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, listed, rules=(("allow", "org/"), ("block", "org/")), keep=["page_id"]).collect()}
+    assert tied[0] == ("org/", "block")
+    long = spark.createDataFrame([(1, "http://a.org/" + "x" * 3_000_000, None)], "page_id long, url string, html string")
+    assert url_filter.filter_urls(long, url_filter.thin_keys(long)).first().verdict == "allow"
 
 
 def test_licenses(spark):
@@ -128,9 +154,34 @@ def test_licenses(spark):
     assert rows[0] == none and rows[1] == rows[9] == (["MIT"], 1, "MIT")
     assert rows[2] == (["MIT"], 0, "MIT") and rows[7] == (["CC-BY-NC-4.0"], 2, None)
     assert all(rows[k] == none for k in (3, 4, 5, 6, 8, 10))
+    clash = licenses.scan_licenses(frame(spark, texts).withColumn("Licenses", F.lit(1)), licenses.notices(spark))
+    assert clash.columns == ["doc_id", "text", "source", "n_words", "score", "licenses", "n_notices", "whole_text"]
     assert licenses.scan_licenses(frame(spark, texts).limit(0), licenses.notices(spark)).count() == 0
 
 
+def test_published_license_files(spark):
+    own = {name: text for name, text in licenses.NOTICES if "\n" in text}
+    texts = [f"{title}\n\nCopyright (c) 2020 Jane Doe\n\n{own[name]}" for name, titles in licenses.TITLES.items() for title in titles]
+    texts += ["\n".join(f"# {line}" if line else "#" for line in own["Apache-2.0"].split("\n")), "/*\n * " + own["GPL-3.0"].replace("\n", "\n * ") + "\n */"]
+    want = [name for name, titles in licenses.TITLES.items() for _ in titles] + ["Apache-2.0", "GPL-3.0"]
+    rows = licenses.scan_licenses(frame(spark, texts), licenses.notices(spark), keep=["doc_id"]).sort("doc_id").collect()
+    assert [r.whole_text for r in rows] == want
+
+
+def test_first_words_rule_nothing_out(spark):
+    """A text with the canonical form of a known one stays, whatever characters it begins with."""
+    odd = [chr(c) for c in range(0x20, 0x2200) if len(chr(c).lower()) > 1 or chr(c).lower() != chr(c) or not chr(c).isalnum()]
+    rng = random.Random(22)
+    heads = ["I", "İ", "i", "COPYRIGHTED", "Copyright2020 x\n", "Non", "sub-", "ΑΣ", "LICENCE", "Colour", "fulfil", "utilised", "© x\n", "(c) x\n", "All rights reserved.\n"]
+    texts = [f"{rng.choice(odd)}{h}{rng.choice(odd)} agree" for h in heads for _ in range(60)] + [f"{c}I agree" for c in odd[:600]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").withColumn("form", licenses.canonical(F.col("text")))
+    for head in ("i agree", "license agree", "color agree", "fulfill agree", "utilized agree", "agree", "non agree"):
+        known = spark.createDataFrame([("L", head)], "license string, text string")
+        assert df.where(F.col("form") == head).where(~licenses.may_be_known(F.col("text"), known)).count() == 0
+    known = df.where("form <> ''").select(F.lit("L").alias("license"), "text").limit(900)
+    assert df.join(known.select(licenses.canonical(F.col("text")).alias("form")).distinct(), "form").where(~licenses.may_be_known(F.col("text"), known)).count() == 0
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.8
@@ -154,6 +205,8 @@ def test_weak_quality_edges(spark):
     kept = {r.doc_id: (r.score, r.kept) for r in rows}
     assert kept[0] == kept[1] == (0.0, False) and kept[2] == kept[3]
     docs = frame(spark, [None, ""])
+    out = weak_quality.weak_quality(docs)
+    assert out.columns == ["doc_id", "text", "source", "n_words", "score", "posterior", "kept"] and out.first().score == 0.0
     assert weak_quality.keep_good(docs).count() == 0 and weak_quality.keep_good(docs.limit(0)).columns == docs.columns
 
 
