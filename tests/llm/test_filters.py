@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +193,54 @@ def test_em_finds_accuracies():
     assert ((posterior[inverse.ravel()] > 0.5) == truth).mean() > 0.9
 
 
+def brute_votes(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, (_, chars, symbols, _, repeats) = len(words), brute_measures(text)
+    if not n:
+        return [0] * 9
+    share = lambda f: sum(map(f, words)) / n
+    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    function = share(lambda w: w.lower() in weak_quality.FUNCTION_WORDS)
+    length = chars / n
+    marks = share(lambda w: not any(c.isalpha() or unicodedata.category(c)[0] in "LN" for c in w))
+    pick = lambda bad, good=False: -1 if bad else int(good)
+    return [
+        pick(symbols / max(chars, 1) > 0.08), pick(repeats / n > 0.3), pick(stutter > 0.12 and n >= 5), pick(share(lambda w: w.isupper() and len(w) > 1) > 0.4), pick(marks > 0.15), pick(share(lambda w: "!!" in w) > 0.2),
+        pick(function < 0.02 and n >= 15, function > 0.08 and n >= 15), pick(n < 2, n >= 20), pick(length > 14 or length < 2, 3 < length < 9),
+    ]
+
+
+def test_weak_quality_matches_brute_force(spark):
+    """Votes, posteriors and scores of a whole table, again in plain Python: EM over documents, features word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scorer = weak_quality.train(docs)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    cast = np.array([brute_votes(t) for t in texts.values()])
+    there = np.array([bool(re.search(r"[^\x20\x09-\x0D]", t or "")) for t in texts.values()])
+    posterior, _, share = weak_quality.estimate(cast[there], np.ones(there.sum()))  # each document a pattern of its own
+    rows = {r.doc_id: r for r in weak_quality.weak_quality(docs, keep=["doc_id"]).collect()}
+    assert np.allclose([rows[k].posterior for k, t in zip(texts, there, strict=True) if t], posterior, atol=1e-9) and abs(share - scorer.share) < 1e-9
+
+    def bucket(data, seed, offset):
+        total = sum(int(weak_quality.mix(np.array([b + 256 * k], np.uint64), seed)[0]) for k, b in enumerate(data)) % 2**64
+        return int(weak_quality.mix(np.array([total], np.uint64))[0] % np.uint64(weak_quality.BUCKETS)) + offset
+
+    kind = lambda b: 65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b
+    for k in list(texts)[:60]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[k] or "")
+        if not words:
+            assert rows[k].score == 0
+            continue
+        total = 0.0
+        for w in words:
+            shape = [kind(b) for b in w.encode()]
+            shape = [b for i, b in enumerate(shape) if not i or b != shape[i - 1]]
+            total += scorer.weights[bucket(w.encode(), 20, 0)] + scorer.weights[bucket(shape, 21, weak_quality.BUCKETS)]
+        binned = weak_quality._binned(weak_quality.signals(plain_text(pa.array([texts[k]], pa.string()))))[0]
+        total = total / len(words) + scorer.weights[binned].sum() + scorer.weights[-1]
+        assert abs(rows[k].score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_weak_quality_on_held_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
