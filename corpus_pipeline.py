@@ -1,6 +1,9 @@
 """The corpus pipeline: five operators of emberline.llm over the documents table, each stage's rows written before the next.
 
-Every stage works on all rows that its predecessor kept. All but the last return the columns of documents.
+Every stage works on all rows that its predecessor kept. All but the last return the columns of documents, whatever
+other columns those have. Null texts and those without words are rejected by the first stage; a null source has no
+verdict of its own. Repeated rows are copies, of which near-dedup keeps one. Texts may have any length. Empty tables,
+of documents or of the benchmark, go through.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ def score_pairs(facilities: DataFrame, reported: DataFrame, least: float = REVIE
     grouped. The score is the overlap by the smaller name, with a bonus or a fine for the state where both have one,
     nothing if the industry can't be the layer's, a bonus if it can, and a fine for a single short word.
     """
-    left = facilities.withColumn("word", F.explode("a_tokens"))
+    # Pairs outgrow the names by far, which one task may have read.
+    left = facilities.repartition(facilities.sparkSession.sparkContext.defaultParallelism, "a").withColumn("word", F.explode("a_tokens"))
     right = reported.withColumn("word", F.explode("b_tokens"))
     shared = F.array_intersect("a_tokens", "b_tokens")
     met = left.join(right, "word").withColumn("shared", shared).where(F.element_at("shared", 1) == F.col("word"))

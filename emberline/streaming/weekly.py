@@ -29,7 +29,7 @@ def run_weekly(spark: SparkSession, path: str, table: str | None = None) -> Data
 
     A run with the same table goes on where the one before ended: progress and sums are kept beside it.
     """
-    table = table or f"{shared_dir(spark)}/emberline-{uuid.uuid4().hex}"
+    table = table or f"{shared_dir(spark)}/emberline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/rows/batch={number:012d}")
