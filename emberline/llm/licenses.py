@@ -149,12 +149,13 @@ def may_be_known(text: Column, known: DataFrame) -> Column:
     firsts = known.select(F.split_part(canonical(F.col("text")), F.lit(" "), F.lit(1)).alias("w")).where("w <> ''").distinct().limit(MAX_FIRST_WORDS + 1).collect()
     if len(firsts) > MAX_FIRST_WORDS:
         return F.lit(True)
-    raw = F.regexp_extract(F.lower(text), r"[\p{L}\p{N}]+", 0)
+    # Only the word is lower-cased; marks that this makes end it. A sigma's form depends on what follows the word.
+    raw = F.regexp_extract(F.lower(F.regexp_extract(text, r"[\p{L}\p{N}]+", 0)), r"[\p{L}\p{N}]+", 0)
     word = raw
     for pattern, by in SPELLINGS[1:]:
         word = F.regexp_replace(word, pattern, by.replace("\\", "$"))
     word = F.when(raw.rlike("licenc|is|our|whilst|fil"), word).otherwise(raw)  # no other word is respelled
-    return text.contains("©") | raw.startswith("copyright") | word.isin(*(r["w"] for r in firsts), "c", "all", "non", "sub", "per")
+    return text.contains("©") | raw.rlike("^copyright|[σς]") | word.isin(*(r["w"] for r in firsts), "c", "all", "non", "sub", "per")
 
 
 def known_texts() -> list[tuple[str, str]]:
