@@ -74,13 +74,13 @@ def plume_status(spark: SparkSession, d: str) -> DataFrame:
     return fac_ops.run_status(near, p.where("day >= '2024-01-25'").select("plume_id"), "2024-02-01")
 
 
-@query("", """WITH w AS (SELECT user_id % 5 AS place, strftime(ts, '%Y-%m-%dT%H:00') AS hour, round_even(avg(value) + 137e-4, 4) AS speed, round_even(avg(value) * 3, 1) AS direction FROM events GROUP BY ALL)
+@query("", """WITH w AS (SELECT user_id % 5 AS place, strftime(ts, '%Y-%m-%dT%H:00') AS hour, avg(value) + 137e-4 AS speed, avg(value) * 3 + 137e-4 AS direction FROM events GROUP BY ALL)
     SELECT event_id AS id, CASE WHEN DATE '2024-01-31' - ts::DATE > 10 THEN 'archive' ELSE 'forecast' END AS source, round_even(direction, 0) AS wind_from_deg, round_even((direction + 180) % 360, 0) AS plume_toward_deg, round_even(speed / 3.6, 1) AS wind_speed_ms
     FROM events LEFT JOIN (SELECT * FROM w WHERE hour[12:13]::INT % 6 <> 0) w ON place = user_id % 5 AND hour = strftime(ts, '%Y-%m-%dT%H:00')""")
 def wind_arrays(spark: SparkSession, d: str) -> DataFrame:
     """Hourly arrays of a place's day to hours, and the wind of each event's hour; every sixth hour has none."""
     e = read_table(spark, d, "events").withColumn("place", F.col("user_id") % 5).withColumn("hour", F.date_format("ts", "yyyy-MM-dd'T'HH':00'"))
-    w = e.groupBy("place", "hour").agg(F.bround(F.avg("value") + F.lit(137e-4), 4).alias("s"), F.bround(F.avg("value") * 3, 1).alias("d"))
+    w = e.groupBy("place", "hour").agg((F.avg("value") + F.lit(137e-4)).alias("s"), (F.avg("value") * 3 + F.lit(137e-4)).alias("d"))
     told = F.substring("hour", 12, 2).cast("int") % 6 != 0
     days = w.groupBy("place", F.substring("hour", 1, 10).alias("day")).agg(F.array_sort(F.collect_list(F.struct("hour", F.when(told, F.col("s")).alias("s"), F.col("d").alias("d")))).alias("h"))
     part = lambda name: F.transform("h", lambda x: x[name])
