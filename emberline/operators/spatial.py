@@ -43,8 +43,8 @@ def nearest_two(plumes: DataFrame, vertices: DataFrame, radius_km: float = 10.0,
     """Each plume with its nearest point feature and its nearest feature of any kind within the radius.
 
     plumes: plume_id, lon, lat. vertices: r_lon, r_lat, name, layer, layer_ord, feature_ord, vertex_ord. Of equal
-    distances the first by layer, feature and vertex wins. Both winners come from one aggregation, without a sort of
-    all pairs.
+    distances the first by layer, feature and vertex wins. Both winners come from one aggregation: a task's pairs are
+    sorted by plume alone, which spills, and one row of each plume and task is shuffled.
     """
     pairs = radius_join(plumes.select("plume_id", "lon", "lat"), vertices, radius_km)
     key = F.struct("km", "layer_ord", "feature_ord", "vertex_ord", "name", "layer")
