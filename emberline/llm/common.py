@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, its rows dealt over all cores if it has fewer splits than those: all of a small file may be one task's.
+
+    Larger tables are read as they lie, without a shuffle.
+    """
+    table, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where it is unset and Spark is local (tests), a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, kept_columns, materialise, plain_text, read_table, row_numbers, space_words, word_ids
+from emberline.llm.common import bounded, kept_columns, materialise, plain_text, read_spread, row_numbers, space_words, word_ids
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -170,7 +170,7 @@ def keep_good_hosts(docs: DataFrame, host: str = "source", text: str = "text", m
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_quality(read_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("host_rate")
+    return host_quality(read_spread(spark, sf_dir, "documents"), keep=["doc_id"]).drop("host_rate")
 
 
 SQL = r"""

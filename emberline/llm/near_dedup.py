@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, folded_words, kept_columns, materialise, mix, plain_text, read_table, row_numbers, word_ids
+from emberline.llm.common import bounded, folded_words, kept_columns, materialise, mix, plain_text, read_spread, row_numbers, word_ids
 from emberline.llm.components import connected_components
 
 SHINGLE = 5
@@ -309,8 +309,8 @@ def one_of_each(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), class_size and kept (the class's first row)."""
-    rows = near_classes(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """doc_id, class_id (the class's smallest doc_id), class_size and kept (one row of each class, the first as this run numbers them)."""
+    rows = near_classes(read_spread(spark, sf_dir, "documents"), keep=["doc_id"])
     rows = materialise(rows, "classes")
     named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
     size = F.coalesce("class_size", F.lit(1).cast("long"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, folded_words, kept_columns, materialise, plain_text, read_table, row_numbers
+from emberline.llm.common import bounded, folded_words, kept_columns, materialise, plain_text, read_spread, read_table, row_numbers
 
 #: Labelled documents that are learned from, at most about.
 SAMPLE = 30_000
@@ -320,6 +320,6 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text", keep:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text")
     grammar = learn(docs, read_table(spark, sf_dir, "labels"))
     return score_toxicity(docs, grammar, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

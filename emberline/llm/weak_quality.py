@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, kept_columns, mix, plain_text, read_table, row_numbers, space_words, word_ids
+from emberline.llm.common import bounded, kept_columns, mix, plain_text, read_spread, row_numbers, space_words, word_ids
 from emberline.llm.host_quality import measure
 
 #: Documents with words whose posteriors train the scorer, at most; EM's counts are of all documents.
@@ -302,4 +302,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_quality(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return weak_quality(read_spread(spark, sf_dir, "documents"), keep=["doc_id"])
