@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import chat_format, decontaminate, host_quality, licenses, near_dedup, pack, toxicity, url_filter, warc, weak_quality
+from emberline.llm import chat_format, decontaminate, host_quality, licenses, near_dedup, pack, prefix_trie, repair, toxicity, url_filter, warc, weak_quality
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_pack": pack.op10_pack,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_repair": repair.op13_repair,
 }
 SQL = {
     "op1_host_quality": host_quality.SQL,
@@ -21,4 +23,6 @@ SQL = {
     "op5_url_filter": url_filter.SQL,
     "op6_license_scan": licenses.SQL,
     "op9_chat_format": chat_format.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_repair": repair.SQL,
 }
