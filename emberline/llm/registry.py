@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from emberline.llm import chat_format, decontaminate, host_quality, licenses, near_dedup, pack, prefix_trie, repair, toxicity, url_filter, warc, weak_quality
+from emberline.llm import chat_format, decontaminate, host_quality, licenses, near_dedup, pack, prefix_trie, repair, suffix_dedup, toxicity, url_filter, warc, weak_quality
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_pack": pack.op10_pack,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_repair": repair.op13_repair,
 }
