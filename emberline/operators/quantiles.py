@@ -22,8 +22,9 @@ def _ranked(values: DataFrame, ranks: list[int], low: float, high: float, before
                 out |= {k: row["v"] for k in ranks if seen <= k < seen + row["count"]}
                 seen += row["count"]
             return out
-        width = (high - low) / RANGES
-        part = F.least(F.floor((F.col("v") - low) / width), F.lit(RANGES - 1)).alias("part")
+        # Divided before they are subtracted, as the whole width may be beyond a double; of over VALUES values it isn't 0.
+        width = high / RANGES - low / RANGES
+        part = F.least(F.floor(F.col("v") / width - low / width), F.lit(RANGES - 1)).alias("part")
         counted = own.groupBy(part).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).sort("part").collect()
         seen, held = before, []
         for row in counted:
@@ -41,7 +42,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | N
 
     Each pass counts RANGES ranges of what is left, so neither a task nor the driver ever holds the values.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.abs("v") < F.lit(float("inf")))
     row = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if not row["n"]:
         return [None] * len(shares)

@@ -31,13 +31,16 @@ def ramp(share: Column, anchors=SEQUENTIAL) -> list[Column]:
 
 
 def colorize(cells: DataFrame, value: str, low: float, high: float, diverging: bool = False) -> DataFrame:
-    """cells with r, g, b and alpha, truncated; all 0 where there is no value. A diverging scale is symmetric about 0 and fades towards it."""
+    """cells with r, g, b and alpha, truncated; all 0 where there is no finite value. A diverging scale is symmetric about 0 and fades towards it.
+
+    A scale of no width is one unit wide.
+    """
     v = F.col(value)
-    limit = max(abs(low), abs(high))
-    share = (v / limit + 1) / 2 if diverging else (v - low) / (high - low)
+    limit = max(abs(low), abs(high)) or 1.0
+    share = (v / limit + 1) / 2 if diverging else (v - low) / ((high - low) or 1.0)
     alpha = 245 * F.pow(F.least(F.abs(v) / limit, F.lit(1.0)), 1.6) if diverging else F.lit(235.0)
     cols = dict(zip("rgb", ramp(share, DIVERGING if diverging else SEQUENTIAL), strict=True)) | {"alpha": alpha}
-    gone = v.isNull() | F.isnan(v)
+    gone = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
     return cells.withColumns({k: F.when(gone, 0).otherwise(c.cast("int")) for k, c in cols.items()})
 
 

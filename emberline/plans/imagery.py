@@ -40,13 +40,12 @@ def scene_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("fac", """+ b AS (SELECT fac_id, 5 / 110.57 AS dlat, 5 / (111.32 * cos(radians(lat))) AS dlon, lon, lat FROM fac) SELECT fac_id, round_even(lon - dlon, 6) AS west, round_even(lat - dlat, 6) AS south, round_even(lon + dlon, 6) AS east, round_even(lat + dlat, 6) AS north,
-    'POLYGON((' || round_even(lon, 3)::BIGINT::VARCHAR || ' 0,9 0,9 9,' || round_even(lon, 3)::BIGINT::VARCHAR || ' 9,' || round_even(lon, 3)::BIGINT::VARCHAR || ' 0))' AS wkt FROM b""")
+    printf('POLYGON((%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f))', lon - dlon, lat - dlat, lon + dlon, lat - dlat, lon + dlon, lat + dlat, lon - dlon, lat + dlat, lon - dlon, lat - dlat) AS wkt FROM b""")
 def site_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """The box of five kilometres around each site, and a box as text."""
+    """The box of five kilometres around each site, and that box as text."""
     box = imagestack.site_box(F.col("lon"), F.col("lat"), F.lit(5.0))
-    west = F.bround(F.bround("lon", 3), 0).cast("long")
-    wkt = imagestack.box_wkt(F.struct(west.alias("west"), F.lit(0).alias("south"), F.lit(9).alias("east"), F.lit(9).alias("north")))
-    return views.facilities(spark, d).select("fac_id", *[F.bround(box[c], 6).alias(c) for c in ("west", "south", "east", "north")], wkt.alias("wkt"))
+    shown = F.struct(*[F.format_string("%.6f", box[c]).alias(c) for c in ("west", "south", "east", "north")])
+    return views.facilities(spark, d).select("fac_id", *[F.bround(box[c], 6).alias(c) for c in ("west", "south", "east", "north")], imagestack.box_wkt(shown).alias("wkt"))
 
 
 #: Sites in an image of 8 by 8 pixels a scene: three a scene, of which one lies outside.
