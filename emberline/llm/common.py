@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task holds as words at one time.
 BATCH_BYTES = 4 << 20
+#: Bytes of files up to which a table of few splits is dealt over all cores.
+SPREAD_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, its rows dealt over all cores if it has fewer splits than those: all of a small file may be one task's.
+    """A table, its rows dealt over all cores if it has fewer splits than those and SPREAD_BYTES of files at most.
 
-    Larger tables are read as they lie, without a shuffle.
+    All of a small file may be one task's. Larger tables are read as they lie, without a shuffle, on any number of cores.
     """
     table, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    if table.rdd.getNumPartitions() >= cores or table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SPREAD_BYTES:
+        return table
+    return table.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.llm import prefix_trie, repair
+from emberline.llm import common, prefix_trie, repair
 from emberline.llm.registry import QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth string, ends_sha256 int"
@@ -173,3 +173,10 @@ def test_general_repair_returns_turns(spark):
     assert (row.gaps, row.duplicate, row.truncated, row.illegal, row.cost, row.audit) == (1, 1, 1, 2, 8, "KIKDD")
     assert [r.role for r in row.repaired] == ["system", "user", "assistant"]
     assert [r.text for r in row.repaired] == ["Be brief.", "", "Hello."]
+
+
+def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert common.read_spread(spark, str(tmp_path), "documents").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(common, "SPREAD_BYTES", 100)
+    assert common.read_spread(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 1
