@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from emberline.operators import facilities as fac_ops
 from emberline.operators import greedy, grid, imagestack, matching, quantiles, render, spatial
 from emberline.plans import views
 from emberline.plans.views import GRID_COLS, GRID_ROWS, VERDICTS, binned, spread, with_views
-from emberline.sources.shared import materialise, read_table
+from emberline.sources import commits
+from emberline.sources.shared import materialise, read_table, shared_dir
 from emberline.streaming.weekly import run_weekly
 
 QUERIES: dict = {}
@@ -661,10 +664,12 @@ def stamp_back(spark: SparkSession, d: str) -> DataFrame:
 def resumed_periods(spark: SparkSession, d: str) -> DataFrame:
     """T-A, U06: periods missing in the index are computed and put into it; finished ones stay."""
     t = read_table(spark, d, "lineitem").withColumn("period", F.date_format("l_shipdate", "yyyy"))
-    index = t.where("period < '1999'").groupBy("period").agg(F.count_if(F.col("l_linenumber") == 1).alias("n")).withColumn("state", F.lit("old"))
-    todo = fac_ops.periods_to_do(t.select("period").distinct(), index)
-    rows = t.join(todo, "period", "left_semi").groupBy("period").agg(F.count("*").alias("n")).withColumn("state", F.lit("new"))
-    return fac_ops.upsert(index, rows, "period")
+    path = f"{shared_dir(spark)}/emberline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    own = lambda n, state: lambda p: t.where(F.col("period") == p).agg(n.alias("n"), F.lit(state).alias("state"))
+    years = [x[0] for x in t.select("period").distinct().sort("period").collect()]
+    commits.run_periods(spark, path, [y for y in years if y < "1999"], own(F.count_if(F.col("l_linenumber") == 1), "old"))
+    commits.run_periods(spark, path, years, own(F.count("*"), "new"))
+    return commits.read_periods(spark, path, "n bigint, state string").select("period", "n", "state")
 
 
 @query("ratios", """+ m AS (SELECT scene, count(ratio) AS n, quantile_cont(ratio, 0.5) AS median FROM ratios WHERE ratio IS NOT NULL GROUP BY scene),

@@ -1,6 +1,6 @@
 """Every registered query of the core library and its SQL."""
 
-from emberline.plans import feeds, imagery, records, space
+from emberline.plans import feeds, imagery, records, runs, space
 from emberline.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "feeds", "imagery", "records", "space"]
+__all__ = ["QUERIES", "SQL", "feeds", "imagery", "records", "runs", "space"]
