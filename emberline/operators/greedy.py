@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import KM_PER_LAT, KM_PER_LON, NORTH, SOUTH, distance_km
+from emberline.operators.components import merged_names
 from emberline.operators.spatial import radius_join
 from emberline.sources.shared import materialise
 
@@ -135,41 +136,53 @@ def review_pairs(pairs: DataFrame, accepted: DataFrame, low: float = 0.6, high:
     return some.join(accepted.select("a"), "a", "left_anti").join(accepted.select("b"), "b", "left_anti")
 
 
-def label_clusters(pixels: DataFrame, min_pixels: int = 12) -> DataFrame:
+def _tile_labels(table: pa.Table) -> pa.Table:
+    """The pixels of a tile with label, the first pixel of their 8-connected cluster in the tile."""
+    every = table["row"].to_numpy().astype(np.int64) << 20 | table["col"].to_numpy().astype(np.int64)
+    key, which = np.unique(every, return_inverse=True)
+    name, links = key.copy(), []
+    for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        other = key + (dr << 20) + dc
+        at = np.minimum(np.searchsorted(key, other), len(key) - 1)
+        hit = key[at] == other
+        links.append(np.stack([np.flatnonzero(hit), at[hit]]))
+    a, b = np.concatenate(links, axis=1)
+    while True:
+        low = name.copy()
+        np.minimum.at(low, a, name[b])
+        np.minimum.at(low, b, name[a])
+        low = low[np.searchsorted(key, low)]
+        if (low == name).all():
+            return table.append_column("label", pa.array(name[which]))
+        name = low
+
+
+def label_clusters(pixels: DataFrame, min_pixels: int = 12, tile: int = 512) -> DataFrame:
     """pixels (site, scene, row, col) with cluster, for 8-connected clusters of at least min_pixels.
 
-    A site's window is a few hundred pixels a side, which bounds the group of a scene. cluster is the cluster's first
-    pixel, row times 2**20 plus col.
+    A task labels a tile of a scene, whose side bounds what it holds; then the labels of pixels that touch over tiles' borders
+    are merged, however many tiles a cluster crosses. cluster is the cluster's first pixel, row times 2**20 plus col; rows and
+    cols are from 0 to 2**20 - 1. Repeated pixels count as often as they are given.
     """
-
-    def label(table: pa.Table) -> pa.Table:
-        row, col = (table[c].to_numpy().astype(np.int64) for c in ("row", "col"))
-        key = row << 20 | col
-        order = np.argsort(key)
-        key, name = key[order], key[order].copy()
-        links = []
-        for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
-            other = key + (dr << 20) + dc
-            at = np.minimum(np.searchsorted(key, other), len(key) - 1)
-            hit = key[at] == other
-            links.append(np.stack([np.flatnonzero(hit), at[hit]]))
-        a, b = np.concatenate(links, axis=1)
-        while True:
-            low = name.copy()
-            np.minimum.at(low, a, name[b])
-            np.minimum.at(low, b, name[a])
-            low = low[np.searchsorted(key, low)]
-            if (low == name).all():
-                break
-            name = low
-        _, inverse, count = np.unique(name, return_inverse=True, return_counts=True)
-        keep = count[inverse] >= min_pixels
-        out = table.take(pa.array(order[keep]))
-        return out.append_column("cluster", pa.array(name[keep]))
-
-    picked = pixels.select("site", "scene", "row", "col")
+    keys = ["site", "scene"]
+    picked = pixels.select(*keys, "row", "col")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.groupBy("site", "scene").applyInArrow(label, f"{kinds}, cluster bigint")
+    tiles = [F.floor(F.col(c) / tile).alias(f"tile_{c}") for c in ("row", "col")]
+    labelled = materialise(picked.groupBy(*keys, *tiles).applyInArrow(_tile_labels, f"{kinds}, label bigint"), "labels")
+    on_edge = lambda c: (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
+    border = labelled.where(on_edge("row") | on_edge("col")).select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "label").distinct()
+    ways = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    moved = border.withColumn("d", ways).select(*keys, (F.col("row") + F.col("d.r")).alias("row"), (F.col("col") + F.col("d.c")).alias("col"), F.col("label").alias("other"))
+    name = lambda c: F.struct(*keys, F.col(c).alias("label"))
+    touching = moved.join(border, [*keys, "row", "col"]).where("label <> other")
+    pairs = materialise(touching.select(name("label").alias("a"), name("other").alias("b")).distinct(), "touching")
+    named = labelled.withColumn("cluster", F.col("label"))
+    if pairs.limit(1).count():
+        least = merged_names(pairs).select(*[F.col(f"name.{k}").alias(k) for k in (*keys, "label")], F.col("least.label").alias("least"))
+        named = labelled.join(least, [*keys, "label"], "left").withColumn("cluster", F.coalesce("least", "label"))
+    # Sizes are counted apart, as a cluster may be most of a scene.
+    large = named.groupBy(*keys, "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_pixels).drop("n")
+    return named.join(large, [*keys, "cluster"], "left_semi").select(*keys, "row", "col", "cluster")
 
 
 def same_day_links(plumes: DataFrame, radius_km: float = 1.0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import cell_col, cell_row, in_grid
@@ -10,6 +12,8 @@ from emberline.sources.shared import materialise
 
 QA_MIN, MIN_OBS, ELEVATED, MIN_MONTHS, PERSISTENT = 0.5, 3, 18.0, 8, 0.5
 HALF_ROWS, MIN_BACKGROUND = 20, 50
+#: Rows of a task's block; with those around it, a task reads a third more than it gives.
+BLOCK_ROWS = 120
 
 
 def usable(soundings: DataFrame) -> DataFrame:
@@ -18,10 +22,31 @@ def usable(soundings: DataFrame) -> DataFrame:
     return soundings.where(ok[0] & ok[1] & ok[2] & ok[3] & (F.col("qa") >= QA_MIN) & (F.col("surface").bitwiseAND(1) == 0) & in_grid(F.col("lon"), F.col("lat")))
 
 
+#: A value is held as two whole numbers, of units of 2**-20 and of 2**-51, as sums of those don't depend on their order.
+COARSE, FINE = float(1 << 20), float(1 << 31)
+#: Values from which on the first would not hold the sum of a few thousand million.
+TOO_LARGE = float(1 << 31)
+
+
+def _limbs(value: Column) -> tuple[Column, Column]:
+    """The two numbers of a value; exact from 1 on, else cut to 2**-51."""
+    coarse = F.floor(value * COARSE)
+    return coarse, F.floor((value * COARSE - coarse) * FINE)
+
+
+def _total() -> Column:
+    return F.col("coarse") / COARSE + F.col("fine") / (COARSE * FINE)
+
+
 def bin_soundings(soundings: DataFrame) -> DataFrame:
-    """Sum and count of each period's cells; partial sums are merged by merge_bins."""
-    cells = soundings.withColumn("row", cell_row(F.col("lat"))).withColumn("col", cell_col(F.col("lon")))
-    return cells.groupBy("period", "row", "col").agg(F.sum("value").alias("total"), F.count("*").alias("n_obs"))
+    """Sum (total, and as coarse and fine) and count of each period's cells; partial sums are merged by merge_bins.
+
+    The sums have the same bits in whatever order and parts they are taken. Values of TOO_LARGE or more raise.
+    """
+    value = F.when(F.abs("value") < TOO_LARGE, F.col("value")).otherwise(F.raise_error(F.lit("a value is too large to be summed exactly")))
+    coarse, fine = _limbs(value)
+    cells = soundings.select("period", cell_row(F.col("lat")).alias("row"), cell_col(F.col("lon")).alias("col"), coarse.alias("coarse"), fine.alias("fine"))
+    return cells.groupBy("period", "row", "col").agg(F.sum("coarse").alias("coarse"), F.sum("fine").alias("fine"), F.count("*").alias("n_obs")).withColumn("total", _total())
 
 
 def merge_bins(*parts: DataFrame) -> DataFrame:
@@ -29,26 +54,78 @@ def merge_bins(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("period", "row", "col").agg(F.sum("total").alias("total"), F.sum("n_obs").alias("n_obs"))
+    return out.groupBy("period", "row", "col").agg(*[F.sum(c).alias(c) for c in ("coarse", "fine", "n_obs")]).withColumn("total", _total())
 
 
 def means(bins: DataFrame) -> DataFrame:
     return bins.where("n_obs > 0").withColumn("mean", F.col("total") / F.col("n_obs"))
 
 
-def latitude_background(cells: DataFrame, rows: int) -> DataFrame:
+class _Counted:
+    """How often each rank of a block's values is within the rows that are held now; sums of runs of ranks make a rank's place quick to find."""
+
+    RUN = 512
+
+    def __init__(self, ranks: int):
+        self.each = np.zeros((ranks // self.RUN + 1) * self.RUN, np.int64)
+        self.runs = np.zeros(ranks // self.RUN + 1, np.int64)
+
+    def change(self, ranks: np.ndarray, by: int) -> None:
+        np.add.at(self.each, ranks, by)
+        np.add.at(self.runs, ranks // self.RUN, by)
+
+    def find(self, k: int) -> int:
+        """The rank of the k-th value, from 0."""
+        ends = np.cumsum(self.runs)
+        run = int(np.searchsorted(ends, k, side="right"))
+        inside = np.cumsum(self.each[run * self.RUN : (run + 1) * self.RUN])
+        return run * self.RUN + int(np.searchsorted(inside, k - (int(ends[run - 1]) if run else 0), side="right"))
+
+
+def slide(row: np.ndarray, value: np.ndarray, first: int, last: int, half: int = HALF_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """For each row from first to last how many values lie within half rows, and their median (NaN for none)."""
+    order = np.argsort(row, kind="stable")
+    row, levels = row[order], np.unique(value)
+    ranks = np.searchsorted(levels, value[order])
+    held, count = _Counted(len(levels)), 0
+    numbers, medians = np.zeros(last - first + 1, np.int64), np.full(last - first + 1, np.nan)
+    low = high = 0
+    for k, r in enumerate(range(first, last + 1)):
+        enter, leave = np.searchsorted(row, r + half, side="right"), np.searchsorted(row, r - half)
+        held.change(ranks[high:enter], 1)
+        held.change(ranks[low:leave], -1)
+        count += int(enter - high) - int(leave - low)
+        low, high = leave, enter
+        numbers[k] = count
+        if count:
+            a, b = (levels[held.find(at)] for at in ((count - 1) // 2, count // 2))
+            medians[k] = a + (b - a) * 0.5
+    return numbers, medians
+
+
+def latitude_background(cells: DataFrame, rows: int, block: int = BLOCK_ROWS) -> DataFrame:
     """background of each period's row: the median of all cells within HALF_ROWS rows, if there are MIN_BACKGROUND, else of the period.
 
-    Every row from 0 to rows - 1 has one, also those without a cell: each has a cell without a mean. A period is a
-    window by row, whose cells the grid bounds; no cell is copied.
+    Every row from 0 to rows - 1 has one, also those without a cell. A task has a block of a period's rows with those around
+    it, and moves down by adding a row's values to counts by rank and taking another's out. Values that aren't finite don't count.
     """
-    every = cells.select("period").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
-    held = cells.select("period", "row", "mean").unionByName(every.withColumn("mean", F.lit(None).cast("double")))
-    near = Window.partitionBy("period").orderBy("row").rangeBetween(-HALF_ROWS, HALF_ROWS)
-    middle = lambda over: F.expr("percentile(mean, 0.5)").over(over)
-    local = held.select("period", "row", "mean", F.count("mean").over(near).alias("n"), middle(near).alias("local"), middle(Window.partitionBy("period")).alias("whole"))
-    rows_ = local.where(F.col("row").between(0, rows - 1)).groupBy("period", "row").agg(F.first("n").alias("n"), F.first("local").alias("local"), F.first("whole").alias("whole"))
-    return rows_.select("period", "row", F.when(F.col("n") >= MIN_BACKGROUND, F.col("local")).otherwise(F.col("whole")).alias("background"))
+    last = (rows - 1) // block
+    finite = cells.where(F.abs("mean") < F.lit(float("inf"))).select("period", F.col("row").cast("long").alias("row"), "mean")
+    touched = F.sequence(F.greatest(F.floor((F.col("row") - HALF_ROWS) / block), F.lit(0)), F.least(F.floor((F.col("row") + HALF_ROWS) / block), F.lit(last)))
+    near = finite.where(F.col("row").between(-HALF_ROWS, rows - 1 + HALF_ROWS)).withColumn("block", F.explode(touched))
+    every = cells.select("period").distinct().select("period", F.lit(None).cast("long").alias("row"), F.lit(None).cast("double").alias("mean"), F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")).alias("block"))
+
+    def run(key, table):
+        first = key[1].as_py() * block
+        end = min(first + block, rows) - 1
+        known = table.filter(table["mean"].is_valid())
+        n, local = slide(known["row"].to_numpy(), known["mean"].to_numpy(), first, end)
+        return pa.table({"period": pa.array([key[0].as_py()] * len(n), table.schema.field("period").type), "row": pa.array(np.arange(first, end + 1)), "n": pa.array(n), "local": pa.array(local)})
+
+    kind = cells.schema["period"].dataType.simpleString()
+    local = near.unionByName(every).select("period", "block", "row", "mean").groupBy("period", "block").applyInArrow(run, f"period {kind}, row bigint, n bigint, local double")
+    whole = finite.groupBy("period").agg(F.expr("percentile(mean, 0.5)").alias("whole"))
+    return local.join(whole, "period", "left").select("period", "row", F.when(F.col("n") >= MIN_BACKGROUND, F.col("local")).otherwise(F.col("whole")).alias("background"))
 
 
 def with_anomaly(cells: DataFrame, background: DataFrame) -> DataFrame:
