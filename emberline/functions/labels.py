@@ -107,8 +107,9 @@ def expiry_note(exp: Column, now: Column) -> Column:
 
 
 def config_value(text: Column) -> Column:
-    """Trimmed, without quotes; blank is null."""
-    return F.nullif(F.trim(F.regexp_replace(F.trim(text), "^[\"']|[\"']$", "")), F.lit(""))
+    """Without blanks around it and without quotes; blank is null."""
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.nullif(bare(F.regexp_replace(bare(text), "^[\"']|[\"']$", "")), F.lit(""))
 
 
 def days_ago(stamp: Column, now: Column) -> Column:

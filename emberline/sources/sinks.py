@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +70,31 @@ def keyed_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """key and items, the other columns of its rows as an array in order: a document by key, of keys that a row can hold."""
     rest = [c for c in df.columns if c not in (key, order)]
     return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("items"))
+
+
+def write_archives(members: DataFrame, path: str, kind: str) -> DataFrame:
+    """Writes members (file, member, text) as tar or zip archives below a folder that Arrow can open; file and the bytes of each.
+
+    An archive is a task's, so its members should be few enough for one. A task that runs again writes the same archive.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        out, name = io.BytesIO(), table["file"][0].as_py()
+        order = sorted(zip(table["member"].to_pylist(), table["text"].to_pylist(), strict=True))
+        if kind == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for member, text in order:
+                    z.writestr(zipfile.ZipInfo(member), text)
+        else:
+            with tarfile.open(fileobj=out, mode="w") as t:
+                for member, text in order:
+                    info = tarfile.TarInfo(member)
+                    info.size = len(data := text.encode())
+                    t.addfile(info, io.BytesIO(data))
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{name}") as stream:
+            stream.write(out.getvalue())
+        return pa.table({"file": [name], "bytes": pa.array([len(out.getvalue())], pa.int64())})
+
+    return members.select("file", "member", "text").groupBy("file").applyInArrow(pack, "file string, bytes bigint")

@@ -5,6 +5,8 @@ import json
 import tarfile
 import zipfile
 
+import pytest
+
 from emberline.sources import readers, sinks
 from emberline.streaming.weekly import SCHEMA, run_weekly
 
@@ -68,6 +70,15 @@ def test_reported_and_catalogue(spark, tmp_path):
     (tmp_path / "q.csv").write_text("x\nState,GHG methane,Covered,Facility NAME\nQLD,5,7,Mine two\n")
     both = {r.name: (r.state, r.methane_tco2e, r.covered_tco2e, r.baseline) for r in readers.reported_figures(spark, str(tmp_path / "[qr].csv")).collect()}
     assert both == {"A, B": ("QLD", 1234.0, None, None), "Mine two": ("QLD", 5.0, 7.0, None)}
+    text = 'Facility name,Emitter,State,Methane\r\n"Long\r\nname, ""x""",M\x81,QLD,1\r\n,,,\r\nShort\r\n'
+    (tmp_path / "l.csv").write_bytes(text.encode("latin-1"))
+    (tmp_path / "none.csv").write_text("a,b,c,d\n1,2,3,4\n")
+    rows = readers.reported_figures(spark, str(tmp_path / "[ln]*.csv")).collect()
+    assert [(r.name, r.operator, r.methane_tco2e) for r in rows] == [('Long\r\nname, "x"', "M\x81", 1.0), ("Short", None, None)]
+    with pytest.raises(ValueError, match="header"):
+        readers.reported_figures(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "h.csv").write_text("Facility name,Emitter,State,Methane\n")
+    assert readers.reported_figures(spark, str(tmp_path / "h.csv")).count() == 0
     entries = spark.createDataFrame([("e", [("u1", None, None), ("u2", [200, 403], None), ("u3", None, "KEY")])], "id string, urls array<struct<url string, expect array<int>, requires string>>")
     seen = spark.createDataFrame([("u1", 404), ("u2", 403)], "url string, status int")
     assert {r.url: r.ok for r in readers.catalog_checks(entries, seen).collect()} == {"u1": False, "u2": True}
