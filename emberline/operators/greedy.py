@@ -186,7 +186,10 @@ def label_clusters(pixels: DataFrame, min_pixels: int = 12, tile: int = 512) ->
 
 
 def same_day_links(plumes: DataFrame, radius_km: float = 1.0) -> DataFrame:
-    """Pairs of plumes of one day within the radius, smaller id first."""
+    """plume_id, links (other plumes of its day within the radius), nearest and km (the nearest of them, of equals the first) of plumes that have one.
+
+    A pair is counted in the task that meets it, so a dense spot's pairs aren't shuffled or returned.
+    """
     b = plumes.select(F.col("plume_id").alias("other"), F.col("day").alias("r_day"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    near = radius_join(plumes.select("plume_id", "day", "lon", "lat"), b, radius_km, 0.05)
-    return near.where((F.col("day") == F.col("r_day")) & (F.col("plume_id") < F.col("other"))).select("plume_id", "other", "km")
+    near = radius_join(plumes.select("plume_id", "day", "lon", "lat"), b, radius_km, 0.05).where((F.col("day") == F.col("r_day")) & (F.col("plume_id") != F.col("other")))
+    return near.groupBy("plume_id").agg(F.count("*").alias("links"), F.min(F.struct("km", "other")).alias("n")).select("plume_id", "links", F.col("n.other").alias("nearest"), F.col("n.km").alias("km"))

@@ -23,33 +23,88 @@ def tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(out)), " +"), lambda t: (F.length(t) > 2) & ~t.isin(*NOISE)))
 
 
+#: What a pair's states and industry add to its overlap, and how it is told from both sides: by equal states, by one that is blank.
+SAME, DIFFERENT, INDUSTRY, SHORT = 0.25, -0.6, 0.2, 0.3
+STATES = {"same": SAME, "left blank": 0.0, "right blank": 0.0, "different": DIFFERENT}
+
+
+def _by_rarity(rows: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
+    """rows that have words, with rare, their words from the least frequent on."""
+    each = rows.select(key, F.explode(tokens).alias("word")).distinct().join(counts, "word")
+    lists = each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("every"))
+    return rows.join(lists, key).withColumn("rare", F.filter("every", lambda w: F.array_contains(tokens, w))).drop("every")
+
+
+def _prefix(least: float) -> Column:
+    """So many of the rarest words that a pair which scores least, of this side's name as the smaller one, shares one of them; by mode and gate."""
+    need = F.lit(None).cast("int")
+    for mode, bonus in STATES.items():
+        for gate in (True, False):
+            share = least - bonus - INDUSTRY * gate
+            own = F.greatest(F.lit(1), F.ceil(F.size("rare") * share - 1e-9).cast("int"))
+            need = F.when((F.col("mode.mode") == mode) & ((F.col("gate") != "") == F.lit(gate)), own).otherwise(need)
+    return F.slice("rare", 1, F.greatest(F.size("rare") - need + 1, F.lit(0)))
+
+
+def _sides(rows: DataFrame, modes: Column, gates: Column, smaller: str, larger: str, least: float) -> DataFrame:
+    """Rows once for each mode, gate, and word by which a partner may be met: the rarest as the smaller name, all as the larger."""
+    each = rows.withColumn("mode", F.explode(modes)).withColumn("gate", F.explode(gates))
+    each = each.withColumn("prefix", _prefix(least)).withColumn("role", F.explode(F.array(F.lit(smaller), F.lit(larger))))
+    return each.withColumn("word", F.explode(F.when(F.col("role") == smaller, F.col("prefix")).otherwise(F.col("rare")))).withColumn("kind", F.col("mode.mode")).withColumn("where", F.col("mode.state")).drop("mode")
+
+
+def candidates(facilities: DataFrame, reported: DataFrame, least: float) -> DataFrame:
+    """The pairs that are held against each other, each once, with the columns of both sides.
+
+    Names meet by rare words only: where a pair needs k words of the smaller name's n to score least, one of its n - k + 1 rarest
+    is shared. How many it needs depends on what the states and the industry add, so those are parts of the key, and pairs that
+    can't reach least with any overlap don't meet.
+    """
+    words = facilities.select(F.explode("a_tokens").alias("word")).unionAll(reported.select(F.explode("b_tokens").alias("word")))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    upper = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    mode = lambda name, state="": F.struct(F.lit(name).alias("mode"), (upper(state) if state else F.lit("")).alias("state"))
+    named = F.when(F.col("layer") == "coal_mines", "coal").when(F.col("layer") == "gas_plants", "gas").otherwise("")
+    coal, gas = _industries()
+    gates = F.filter(F.array(F.lit(""), F.when(coal, "coal"), F.when(gas, "gas")), lambda g: g.isNotNull())
+    a_modes = F.when(upper("a_state") == "", F.array(mode("left blank"))).otherwise(F.array(mode("same", "a_state"), mode("right blank"), mode("different")))
+    b_modes = F.when(upper("b_state") == "", F.array(mode("left blank"), mode("right blank"))).otherwise(F.array(mode("same", "b_state"), mode("left blank"), mode("different")))
+    left = _sides(_by_rarity(facilities, "a", "a_tokens", counts), a_modes, F.array(named), "a", "b", least).withColumnsRenamed({"prefix": "a_prefix", "rare": "a_rare"})
+    right = _sides(_by_rarity(reported, "b", "b_tokens", counts), b_modes, gates, "b", "a", least).withColumnsRenamed({"prefix": "b_prefix", "rare": "b_rare"})
+    met = left.join(right, ["role", "kind", "where", "gate", "word"])
+    by_a = (F.col("role") == "a") & (F.size("a_rare") <= F.size("b_rare")) & (F.get(F.array_intersect("a_prefix", "b_rare"), F.lit(0)) == F.col("word"))
+    by_b = (F.col("role") == "b") & (F.size("b_rare") < F.size("a_rare")) & (F.get(F.array_intersect("b_prefix", "a_rare"), F.lit(0)) == F.col("word"))
+    told = (F.col("kind") != "different") | (upper("a_state") != upper("b_state"))
+    return met.where((by_a | by_b) & told).drop("role", "kind", "where", "gate", "word", "a_prefix", "b_prefix", "a_rare", "b_rare")
+
+
 def score_pairs(facilities: DataFrame, reported: DataFrame, least: float = REVIEW) -> DataFrame:
     """a, b, a_ord, b_ord and score of each pair with a score of at least least, which is over 0.
 
     facilities: a, a_ord, a_tokens, a_state, layer. reported: b, b_ord, b_tokens, b_state, industry. Pairs that share no
-    word score 0, so pairs meet by an equi-join on words, and count at the first word that they share; nothing is
-    grouped. The score is the overlap by the smaller name, with a bonus or a fine for the state where both have one,
+    word score 0. The score is the overlap by the smaller name, with a bonus or a fine for the state where both have one,
     nothing if the industry can't be the layer's, a bonus if it can, and a fine for a single short word.
     """
-    # Pairs outgrow the names by far, which one task may have read.
-    left = facilities.repartition(facilities.sparkSession.sparkContext.defaultParallelism, "a").withColumn("word", F.explode("a_tokens"))
-    right = reported.withColumn("word", F.explode("b_tokens"))
-    shared = F.array_intersect("a_tokens", "b_tokens")
-    met = left.join(right, "word").withColumn("shared", shared).where(F.element_at("shared", 1) == F.col("word"))
+    met = candidates(facilities, reported, least).withColumn("shared", F.array_intersect("a_tokens", "b_tokens"))
     met = met.withColumns({"overlap": F.size("shared"), "longest": F.array_max(F.transform("shared", F.length)), "size": F.least(F.size("a_tokens"), F.size("b_tokens"))})
     return met.select("a", "b", "a_ord", "b_ord", pair_score().alias("score")).where(F.col("score") >= least)
 
 
+def _industries() -> tuple[Column, Column]:
+    """Whether a reported industry can be that of a mine, and of a plant."""
+    industry = F.lower(F.coalesce("industry", F.lit("")))
+    return industry.contains("coal"), industry.contains("gas") | industry.contains("electricity") | industry.contains("petroleum")
+
+
 def pair_score() -> Column:
     """The score of a pair by overlap, size, longest, a_state, b_state, layer and industry."""
-    industry = F.lower(F.coalesce("industry", F.lit("")))
-    coal, gas = industry.contains("coal"), industry.contains("gas") | industry.contains("electricity") | industry.contains("petroleum")
+    coal, gas = _industries()
     gate = F.when(F.col("layer") == "coal_mines", coal).when(F.col("layer") == "gas_plants", gas)
     one, two = (F.upper(F.coalesce(c, F.lit(""))) for c in ("a_state", "b_state"))
     both = (one != "") & (two != "")
-    state = F.when(both & (one == two), 0.25).when(both, -0.6).otherwise(0.0)
-    short = F.when((F.col("overlap") == 1) & (F.col("longest") <= 4), 0.3).otherwise(0.0)
-    bonus = F.when(gate.isNotNull(), 0.2).otherwise(0.0)
+    state = F.when(both & (one == two), SAME).when(both, DIFFERENT).otherwise(0.0)
+    short = F.when((F.col("overlap") == 1) & (F.col("longest") <= 4), SHORT).otherwise(0.0)
+    bonus = F.when(gate.isNotNull(), INDUSTRY).otherwise(0.0)
     return F.when(gate.isNotNull() & ~gate, 0.0).otherwise(F.col("overlap") / F.col("size") + state + bonus - short)
 
 

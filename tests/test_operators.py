@@ -262,3 +262,29 @@ def test_images(spark):
 def test_soundings_at_edges(spark, edge):
     rows = {"qa": [(108.0, -45.0, 0.5, 0, 1.0), (108.0, -45.0, 0.49, 0, 1.0)], "lon": [(108.0, 0.0, 1.0, 2, 1.0), (160.0, 0.0, 1.0, 0, 1.0), (109.0, 1.0, 1.0, 0, 1.0)], "nan": [(109.0, 0.0, 1.0, 0, 1.0), (109.0, 0.0, 1.0, 0, float("nan")), (109.0, 0.0, None, 0, 1.0), (109.0, 0.0, 1.0, 1, 1.0)]}[edge]
     assert grid.usable(spark.createDataFrame(rows, "lon double, lat double, qa double, surface int, value double")).count() == 1
+
+
+def test_names_meet_by_rare_words(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)] + ["hot"] * 12 + ["abc"] * 3
+    name = lambda: sorted(set(rng.choices(words, k=rng.randint(0, 6))))
+    states, layers_, trades = ["QLD", "qld", "NSW", "", None], ["coal_mines", "gas_plants", "pipelines_gas"], ["Coal mining", "Gas supply", "Coal seam gas", "other", None, "Electricity"]
+    left = [(f"a{k}", k, name(), rng.choice(states), rng.choice(layers_)) for k in range(150)]
+    right = [(f"b{k}", k, name(), rng.choice(states), rng.choice(trades)) for k in range(150)]
+    right += [right[0][:2] + right[1][2:]]
+    f, c = spark.createDataFrame(left, "a string, a_ord int, a_tokens array<string>, a_state string, layer string"), spark.createDataFrame(right, "b string, b_ord int, b_tokens array<string>, b_state string, industry string")
+
+    def score(x, y):
+        both = set(x[2]) & set(y[2])
+        trade, s, t = (y[4] or "").lower(), (x[3] or "").upper(), (y[3] or "").upper()
+        fits = {"coal_mines": "coal" in trade, "gas_plants": any(w in trade for w in ("gas", "electricity", "petroleum"))}.get(x[4])
+        if not both or fits is False:
+            return 0.0
+        return len(both) / min(len(x[2]), len(y[2])) + ((0.25 if s == t else -0.6) if s and t else 0) + (0.2 if fits else 0) - (0.3 if len(both) == 1 and max(map(len, both)) <= 4 else 0)
+
+    for least in (0.6, 0.95, 0.2):
+        want = sorted((x[0], y[0]) for x in left for y in right if score(x, y) >= least - 1e-12)
+        assert sorted((r.a, r.b) for r in matching.score_pairs(f, c, least).collect()) == want
+    hot = lambda side, n, more: [(f"{side}{k}", k, ["hot", *[f"{side}{k}x{j}" for j in range(5)]], "", more) for k in range(n)]
+    f, c = spark.createDataFrame(hot("a", 3000, "pipelines_gas"), f.schema), spark.createDataFrame(hot("b", 3000, "other"), c.schema)
+    assert matching.candidates(f, c, 0.6).count() == 0
