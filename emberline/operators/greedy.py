@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import KM_PER_LAT, KM_PER_LON, NORTH, SOUTH, distance_km
 from emberline.operators.components import merged_names
 from emberline.operators.spatial import radius_join
-from emberline.sources.shared import materialise
+from emberline.sources.shared import materialise, materialise_counted
 
 
 #: Cells a side of a bin. Bins are what joins meet in: the larger, the fewer bins a kept row is sent to.
@@ -58,8 +58,8 @@ def first_kept(rows: DataFrame, cell: tuple[float, float], reach: tuple[int, int
         kept.append(materialise(new, "kept"))
         gone = _sent(kept[-1], reach)
         hit = [open_[c] == gone[c] for c in bin_]
-        open_ = materialise(open_.join(gone, [*hit, (F.col("id") == F.col("k_id")) | excludes()], "left_anti"), "open")
-        if not open_.limit(1).count():
+        open_, left = materialise_counted(open_.join(gone, [*hit, (F.col("id") == F.col("k_id")) | excludes()], "left_anti"), "open")
+        if not left:
             break
     gone = _sent(reduce(DataFrame.unionByName, kept), reach)
     met = placed.join(gone, [placed[c] == gone[c] for c in bin_]).where((F.col("k_rank") < F.col("rank")) & excludes())
@@ -123,11 +123,13 @@ def match_one_to_one(pairs: DataFrame) -> DataFrame:
     while True:
         best = [left.groupBy(side).agg(F.min("rank").alias(f"best_{side}")) for side in ("a", "b")]
         new = left.join(best[0], "a").join(best[1], "b").where((F.col("rank") == F.col("best_a")) & (F.col("rank") == F.col("best_b"))).select(*left.columns)
-        new = materialise(new, "accepted")
-        if not new.limit(1).count():
+        new, found = materialise_counted(new, "accepted")
+        if not found:
             return (new if accepted is None else accepted).drop("rank")
         accepted = new if accepted is None else accepted.unionByName(new)
-        left = materialise(left.join(new.select("a"), "a", "left_anti").join(new.select("b"), "b", "left_anti"), "pairs")
+        left, open_ = materialise_counted(left.join(new.select("a"), "a", "left_anti").join(new.select("b"), "b", "left_anti"), "pairs")
+        if not open_:
+            return accepted.drop("rank")
 
 
 def review_pairs(pairs: DataFrame, accepted: DataFrame, low: float = 0.6, high: float = 0.95) -> DataFrame:
