@@ -15,16 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import materialise, mix, plain_text, read_table
+from emberline.llm.common import bounded, materialise, mix, plain_text, read_table
 from emberline.llm.suffix_sort import TEXT, sorted_buckets
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of text whose anchors are found at one time; longer texts are cut, their windows shared out.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Bytes of text whose windows are combined before they are sent.
-COMBINED = 16 << 20
+COMBINED = 8 << 20
 #: An anchor that occurs more often is sent window by window, as those of one content then meet, however often they occur.
 OFTEN = 2000
+#: Such anchors that are broadcast (16 MB); more are joined by a shuffle, whose largest partitions Spark splits.
+BROADCAST_ANCHORS = 1_000_000
 SHARDS_PER_PARTITION = 8
 FOUND = np.dtype([("anchor", "<u8"), ("tag", "<i8"), ("d", "<i8"), ("lo", "<i4"), ("more", "u1"), ("several", "?")])
 
@@ -66,7 +68,7 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length:
 def _pieces(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
     """Texts of batches (d, tag, text) as (d, tag, place, bytes), PIECE bytes at a time, long ones in pieces that share no window."""
     held, size = [], 0
-    for batch in batches:
+    for batch in bounded(batches, "text"):
         texts = plain_text(batch.column("text"))
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -257,7 +259,7 @@ def _spans(fragments: DataFrame, length: int) -> DataFrame:
             batch = batch.filter(batch.column("bytes").is_valid())
             for bucket, d, tag, lo, more, part in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if bucket != now:
-                    if size > TEXT // 2:
+                    if size > TEXT // 4:
                         yield sorted_(held)
                         held, size = [], 0
                     now, alike = bucket, {}
@@ -293,8 +295,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     copies = materialise(texts.select("d", "tag", "sha").join(alike, "sha").where("d > first").select("d", "tag").distinct(), "copies")
     long = texts.where(F.octet_length("text") >= length).select("d", "tag", "text")
     runs = materialise(repeated_runs(long, length), "runs")
-    often = runs.groupBy("anchor").count().where(F.col("count") > OFTEN).select("anchor", F.lit(True).alias("often"))
-    runs = runs.join(often, "anchor", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    often = materialise(runs.groupBy("anchor").count().where(F.col("count") > OFTEN).select("anchor", F.lit(True).alias("often")), "often")
+    # Shuffled by anchor, those that occur often would meet in a task; their number is known here.
+    runs = runs.join(F.broadcast(often) if often.count() <= BROADCAST_ANCHORS else often, "anchor", "left").withColumn("often", F.coalesce("often", F.lit(False)))
     by_text = runs.groupBy("d", "tag").agg(F.collect_list(F.struct("anchor", "lo", "more", "often")).alias("runs")).join(copies, ["d", "tag"], "left_anti")
     fragments = _fragments(long.join(by_text, ["d", "tag"]), length)
     return materialise(_spans(fragments, length), "spans"), copies
@@ -329,7 +332,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     judged = rows.join(lists, ["d", "tag"], "left").join(copies.withColumn("copy", F.lit(True)), ["d", "tag"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             out: list[tuple] = []
             for doc, body, spans, copy in zip(*(batch.column(c) for c in ("id", "text", "spans", "copy")), strict=True):
                 data = body.as_py().encode()
