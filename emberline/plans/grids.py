@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import grid, intervals, pyramid
+from emberline.functions import geo
+from emberline.operators import greedy, grid, intervals, pyramid
 from emberline.plans import views
-from emberline.plans.queries import _anomalies, query, r
-from emberline.plans.views import GRID_COLS, GRID_ROWS
+from emberline.plans.queries import CER, _anomalies, _score_pairs, query, r
+from emberline.plans.views import GRID_COLS, GRID_ROWS, VERDICTS
 from emberline.sources.shared import materialise, read_table
 
 DAY = "date_diff('day', DATE '1992-01-01', {})"
@@ -51,3 +52,25 @@ def exact_sums(spark: SparkSession, d: str) -> DataFrame:
     merged = grid.merge_bins(*[grid.bin_soundings(s.where(F.col("surface") % 8 == k)) for k in range(0, 8, 2)])
     fine = int(grid.FINE)
     return merged.select("period", "row", "col", "n_obs", (F.col("coarse") + F.floor(F.col("fine") / fine)).alias("whole"), (F.col("fine") % fine).alias("rest"))
+
+
+@query("stack", """+ spot AS (SELECT row, col, mean_anomaly, 108 + (col + 0.5) * 5e-2 AS lon, 1 - (row + 0.5) * 5e-2 AS lat FROM stack WHERE observed > 0),
+    nd AS (SELECT *, row_number() OVER (ORDER BY mean_anomaly DESC, row, col) AS id FROM spot),
+    ed AS MATERIALIZED (SELECT a.id AS before, b.id AS after FROM nd a JOIN nd b ON a.id < b.id AND abs(round_even(a.lon, 3) - b.lon) < 0.12 AND abs(round_even(a.lat, 3) - b.lat) < 0.12), """ + VERDICTS + " SELECT row, col, round_even(mean_anomaly, 4) AS mean_anomaly FROM nd JOIN vd USING (id) WHERE kept")
+def anomaly_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Of all observed cells, not the persistent ones alone, the strongest of each small neighbourhood."""
+    stack = grid.stack(_anomalies(spark, d)).where("observed > 0")
+    cells = stack.withColumn("lon", geo.cell_lon(F.col("col"))).withColumn("lat", geo.cell_lat(F.col("row")))
+    return greedy.cluster_hotspots(materialise(cells, "cells"), 0.12).select("row", "col", r("mean_anomaly"))
+
+
+#: A score from which on a pair is accepted when a reviewer is stricter.
+STRICT = 1.4
+
+
+@query("fac", CER.replace("WHERE score >= 0.95", f"WHERE score >= {STRICT}") + f"SELECT a, b, round_even(score, 4) AS score FROM pairs WHERE score < {STRICT} AND a NOT IN (SELECT a FROM accepted) AND b NOT IN (SELECT b FROM accepted)")
+def strict_review(spark: SparkSession, d: str) -> DataFrame:
+    """What is left to review when only the surest pairs are accepted."""
+    pairs = _score_pairs(spark, d)
+    accepted = greedy.match_one_to_one(pairs.where(F.col("score") >= STRICT))
+    return greedy.review_pairs(pairs, accepted, high=STRICT).select("a", "b", r("score"))
