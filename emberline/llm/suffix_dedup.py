@@ -322,8 +322,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are UTF-8 bytes, null is empty; kept is binary, as a cut may fall inside a character. Earlier is a smaller doc_id
     (null is the smallest), or the same one and an earlier start; so of rows of one doc_id, repeated ones too, none is
     earlier at the same start. Strings are judged on the input. Other columns don't take part. Texts may have any length
-    below 2 GB; an empty table gives an empty one. length: 40 to 300.
+    below 2 GB; an empty table gives an empty one. length: 40 to 280, else there is a ValueError.
     """
+    if not 40 <= length <= 280:
+        raise ValueError("strings of 40 to 280 bytes can be sought")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), body.alias("text"))
     rows = rows.withColumns({"d": F.coalesce("id", F.lit(-(2**63))), "tag": F.xxhash64("text")})

@@ -66,6 +66,15 @@ def corpus(rng, n):
     return rows
 
 
+@pytest.mark.parametrize("length", [40, 280])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    rows = corpus(rng, 60)
+    rows += [(100 + k, rows[k][1] + "." * 400) for k in range(10)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute(rows, length)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_removal_is_that_of_brute_force(spark, monkeypatch, small):
     rng = random.Random(11)
@@ -85,6 +94,9 @@ def test_removal_is_that_of_brute_force(spark, monkeypatch, small):
 def test_empty_and_long(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(docs).count() == 0
+    for length in (39, 281):
+        with pytest.raises(ValueError, match="sought"):
+            suffix_dedup.remove_repeats(docs, length=length)
     rng = random.Random(1)
     half = "".join(rng.choices("abcdefgh ", k=2_500_000))
     docs = spark.createDataFrame([(1, half + "!"), (2, "?" + half[1000:]), (3, "short")], "doc_id long, text string")
