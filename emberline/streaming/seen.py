@@ -54,10 +54,11 @@ def first_sights(rows: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame
 
 
 def run_new_ids(spark: SparkSession, landed: str, table: str, schema: str, run: str, key: str = "plume_id", provider: str = "provider", buckets: int = BUCKETS) -> DataFrame:
-    """Reads the files of landed/run=<run> that weren't read yet; the rows of this run whose id is new, none in the first run.
+    """Reads the files of landed/run=* that weren't read yet; the rows found new for this run, a row for each id, none for the first run.
 
-    Progress, ids and counts are kept in table, so a run that was stopped goes on where it ended. Rows without an id are left
-    out. Raises, and reads nothing, if a provider that had rows in the run before has none in this one.
+    Files of several runs that landed at once count for the run that is asked for first. Progress, ids and counts are kept in
+    table, so a run that was stopped goes on where it ended. Rows without an id are left out. Raises, and reads nothing, if a
+    provider that had rows in the run before has none in this one.
     """
     store, place = _store(spark, table)
     counts = spark.read.schema(schema).parquet(f"{landed}/run={run}").groupBy(F.col(provider).alias("provider")).agg(F.count("*").alias("n"))
@@ -70,7 +71,7 @@ def run_new_ids(spark: SparkSession, landed: str, table: str, schema: str, run:
         rows = spark.readStream.schema(f"{schema}, run string").option("basePath", landed).parquet(f"{landed}/run=*").where(F.col(key).isNotNull())
 
         def keep(batch: DataFrame, number: int) -> None:
-            batch.withColumn("silent", F.lit(not began)).write.mode("overwrite").parquet(f"{table}/rows/batch={number:012d}")
+            batch.withColumns({"silent": F.lit(not began), "found_for": F.lit(run)}).write.mode("overwrite").parquet(f"{table}/rows/batch={number:012d}")
 
         stream = first_sights(rows, key, buckets).writeStream.outputMode("append").option("checkpointLocation", f"{table}/progress")
         stream.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
@@ -78,4 +79,5 @@ def run_new_ids(spark: SparkSession, landed: str, table: str, schema: str, run:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     counts.write.mode("overwrite").parquet(f"{table}/counts")
     store.create(place(f"{table}/first_run_done"), True).close()
-    return spark.read.schema(f"{schema}, run string, silent boolean").parquet(f"{table}/rows/batch=*").where((F.col("run") == run) & ~F.col("silent")).drop("silent")
+    found = spark.read.schema(f"{schema}, run string, silent boolean, found_for string").parquet(f"{table}/rows/batch=*")
+    return found.where((F.col("found_for") == run) & ~F.col("silent")).drop("silent", "found_for")
