@@ -1,11 +1,13 @@
 """Operator 8: toxicity by a weighted finite-state pattern grammar.
 
-Words are insults, verbs of harm, targets, marks of intent, negations, marks of reported speech or others. Four
-transducers read a clause: one tells aimed insults from lone ones, one makes threats of a verb of harm and the target
-after it, and two mark what stands in a negation or in reported speech. Their composition reads each clause once, and
-the matches it emits are weighed, so that a lone word, a denial or a quotation alone doesn't make a text toxic. Insults
-are fixed words and what labelled documents teach: words and stems of words that toxic documents have and others don't.
-The weights of matches are fitted to the same labels within bounds that keep that order.
+Words are insults, verbs of harm, targets, marks of intent, negations, marks of reported speech and so on; marks of
+punctuation are symbols too. Transducers read a line from left to right: one tells aimed insults from lone ones, one
+makes threats of a verb of harm and the person that is its object, or of a wish, one marks what a negation of the same
+clause denies, and one what stands in reported speech. Others read the result from right to left: they find reports that
+follow what they report, insults that a comparison aims, and verbs that only mean to win. Each direction is composed to
+one transducer, and the matches that come out are weighed, so that a lone word, a denial or a quotation alone doesn't
+make a text toxic. Insults are fixed words and what labelled documents teach: words and stems of words that toxic
+documents have and others don't. The weights of matches are fitted to the same labels within bounds that keep that order.
 """
 
 from __future__ import annotations
@@ -28,21 +30,39 @@ SAMPLE = 30_000
 SUPPORT, ADDED = 5, 3
 STEMS = (4, 5, 6, 7)
 
-#: Words of each class.
-INSULTS = "idiot moron stupid loser pathetic worthless scum trash clown disgusting imbecile dumb jerk"
-THREATS = "kill hurt destroy beat shoot stab burn strangle töten umbringen tuer frapper matar golpear"
-TARGETS = "you your yours yourself he she they them him her du dich dir euch ihr tu te toi vous tú usted ustedes vosotros"
-INTENTS = "will gonna going shall werde werden vais allons voy vamos"
-NEGATIONS = "not no never neither nor isn aren don doesn won nicht kein keine keinen niemals pas jamais ni nunca tampoco"
-REPORTS = "said says say wrote claimed called quoted quote reported told sagte schrieb nannte dit écrit traité dijo escribió llamó"
-OTHER, INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT, CLAUSE = range(8)
-#: Words that a target, a verb of harm or a negation reaches.
-REACH = 4
-#: Matches: a lone insult, an aimed one, harm to a target, and harm that is announced to one.
+#: Symbols of words, then those of marks.
+OTHER, INSULT, THREAT, RIVALRY, TARGET, ADDRESS, SELF, INTENT, WISH, DYING, NEGATION, NOBODY, ONLY, BUT, AND, REPORT, THAN, BREAK, CONTEST = range(19)
+COMMA, COLON, QUOTE, STOP, LINE = range(19, 24)
+#: Words of each class, a later class before an earlier one.
+WORDS = {
+    REPORT: "said says say wrote claimed called quoted quote reported told sagte sagt schrieb nannte dit écrit traité dijo escribió llamó",
+    NEGATION: "not no never neither nor isn aren don doesn didn wasn weren won wouldn couldn shouldn haven hasn hadn ain cannot nicht kein keine keinen niemals pas jamais ni nunca tampoco",
+    NOBODY: "nobody none noone niemand personne nadie",
+    ONLY: "only merely nur seulement solo",
+    BUT: "but yet because although though aber sondern weil mais parce pero sino porque",
+    AND: "and und et y",
+    INTENT: "will ll gonna going shall werde werden vais allons voy vamos",
+    WISH: "hope hopes hoping wish hoffe hoffentlich espère espero ojalá",
+    DYING: "die dies died suffer rot stirbst sterbt stirbt meurs crèves mueras muera",
+    ADDRESS: "you du ihr tu vous tú usted ustedes vosotros",
+    SELF: "yourself yourselves",
+    TARGET: "your yours he she they them him her dich dir euch te toi",
+    THAN: "as than wie als comme que como",
+    BREAK: "the a an this that these those my our its for at to in on with about from der das den dem eine einen le la les un une el los las una por para pour",
+    CONTEST: "chess game games match race racing tennis golf football soccer poker cards quiz debate election tournament championship league finals",
+    RIVALRY: "beat destroy crush",
+    THREAT: "kill hurt shoot stab burn strangle murder töten umbringen tuer frapper matar golpear",
+    INSULT: "idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown disgusting imbecile dumb jerk bastard dumbass vermin trottel dummkopf abschaum arschloch imbécile crétin connard abruti idiota imbécil estúpido estúpida",
+}
+#: Words that a target or a verb of harm reaches, and words between what is said and the report after it.
+REACH, TAG = 4, 3
+#: Matches: a lone insult, an aimed one, harm to a person, and harm that is announced or wished.
 LONE, AIMED, HARM, VOWED = range(4)
-NEGATED, REPORTED = 1, 2
-#: Symbols from here on are matches: FIRST, four times the kind, and the bits.
-FIRST = 8
+#: Bits of a match. NOBODY_DOES, DIRECT (an insult right after the word for who is spoken to) and RIVAL (a verb that may
+#: mean to win) are only needed on the way.
+NEGATED, REPORTED, NOBODY_DOES, DIRECT, RIVAL = 1, 2, 4, 8, 8
+#: Symbols from here on are matches: FIRST, sixteen times the kind, and the bits.
+FIRST = 24
 MATCHES = 16
 
 
@@ -58,41 +78,169 @@ class Transducer:
 
 
 def _alphabet() -> range:
-    return range(FIRST + MATCHES)
+    return range(FIRST + 64)
 
 
-def _aiming() -> Transducer:
-    """Insults become matches: aimed within REACH words after a target. State k: k words are left."""
-    arcs = {}
-    for state in range(REACH + 1):
+def _match(kind: int, bits: int = 0) -> int:
+    return FIRST + 16 * kind + bits
+
+
+def _made(start: tuple, step) -> Transducer:
+    """The transducer of step, from a state (any tuple) and a symbol to the next state and what is put out."""
+    number, todo, arcs = {start: 0}, [start], {}
+    while todo:
+        state = todo.pop()
         for symbol in _alphabet():
-            out = FIRST + 4 * (AIMED if state else LONE) if symbol == INSULT else symbol
-            arcs[state, symbol] = (REACH if symbol == TARGET else 0 if symbol == CLAUSE else max(0, state - 1), out)
+            after, out = step(state, symbol)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            arcs[number[state], symbol] = (number[after], out)
     return Transducer(arcs)
 
 
+def _aiming() -> Transducer:
+    """Insults become matches: aimed within REACH words after a target. State: words left, and whether they go on from an address."""
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        left, spoken_to = state
+        if symbol in (COLON, STOP, LINE, BUT):
+            return (0, False), symbol
+        if symbol in (COMMA, QUOTE):
+            return (left, False), symbol
+        if symbol in (ADDRESS, TARGET, SELF):
+            return (REACH, symbol == ADDRESS), symbol
+        after = max(0, left - 1)
+        if symbol == INSULT:
+            return (after, spoken_to), _match(AIMED if left else LONE, DIRECT if spoken_to else 0)
+        return (after, False), symbol
+
+    return _made((0, False), step)
+
+
 def _threatening() -> Transducer:
-    """A target within REACH words after a verb of harm becomes a match, a vow if a mark of intent stood before it."""
-    arcs = {}
-    for intent in (0, 1):
-        for left in range(REACH + 1):
-            for symbol in _alphabet():
-                met = symbol == TARGET and left > 0
-                out = FIRST + 4 * (VOWED if intent else HARM) if met else OTHER if symbol in (THREAT, INTENT) else symbol
-                after = REACH if symbol == THREAT else 0 if met else max(0, left - 1)
-                arcs[intent * (REACH + 1) + left, symbol] = (0 if symbol == CLAUSE else (intent or int(symbol == INTENT)) * (REACH + 1) + after, out)
-    return Transducer(arcs)
+    """A person within REACH words after a verb of harm becomes a match, a vow after a mark of intent or a wish.
 
+    An article or a preposition between them gives the verb another object. State: intent, what is open (a verb of harm,
+    one of rivalry, a wish, a wish for a person), and the words left.
+    """
 
-def _marking(trigger: int, bit: int, reach: int | None) -> Transducer:
-    """Sets bit on matches after the trigger, within reach words or to the clause's end. State k: k words are left."""
-    arcs = {}
-    last = reach or 1
-    for state in range(last + 1):
-        for symbol in _alphabet():
-            after = last if symbol == trigger else 0 if symbol == CLAUSE else max(0, state - 1) if reach else state
-            arcs[state, symbol] = (after, FIRST + (symbol - FIRST | bit) if symbol >= FIRST and state else symbol)
-    return Transducer(arcs)
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        intent, opened, left = state
+        if symbol in (COLON, STOP, LINE):
+            return (0, OTHER, 0), symbol
+        if symbol == COMMA:
+            return (intent, OTHER, 0), symbol
+        if symbol == INTENT:
+            return (1, opened, left), OTHER
+        if symbol == WISH:
+            return (1, WISH, REACH), OTHER
+        if symbol in (THREAT, RIVALRY):
+            return (intent, symbol, REACH), OTHER
+        if symbol in (TARGET, ADDRESS) and opened in (THREAT, RIVALRY):
+            return (intent, OTHER, 0), _match(VOWED if intent else HARM, RIVAL if opened == RIVALRY else 0)
+        if symbol == SELF and opened == THREAT and left == REACH:
+            return (intent, OTHER, 0), _match(VOWED)
+        if symbol in (TARGET, ADDRESS) and opened == WISH:
+            return (intent, TARGET, REACH), symbol
+        if symbol == DYING:
+            return (intent, OTHER, 0), _match(VOWED) if opened == TARGET else OTHER
+        if symbol == QUOTE:
+            return state, symbol
+        lasts = left > 1 and not (symbol == BREAK and opened in (THREAT, RIVALRY))
+        return (intent, opened if lasts else OTHER, left - 1 if lasts else 0), symbol
+
+    return _made((0, OTHER, 0), step)
+
+
+def _negating() -> Transducer:
+    """Marks matches after a negation of their clause; not what is said straight to someone's face, nor after "not only".
+
+    A clause ends at a mark, at a conjunction like "but", and at "and" before a person. State: what denies, and whether
+    it or an "and" stood just before.
+    """
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        bit, before = state
+        if symbol in (COMMA, COLON, STOP, LINE, BUT) or (symbol == ONLY and before == NEGATION) or (symbol in (ADDRESS, TARGET) and before == AND):
+            return (0, OTHER), symbol
+        if symbol in (NEGATION, NOBODY):
+            return (NEGATED if symbol == NEGATION else NOBODY_DOES, NEGATION), symbol
+        insult = symbol >= FIRST and (symbol - FIRST) // 16 in (LONE, AIMED)
+        out = FIRST + (symbol - FIRST | bit) if symbol >= FIRST and not (insult and (symbol - FIRST) & DIRECT) else symbol
+        return (bit, AND if symbol == AND and bit else OTHER), out
+
+    return _made((0, OTHER), step)
+
+
+def _reporting() -> Transducer:
+    """Marks matches after a report: to the sentence's end, or to the end of the quotation that it opens. State: 0, REPORT or QUOTE."""
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        (mode,) = state
+        if symbol == LINE or (symbol == STOP and mode != QUOTE):
+            return (0,), symbol
+        if symbol == QUOTE:
+            return (QUOTE if mode == REPORT else 0,), symbol
+        out = FIRST + (symbol - FIRST | REPORTED) if symbol >= FIRST and mode else symbol
+        return (REPORT if symbol == REPORT and not mode else mode,), out
+
+    return _made((0,), step)
+
+
+def _tagging() -> Transducer:
+    """From right to left: marks matches before a report that a comma or a quotation's end joins to them.
+
+    State: 0, COMMA or QUOTE (what is said lies here), or REPORT and the words left to such a mark. What "you" say is no report.
+    """
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        mode, left = state
+        if symbol == LINE or (symbol in (STOP, COLON) and mode != QUOTE):
+            return (0, 0), symbol
+        if symbol == QUOTE:
+            return (QUOTE if mode in (REPORT, COMMA) else 0, 0), symbol
+        if mode in (COMMA, QUOTE):
+            return state, FIRST + (symbol - FIRST | REPORTED) if symbol >= FIRST else symbol
+        if symbol == REPORT:
+            return (REPORT, TAG), symbol
+        if mode == REPORT:
+            return (COMMA, 0) if symbol == COMMA else (0, 0) if symbol == ADDRESS or left == 1 else (REPORT, left - 1), symbol
+        return (0, 0), symbol
+
+    return _made((0, 0), step)
+
+
+def _comparing() -> Transducer:
+    """From right to left: an insult just before "as" or "than" and a person is aimed, and "nobody" doesn't deny it.
+
+    Without a comparison "nobody" is a negation. State: OTHER, TARGET after a person, THAN after both.
+    """
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        (mode,) = state
+        after = TARGET if symbol in (TARGET, ADDRESS) else THAN if symbol == THAN and mode == TARGET else OTHER
+        if symbol < FIRST:
+            return (after,), symbol
+        kind, bits = divmod(symbol - FIRST, 16)
+        if mode == THAN and kind in (LONE, AIMED):
+            return (after,), _match(AIMED, bits & ~NOBODY_DOES)
+        return (after,), _match(kind, bits & ~NOBODY_DOES | (NEGATED if bits & NOBODY_DOES else 0))
+
+    return _made((OTHER,), step)
+
+
+def _winning() -> Transducer:
+    """From right to left: a verb of rivalry with a contest later in its sentence is no harm. State: whether a contest was seen."""
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int]:
+        (contest,) = state
+        if symbol in (STOP, LINE):
+            return (False,), symbol
+        rival = symbol >= FIRST and (symbol - FIRST) // 16 in (HARM, VOWED) and (symbol - FIRST) & RIVAL
+        return (contest or symbol == CONTEST,), OTHER if rival and contest else symbol
+
+    return _made((False,), step)
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -110,7 +258,22 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(arcs)
 
 
-GRAMMAR = reduce(compose, [_aiming(), _threatening(), _marking(NEGATION, NEGATED, REACH), _marking(REPORT, REPORTED, None)])
+FORWARD = reduce(compose, [_aiming(), _threatening(), _negating(), _reporting()])
+BACKWARD = reduce(compose, [_tagging(), _comparing(), _winning()])
+
+
+def run_grammar(symbols: list[int]) -> list[int]:
+    """What the grammar puts out for the symbols of a line, read to the right and then to the left."""
+    state, out = FORWARD.start, []
+    for symbol in symbols:
+        state, put = FORWARD.arcs[state, symbol]
+        out.append(put)
+    state = BACKWARD.start
+    for i in range(len(out) - 1, -1, -1):
+        state, out[i] = BACKWARD.arcs[state, out[i]]
+    return out
+
+
 #: Fixed values, where the fit starts: the intercept, then of each kind of match the plain, negated, reported and both.
 START = np.array([-3.0, 3.0, 1.0, 1.5, 0.5, 6.0, 2.5, 3.0, 1.5, 3.2, 1.0, 1.5, 0.5, 6.5, 2.0, 3.5, 1.5])
 #: Which matches make a text toxic by themselves.
@@ -136,7 +299,7 @@ class Grammar:
     def classes(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Class and weight of each word; an insult's is that of the word or its longest stem."""
         kind, weight = np.zeros(len(dictionary), np.int64), np.ones(len(dictionary))
-        for c, listed in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (INTENT, INTENTS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
+        for c, listed in WORDS.items():
             kind[pc.is_in(dictionary, value_set=pa.array(listed.split())).to_numpy(zero_copy_only=False)] = c
         for size in (*STEMS, 0):
             known = [x for x in self.lexicon if (x.endswith("*") and len(x) == size + 1 if size else not x.endswith("*"))]
@@ -148,37 +311,53 @@ class Grammar:
         return kind, weight
 
     def matches(self, texts: pa.Array) -> np.ndarray:
-        """For each text and kind of match, the logarithm of 1 and the sum of the matches' weights."""
-        words, clauses, counts = clause_words(texts)
+        """For each text and kind of match, the logarithm of 1 and the sum of the matches' weights. A word counts once a sentence and kind."""
+        words, word_at, marks, rows = line_symbols(texts)
+        out = np.zeros((len(texts), MATCHES))
+        if not len(words):
+            return out
         coded = pc.dictionary_encode(words)
-        ids = coded.indices.to_numpy(zero_copy_only=False)
         kind, weight = self.classes(coded.dictionary)
-        out = np.zeros((len(texts), MATCHES))
-        token = kind[ids] if len(ids) else np.zeros(0, np.int64)
-        rows = row_numbers(counts)
-        hot = np.zeros(len(texts), bool)
-        hot[rows[(token == INSULT) | (token == THREAT)]] = True
-        at = np.flatnonzero((token != OTHER) & hot[rows]) if len(ids) else np.zeros(0, np.int64)
-        row_before, clause_before, place_before, state = -1, -1, -1, GRAMMAR.start
-        for i, row, clause, symbol in zip(at.tolist(), rows[at].tolist(), clauses[at].tolist(), token[at].tolist(), strict=True):
-            if row != row_before or clause != clause_before:
-                state, _ = GRAMMAR.step(state, CLAUSE)
-            else:
-                for _ in range(min(i - place_before - 1, REACH)):
-                    state, _ = GRAMMAR.step(state, OTHER)
-            state, put = GRAMMAR.step(state, symbol)
-            if put >= FIRST:
-                out[row, put - FIRST] += weight[ids[i]]
-            row_before, clause_before, place_before = row, clause, i
+        ids = np.append(coded.indices.to_numpy(zero_copy_only=False), 0)[word_at]
+        symbols = np.where(word_at >= 0, kind[ids], marks)
+        fresh = np.concatenate([[True], rows[1:] != rows[:-1]])
+        line = np.cumsum(fresh | np.concatenate([[False], symbols[:-1] == LINE])) - 1
+        hot = np.zeros(line[-1] + 1, bool)
+        hot[line[(symbols == INSULT) | (symbols == THREAT) | (symbols == RIVALRY) | (symbols == DYING)]] = True
+        # After REACH other words all states are as they will stay, so more of them aren't read.
+        at = np.arange(len(symbols))
+        spoken = np.maximum.accumulate(np.where((symbols != OTHER) | fresh, at, 0))
+        at = np.flatnonzero(hot[line] & (at - spoken <= REACH))
+        ends = np.flatnonzero(np.append(line[at][1:] != line[at][:-1], True)) + 1 if len(at) else []
+        start = 0
+        for end in ends:
+            part = at[start:end]
+            seen, read = set(), symbols[part].tolist()
+            for place, symbol, put in zip(part.tolist(), read, run_grammar(read), strict=True):
+                if put >= FIRST:
+                    found, bits = divmod(put - FIRST, 16)
+                    column = 4 * found + (bits & (NEGATED | REPORTED))
+                    if (column, ids[place]) not in seen:
+                        seen.add((column, ids[place]))
+                        out[rows[place], column] += weight[ids[place]]
+                elif symbol == STOP:
+                    seen.clear()
+            start = end
         return np.log1p(out)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.matches(texts) @ self.weights[1:] + self.weights[0])))
 
 
-def clause_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Lower-case words, the number of each one's clause, and how many words each text has. Clauses end at .!?;: and lines."""
+def line_symbols(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case words, and of each word and mark in order: the word's number or -1, the mark's symbol, and the text's number.
+
+    Typographic quotation marks, apostrophes and dashes are read like the plain ones. A stop right before a quotation mark
+    belongs to what is quoted and ends no sentence.
+    """
     texts = pc.utf8_lower(texts)
+    for pattern, by in (("[“”„«»]", '"'), ("[‘’]", "'"), ("[–—]", ", ")):
+        texts = pc.replace_substring_regex(texts, pattern, by)
     words, counts = folded_words(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
     raw = texts.buffers()[2]
@@ -189,9 +368,14 @@ def clause_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     firsts = (offsets - offsets[0])[:-1]
     firsts = firsts[firsts < len(data)]
     begins[firsts] = solid[firsts]
-    ends = np.zeros(256, bool)
-    ends[list(b".!?;:\n")] = True
-    return words, np.cumsum(ends[data])[np.flatnonzero(begins)], counts
+    table = np.zeros(256, np.int64)
+    for symbol, marks in ((COMMA, b",()"), (COLON, b":"), (QUOTE, b'"'), (STOP, b".!?;"), (LINE, b"\n")):
+        table[list(marks)] = symbol
+    mark = table[data]
+    mark[:-1][(mark[:-1] == STOP) & (mark[1:] == QUOTE)] = 0
+    at = np.flatnonzero(begins | (mark > 0))
+    word_at = np.where(begins[at], np.cumsum(begins[at]) - 1, -1)
+    return words, word_at, mark[at], np.searchsorted(offsets - offsets[0], at, side="right") - 1
 
 
 def held_out(doc_id: Column) -> Column:

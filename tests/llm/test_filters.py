@@ -278,6 +278,10 @@ def test_weak_quality_sample_is_even_and_bounded(spark, monkeypatch):
 SENTENCES = {
     "you are an idiot": 1, "you idiot": 1, "I will find you and hurt your dog": 1, "we are going to kill them": 1, "She is stupid, he is a pathetic loser": 1,
     "you are not an idiot": 0, "the word idiot is rude": 0, "she said he is an idiot": 0, "kill the process": 0, "burn calories": 0, "dumb luck": 0, "I will not hurt you": 0, "he told me that you are stupid": 0,
+    "He said: you are an idiot.": 0, '"You are an idiot," he said.': 0, "“You are an idiot!” said the man.": 0, 'She wrote: "You fool. You are an idiot."': 0, 'He said "hello." You idiot!': 1, "You idiot, you said nothing": 1,
+    "Don't call him an idiot": 0, "I don’t think you are stupid": 0, "Nobody thinks you are stupid": 0, "You are not as stupid as him": 0, "Nobody is as stupid as you": 1, "Not only are you stupid": 1,
+    "You are not smart, you idiot": 1, "I don't know you, but you are an idiot": 1, "You don't know anything you idiot": 1, "I don't like you because you are an idiot": 1,
+    "We will beat you in chess": 0, "They will shoot the film for you tomorrow": 0, "I will beat you": 1, "who hurt you?": 0, "kill yourself": 1, "don't kill yourself": 0, "I hope you die": 1, "I hope you don't suffer": 0, "idiot idiot idiot": 0,
 }
 
 
@@ -300,42 +304,68 @@ def test_learned_grammar_keeps_the_order(spark):
 
 def test_composition_is_the_chain():
     rng = random.Random(2)
-    parts = [toxicity._aiming(), toxicity._threatening(), toxicity._marking(toxicity.NEGATION, 1, 4), toxicity._marking(toxicity.REPORT, 2, None)]
-    states, state = [0, 0, 0, 0], toxicity.GRAMMAR.start
-    for _ in range(5000):
-        symbol = out = rng.randrange(8)
-        for k, part in enumerate(parts):
-            states[k], out = part.step(states[k], out)
-        state, put = toxicity.GRAMMAR.step(state, symbol)
-        assert put == out
-
-
-def brute_matches(text):
-    """Kinds of matches by positions in clauses, without automata."""
-    found = []
-    classes = {w: c for c, words in (("r", toxicity.REPORTS), ("n", toxicity.NEGATIONS), ("w", toxicity.INTENTS), ("t", toxicity.TARGETS), ("h", toxicity.THREATS), ("i", toxicity.INSULTS)) for w in words.split()}
-    for clause in re.split(r"[.!?;:\n]", text.lower()):
-        kinds = [classes.get(w, "o") for w in re.findall(r"[^\W_]+", clause)]
-        used = -1
-        for k, c in enumerate(kinds):
-            near = lambda x, low=0, k=k: any(kinds[j] == x for j in range(max(low, k - 4), k))  # noqa: B023, E731
-            kind = None
-            if c == "i":
-                kind = toxicity.AIMED if near("t") else toxicity.LONE
-            elif c == "t" and near("h", used + 1):
-                kind, used = toxicity.VOWED if "w" in kinds[:k] else toxicity.HARM, k
-            if kind is not None:
-                found.append(4 * kind + near("n") + 2 * ("r" in kinds[:k]))
-    return found
+    forward = [toxicity._aiming(), toxicity._threatening(), toxicity._negating(), toxicity._reporting()]
+    for whole, parts in ((toxicity.FORWARD, forward), (toxicity.BACKWARD, [toxicity._tagging(), toxicity._comparing(), toxicity._winning()])):
+        states, state = [x.start for x in parts], whole.start
+        for _ in range(5000):
+            symbol = out = rng.randrange(toxicity.FIRST + (0 if whole is toxicity.FORWARD else 64))
+            for k, part in enumerate(parts):
+                states[k], out = part.step(states[k], out)
+            state, put = whole.step(state, symbol)
+            assert put == out
+
+
+#: A letter for each word that the brute-force reading knows, and for its marks.
+LETTERS = {
+    "idiot": "I", "stupid": "I", "kill": "H", "beat": "V", "they": "T", "you": "A", "yourself": "S", "will": "W", "hope": "P", "die": "D", "not": "N", "nobody": "B", "only": "O", "but": "U", "and": "&", "said": "R", "than": ">", "the": "K", "chess": "C",
+    ",": ",", ":": ":", '"': '"', ".": ".",
+}
+
+
+def brute_matches(line):
+    """Kinds and bits of the matches of a line of words and marks, by patterns over its letters, without automata."""
+    words = line.split()
+    s = "".join(LETTERS.get(w, "o") for w in words)
+    found, rivals = {}, set()
+    gap = r"""["W]*(?:[^HVTAPDW",:.K]["W]*){0,3}"""
+    wish = r"""P["W]*(?:[^HVTAPDW",:.]["W]*){0,3}[TA]["W]*(?:[^HVPDW",:.]["W]*){0,3}D"""
+    for m in re.finditer(rf"""H["W]*S|[HV]{gap}[TA]|{wish}""", s):
+        at = m.end() - 1
+        sure = s[at] in "SD" or re.search("[WP]", re.split("[:.]", s[:at])[-1])
+        found[at] = toxicity.VOWED if sure else toxicity.HARM
+        if m[0][0] == "V":
+            rivals.add(at)
+    direct = set()
+    for i in (i for i, c in enumerate(s) if c == "I"):
+        near = re.sub('[,"]', "", re.split("[:.U]", s[:i])[-1])[-4:]
+        found[i] = toxicity.AIMED if re.search("[ATS]", near) else toxicity.LONE
+        if re.search("AI*$", s[:i]):
+            direct.add(i)
+    t = "".join("M" if i in found else "o" if c in "HVWPD" else c for i, c in enumerate(s))
+    reported = {i for m in re.finditer(r"""R[^".]*(?:"[^"]*(?:"|$)|\.|$)""", t) for i in range(*m.span())}
+    back = re.finditer(r"""R[^RA,:."]{0,2}(,[^".:]*(?:"[^"]*(?:"|$)|[.:]|$)|"[^"]*(?:"|$))""", t[::-1])
+    reported |= {len(t) - 1 - i for m in back for i in range(*m.span(1))}
+    out = set()
+    for i, kind in found.items():
+        deny = re.findall("[NB]", re.split(r"[,:.U]|(?<=[NB])O|(?<=&)[AT]", t[:i])[-1])[-1:]
+        negated = bool(deny) and i not in direct
+        if s[i] == "I" and re.match(">[TA]", t[i + 1 :]):
+            kind, negated = toxicity.AIMED, negated and deny == ["N"]
+        if i in rivals and "C" in t[i + 1 :].split(".")[0]:
+            continue
+        out.add((t[:i].count("."), 4 * kind + negated + 2 * (i in reported), words[i]))
+    return [kind for _, kind, _ in out]
 
 
 def test_matches_against_brute_force():
     rng = random.Random(12)
-    words = ["idiot", "stupid", "kill", "hurt", "you", "they", "will", "not", "said", "a", "b", "c", ".", ";"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(500)]
-    found = np.expm1(toxicity.Grammar({}, toxicity.START).matches(pa.array(texts)))
-    for text, row in zip(texts, found, strict=True):
-        assert np.bincount(brute_matches(text), minlength=16).tolist() == np.rint(row).astype(int).tolist()
+    words = [*LETTERS, "idiot", "stupid", "you", "said", "not", "b", "c", "d"]
+    lines = [[" ".join(rng.choice(words) for _ in range(rng.randrange(18))) for _ in range(rng.randrange(1, 4))] for _ in range(4000)]
+    found = np.expm1(toxicity.Grammar({}, toxicity.START).matches(pa.array(["\n".join(x) for x in lines])))
+    assert (found.sum(axis=0) > 20).sum() >= 15
+    for text, row in zip(lines, found, strict=True):
+        want = np.bincount([k for line in text for k in brute_matches(line)], minlength=16)
+        assert want.tolist() == np.rint(row).astype(int).tolist(), text
 
 
 def test_toxicity_on_held_out_labels(spark):
