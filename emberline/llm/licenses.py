@@ -1,11 +1,15 @@
 """Operator 6: licence scans by canonical digest, with DataFrame functions alone.
 
 A text's canonical form has lower-case words without punctuation, lines of copyright holders and differences of
-spelling. Whole texts and their lines are joined by the digests of their canonical forms to those of known licences.
+spelling. Whole texts and their lines are joined by the digests of their canonical forms to those of known licences. A
+known text inside a longer one is a run of its paragraphs: documents with the digest of a known text's first paragraph
+are split, and paragraphs join known ones of the same digest; a run has them all at one distance.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +22,37 @@ MAX_FIRST_WORDS = 1000
 SALTS = 16
 
 #: What the canonical form replaces, in this order.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SPELLINGS = (
     (r"[^\p{L}\p{N}]+", " "),
     (r"\blicenc", "licens"),
     (r"([a-z])is(e[ds]?|ing|ations?)\b", r"\1iz\2"),
     (r"([a-z][a-z])our(s|ed|ing|ite|able)?\b", r"\1or\2"),
-    (r"\b(non|sub|per) (commercial|licens|cent)", r"\1\2"),
+    (r"([a-z])ys(e[ds]?|ing)\b", r"\1yz\2"),
+    (r"\b(non|sub|per) (commercial|licens|infring|cent)", r"\1\2"),
     (r"\bcopyright owner", "copyright holder"),
     (r"\bwhilst\b", "while"),
     (r"\b(ful|wil)fil\b", r"\1fill"),
+    (r"\bwilful", "willful"),
+    (r"\b(acknowl|ju)(e?)dgement", r"\1\2dgment"),
+    (r"\b(ana|cata|dia)logue", r"\1log"),
+    (r"\b(cen|me|thea)tre(s?)\b", r"\1ter\2"),
+    (r"\bcalibre", "caliber"),
+    (r"\b(cancel|label|model|signal|travel)l(ed|ing)\b", r"\1\2"),
+    (r"\b(defen|offen|preten)ce", r"\1se"),
+    (r"\bpracti[sz]", "practic"),
+    (r"\bprogramme(s?)\b", r"program\1"),
+    (r"\bartefact", "artifact"),
+    (r"\bcheque", "check"),
+    (r"\bmerchantib", "merchantab"),
+    (r"\bhttps\b", "http"),
 )
+#: What of a word shows that SPELLINGS may change it.
+RESPELLED = "licenc|is|our|whilst|fil|ys|wilful|dgement|logue|tre|calibre|lled|lling|ence|practis|programme|artefact|cheque|merchantib|https"
+#: Where a paragraph ends: at lines without letters and digits.
+BREAK = r"\n[^\p{L}\p{N}]*\n"
+#: A line after which licences may be cut, as what follows is advice.
+CUT = "END OF TERMS AND CONDITIONS"
 
 #: Public licence texts and notices.
 NOTICES = (
@@ -154,13 +178,19 @@ def may_be_known(text: Column, known: DataFrame) -> Column:
     word = raw
     for pattern, by in SPELLINGS[1:]:
         word = F.regexp_replace(word, pattern, by.replace("\\", "$"))
-    word = F.when(raw.rlike("licenc|is|our|whilst|fil"), word).otherwise(raw)  # no other word is respelled
+    word = F.when(raw.rlike(RESPELLED), word).otherwise(raw)  # no other word is respelled
     return text.contains("©") | raw.rlike("^copyright|[σς]") | word.isin(*(r["w"] for r in firsts), "c", "all", "non", "sub", "per")
 
 
+def published() -> list[tuple[str, str]]:
+    """The licences whose whole texts come with the package, and what stands before their advice."""
+    found = sorted((x.name.removesuffix(".txt"), x.read_text("utf-8")) for x in resources.files("emberline.llm").joinpath("license_texts").iterdir() if x.name.endswith(".txt"))
+    return [*found, *((name, text[: text.index(CUT)] + part) for name, text in found if CUT in text for part in ("", CUT))]
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """NOTICES, and each with the titles that stand above its licence's text."""
-    return [*NOTICES, *((name, f"{title}\n\n{text}") for name, titles in TITLES.items() for title in titles for held, text in NOTICES if held == name and "\n" in text)]
+    """NOTICES, each with the titles that stand above its licence's text, and the published texts."""
+    return [*NOTICES, *published(), *((name, f"{title}\n\n{text}") for name, titles in TITLES.items() for title in titles for held, text in NOTICES if held == name and "\n" in text)]
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -172,39 +202,74 @@ def license_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.txt)?$", 1).alias("license"), F.col("value").alias("text"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Each row of docs with licenses (sorted names), n_notices (lines that are a known text) and whole_text (the name, if all of the text is one).
+def paragraphs(text: Column) -> Column:
+    """Digests of a text's paragraphs, in order, of which something is left."""
+    return F.transform(F.filter(F.split(text, BREAK), lambda x: canonical(x) != ""), lambda x: F.sha2(canonical(x), 256))
+
+
+def known_runs(known: DataFrame) -> DataFrame:
+    """license, run (a name of the paragraphs together), length, place and digest of each paragraph of known texts."""
+    parts = known.select("license", paragraphs(F.col("text")).alias("parts")).where(F.size("parts") > 0)
+    named = parts.select("license", F.sha2(F.array_join("parts", ","), 256).alias("run"), F.size("parts").alias("length"), "parts").distinct()
+    return named.select("license", "run", "length", F.posexplode("parts").alias("place", "digest"))
 
-    A text of one line that is a known text counts as both. Null and empty texts, and texts of punctuation or copyright
-    lines alone, have none. A text that two licences share is given as both, and whole_text is the first of them.
-    Texts of any length are read whole. Repeated rows each get the same result; an empty table gives an empty one. Columns
-    other than text pass through unread, but for those named like a result, which the result replaces.
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _embedded(keyed: DataFrame, starts: DataFrame, runs: DataFrame) -> DataFrame:
+    """k1, k2 and embedded, the licences that are runs of paragraphs, of the texts of starts, each text looked at once."""
+    bodies = keyed.join(_salted(starts), ["k1", "k2", "salt"], "left_semi").groupBy("k1", "k2").agg(F.first("body").alias("body"))
+    own = bodies.select("k1", "k2", F.posexplode(paragraphs(F.col("body"))).alias("at", "digest"))
+    found = own.join(runs, "digest").groupBy("k1", "k2", "license", "run", "length", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("n"))
+    return found.where("n = length").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("embedded"))
+
+
+def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Each row of docs with licenses (sorted names), n_notices (lines that are a known text), whole_text (the name, if all
+    of the text is one) and embedded (sorted names of those whose paragraphs all stand in the text one after the other).
+
+    licenses are those found in any of these ways. Paragraphs end at lines without letters and digits, however they are
+    wrapped. A text of one line that is a known text counts as line, whole and embedded. Null and empty texts, and texts of
+    punctuation or copyright lines alone, have none. A text that two licences share is given as both, and whole_text is the
+    first of them. Texts of any length are read whole. Repeated rows each get the same result; an empty table gives an empty
+    one. Columns other than text pass through unread, but for those named like a result, which the result replaces.
     """
-    keep = kept_columns(docs, keep, ["licenses", "n_notices", "whole_text"])
+    keep = kept_columns(docs, keep, ["licenses", "n_notices", "whole_text", "embedded"])
     kept = [f"c{i}" for i in range(len(keep))]
     inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
-    table = known_digests(known)
-    table = F.broadcast(table) if known.count() <= BROADCAST_TEXTS else table
+    runs = known_runs(known)
+    # A whole text or line is looked up by its own digest, a paragraph by that of a known text's first one.
+    whole, first = known_digests(known).select("digest", "license", F.lit(False).alias("first")), runs.where("place = 0").select("digest", F.lit(None).cast("string").alias("license"), F.lit(True).alias("first")).distinct()
+    table = whole.unionAll(first)
+    small = known.count() <= BROADCAST_TEXTS
+    table = F.broadcast(table) if small else table
     # Equal texts have equal results, so a text's hashes stand for its rows.
     # The rows of a text that is copied often are dealt over SALTS tasks by their place.
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     keyed = inner.withColumn("k1", F.xxhash64("body")).withColumn("k2", F.xxhash64(F.lit("second"), "body")).withColumn("salt", salt)
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    units = keyed.where(F.col("body") != "").select("k1", "k2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("body").alias("part"))), F.transform(F.split("body", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))).alias("unit"))
-    units = units.where(may_be_known(F.col("unit.part"), known))
-    hits = units.select("k1", "k2", "unit.whole", digest(F.col("unit.part")).alias("digest")).join(table, "digest")
+    unit = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("part"))
+    parts = F.concat(F.array(unit("whole")(F.col("body"))), F.transform(F.split("body", "\n"), unit("line")), F.transform(F.split("body", BREAK), unit("paragraph")))
+    units = keyed.where(F.col("body") != "").select("k1", "k2", F.explode(parts).alias("unit")).where(may_be_known(F.col("unit.part"), known))
+    hits = units.select("k1", "k2", F.col("unit.kind").alias("kind"), digest(F.col("unit.part")).alias("digest")).join(table, "digest").where(F.col("first") == (F.col("kind") == "paragraph"))
     # Copies of a text add up alike, so their number divides out.
-    each = hits.groupBy("k1", "k2", "whole", "license").agg(F.count("*").alias("n"))
-    copies = keyed.where(F.col("body") != "").select("k1", "k2", "salt").join(salted(each.select("k1", "k2").distinct()), ["k1", "k2", "salt"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    found = each.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.sum(F.when(~F.col("whole"), F.col("n"))).alias("lines"), F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_text"))
-    found = found.join(copies, ["k1", "k2"]).select("k1", "k2", "licenses", (F.coalesce("lines", F.lit(0)) / F.col("copies")).cast("long").alias("n_notices"), "whole_text")
-    out = keyed.join(salted(found), ["k1", "k2", "salt"], "left")
-    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), "whole_text")
+    each = hits.groupBy("k1", "k2", "kind", "license").agg(F.count("*").alias("n"))
+    copies = keyed.where(F.col("body") != "").select("k1", "k2", "salt").join(_salted(each.select("k1", "k2").distinct()), ["k1", "k2", "salt"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    n_lines, named = F.sum(F.when(F.col("kind") == "line", F.col("n"))), F.min(F.when(F.col("kind") == "whole", F.col("license")))
+    found = each.groupBy("k1", "k2").agg(F.collect_set("license").alias("licenses"), n_lines.alias("lines"), named.alias("whole_text"))
+    embedded = _embedded(keyed, each.where("kind = 'paragraph'").select("k1", "k2").distinct(), F.broadcast(runs) if small else runs)
+    none = F.array().cast("array<string>")
+    found = found.join(copies, ["k1", "k2"]).join(embedded, ["k1", "k2"], "left").withColumn("embedded", F.coalesce("embedded", none))
+    found = found.select("k1", "k2", F.array_sort(F.array_union("licenses", "embedded")).alias("licenses"), (F.coalesce("lines", F.lit(0)) / F.col("copies")).cast("long").alias("n_notices"), "whole_text", "embedded")
+    out = keyed.join(_salted(found), ["k1", "k2", "salt"], "left")
+    results = [F.coalesce("licenses", none).alias("licenses"), F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), "whole_text", F.coalesce("embedded", none).alias("embedded")]
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], *results)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read_table(spark, sf_dir, "documents"), notices(spark), keep=["doc_id"])
-    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_notices", "whole_text")
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_notices", "whole_text", F.array_join("embedded", ",").alias("embedded"))
 
 
 def _sql() -> str:
@@ -216,12 +281,21 @@ def _sql() -> str:
 
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_texts())
     return f"""
-WITH known AS (SELECT DISTINCT license, {form("text")} AS form FROM (VALUES {values}) AS v(license, text)),
+WITH texts AS (SELECT DISTINCT license, text FROM (VALUES {values}) AS v(license, text)),
+known AS (SELECT DISTINCT license, {form("text")} AS form FROM texts),
 units AS (SELECT doc_id, TRUE AS whole, text AS part FROM documents WHERE text <> ''
           UNION ALL SELECT doc_id, FALSE, unnest(string_split(text, chr(10))) FROM documents WHERE text <> ''),
 hits AS (SELECT doc_id, whole, license FROM units JOIN known ON {form("part")} = form AND form <> ''),
-f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) FILTER (NOT whole) AS n_notices, min(license) FILTER (whole) AS whole_text FROM hits GROUP BY doc_id)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_notices, 0)::BIGINT AS n_notices, whole_text FROM documents LEFT JOIN f USING (doc_id)
+f AS (SELECT doc_id, count(*) FILTER (NOT whole) AS n_notices, min(license) FILTER (whole) AS whole_text FROM hits GROUP BY doc_id),
+split AS (SELECT license, text, unnest(string_split_regex(text, '{BREAK}')) AS part, generate_subscripts(string_split_regex(text, '{BREAK}'), 1) AS i FROM texts),
+runs AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY license, text) AS length FROM (SELECT license, text, i, {form("part")} AS form FROM split) WHERE form <> '' WINDOW w AS (PARTITION BY license, text ORDER BY i)),
+cut AS (SELECT doc_id, unnest(string_split_regex(text, '{BREAK}')) AS part, generate_subscripts(string_split_regex(text, '{BREAK}'), 1) AS i FROM documents),
+own AS (SELECT doc_id, form, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nr FROM (SELECT doc_id, i, {form("part")} AS form FROM cut) WHERE form <> ''),
+e AS (SELECT doc_id, license FROM own JOIN runs USING (form) GROUP BY doc_id, license, text, length, nr - place HAVING count(*) = length),
+g AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS embedded FROM e GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM (SELECT doc_id, license FROM hits UNION ALL SELECT doc_id, license FROM e) GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_notices, 0)::BIGINT AS n_notices, whole_text, coalesce(embedded, '') AS embedded
+FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 

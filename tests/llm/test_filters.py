@@ -156,7 +156,7 @@ def test_licenses(spark):
     assert rows[2] == (["MIT"], 0, "MIT") and rows[7] == (["CC-BY-NC-4.0"], 2, None)
     assert all(rows[k] == none for k in (3, 4, 5, 6, 8, 10))
     clash = licenses.scan_licenses(frame(spark, texts).withColumn("Licenses", F.lit(1)), licenses.notices(spark))
-    assert clash.columns == ["doc_id", "text", "source", "n_words", "score", "licenses", "n_notices", "whole_text"]
+    assert clash.columns == ["doc_id", "text", "source", "n_words", "score", "licenses", "n_notices", "whole_text", "embedded"]
     assert licenses.scan_licenses(frame(spark, texts).limit(0), licenses.notices(spark)).count() == 0
 
 
@@ -169,6 +169,38 @@ def test_published_license_files(spark):
     assert [r.whole_text for r in rows] == want
 
 
+def test_texts_inside_longer_ones(spark, tmp_path):
+    texts = dict(licenses.published())
+    assert len(texts) >= 10
+    mit, mpl = licenses.NOTICES[8][1], texts["MPL-2.0"]
+    zlib = next(t for n, t in licenses.NOTICES if n == "Zlib")
+    wrapped = re.sub(r"(\S+ \S+ \S+ \S+) ", r"\1\n", mit)
+    commented = "\n".join("# " + x for x in ("Copyright 2020 Jane\n\n" + wrapped).split("\n"))
+    docs = [
+        "An introduction.\n\n" + mit, "One.\n\nTwo.\n\n" + mpl + "\n\nThree.\n\n" + mit, commented + "\n\nimport this", mit.rsplit("\n\n", 1)[0] + "\n\nSomething else.", mit.replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("MERCHANTABILITY", "MERCHANTIBILITY"),
+        zlib.replace("acknowledgment", "acknowledgement"), texts["Apache-2.0"], texts["GPL-2.0"].split(licenses.CUT)[0], mit + "\n\n" + mit, "\n\n".join(reversed(mit.split("\n\n"))), None, "", "Intro\n\n" + LONG,
+    ]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, docs + docs[:3] * 3), licenses.notices(spark), keep=["doc_id"]).collect()}
+    assert [rows[k].embedded for k in range(13)] == [["MIT"], ["MIT", "MPL-2.0"], ["MIT"], [], ["MIT"], ["Zlib"], ["Apache-2.0"], ["GPL-2.0"], ["MIT"], [], [], [], []]
+    assert [rows[k].whole_text for k in range(4, 8)] == ["MIT", "Zlib", "Apache-2.0", "GPL-2.0"] and rows[0].whole_text is None and set(rows[1].licenses) >= {"MIT", "MPL-2.0"}
+    assert all(rows[13 + k].embedded == rows[k % 3].embedded for k in range(9))
+    # Files of licences; two licences of one text are both given.
+    for name in ("Mine-1.0", "Mine-2.0"):
+        (tmp_path / f"{name}.txt").write_text("Do what you like.\n\nBut be kind.")
+    mine = licenses.license_files(spark, str(tmp_path))
+    rows = licenses.scan_licenses(frame(spark, ["DO what you like\n\n but be kind", "x\n\nDo what you like\n\nbut be kind", "Do what you like"]), mine, keep=["doc_id"]).sort("doc_id").collect()
+    assert [(r.licenses, r.whole_text) for r in rows] == [(["Mine-1.0", "Mine-2.0"], "Mine-1.0"), (["Mine-1.0", "Mine-2.0"], None), ([], None)]
+
+
+@pytest.mark.parametrize("pair", ["acknowledgement acknowledgment", "judgement judgment", "catalogue catalog", "analogue analog", "centre center", "labelling labeling", "offence offense", "practise practice", "programme program", "analyse analyze", "artefact artifact", "licence license", "fulfil fulfill", "wilful willful", "organisation organization", "favour favor", "https http"])
+def test_equivalent_words(spark, pair):
+    one, two = pair.split()
+    form = spark.createDataFrame([(one, two)], "a string, b string").select(licenses.canonical(F.col("a")).alias("a"), licenses.canonical(F.col("b")).alias("b")).first()
+    assert form.a == form.b
+    known = spark.createDataFrame([("L", two)], "license string, text string")
+    assert spark.createDataFrame([(one,)], "t string").where(licenses.may_be_known(F.col("t"), known)).count() == 1
+
+
 def test_first_words_rule_nothing_out(spark):
     """A text with the canonical form of a known one stays, whatever characters it begins with."""
     odd = [chr(c) for c in range(0x20, 0x2200) if len(chr(c).lower()) > 1 or chr(c).lower() != chr(c) or not chr(c).isalnum()]
