@@ -26,3 +26,12 @@ def test_many_facilities_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(views, "MANY", 10)
     many = views.plumes(spark, DIR)
     assert not joins(many) and sorted(many.collect()) == sorted(few.collect())
+
+
+def test_the_first_radius_of_nearest_features_follows_their_density(spark):
+    crowd = spark.range(20000).select(F.col("id").alias("feature_ord"), F.lit("a").alias("layer"), F.col("id").cast("string").alias("name"), F.lit(0).alias("layer_ord"), (F.lit(120) + F.col("id") % 200 / 1000).alias("r_lon"), (F.lit(-30) + F.floor(F.col("id") / 200) / 500).alias("r_lat"))
+    assert 0.1 < spatial.crowded_radius(crowd, 12, 50.0) < 1.0
+    assert spatial.crowded_radius(crowd.limit(0), 12, 50.0) == 50.0 == spatial.crowded_radius(crowd.where("feature_ord < 2"), 1200, 50.0)
+    points = spark.createDataFrame([(0, 120.05, -29.95), (1, 131.0, -30.0), (2, 120.1, -29.9)], "point_id int, lon double, lat double")
+    got = {(r.point_id, r["rank"]): (r.feature_ord, r.km) for r in spatial.nearest_features(points, crowd).collect()}
+    assert got == {(r.point_id, r["rank"]): (r.feature_ord, r.km) for r in spatial.nearest_features(points, crowd, 3, 8000.0).collect()} and len(got) == 9
