@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from emberline.operators import spatial
+from emberline.operators import greedy, spatial
 from emberline.plans import views
 
 DIR = "/root/testdata/sf0.001"
@@ -28,6 +28,16 @@ def test_many_facilities_are_not_broadcast(spark, monkeypatch):
     assert not joins(many) and sorted(many.collect()) == sorted(few.collect())
 
 
+def test_greedy_rounds_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    rows = spark.range(400).select("id", F.lit("a").alias("part"), ((F.col("id") * 37) % 401).alias("rank"), (F.col("id") / 100).alias("lon"), F.lit(0.0).alias("lat"))
+    near = lambda: F.abs(F.col("lon") - F.col("k_lon")) < 0.025
+    kept = lambda: greedy.first_kept(rows, (0.02, 0.02), (2, 2), near)
+    few = kept()
+    monkeypatch.setattr(greedy, "MANY", 10)
+    many = kept()
+    assert joins(few) == 1 and not joins(many) and sorted(few.collect()) == sorted(many.collect())
+
+
 def test_the_first_radius_of_nearest_features_follows_their_density(spark):
     crowd = spark.range(20000).select(F.col("id").alias("feature_ord"), F.lit("a").alias("layer"), F.col("id").cast("string").alias("name"), F.lit(0).alias("layer_ord"), (F.lit(120) + F.col("id") % 200 / 1000).alias("r_lon"), (F.lit(-30) + F.floor(F.col("id") / 200) / 500).alias("r_lat"))
     assert 0.1 < spatial.crowded_radius(crowd, 12, 50.0) < 1.0
