@@ -80,8 +80,8 @@ def box_overpasses(spark: SparkSession, d: str) -> DataFrame:
     fac = views.facilities(spark, d).select("fac_id", "state", "lon", "lat")
     sides = {"west": F.col("lon") - 0.03, "south": F.col("lat") - 0.03, "east": F.col("lon") + 0.03, "north": F.col("lat") + 0.03}
     boxes = fac.select(F.col("fac_id").alias("box_id"), *[v.alias(k) for k, v in sides.items()])
-    pairs = footprints.boxes_meeting_footprints(boxes, _footprints(spark, d)).withColumnRenamed("box_id", "fac_id")
-    return footprints.observations(fac, pairs, "fac_id", F.col("state") != "").select("fac_id", "overpasses")
+    counts = footprints.counts_in_footprints(boxes, _footprints(spark, d)).withColumnRenamed("box_id", "fac_id")
+    return footprints.with_counts(fac, counts, "fac_id", F.col("state") != "").select("fac_id", "overpasses")
 
 
 def _utm_sql() -> str:

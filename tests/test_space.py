@@ -177,3 +177,18 @@ def test_quantiles_leave_out_what_is_not_finite(spark):
     got = quantiles.quantiles(df, "v", [0.0, 0.02, 0.5, 0.98, 1.0])
     assert np.allclose(got, [np.quantile(values, q) if 0 < q < 1 else values.min() if q == 0 else values.max() for q in (0.0, 0.02, 0.5, 0.98, 1.0)])
     assert quantiles.quantiles(df.where("v = double('inf')"), "v", [0.5]) == [None]
+
+
+def test_footprints_are_counted_as_they_are_met(spark):
+    rng = random.Random(8)
+    all_rings = shapes(rng)
+    feet = spark.createDataFrame(as_rows(all_rings), RINGS)
+    places = [(rng.uniform(-2, 5), rng.uniform(-4, 3)) for _ in range(250)] + [(0.0, 0.0), (-0.5, -0.5), (0.5, 0.5), (0.5, -0.5), (1.5, 0.0), (0.25, 0.25), (None, 1.0)]
+    boxes = [(x, y, x + w, y + h) for _ in range(40) for x, y, w, h in [(rng.uniform(-1, 4), rng.uniform(-3, 2), rng.choice([0.01, 0.3]), rng.choice([0.02, 0.5]))]] + [(0.9, -0.1, 1.1, 0.1), (-1.0, -1.0, -0.5, -0.5), (1.0, 0.5, 1.0, 0.5)]
+    frame = lambda rows: spark.createDataFrame([(k, *b) for k, b in enumerate(rows)], "box_id int, west double, south double, east double, north double")
+    small, large = frame([(x, y, x, y) for x, y in places]), frame([*boxes, (-3.0, -3.0, 6.0, 4.0)])
+    want = [{k: n for k, b in enumerate(rows) if None not in b and (n := sum(holds(rings, *b) for rings in all_rings))} for rows, holds in ((places, inside), ([*boxes, (-3.0, -3.0, 6.0, 4.0)], meets))]
+    for tile in (4.0, 0.7):
+        got = [{r.box_id: r.n for r in footprints.counts_in_footprints(df, feet, closed, tile).collect()} for df, closed in ((small, False), (large, True))]
+        assert got == want
+    assert footprints.counts_in_footprints(small, feet.limit(0), False).count() == 0
