@@ -47,8 +47,9 @@ def _footprints(spark: SparkSession, d: str) -> DataFrame:
 def footprint_overpasses(spark: SparkSession, d: str) -> DataFrame:
     """How many footprints hold each facility; null, not 0, where the catalogue doesn't answer, as for those without a state."""
     fac = views.facilities(spark, d).select("fac_id", "state", "lon", "lat")
-    pairs = footprints.points_in_footprints(fac.select("fac_id", "lon", "lat"), _footprints(spark, d))
-    return footprints.observations(fac, pairs, "fac_id", F.col("state") != "").select("fac_id", "overpasses")
+    places = fac.select(F.col("fac_id").alias("box_id"), F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north"))
+    counts = footprints.counts_in_footprints(places, _footprints(spark, d), closed=False).withColumnRenamed("box_id", "fac_id")
+    return footprints.with_counts(fac, counts, "fac_id", F.col("state") != "").select("fac_id", "overpasses")
 
 
 #: Footprints that share a point with a box: an edge's line parts the box's corners where their extents meet, or a corner lies inside.
