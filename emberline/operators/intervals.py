@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.sources.shared import materialise
+
 #: Levels of ranges; level k's are 2**k long and begin at its multiples.
 LEVELS = 62
 
@@ -53,3 +55,37 @@ def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     swapped = stabbed(real_right.withColumnsRenamed({"r_start": "start", "r_end": "end"}), real_left.withColumnsRenamed({"start": "l_start", "end": "l_end"}), "l_start")
     after = swapped.where(F.col("l_start") > F.col("start")).withColumnsRenamed({"start": "r_start", "end": "r_end", "l_start": "start", "l_end": "end"})
     return inside.unionByName(after)
+
+
+def overlap_totals(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The right rows [r_start, r_end) with n, how many left intervals [start, end) share a point with each, and shared, the sum of
+    what they share; rows that none meets are left out.
+
+    No pair is made. An interval meets those that start before its end, but for those that end by its start; what they share is
+    what all cover before its end, less what they cover before its start. Both are running totals over the ends of all intervals:
+    ends are dealt out by their order, summed part by part, and each part adds the totals of those before it (one row a part).
+    Starts and ends are longs; sums are exact. Empty, backward and null intervals share nothing; right rows may repeat.
+    """
+    whole, zero = (lambda c: F.col(c).cast("decimal(38,0)")), F.lit(0).cast("long")
+    real_left, real_right = left.where("start < end"), right.where("r_start < r_end")
+    begun = real_left.select(F.col("start").cast("long").alias("at"), F.lit(1).cast("long").alias("begun"), zero.alias("ended"))
+    ended = real_left.select(F.col("end").cast("long").alias("at"), zero.alias("begun"), F.lit(1).cast("long").alias("ended"))
+    asked = real_right.select(F.explode(F.array(F.col("r_start").cast("long"), F.col("r_end").cast("long"))).alias("at"), zero.alias("begun"), zero.alias("ended"))
+    marks = begun.unionByName(ended).unionByName(asked).groupBy("at").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+    dealt = materialise(marks.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "marks")
+    weight = (F.col("begun") - F.col("ended")).cast("decimal(38,0)") * whole("at")
+    dealt = dealt.withColumn("weight", weight.cast("decimal(38,0)"))
+    sums = ("begun", "ended", "weight")
+    parts = dealt.groupBy("part").agg(*[F.sum(c).alias(f"{c}_part") for c in sums])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("part", *[F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_part") for c in sums])
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = dealt.join(before, "part").select("at", *[(F.sum(c).over(within) + F.col(f"{c}_part")).alias(c) for c in sums])
+    # Starts and ends at a place itself cover nothing before it; of the starts those before it count, of the ends those up to it.
+    covered = whole("at") * (F.col("begun") - F.col("ended")).cast("decimal(20,0)") - F.col("weight")
+    totals = materialise(run.join(dealt.select("at", F.col("begun").alias("here")), "at").select("at", (F.col("begun") - F.col("here")).alias("started"), "ended", covered.cast("decimal(38,0)").alias("covered")), "totals")
+    of = lambda c: totals.select(F.col("at").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("started", "ended", "covered")])
+    keyed = real_right.withColumns({"at_start": F.col("r_start").cast("long"), "at_end": F.col("r_end").cast("long")})
+    met = keyed.join(of("at_start"), "at_start").join(of("at_end"), "at_end")
+    met = met.withColumns({"n": F.col("at_end_started") - F.col("at_start_ended"), "shared": F.col("at_end_covered") - F.col("at_start_covered")})
+    return met.where("n > 0").select(*right.columns, "n", "shared")

@@ -70,6 +70,19 @@ def test_overlaps_are_those_of_every_pair(spark):
     assert intervals.overlapping(left.limit(0), right).count() == 0
 
 
+
+def test_totals_of_overlaps_are_those_of_every_pair(spark):
+    rng = random.Random(4)
+    some = lambda n: [(k, *rng.choice([(s := rng.randrange(-50, 50), s + rng.choice([0, 1, 2, 7, 64, 90])), (None, 4), (4, None), (5, 2), (0, 64), (-(10**15), 10**15)])) for k in range(n)]
+    a, b = some(80), [*some(80), (3, 0, 64), (99, 2 * 10**15, 3 * 10**15)]
+    left, right = spark.createDataFrame(a, "x int, start long, end long"), spark.createDataFrame(b, "y int, r_start long, r_end long")
+    real = lambda s, e: s is not None and e is not None and s < e
+    met = [(y, t, f, [min(e, f) - max(s, t) for _, s, e in a if real(s, e) and s < f and t < e]) for y, t, f in b if real(t, f)]
+    totals = intervals.overlap_totals(left, right)
+    assert sorted((r.y, r.r_start, r.r_end, r.n, int(r.shared)) for r in totals.collect()) == sorted((y, t, f, len(x), sum(x)) for y, t, f, x in met if x)
+    assert intervals.overlap_totals(left.limit(0), right).count() == 0
+
+
 def test_overviews_are_means_of_what_is_there(spark, tmp_path):
     rng = np.random.default_rng(4)
     base = rng.uniform(0, 9, (11, 21))
