@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import greedy, spatial
 from emberline.plans import views
+from emberline.registry import QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,3 +46,10 @@ def test_the_first_radius_of_nearest_features_follows_their_density(spark):
     points = spark.createDataFrame([(0, 120.05, -29.95), (1, 131.0, -30.0), (2, 120.1, -29.9)], "point_id int, lon double, lat double")
     got = {(r.point_id, r["rank"]): (r.feature_ord, r.km) for r in spatial.nearest_features(points, crowd).collect()}
     assert got == {(r.point_id, r["rank"]): (r.feature_ord, r.km) for r in spatial.nearest_features(points, crowd, 3, 8000.0).collect()} and len(got) == 9
+
+
+def test_same_day_links_are_the_pairs_themselves(spark):
+    rows = [(1, 0, 120.0, -30.0), (2, 0, 120.005, -30.0), (3, 1, 120.0, -30.0), (4, 0, 120.0, -30.0), (5, 0, 121.0, -30.0), (6, None, 120.0, -30.0)]
+    df = spark.createDataFrame(rows, "plume_id long, day int, lon double, lat double")
+    assert sorted((r.plume_id, r.other) for r in greedy.same_day_pairs(df).collect()) == [(1, 2), (1, 4), (2, 4)]
+    assert QUERIES["same_day_links"](spark, DIR).columns == ["plume_id", "other", "km"]
