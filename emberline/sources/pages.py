@@ -1,4 +1,4 @@
-"""Pages of a service, landed as files, as a Spark source: a partition for each page."""
+"""Pages of a service, landed as files, as a Spark source: a partition for each page, or for a run of pages where they are many."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 SCHEMA = "offset bigint, place int, item string"
 PAGE = 2000
+#: Partitions at most; a task for each of very many small pages would cost more than reading them.
+PARTITIONS = 256
 #: Which offsets a filter of a kind lets through.
 KEEPS = {
     EqualTo: lambda offset, value: offset == value,
@@ -23,14 +25,15 @@ KEEPS = {
 }
 
 
-class Page(InputPartition):
-    def __init__(self, offset: int, files: tuple[str, ...]):
-        super().__init__(offset)
-        self.files = files
+class PageRun(InputPartition):
+    """Pages (offset, files) that a task reads one after the other."""
+
+    def __init__(self, pages: list[tuple[int, tuple[str, ...]]]):
+        super().__init__(pages)
 
 
 class PagesReader(DataSourceReader):
-    """Lists the pages when a query is planned, and reads a page in each task."""
+    """Lists the pages when a query is planned, and reads a page, or a run of pages, in each task."""
 
     def __init__(self, path: str, size: int, items: str):
         self.path, self.size, self.items, self.wanted = path, size, items, []
@@ -53,31 +56,37 @@ class PagesReader(DataSourceReader):
                 found.setdefault(int(label.removeprefix("offset=")), []).append(info.path)
         return {offset: tuple(sorted(files)) for offset, files in found.items()}
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[PageRun]:
         """The pages from offset 0 on, as far as none is missing: a client gets no page after one that isn't there."""
         found, pages = self._listed(), []
         while (offset := len(pages) * self.size) in found:
-            pages.append(Page(offset, found[offset]))
-        return [p for p in pages if all(keep(p.value, value) for keep, value in self.wanted)]
-
-    def read(self, page: Page | None) -> Iterator[tuple]:
-        """The page's items as text, or a row without an item for a page without any; a page that is no JSON raises."""
-        if page is None:  # Spark's stand-in where no page is left
+            pages.append((offset, found[offset]))
+        kept = [p for p in pages if all(keep(p[0], value) for keep, value in self.wanted)]
+        run = -(-len(kept) // PARTITIONS)
+        return [PageRun(kept[k : k + run]) for k in range(0, len(kept), run or 1)]
+
+    def read(self, run: PageRun | None) -> Iterator[tuple]:
+        """The pages' items as text, or a row without an item for a page without any; a page that is no JSON raises."""
+        if run is None:  # Spark's stand-in where no page is left
             return
         store, _ = fs.FileSystem.from_uri(self.path)
+        for offset, files in run.value:
+            yield from self._page(store, offset, files)
+
+    def _page(self, store: fs.FileSystem, offset: int, files: tuple[str, ...]) -> Iterator[tuple]:
         place = 0
-        for name in page.files:
+        for name in files:
             with store.open_input_stream(name) as stream:
                 text = stream.read()
             try:
                 items = list(json.loads(text)[self.items])
             except (ValueError, KeyError, TypeError) as fault:
-                raise ValueError(f"page {page.value} ({name}) has no {self.items}") from fault
+                raise ValueError(f"page {offset} ({name}) has no {self.items}") from fault
             for item in items:
-                yield page.value, place, json.dumps(item, ensure_ascii=False)
+                yield offset, place, json.dumps(item, ensure_ascii=False)
                 place += 1
         if not place:
-            yield page.value, 0, None
+            yield offset, 0, None
 
 
 class Pages(DataSource):

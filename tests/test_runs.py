@@ -41,6 +41,15 @@ def test_pages_end_at_the_first_short_one(spark, tmp_path):
     assert read("full", 2) == [0, 0] and read("none", 2) == [] and read("gap", 2) == []
 
 
+def test_many_pages_share_partitions(spark, tmp_path):
+    for k in range(600):
+        land(tmp_path, k * 2, [{"id": k * 2}, {"id": k * 2 + 1}] if k < 599 else [{"id": 1198}])
+    every = pages.all_pages(spark, str(tmp_path), 2)
+    assert every.rdd.getNumPartitions() == 200 and {(r.offset, r.place) for r in every.collect()} == {(k - k % 2, k % 2) for k in range(1199)}
+    assert every.where("offset >= 1000").rdd.getNumPartitions() == 100
+    assert sorted(r.id for r in pages.read_pages(spark, str(tmp_path), "id long", 2).collect()) == list(range(1199))
+
+
 @pytest.mark.parametrize("text", ["", "<html>", '{"error": 1}', "[1]", '{"features": null}'])
 def test_a_page_that_is_none_is_an_error(spark, tmp_path, text):
     land(tmp_path / "a", 0, [{"id": 1}] * 2)
