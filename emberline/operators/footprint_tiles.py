@@ -11,6 +11,7 @@ Every test is the one that a pair would get, in the same arithmetic; what is nea
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 #: Degrees by which what an edge reaches is widened, far over what rounding moves it.
 SLACK = 1e-9
 #: Footprints of a grid and pairs tested at a time; places of a block, keys of footprints and places, and edges of a footprint that are held against each other.
-AT_ONCE, TESTS, BLOCK, KEYS, FEW = 1 << 11, 1 << 18, 1 << 14, 1 << 22, 256
+AT_ONCE, TESTS, BLOCK, KEYS, FEW = 1 << 11, 1 << 16, 1 << 14, 1 << 22, 256
 #: Footprints dealt at a time, and vertices sent at a time.
 ROWS, SENT = 1 << 15, 1 << 22
 DEALT = "tile_x bigint, tile_y bigint, part bigint, xy binary, rings binary, feet binary"
@@ -53,6 +54,12 @@ def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whose, np.arange(len(whose)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def follow(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """So many numbers from each beginning on."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + lengths, lengths)
+
+
 def runs(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of items whose lengths sum up to about most."""
     ends = np.cumsum(lengths)
@@ -92,6 +99,8 @@ def _meeting(e: np.ndarray, i: np.ndarray, j: np.ndarray, next_: np.ndarray) ->
     a, b = dx * (v1 - y1) - dy * (u1 - x1), dx * (v2 - y1) - dy * (u2 - x1)
     c, d = du * (y1 - v1) - dv * (x1 - u1), du * (y2 - v1) - dv * (x2 - u1)
     apart = (np.minimum(a, b) > near) | (np.maximum(a, b) < -near) | (np.minimum(c, d) > far) | (np.maximum(c, d) < -far)
+    for p, q, r, s in ((x1, x2, u1, u2), (y1, y2, v1, v2)):
+        apart |= (np.minimum(p, q) > np.maximum(r, s) + SLACK) | (np.minimum(r, s) > np.maximum(p, q) + SLACK)
     turn, along = np.abs(dx * dv - dy * du), dx * du + dy * dv
     return np.where((next_[i] == j) | (next_[j] == i), (turn < np.abs(along) * 1e-3) & (along < 0), ~apart)
 
@@ -233,13 +242,14 @@ def _slope(e: np.ndarray) -> np.ndarray:
 def _holding(e: np.ndarray, sign: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of a footprint (its edges from start on) and a place: whether an odd number of edges lies to the east, and the sum of their signs."""
     odd, total = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
-    for k in range(size.max(initial=0)):
-        at = np.flatnonzero(size > k)
-        x1, y1, x2, y2 = e[:, start[at] + k]
-        spans = (y1 > y[at]) != (y2 > y[at])
-        cross = spans & (x[at] < (x2 - x1) * (y[at] - y1) / np.where(spans, y2 - y1, 1.0) + x1)
-        odd[at] ^= cross
-        total[at] += sign[start[at] + k] * cross
+    for a, b in runs(size, TESTS):
+        edge, many = follow(start[a:b], size[a:b]), size[a:b]
+        x1, y1, x2, y2 = (v[edge] for v in e)
+        px, py = np.repeat(x[a:b], many), np.repeat(y[a:b], many)
+        spans = (y1 > py) != (y2 > py)
+        cross = spans & (px < (x2 - x1) * (py - y1) / np.where(spans, y2 - y1, 1.0) + x1)
+        begin = np.cumsum(many) - many
+        odd[a:b], total[a:b] = np.logical_xor.reduceat(cross, begin), np.add.reduceat(sign[edge] * cross, begin)
     return odd, total
 
 
@@ -266,8 +276,7 @@ def _held(feet: Feet, block: Block) -> np.ndarray:
         begin, end = block.at[base + low].astype(np.int64), block.at[base + high].astype(np.int64)
         np.add.at(partly, np.where(rises[p], end, begin) + column, np.where(rises[p], s[p], -s[p]))
         for c, d in runs(end - begin, TESTS):
-            t, k = spread(end[c:d] - begin[c:d])
-            at, edge = begin[c:d][t] + k, p[c:d][t]
+            edge, at = np.repeat(p[c:d], end[c:d] - begin[c:d]), follow(begin[c:d], end[c:d] - begin[c:d])
             x1, y1, x, y = e[0, edge], e[1, edge], block.west[at], block.south[at]
             cross = np.flatnonzero(x < (e[2, edge] - x1) * (y - y1) / (e[3, edge] - y1) + x1)
             np.add.at(counts, at[cross], s[edge[cross]])
@@ -284,7 +293,11 @@ def _held(feet: Feet, block: Block) -> np.ndarray:
 
 def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndarray, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     """Adds how many footprints have an edge that enters each closed box, but don't hold its south-western corner."""
-    e, n = feet.e, block.n
+    n = block.n
+    # Edges of one way after another, as the same corners of boxes decide for them.
+    kind = (feet.e[2] >= feet.e[0]) * 2 + (feet.e[3] >= feet.e[1])
+    order = np.argsort(kind.astype(np.int8), kind="stable")
+    e, foot, left = feet.e[:, order], feet.foot[order], feet.left[order]
     first, last = block.passed(e, pad[0])
     p, k = spread(np.maximum(last - first + 1, 0))
     column, slope = first[p] + k, _slope(e)
@@ -299,30 +312,39 @@ def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndar
             _entered(some, block, pad, counts, seen)
         return
     dx, dy = e[2] - e[0], e[3] - e[1]
-    near = SLACK * (np.abs(dx) + np.abs(dy))
-    xs, ys = np.concatenate([block.west, block.east]), np.concatenate([block.south, block.north])
-    ends = [np.minimum(e[0], e[2]), np.maximum(e[0], e[2]), np.minimum(e[1], e[3]), np.maximum(e[1], e[3])]
-    # Of a box's corners the first is farthest to the right of an edge, the second to its left.
-    right_x, right_y = np.where(dy >= 0, n, 0), np.where(dx >= 0, 0, n)
-    found = []
-    for a, b in runs(lengths, TESTS):
-        t, k = spread(lengths[a:b])
-        at, edge = begin[a:b][t] + k, p[a:b][t]
-        x1, y1, w, h, off = e[0, edge], e[1, edge], dx[edge], dy[edge], near[edge]
-        rx, ry = right_x[edge], right_y[edge]
-        least = w * (ys[at + ry] - y1) - h * (xs[at + rx] - x1)
-        most = w * (ys[at + (n - ry)] - y1) - h * (xs[at + (n - rx)] - x1)
-        some = np.flatnonzero((least <= off) & (most >= -off))
-        at, edge, least, most = at[some], edge[some], least[some], most[some]
-        west, east, south, north = block.west[at], block.east[at], block.south[at], block.north[at]
-        x_low, x_high, y_low, y_high = (v[edge] for v in ends)
-        some = (x_low <= east + SLACK) & (x_high >= west - SLACK) & (y_low <= north + SLACK) & (y_high >= south - SLACK)
-        enters = (x_low <= east) & (x_high >= west) & (y_low <= north) & (y_high >= south) & (least <= 0) & (most >= 0)
-        found.append((at[some], edge[some], enters[some]))
+    near, off = SLACK * (np.abs(dx) + np.abs(dy)), dx * e[1] - dy * e[0]
+    x_low, x_high, y_low, y_high = np.minimum(e[0], e[2]), np.maximum(e[0], e[2]), np.minimum(e[1], e[3]), np.maximum(e[1], e[3])
+    # Between its ends an edge passes all of a box of these pieces, if it passes its corners.
+    inner = (x_low[p] < block.bounds[column - 1] - SLACK) & (x_high[p] > block.bounds[column] + (pad[0] + SLACK))
+    cuts, found = np.searchsorted(kind[order][p], np.arange(5)), []
+    for way, ends in itertools.product(range(4), (False, True)):
+        low, high = cuts[way : way + 2]
+        pieces = low + np.flatnonzero((inner[low:high] != ends) & (lengths[low:high] > 0))
+        # Of a box's corners that farthest to the right of such edges, and that farthest to their left.
+        corner = (block.east if way % 2 else block.west, block.south if way // 2 else block.north)
+        other = (block.west if way % 2 else block.east, block.north if way // 2 else block.south)
+        for a, b in runs(lengths[pieces], TESTS):
+            own = pieces[a:b]
+            edge, at = np.repeat(p[own], lengths[own]), follow(begin[own], lengths[own])
+            w, h, c, m = dx[edge], dy[edge], off[edge], near[edge]
+            least, most = w * corner[1][at] - h * corner[0][at] - c, w * other[1][at] - h * other[0][at] - c
+            some = np.flatnonzero((least <= m) & (most >= -m))
+            at, edge, m = at[some], edge[some], m[some]
+            enters = (least[some] < -m) & (most[some] > m)
+            if ends:
+                within = np.minimum(np.minimum(block.east[at] - x_low[edge], x_high[edge] - block.west[at]), np.minimum(block.north[at] - y_low[edge], y_high[edge] - block.south[at]))
+                some = np.flatnonzero(within >= -SLACK)
+                at, edge, enters = at[some], edge[some], enters[some] & (within[some] > SLACK)
+            open_ = np.flatnonzero(~enters)
+            if len(open_):
+                f, k = edge[open_], at[open_]
+                sides = [dx[f] * (y[k] - e[1, f]) - dy[f] * (x[k] - e[0, f]) for x, y in (corner, other)]
+                enters[open_] = (x_low[f] <= block.east[k]) & (x_high[f] >= block.west[k]) & (y_low[f] <= block.north[k]) & (y_high[f] >= block.south[k]) & (sides[0] <= 0) & (sides[1] >= 0)
+            found.append((at, edge, enters))
     if not found:
         return
     at, edge, enters = (np.concatenate(v) for v in zip(*found, strict=True))
-    key = feet.foot[edge] * n + at
+    key = foot[edge] * n + at
     first_of, several, entered = seen
     mark = np.arange(len(key), dtype=np.int32)
     first_of[key] = mark
@@ -336,12 +358,12 @@ def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndar
     more = more[entered[more]]
     entered[hit] = False
     f, place = edge[once], at[once]
-    side = dx[f] * (block.south[place] - e[1, f]) - dy[f] * (block.west[place] - e[0, f])
+    side = dx[f] * block.south[place] - dy[f] * block.west[place] - off[f]
     sure = np.abs(side) > near[f]
-    counts += np.bincount(place[sure & ((side > 0) != feet.left[f])], minlength=n)
+    counts += np.bincount(place[sure & ((side > 0) != left[f])], minlength=n)
     more = np.concatenate([more, key[once[~sure]]])
     f, place = more // n, more % n
-    odd, _ = _holding(e, np.zeros(e.shape[1], np.int64), feet.start[f], feet.size[f], block.west[place], block.south[place])
+    odd, _ = _holding(feet.e, np.zeros(e.shape[1], np.int8), feet.start[f], feet.size[f], block.west[place], block.south[place])
     counts += np.bincount(place[~odd], minlength=n)
 
 

@@ -28,12 +28,14 @@ def _footprints(spark: SparkSession, d: str) -> DataFrame:
     each = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("foot_id")).agg(lines.alias("lines"))
     lon = F.lit(108) + ((F.col("foot_id") * 7919) % 52000) / F.lit(1e3)
     lat = F.lit(-45) + ((F.col("foot_id") * 104729) % 46000) / F.lit(1e3)
+    # Columns of an order are computed once, not for each of its corners.
+    each = each.withColumns({"lon": lon, "lat": lat, "n": F.size("lines")})
 
     def ring(share: float):
         def corner(x, k):
-            to = ((k * 8) / F.size("lines")).cast("int") + 1
-            place = lambda start, way: start + F.element_at(F.array(*[F.lit(v) for v in way]), to) * (x["far"] * share)
-            return F.struct(place(lon, DX).alias("lon"), place(lat, DY).alias("lat"))
+            to = ((k * 8) / F.col("n")).cast("int") + 1
+            place = lambda start, way: F.col(start) + F.element_at(F.array(*[F.lit(v) for v in way]), to) * (x["far"] * share)
+            return F.struct(place("lon", DX).alias("lon"), place("lat", DY).alias("lat"))
 
         return F.transform("lines", corner)
 

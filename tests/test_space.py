@@ -231,3 +231,29 @@ def test_boxes_of_dense_tiles_are_counted_without_testing_whole_footprints(monke
 
     pairs = [[inside(rings, *b[:2]) or any(enters(*x, *b) for x in edges) for rings, edges in zip(all_rings, e, strict=True)] for b in boxes]
     assert got.tolist() == [sum(p) for p in pairs] and sum(tested) < 0.25 * sum(map(sum, pairs))
+
+
+def test_places_of_dense_tiles_are_counted_without_testing_whole_footprints(monkeypatch):
+    rng, tested = random.Random(12), []
+    all_rings = stars(rng, 150, 0.01)
+    # Places on vertices and edges too, where crossings are rounded; some twice.
+    places = [(rng.randrange(0, 399) * 0.01, rng.randrange(0, 399) * 0.01) for _ in range(500)] + [v for rings in all_rings[:60] for v in rings[0] if 0 <= min(v) and max(v) < 4]
+    places += places[:50]
+    for name in ("_met", "_holding"):
+        real = getattr(footprint_tiles, name)
+        monkeypatch.setattr(footprint_tiles, name, lambda e, *args, real=real: (tested.append(len(args[-2])), real(e, *args))[1])
+    pairs = [[inside(rings, *p) for rings in all_rings] for p in places]
+    assert tiles(all_rings, [(*p, *p) for p in places], (0.0, 0.0), False).tolist() == [sum(p) for p in pairs] and sum(tested) < 0.25 * sum(map(sum, pairs))
+
+
+def test_footprints_whose_edges_meet_are_told_from_others():
+    box = lambda x, y, s: [(x - s, y - s), (x + s, y - s), (x + s, y + s), (x - s, y + s)]
+    plain = [[box(0, 0, 1)], [box(0, 0, 1), box(0, 0, 0.5)], [box(0, 0, 1)[::-1], box(5, 0, 1)], [[(0, 0), (0, 0), (2, 0), (2, 2), (0, 0)]]]
+    other = [[[(0, 0), (1, 1), (1, 0), (0, 1)]], [box(0, 0, 1), box(1, 0, 1)], [box(0, 0, 1), box(0, 0, 1)], [[(0, 0), (2, 0), (1, 0)]], [[(1, 1)] * 3], [box(0, 0, 1), [(1, 0), (2, 1), (2, -1)]]]
+    kind = pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
+    for shape, want in [(p, True) for p in plain] + [(p, False) for p in other]:
+        x, y, sizes, row = footprint_tiles._rings(pa.array([[[{"lon": a, "lat": b} for a, b in ring] for ring in shape]], kind))
+        left, got = footprint_tiles._inside(x, y, sizes, np.array([len(sizes)]))
+        assert got[0] == want
+        if want:
+            assert left.tolist() == ([True], [True, False], [False, True], [True])[plain.index(shape)]
