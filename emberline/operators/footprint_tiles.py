@@ -93,7 +93,7 @@ def _rings(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _meeting(e: np.ndarray, i: np.ndarray, j: np.ndarray, next_: np.ndarray) -> np.ndarray:
     """Which pairs of edges meet or come near, but for those that follow one another at an angle."""
-    (x1, y1, x2, y2), (u1, v1, u2, v2) = e[:, i], e[:, j]
+    (x1, y1, x2, y2), (u1, v1, u2, v2) = e.take(i, 1), e.take(j, 1)
     dx, dy, du, dv = x2 - x1, y2 - y1, u2 - u1, v2 - v1
     near, far = SLACK * (np.abs(dx) + np.abs(dy)), SLACK * (np.abs(du) + np.abs(dv))
     a, b = dx * (v1 - y1) - dy * (u1 - x1), dx * (v2 - y1) - dy * (u2 - x1)
@@ -128,7 +128,7 @@ def _inside(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, feet: np.ndarray) -
     for a, b in runs(others, TESTS):
         whose, k = spread(others[a:b])
         whose += a
-        x1, y1, x2, y2 = e[:, start[of[whose]] + k]
+        x1, y1, x2, y2 = e.take(start[of[whose]] + k, 1)
         spans = ((y1 > middle[whose]) != (y2 > middle[whose])) & (start[of[whose]] + k != tall[whose])
         off = (x2 - x1) * (middle[whose] - y1) / np.where(spans, y2 - y1, 1.0) + x1 - at[whose]
         plain[of[whose[spans & (np.abs(off) < SLACK)]]] = False
@@ -218,7 +218,7 @@ class Block:
     def ranks(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks from the first to after the last that may lie between low and high; a few more may be among them."""
         place = lambda v: np.floor((v - self.souths[0]) / self.step)
-        return self.under[np.clip(place(low), 0, self.bins + 1).astype(np.int64)], self.until[np.clip(place(high) + 1, 0, self.bins + 2).astype(np.int64)]
+        return self.under.take(np.clip(place(low), 0, self.bins + 1).astype(np.int64)), self.until.take(np.clip(place(high) + 1, 0, self.bins + 2).astype(np.int64))
 
     def passed(self, e: np.ndarray, before: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """The first and last column with boxes that edges pass, where boxes reach so far east; none if the first is after the last."""
@@ -229,7 +229,7 @@ class Block:
     def beside(self, e: np.ndarray, slope: np.ndarray, column: np.ndarray, before: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Between which ordinates edges pass columns."""
         x1, y1, dx, dy = e[0], e[1], slope, e[3] - e[1]
-        ends = [y1 + np.clip((x - x1) / dx, 0.0, 1.0) * dy for x in (self.bounds[column - 1] - SLACK, self.bounds[column] + (before + SLACK))]
+        ends = [y1 + np.clip((x - x1) / dx, 0.0, 1.0) * dy for x in ((self.bounds - SLACK).take(column - 1), (self.bounds + (before + SLACK)).take(column))]
         return np.minimum(*ends) - SLACK, np.maximum(*ends) + SLACK
 
 
@@ -244,12 +244,12 @@ def _holding(e: np.ndarray, sign: np.ndarray, start: np.ndarray, size: np.ndarra
     odd, total = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
     for a, b in runs(size, TESTS):
         edge, many = follow(start[a:b], size[a:b]), size[a:b]
-        x1, y1, x2, y2 = (v[edge] for v in e)
+        x1, y1, x2, y2 = (v.take(edge) for v in e)
         px, py = np.repeat(x[a:b], many), np.repeat(y[a:b], many)
         spans = (y1 > py) != (y2 > py)
         cross = spans & (px < (x2 - x1) * (py - y1) / np.where(spans, y2 - y1, 1.0) + x1)
         begin = np.cumsum(many) - many
-        odd[a:b], total[a:b] = np.logical_xor.reduceat(cross, begin), np.add.reduceat(sign[edge] * cross, begin)
+        odd[a:b], total[a:b] = np.logical_xor.reduceat(cross, begin), np.add.reduceat(sign.take(edge) * cross, begin)
     return odd, total
 
 
@@ -269,17 +269,18 @@ def _held(feet: Feet, block: Block) -> np.ndarray:
     for a, b in runs(last - first + 1, TESTS):
         p, k = spread(last[a:b] - first[a:b] + 1)
         p += a
-        column = first[p] + k
-        low, high = block.ranks(*block.beside(e[:, p], slope[p], column))
-        low, high = np.clip(low, r0[p], r1[p]), np.clip(high, r0[p], r1[p])
+        column, from_, to, up, sign_ = first.take(p) + k, r0.take(p), r1.take(p), rises.take(p), s.take(p)
+        low, high = block.ranks(*block.beside(e.take(p, 1), slope.take(p), column))
+        low, high = np.minimum(np.maximum(low, from_), to), np.minimum(np.maximum(high, from_), to)
         base = column * (block.n + 1)
-        begin, end = block.at[base + low].astype(np.int64), block.at[base + high].astype(np.int64)
-        np.add.at(partly, np.where(rises[p], end, begin) + column, np.where(rises[p], s[p], -s[p]))
+        begin, end = block.at.take(base + low).astype(np.int64), block.at.take(base + high).astype(np.int64)
+        np.add.at(partly, np.where(up, end, begin) + column, np.where(up, sign_, -sign_))
         for c, d in runs(end - begin, TESTS):
             edge, at = np.repeat(p[c:d], end[c:d] - begin[c:d]), follow(begin[c:d], end[c:d] - begin[c:d])
-            x1, y1, x, y = e[0, edge], e[1, edge], block.west[at], block.south[at]
-            cross = np.flatnonzero(x < (e[2, edge] - x1) * (y - y1) / (e[3, edge] - y1) + x1)
-            np.add.at(counts, at[cross], s[edge[cross]])
+            x1, y1, x2, y2 = (v.take(edge) for v in e)
+            x, y = block.west.take(at), block.south.take(at)
+            cross = np.flatnonzero(x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            np.add.at(counts, at.take(cross), s.take(edge.take(cross)))
             # Beside a vertex two crossings may be rounded past one another.
             near = np.flatnonzero((np.abs(x - x1) < SLACK) & (np.abs(y - y1) < SLACK))
             if len(near):
@@ -297,15 +298,15 @@ def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndar
     # Edges of one way after another, as the same corners of boxes decide for them.
     kind = (feet.e[2] >= feet.e[0]) * 2 + (feet.e[3] >= feet.e[1])
     order = np.argsort(kind.astype(np.int8), kind="stable")
-    e, foot, left = feet.e[:, order], feet.foot[order], feet.left[order]
+    e, foot, left = feet.e.take(order, 1), feet.foot[order], feet.left[order]
     first, last = block.passed(e, pad[0])
     p, k = spread(np.maximum(last - first + 1, 0))
-    column, slope = first[p] + k, _slope(e)
-    low, high = block.beside(e[:, p], slope[p], column, pad[0])
+    column, slope = first.take(p) + k, _slope(e)
+    low, high = block.beside(e.take(p, 1), slope.take(p), column, pad[0])
     low, high = block.ranks(low - pad[1], high)
     base = column * (n + 1)
-    begin = block.at[base + low].astype(np.int64)
-    lengths = np.maximum(block.at[base + high] - begin, 0)
+    begin = block.at.take(base + low).astype(np.int64)
+    lengths = np.maximum(block.at.take(base + high) - begin, 0)
     if len(feet.size) > 1 and lengths.sum() > 8 * TESTS:
         half = len(feet.size) // 2
         for some in (feet.part(0, half), feet.part(half, len(feet.size))):
@@ -315,7 +316,7 @@ def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndar
     near, off = SLACK * (np.abs(dx) + np.abs(dy)), dx * e[1] - dy * e[0]
     x_low, x_high, y_low, y_high = np.minimum(e[0], e[2]), np.maximum(e[0], e[2]), np.minimum(e[1], e[3]), np.maximum(e[1], e[3])
     # Between its ends an edge passes all of a box of these pieces, if it passes its corners.
-    inner = (x_low[p] < block.bounds[column - 1] - SLACK) & (x_high[p] > block.bounds[column] + (pad[0] + SLACK))
+    inner = (x_low.take(p) < (block.bounds - SLACK).take(column - 1)) & (x_high.take(p) > (block.bounds + (pad[0] + SLACK)).take(column))
     cuts, found = np.searchsorted(kind[order][p], np.arange(5)), []
     for way, ends in itertools.product(range(4), (False, True)):
         low, high = cuts[way : way + 2]
@@ -323,14 +324,15 @@ def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndar
         # Of a box's corners that farthest to the right of such edges, and that farthest to their left.
         corner = (block.east if way % 2 else block.west, block.south if way // 2 else block.north)
         other = (block.west if way % 2 else block.east, block.north if way // 2 else block.south)
-        for a, b in runs(lengths[pieces], TESTS):
+        for a, b in runs(lengths.take(pieces), TESTS):
             own = pieces[a:b]
-            edge, at = np.repeat(p[own], lengths[own]), follow(begin[own], lengths[own])
-            w, h, c, m = dx[edge], dy[edge], off[edge], near[edge]
-            least, most = w * corner[1][at] - h * corner[0][at] - c, w * other[1][at] - h * other[0][at] - c
+            many = lengths.take(own)
+            edge, at = np.repeat(p.take(own), many), follow(begin.take(own), many)
+            w, h, c, m = (v.take(edge) for v in (dx, dy, off, near))
+            least, most = (w * y.take(at) - h * x.take(at) - c for x, y in (corner, other))
             some = np.flatnonzero((least <= m) & (most >= -m))
-            at, edge, m = at[some], edge[some], m[some]
-            enters = (least[some] < -m) & (most[some] > m)
+            at, edge, m = at.take(some), edge.take(some), m.take(some)
+            enters = (least.take(some) < -m) & (most.take(some) > m)
             if ends:
                 within = np.minimum(np.minimum(block.east[at] - x_low[edge], x_high[edge] - block.west[at]), np.minimum(block.north[at] - y_low[edge], y_high[edge] - block.south[at]))
                 some = np.flatnonzero(within >= -SLACK)
@@ -344,23 +346,24 @@ def _entered(feet: Feet, block: Block, pad: tuple[float, float], counts: np.ndar
     if not found:
         return
     at, edge, enters = (np.concatenate(v) for v in zip(*found, strict=True))
-    key = foot[edge] * n + at
+    key = foot.take(edge) * n + at
     first_of, several, entered = seen
     mark = np.arange(len(key), dtype=np.int32)
     first_of[key] = mark
-    own = first_of[key] == mark
-    again = key[~own]
+    own = first_of.take(key) == mark
+    again = key.take(np.flatnonzero(~own))
     several[again] = True
-    once, more = np.flatnonzero(own & ~several[key] & enters), key[own & several[key]]
+    shared = several.take(key)
+    once, more = np.flatnonzero(own & ~shared & enters), key.take(np.flatnonzero(own & shared))
     several[again] = False
-    hit = key[enters]
+    hit = key.take(np.flatnonzero(enters))
     entered[hit] = True
     more = more[entered[more]]
     entered[hit] = False
-    f, place = edge[once], at[once]
-    side = dx[f] * block.south[place] - dy[f] * block.west[place] - off[f]
-    sure = np.abs(side) > near[f]
-    counts += np.bincount(place[sure & ((side > 0) != left[f])], minlength=n)
+    f, place = edge.take(once), at.take(once)
+    side = dx.take(f) * block.south.take(place) - dy.take(f) * block.west.take(place) - off.take(f)
+    sure = np.abs(side) > near.take(f)
+    counts += np.bincount(place.take(np.flatnonzero(sure & ((side > 0) != left.take(f)))), minlength=n)
     more = np.concatenate([more, key[once[~sure]]])
     f, place = more // n, more % n
     odd, _ = _holding(feet.e, np.zeros(e.shape[1], np.int8), feet.start[f], feet.size[f], block.west[place], block.south[place])
